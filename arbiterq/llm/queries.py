@@ -5,7 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 #: query: module of this subpackage that has it
-WHERE = {"op1_quality_rules": "line_rules"}
+WHERE = {
+    "op1_quality_rules": "line_rules",
+    "op5_fair_mix": "fair_mix",
+    "op10_simhash_vptree": "simhash_vptree",
+}
+#: those whose rows SQL can express, as the module's constant OPn_SQL
+SQL = ("op5_fair_mix",)
 
 
 def queries() -> dict:
@@ -14,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"{__package__}.{WHERE[name]}"), f"{name.split('_')[0].upper()}_SQL") for name in SQL}
