@@ -57,12 +57,14 @@ def mixed(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int
     """``sized``: (row, doc_id, source, size), row unique. Returns it with source_size, target and passes (times taken)."""
     spark = sized.sparkSession
     plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_passes), "targets")
+    # A pass that begins so far beyond the water level can't be reached, so that arrivals follow the mix, not three times the
+    # corpus: at the cut each flow lacks less than its largest document of its fluid share, and some flow of weight >= 1 is active.
+    slack = int(sized.groupBy("source").agg(F.max("size").alias("most")).agg(F.sum("most")).first()[0] or 0)
     plan2 = plan.select(F.col("source").alias("__s"), "source_size", "weight", "level", "target")
     flows = sized.join(plan2, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     budget = int(plan.agg(F.sum("source_size")).first()[0] or 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a pass that begins beyond the water level can't be reached: arrivals follow the mix, not three times the corpus
-    arrive = flows.where("size > 0").withColumn("pass", F.explode(F.expr(f"sequence(0, least({most_passes - 1}, cast(floor(level * weight / source_size) as int)))")))
+    arrive = flows.where("size > 0").withColumn("pass", F.explode(F.expr(f"sequence(0, least({most_passes - 1}, cast(least(9, floor((level + {slack}) * weight / source_size)) as int)))")))
     arrive = arrive.withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), F.col("pass").cast("string"), F.col("doc_id").cast("string"))))
     arrive = arrive.select("row", "source", "pass", "turn", "size", "weight", "source_size")
     queued = running(arrive, ["source", "pass"], ["source", "pass", "turn", "size", "row"], "size", "served", parts)

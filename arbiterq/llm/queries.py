@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: module of this subpackage that has it
 WHERE = {
     "op1_quality_rules": "line_rules",
+    "op4_token_stream": "token_stream",
     "op5_fair_mix": "fair_mix",
     "op10_simhash_vptree": "simhash_vptree",
 }
