@@ -7,6 +7,8 @@ from importlib import import_module
 #: query: module of this subpackage that has it
 WHERE = {
     "op1_quality_rules": "line_rules",
+    "op2_quality_fm": "quality_fm",
+    "op9_toxicity_cf": "toxicity_cf",
     "op4_token_stream": "token_stream",
     "op5_fair_mix": "fair_mix",
     "op10_simhash_vptree": "simhash_vptree",
