@@ -11,6 +11,8 @@ WHERE = {
     "op9_toxicity_cf": "toxicity_cf",
     "op4_token_stream": "token_stream",
     "op5_fair_mix": "fair_mix",
+    "op6_line_dedup": "line_dedup",
+    "op7_best_fit": "best_fit",
     "op10_simhash_vptree": "simhash_vptree",
 }
 #: those whose rows SQL can express, as the module's constant OPn_SQL
