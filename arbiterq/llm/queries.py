@@ -13,6 +13,7 @@ WHERE = {
     "op5_fair_mix": "fair_mix",
     "op6_line_dedup": "line_dedup",
     "op7_best_fit": "best_fit",
+    "op8_hilbert_ann": "hilbert_ann",
     "op10_simhash_vptree": "simhash_vptree",
 }
 #: those whose rows SQL can express, as the module's constant OPn_SQL
@@ -21,7 +22,9 @@ SQL = ("op5_fair_mix",)
 
 def queries() -> dict:
     found = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in WHERE.items()}
-    return found
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
