@@ -9,6 +9,7 @@ WHERE = {
     "op1_quality_rules": "line_rules",
     "op2_quality_fm": "quality_fm",
     "op9_toxicity_cf": "toxicity_cf",
+    "op3_column_bwt": "column_bwt",
     "op4_token_stream": "token_stream",
     "op5_fair_mix": "fair_mix",
     "op6_line_dedup": "line_dedup",
