@@ -1,8 +1,8 @@
 """Token ids as Arrow IPC stream files with batches of fixed-size lists.
 
 A shard file holds the ids of a range of documents, in ascending doc_id order, cut into sequences of equal length: column
-``ids`` is fixed_size_list<uint32>[length], column ``mask`` fixed_size_list<uint8>[length] (0 only in the padding at the end
-of the shard). Every batch has the same number of rows but the last, so a sequence is found by arithmetic and read without a
+``ids`` is fixed_size_list[length] of uint16, or of uint32 where the vocabulary needs it, column ``mask`` is fixed_size_list<bool>[length]
+(false only in the padding at the end of the shard). Every batch has the same number of rows but the last, so a sequence is found by arithmetic and read without a
 copy from a memory map. Beside it, ``NNNNN.docs.arrow`` has a row a document: doc_id, start in the shard, number of ids.
 
 Files go to a folder that driver and executors share, through pyarrow's file systems, first under a name of the attempt and
@@ -15,8 +15,10 @@ each, in an order that depends on their texts alone; texts are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,34 +29,71 @@ from pyspark.sql import functions as F
 
 from .common import documents, scratch, short_batches, written
 
-LENGTH, BATCH, END, SHARD_BYTES, MOST_CACHED = 2048, 64, 2, 24 << 20, 400_000
+LENGTH, BATCH, END, SHARD_BYTES, MOST_CACHED = 2048, 64, 2, 24 << 20, 1_000_000
+
+
+#: Words whose lower case and composition no library disputes: Latin letters, then ASCII marks (no apostrophe, which may begin a contraction).
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes; equal to the library's ``encode(text).ids``.
+    """Ids of whole texts as bytes of the narrowest unsigned type that holds the vocabulary; equal to ``encode(text).ids``.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks between ASCII white
-    space, one after the other. Chunks recur, so each is encoded once a worker while the cache has room.
+    The tokenizer drops white space and never merges across it, nor between letters and marks. So a text's ids are those of its
+    chunks between ASCII white space, and a simple chunk's are those of its lower-cased word and of its marks. Both levels are
+    remembered as long as a worker process lives; each forgets all when it is full.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.own, self.seen = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.seen.__getitem__, chunks))
-        except KeyError:
-            if len(self.seen) > MOST_CACHED:
-                self.seen.clear()
-            new = list({c for c in chunks if c not in self.seen})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for c, e in zip(part, self.own.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                    self.seen[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.seen.__getitem__, chunks))
+        self.own, self.seen, self.parts = Tokenizer.from_file(path), {}, {}
+        self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.seen) > MOST_CACHED:
+            self.seen.clear()
+        if len(self.parts) > MOST_CACHED:
+            self.parts.clear()
+        parts, cut, whole = self.parts, [], SIMPLE.fullmatch
+        for c in chunks:
+            t = c.decode()
+            if m := whole(t):
+                w, marks = m.groups()
+                cut.append((c, w.lower(), marks))
+            else:
+                cut.append((c, t, ""))
+        new = list({p for _, w, marks in cut for p in (w, marks) if p not in parts})
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for at in range(0, len(new), 4096):
+            for p, e in zip(new[at : at + 4096], self.own.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
+                parts[p] = array(code, e.ids).tobytes()
+        for c, w, marks in cut:
+            self.seen[c] = parts[w] + parts[marks]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text. The new chunks of some texts are learnt at once."""
+        for at in range(0, len(texts), 32):
+            cut, new = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 32]], set()
+            known = self.seen if len(self.seen) <= MOST_CACHED else {}
+            for chunks in cut:
+                new.update(c for c in chunks if c not in known)
+            if new:
+                self.learn(new)
+            own = self.seen.__getitem__
+            for chunks in cut:
+                yield b"".join(map(own, chunks))
+
+
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process; its thread pool is off, since each core has a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def store(folder: str):
@@ -80,16 +119,16 @@ def fixed(values: np.ndarray, kind: pa.DataType, length: int) -> pa.Array:
 class ShardWriter:
     """Appends documents; holds one batch of sequences at most."""
 
-    def __init__(self, out, length: int, batch: int) -> None:
-        self.length, self.size = length, length * batch
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, out, length: int, batch: int, kind: np.dtype) -> None:
+        self.length, self.size, self.kind = length, length * batch, kind
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.to, self.held, self.bytes = pa.ipc.new_stream(out, self.schema), [], 0
 
     def add(self, ids: bytes) -> None:
         self.held.append(ids)
         self.bytes += len(ids)
-        if self.bytes >= 4 * self.size:
-            flat = np.frombuffer(b"".join(self.held), "<u4")
+        if self.bytes >= self.kind.itemsize * self.size:
+            flat = np.frombuffer(b"".join(self.held), self.kind)
             full = len(flat) // self.size * self.size
             for at in range(0, full, self.size):
                 self.write(flat[at : at + self.size], self.size)
@@ -97,56 +136,64 @@ class ShardWriter:
             self.bytes = len(self.held[0])
 
     def write(self, ids: np.ndarray, size: int) -> None:
-        padded, mask = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
-        padded[: len(ids)], mask[: len(ids)] = ids, 1
-        self.to.write_batch(pa.record_batch([fixed(padded, pa.uint32(), self.length), fixed(mask, pa.uint8(), self.length)], schema=self.schema))
+        padded, mask = np.zeros(size, self.kind), np.zeros(size, bool)
+        padded[: len(ids)], mask[: len(ids)] = ids, True
+        self.to.write_batch(pa.record_batch([fixed(padded, pa.from_numpy_dtype(self.kind), self.length), fixed(mask, pa.bool_(), self.length)], schema=self.schema))
 
     def close(self) -> None:
         if self.bytes:
-            flat = np.frombuffer(b"".join(self.held), "<u4")
+            flat = np.frombuffer(b"".join(self.held), self.kind)
             self.write(flat, -(-len(flat) // self.length) * self.length)
         self.to.close()
 
 
-def dealt(df: DataFrame, id_col: str, text: str, shard_bytes: int) -> DataFrame:
-    """(shard, id, tie, text): ranges of ids of about equal text; the ranges come from a pass over ids and lengths alone."""
-    own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sizes = own.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"))
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(sizes.repartitionByRange(parts, F.col("id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "sizes")
+def bounds(df: DataFrame, id_col: str, text: str, shard_bytes: int) -> np.ndarray:
+    """The least id of each shard but the first: ranges of ids of about equal text.
+
+    They come from a pass over ids and lengths, and are one number for ``shard_bytes`` of text (at 100 TB some 4 million).
+    """
+    own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)) + 1).alias("b"))
+    sizes = own.where("id is not null").groupBy("id").agg(F.sum("b").alias("b"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(sizes.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "sizes")
     totals = ranged.groupBy("part").agg(F.sum("b").alias("t"))
     before = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.withColumn("own", F.coalesce(F.sum("b").over(within), F.lit(0))).join(before, F.col("part") == F.col("p"))
-    return written(starts.select(F.col("id").alias("key"), F.floor((F.col("own") + F.col("before")) / shard_bytes).cast("long").alias("shard")), "shards")
+    least = starts.groupBy(F.floor((F.col("own") + F.col("before")) / shard_bytes).alias("shard")).agg(F.min("id").alias("id"))
+    return np.sort(least.toPandas()["id"].to_numpy(np.int64))[1:]
 
 
 def write_stream(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", *, length: int = LENGTH, batch: int = BATCH, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards and gives their manifest: (shard, start, n_docs, n_ids); start: ids of all shards before."""
     short_batches(df.sparkSession)
-    shards = dealt(df, id_col, text, shard_bytes)
+    sent = df.sparkSession.sparkContext.broadcast(bounds(df, id_col, text, shard_bytes))
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    last = int(shards.agg(F.max("shard")).first()[0] or 0)
-    placed = own.join(shards, F.col("id").eqNullSafe(F.col("key"))).select("shard", "id", "text")
-    placed = placed.repartition(min(last + 1, 20_000), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    final = b"" if end is None else np.array([end], "<u4").tobytes()
+    shards = len(sent.value) + 1
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right"))
+
+    placed = own.withColumn("shard", F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(F.coalesce("id", F.lit(0)))))
+    placed = placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
-        rows = ((s, i, t) for p in parts for s, i, t in zip(p["shard"].tolist(), p["id"].tolist(), p["text"].tolist(), strict=True))
+        encode = encoder(tokenizer)
+        final, wide = b"" if end is None else np.array([end], encode.kind).tobytes(), encode.kind.itemsize
+        rows = ((s, i, ids) for p in parts for s, i, ids in zip(p["shard"].tolist(), p["id"].tolist(), encode(p["text"].tolist()), strict=True))
         row = next(rows, None)
         while row is not None:
             shard, docs, at = row[0], [], 0
 
             def fill(out, shard=shard):
                 nonlocal row, at
-                to = ShardWriter(out, length, batch)
+                to = ShardWriter(out, length, batch, encode.kind)
                 while row is not None and row[0] == shard:
-                    ids = encode(row[2]) + final
+                    ids = row[2] + final
                     to.add(ids)
-                    docs.append((row[1], at, len(ids) // 4))
-                    at += len(ids) // 4
+                    docs.append((row[1], at, len(ids) // wide))
+                    at += len(ids) // wide
                     row = next(rows, None)
                 to.close()
 
@@ -181,20 +228,20 @@ class Shard:
         with files.open_input_file(f"{base}/{shard:08d}.docs.arrow") as f:
             self.docs = pa.ipc.open_stream(f).read_all()
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence, views into the file."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids (a view into the file) and mask of the k-th sequence."""
         b, i = self.batches[k // self.rows], k % self.rows
-        return tuple(b.column(c).values.to_numpy(zero_copy_only=True)[(i) * self.length : (i + 1) * self.length] for c in ("ids", "mask"))
+        return b.column("ids").values.to_numpy(zero_copy_only=True)[i * self.length : (i + 1) * self.length], b.column("mask")[i].values
 
-    def ids(self, start: int, n: int) -> bytes:
-        """The bytes of n ids from start on."""
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """n ids from start on; a view into the file where they lie in one batch."""
         out, size = [], self.rows * self.length
         while n > 0:
             flat = self.batches[start // size].column("ids").values.to_numpy(zero_copy_only=True)
             part = flat[start % size : start % size + n]
-            out.append(part.tobytes())
+            out.append(part)
             start, n = start + len(part), n - len(part)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def read_stream(manifest: DataFrame, folder: str) -> DataFrame:
@@ -206,7 +253,7 @@ def read_stream(manifest: DataFrame, folder: str) -> DataFrame:
                 shard = Shard(folder, number)
                 start, n = shard.docs["start"].to_pylist(), shard.docs["n_tokens"].to_pylist()
                 ids = shard.docs["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-                crc = [zlib.crc32(shard.ids(a, k)) for a, k in zip(start, n, strict=True)]
+                crc = [zlib.crc32(shard.ids(a, k).astype("<u4").tobytes()) for a, k in zip(start, n, strict=True)]
                 yield pd.DataFrame({"doc_id": ids, "start": np.array(start, np.int64) + base, "n_tokens": np.array(n, np.int64), "ids_crc32": np.array(crc, np.int64)})
 
     return manifest.repartition(F.col("shard")).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -215,7 +262,6 @@ def read_stream(manifest: DataFrame, folder: str) -> DataFrame:
 def op4_token_stream(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     folder = scratch(spark, "tokens")
     manifest = write_stream(documents(spark, sf_dir), folder, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return read_stream(manifest, folder)
