@@ -12,7 +12,7 @@ round rereads all that the rounds before made. Three steps make it bounded witho
    columns lie in a file that is read once, in order. A suffix that shares ``length`` bytes with a neighbour recurs.
 3. The recurring starts go back to all places of their pieces; each document loses the union of what they cover.
 
-Pieces of an anchor that has more than ``MOST_PIECES`` different ones don't go to one task: their strings' 128-bit digests are
+Pieces of an anchor that has more than ``MOST_PIECES`` different ones don't go to one task: their strings' digests are
 counted by a grouping instead, which is exact as well and spreads over all tasks.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; equal rows (id and text) each count as an
@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, short_batches, written
+from .common import documents, forget, short_batches, written
 
 LENGTH, WINDOW, BUCKET, MOST_PIECES = 400, 32, 20_000, 100_000
 #: Ids that may be sent to every executor, 16 bytes each.
 MOST_SENT = 1_000_000
 ODD = 0x9E3779B97F4A7C15
-PLACE = "id long, key long, start int, anchor int, n int, h long, c1 long, c2 long"
+PLACE = "id long, key long, start int, anchor int, n int, h long, c long"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -95,9 +95,9 @@ def pieces(b: bytes, hashes: Hashes, length: int = LENGTH, width: int = WINDOW)
                 s = last + 1
 
 
-def digest(b: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(b, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def digest(b: bytes) -> int:
+    """64 bits, to be taken together with the 64 of the anchor's hash."""
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
 def signed(h: int) -> int:
@@ -119,7 +119,7 @@ def places(rows: DataFrame, length: int) -> DataFrame:
             for i, key, t in zip(part["id"].tolist(), part["key"].tolist(), part["text"].tolist(), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
                 i = None if i is None or i != i else int(i)
-                out += [(i, key, s, p, n, signed(v), *digest(b[s : s + n - 1 + length])) for s, p, n, v in pieces(b, hashes, length)]
+                out += [(i, key, s, p, n, signed(v), digest(b[s : s + n - 1 + length])) for s, p, n, v in pieces(b, hashes, length)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACE.split(", ")]).astype({"id": "Int64"})
 
     return rows.mapInPandas(run, PLACE)
@@ -163,14 +163,14 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(d == 1).tolist(), (np.flatnonzero(d == -1) - 1).tolist(), strict=True))
 
 
-def in_rounds(part: pd.DataFrame, length: int) -> list[tuple[int, int, int, int, int]]:
-    """(h, c1, c2, first, last) of each run of recurring starts among the pieces of a bucket."""
+def in_rounds(part: pd.DataFrame, length: int) -> list[tuple[int, int, int, int]]:
+    """(h, c, first, last) of each run of recurring starts among the pieces of a bucket."""
     body = part["body"].tolist()
     anchor = (part["anchor"] - part["start"]).to_numpy(np.int64)
     n, total = part["n"].to_numpy(np.int64), np.array([len(b) for b in body], np.int64)
     numbers = np.unique(part["h"].to_numpy(np.int64), return_inverse=True)[1]
     out = []
-    h, c1, c2, many = (part[c].tolist() for c in ("h", "c1", "c2", "many"))
+    h, c, many = (part[x].tolist() for x in ("h", "c", "many"))
     for first in range(0, int(numbers.max()) + 1, 60_000):
         rows = np.flatnonzero((numbers >= first) & (numbers < first + 60_000))
         a, deep = anchor[rows], int(anchor[rows].max())
@@ -183,13 +183,13 @@ def in_rounds(part: pd.DataFrame, length: int) -> list[tuple[int, int, int, int,
                 columns[:, block : block + 1024] = flat.T
             found = recurring(a, (numbers[rows] - first).astype(np.uint16), np.array(many)[rows], n[rows], columns, length)
             del columns
-        out += [(h[r], c1[r], c2[r], x, y) for k, r in enumerate(rows.tolist()) for x, y in runs(found[k])]
+        out += [(h[r], c[r], x, y) for k, r in enumerate(rows.tolist()) for x, y in runs(found[k])]
     return out
 
 
 def bodies(distinct: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """``distinct`` pieces with their bytes, read from one place each."""
-    wanted = distinct.groupBy("id", "key").agg(F.collect_list(F.struct("h", "c1", "c2", "many", "start", "anchor", "n")).alias("ps"))
+    """``distinct`` pieces with their bytes, read from one place each; equal rows of documents each give the piece."""
+    wanted = distinct.groupBy("id", "key").agg(F.collect_list(F.struct("h", "c", "many", "start", "anchor", "n")).alias("ps"))
     wanted = written(wanted.select(F.col("id").alias("wid"), F.col("key").alias("wkey"), "ps"), "wanted")
     texts, keys = rows, wanted.select("wkey").distinct()
     if keys.limit(MOST_SENT + 1).count() <= MOST_SENT:
@@ -201,11 +201,10 @@ def bodies(distinct: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             out = []
             for t, ps in zip(part["text"].tolist(), part["ps"].tolist(), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
-                out += [(*(p[c] for c in ("h", "c1", "c2", "many", "start", "anchor", "n")), b[p["start"] : p["start"] + p["n"] - 1 + length]) for p in ps]
-            yield pd.DataFrame(out, columns=["h", "c1", "c2", "many", "start", "anchor", "n", "body"])
+                out += [(*(p[c] for c in ("h", "c", "many", "start", "anchor", "n")), b[p["start"] : p["start"] + p["n"] - 1 + length]) for p in ps]
+            yield pd.DataFrame(out, columns=["h", "c", "many", "start", "anchor", "n", "body"])
 
-    cut_out = both.mapInPandas(cut, "h long, c1 long, c2 long, many boolean, start int, anchor int, n int, body binary")
-    return cut_out.dropDuplicates(["h", "c1", "c2"])  # equal rows of documents each give the piece
+    return both.mapInPandas(cut, "h long, c long, many boolean, start int, anchor int, n int, body binary")
 
 
 def recurring_runs(df: DataFrame, id_col: str, text: str, length: int = LENGTH) -> DataFrame:
@@ -216,34 +215,36 @@ def recurring_runs(df: DataFrame, id_col: str, text: str, length: int = LENGTH)
     often = all_places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     few = often.limit(2 * MOST_SENT + 1).count() <= 2 * MOST_SENT
     maybe = written(all_places.join(F.broadcast(often) if few else often, "h", "left_semi"), "maybe")
-    distinct = maybe.groupBy("h", "c1", "c2").agg((F.count("*") > 1).alias("many"), F.min(F.struct("id", "key", "start", "anchor", "n")).alias("at"))
-    distinct = written(distinct.select("h", "c1", "c2", "many", "at.*"), "distinct")
+    forget(all_places)
+    distinct = maybe.groupBy("h", "c").agg((F.count("*") > 1).alias("many"), F.min(F.struct("id", "key", "start", "anchor", "n")).alias("at"))
+    distinct = written(distinct.select("h", "c", "many", "at.*"), "distinct")
     crowded = distinct.groupBy("h").count().where(F.col("count") > MOST_PIECES).select("h")
     crowded = written(crowded, "crowded")
     any_crowded = crowded.limit(1).count() > 0
-    full = written(bodies(distinct, rows, length), "bodies")
-    buckets = max(1, math.ceil(full.count() / BUCKET))
+    full = bodies(distinct, rows, length)
+    buckets = max(1, math.ceil(distinct.count() / BUCKET))
     calm = full.join(crowded, "h", "left_anti") if any_crowded else full
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(in_rounds(part, length), columns=["h", "c1", "c2", "first", "last"])
+        return pd.DataFrame(in_rounds(part.drop_duplicates(["h", "c"]), length), columns=["h", "c", "first", "last"])
 
-    schema = "h long, c1 long, c2 long, first int, last int"
+    schema = "h long, c long, first int, last int"
     found = calm.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(link, schema)
     if any_crowded:
 
         def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for h, c1, c2, many, n, body in zip(*(part[c].tolist() for c in ("h", "c1", "c2", "many", "n", "body")), strict=True):
+                for h, c, many, n, body in zip(*(part[x].tolist() for x in ("h", "c", "many", "n", "body")), strict=True):
                     ds = [digest(body[s : s + length]) for s in range(n)]
-                    yield pd.DataFrame({"h": h, "c1": c1, "c2": c2, "first": np.arange(n, dtype=np.int32), "w": 2 if many else 1, "d1": [d[0] for d in ds], "d2": [d[1] for d in ds]})
+                    yield pd.DataFrame({"h": h, "c": c, "first": np.arange(n, dtype=np.int32), "w": 2 if many else 1, "d": ds})
 
-        strings = full.join(crowded, "h", "left_semi").mapInPandas(each, "h long, c1 long, c2 long, first int, w long, d1 long, d2 long")
+        strings = full.join(crowded, "h", "left_semi").dropDuplicates(["h", "c"]).mapInPandas(each, "h long, c long, first int, w long, d long")
         strings = written(strings, "strings")
-        twice = strings.groupBy("d1", "d2").agg(F.sum("w").alias("w")).where("w > 1").select("d1", "d2")
-        found = found.unionByName(strings.join(twice, ["d1", "d2"], "left_semi").select("h", "c1", "c2", "first", F.col("first").alias("last")))
+        twice = strings.groupBy("h", "d").agg(F.sum("w").alias("w")).where("w > 1").select("h", "d")
+        found = found.unionByName(strings.join(twice, ["h", "d"], "left_semi").select("h", "c", "first", F.col("first").alias("last")))
     found = written(found, "found")
-    spans = maybe.select("id", "key", "start", "h", "c1", "c2").join(found, ["h", "c1", "c2"])
+    forget(distinct)
+    spans = maybe.select("id", "key", "start", "h", "c").join(found, ["h", "c"])
     span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + length).alias("to"))
     return spans.groupBy("id", "key").agg(F.collect_set(span).alias("spans"))
 

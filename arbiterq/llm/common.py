@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,16 +34,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing will read them, and the shuffle files that nothing refers to any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.select(F.input_file_name().alias("f")).limit(1).collect():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file["f"]).getParent()
+            if folder.toString().startswith(shared_dir(spark).replace("file:///", "file:/")) or shared_dir(spark) in folder.toString():
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()  # Spark's cleaner deletes a shuffle when its handle is collected
+
+
 def short_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Documents as scanned: the scan's own splits are the parallelism, no shuffle of texts."""
-    return df
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
