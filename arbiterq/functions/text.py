@@ -5,6 +5,8 @@ Python's truth rules hold throughout: null and the empty string are both "no tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def stripped(x: Column | str) -> Column:
     return F.btrim(text(x), F.lit(BLANKS))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tokens(x: Column | str) -> Column:
     """The words that normalising keeps, in order; [] for no text."""
     words = F.split(F.regexp_replace(F.lower(text(x)), r"[^\p{L}\p{N}_]+", " "), " ")
@@ -85,7 +92,6 @@ def yes_no_match(answer: Column | str, gold: Column | str) -> Column:
 
 def strip_markdown(x: Column | str) -> Column:
     """Take off ``**`` pairs that wrap a text, as many as there are, then one at the start and one at the end."""
-    t = stripped(x)
 
     def wrapped(s: Column) -> Column:
         return F.startswith(s, F.lit("**")) & F.endswith(s, F.lit("**")) & (F.length(s) > 4)
@@ -93,9 +99,16 @@ def strip_markdown(x: Column | str) -> Column:
     def unwrapped(s: Column) -> Column:
         return F.when(wrapped(s), F.btrim(F.substring(s, F.lit(3), F.length(s) - 4), F.lit(BLANKS))).otherwise(s)
 
-    t = F.when(wrapped(t), F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(t) / 4).cast("int"))), t, lambda s, _: unwrapped(s))).otherwise(t)
-    t = F.when(F.startswith(t, F.lit("**")), F.btrim(F.substring(t, F.lit(3), F.length(t)), F.lit(BLANKS))).otherwise(t)
-    return F.when(F.endswith(t, F.lit("**")), F.btrim(F.substring(t, F.lit(1), F.length(t) - 2), F.lit(BLANKS))).otherwise(t)
+    def all_off(s: Column) -> Column:
+        return F.when(wrapped(s), F.aggregate(F.sequence(F.lit(1), (F.length(s) / 4).cast("int")), s, lambda t, _: unwrapped(t))).otherwise(s)
+
+    def start_off(s: Column) -> Column:
+        return F.when(F.startswith(s, F.lit("**")), F.btrim(F.substring(s, F.lit(3), F.length(s)), F.lit(BLANKS))).otherwise(s)
+
+    def end_off(s: Column) -> Column:
+        return F.when(F.endswith(s, F.lit("**")), F.btrim(F.substring(s, F.lit(1), F.length(s) - 2), F.lit(BLANKS))).otherwise(s)
+
+    return bound(bound(bound(stripped(x), all_off), start_off), end_off)
 
 
 def clean_answer(x: Column | str) -> Column:

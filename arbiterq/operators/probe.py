@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,21 +101,32 @@ def fit_mlp(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden
 
 
 def mlp_heads(df: DataFrame, key: str, vec: str, labels: tuple[str, ...], split: str, most_rows: int = 200_000, **how) -> DataFrame:
-    """(head, key, p): each head's MLP, fitted on 'train' with 'val', over the rows of 'test'; standardised on 'train'.
+    """(head, key, p): each head's MLP, fitted on 'train' with 'val', over all rows of 'test'; standardised on 'train'.
 
-    A head trains in one task on at most ``most_rows`` rows by draw, which bounds its memory; test rows past it are not scored here.
+    A head trains in one task, on at most ``most_rows`` rows by draw, which bounds its memory. The fitted heads (one blob each)
+    are sent to all tasks, which score the test rows where they are.
     """
+    own = df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("v"), F.col(split).alias("split"), *labels)
     heads = F.explode(F.array(*(F.struct(F.lit(h).alias("head"), F.col(h).cast("double").alias("y")) for h in labels))).alias("x")
-    own = df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("v"), F.col(split).alias("split"), heads).select("x.head", "key", "v", "split", "x.y")
-    few = own.withColumn("turn", F.md5("key")).orderBy("turn").limit(most_rows * len(labels))
+    few = own.where("split in ('train', 'val')").withColumn("turn", F.md5("key")).orderBy("turn").limit(most_rows)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x, y, s = np.stack(part["v"]).astype(float), part["y"].to_numpy(), part["split"].to_numpy()
-        train = x[s == "train"]
-        dev = train.std(axis=0) if len(train) else np.ones(x.shape[1])
-        x = (x - (train.mean(axis=0) if len(train) else 0)) / np.where(dev > 0, dev, 1)
+        mean, dev = x[s == "train"].mean(axis=0), x[s == "train"].std(axis=0)
+        dev = np.where(dev > 0, dev, 1)
+        x = (x - mean) / dev
         net, _ = fit_mlp(x[s == "train"], y[s == "train"], x[s == "val"], y[s == "val"], **how)
-        test = part[s == "test"]
-        return pd.DataFrame({"head": test["head"], "key": test["key"], "p": net.forward(x[s == "test"])[0]})
+        return pd.DataFrame({"head": [part["head"].iloc[0]], "net": [pickle.dumps((mean, dev, net))]})
+
+    fitted = few.select("key", "v", "split", heads).select("x.head", "key", "v", "split", "x.y").groupBy("head").applyInPandas(run, "head string, net binary").collect()
+    sent = df.sparkSession.sparkContext.broadcast({r["head"]: bytes(r["net"]) for r in fitted})
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nets = {h: pickle.loads(b) for h, b in sent.value.items()}
+        for part in parts:
+            x = np.stack(part["v"]).astype(float) if len(part) else np.zeros((0, 1))
+            for h, (mean, dev, net) in nets.items():
+                if len(part):
+                    yield pd.DataFrame({"head": h, "key": part["key"], "p": net.forward((x - mean) / dev)[0]})
 
-    return few.drop("turn").groupBy("head").applyInPandas(run, "head string, key string, p double")
+    return own.where("split = 'test'").select("key", "v").mapInPandas(score, "head string, key string, p double")
