@@ -116,3 +116,25 @@ def judged(df: DataFrame, name: str, text: str = "text", rules: Rules = Rules(),
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judged(documents(spark, sf_dir).select("doc_id", "text"), "j", clean=False)
     return out.select("doc_id", *(f"j.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines", "words_left")))
+
+
+_CUT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_END = "right({}, 1) IN (" + ", ".join("'" + e.replace("'", "''") + "'" for e in ENDS) + ")"
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_CUT.format("text")} AS ws FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS covered FROM win JOIN rep USING (doc_id, g), (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY 1),
+ln AS (SELECT doc_id, line, {_CUT.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+nav AS (SELECT *, len(lw) AS n, regexp_matches(line, '(?:\S+\s*[|»›·•]\s*){{3,}}|(?:\S+\s+>\s+){{2,}}') AS has_nav, len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS syms FROM ln WHERE len(lw) > 0),
+lb AS (SELECT *, syms >= 0.5 * n OR has_nav OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}
+  OR (n >= 5 AND (len(regexp_replace(line, '[^!]', '', 'g')) >= 0.5 * n OR len(list_filter(lw, lambda x: x = upper(x) AND x <> lower(x))) > 0.7 * n))
+  OR (n >= 12 AND len(list_distinct(lw)) < 0.3 * n)
+  OR (n >= 40 AND NOT {_END.format("lw[-1]")} AND len(list_filter(lw, lambda x: {_END.format("x")} OR right(x, 1) = ',')) = 0) AS bad FROM nav),
+la AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS n_bad, coalesce(sum(n) FILTER (NOT bad), 0)::BIGINT AS words_left FROM lb GROUP BY 1),
+j AS (SELECT w.doc_id, len(ws) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+  coalesce(covered, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_bad_lines, coalesce(words_left, 0) AS words_left FROM w LEFT JOIN la USING (doc_id) LEFT JOIN cov USING (doc_id)),
+k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND words_left >= 10 AND words_left >= 0.6 * n_words AS kept, n_lines, n_bad_lines, words_left FROM k
+"""

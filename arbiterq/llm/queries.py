@@ -18,7 +18,7 @@ WHERE = {
     "op10_simhash_vptree": "simhash_vptree",
 }
 #: those whose rows SQL can express, as the module's constant OPn_SQL
-SQL = ("op5_fair_mix",)
+SQL = ("op1_quality_rules", "op5_fair_mix")
 
 
 def queries() -> dict:
