@@ -123,7 +123,7 @@ def test_lines(spark, odd, nothing):
     for _, t, _ in rows:
         for line in t.split("\n"):
             ws = line.lower().split(" ")
-            sets[line.lower()] = {" ".join(ws[k : k + 2])[:16] for k in range(len(ws))}
+            sets[line.lower()] = {tuple(w[:8] for w in ws[k : k + 2]) for k in range(len(ws))}
     names = sorted(sets)
     alike = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     of, seen, want = groups(alike, names), set(), {}
