@@ -62,14 +62,14 @@ def both_sides(df: DataFrame, keys: list[str], side: str, value: str, sides: tup
     return out
 
 
-def contained(aliases: DataFrame, texts: DataFrame, alias: str, text: str) -> DataFrame:
+def contained(aliases: DataFrame, texts: DataFrame, alias: str, text: str, key: str) -> DataFrame:
     """Pairs where a text has the alias's whole words in a row; both columns normalised.
 
-    Blocked by the alias's rarest word, so that the join is on equality: each text deals its distinct words, each alias one.
+    Blocked by the alias's rarest word, so that the join is on equality: each text deals its key (unique) with its distinct words, each alias one word; texts are read again for the pairs alone.
     """
-    words = texts.select("*", F.explode(F.array_distinct(F.split(text, " "))).alias("__word")).where("__word <> ''")
+    words = texts.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__word")).where("__word <> ''")
     seen = words.groupBy("__word").agg(F.count("*").alias("__n"))
     own = aliases.select("*", F.explode(F.array_distinct(F.split(alias, " "))).alias("__word")).where("__word <> ''")
     rarest = own.join(seen, "__word").groupBy(*aliases.columns).agg(F.min_by("__word", F.struct("__n", "__word")).alias("__word"))
     hit: Column = F.contains(F.concat(F.lit(" "), F.col(text), F.lit(" ")), F.concat(F.lit(" "), F.col(alias), F.lit(" ")))
-    return words.join(rarest, "__word").where(hit).drop("__word")
+    return words.join(rarest, "__word").drop("__word").join(texts, key).where(hit)

@@ -162,7 +162,7 @@ def normalise_text(spark, sf):
 def word_contains_join(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", T.normalise("text").alias("t"))
     items = table(spark, sf, "benchmark").select("item_id", T.normalise("text").alias("p"))
-    return J.contained(items, docs, "p", "t").select("doc_id", "item_id")
+    return J.contained(items, docs, "p", "t", "doc_id").select("doc_id", "item_id")
 
 
 @query(f"WITH {W.QA} SELECT qid, CASE WHEN len(a) > 0 AND len(b) > 0 THEN {W.jac('a', 'b')} ELSE 0.0 END AS similarity FROM (SELECT qid, {W.toks('pk_answer')} AS a, {W.toks('ck_answer')} AS b FROM qa)")

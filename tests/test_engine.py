@@ -107,7 +107,7 @@ def test_auroc_and_empty_groups(spark):
 def test_contained_equals_brute_force(spark):
     texts = spark.createDataFrame([(1, "x a b c y"), (2, "a c b"), (3, "")], "i int, t string")
     aliases = spark.createDataFrame([(1, "a b c"), (2, "b"), (3, "")], "k int, p string")
-    assert {(r["i"], r["k"]) for r in joins.contained(aliases, texts, "p", "t").collect()} == {(1, 1), (1, 2), (2, 2)}
+    assert {(r["i"], r["k"]) for r in joins.contained(aliases, texts, "p", "t", "i").collect()} == {(1, 1), (1, 2), (2, 2)}
 
 
 def test_heads_learn(spark):
