@@ -7,10 +7,11 @@
 3. Signatures: BANDS x ROWS minima of the shingles' hash under XOR with fixed constants (each a permutation of the hashes), as
    plain aggregates by line, so equal lines are one row with a count before any band is dealt.
    A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.85 with 0.998.
-4. In each band's bucket all members are verified against the most frequent one, by exact Jaccard of the shingle sets (as 64-bit hashes); those that
+4. In each band's bucket all members are verified against the most frequent one, by exact Jaccard of the shingle sets (as hashes); those that
    fail form the bucket's next round with a representative of their own, until no bucket has two left or ``STARS`` rounds are
-   done. What is left then (lines that share a long passage, say, but not enough) is joined by prefix filter: sets of n and m shingles
-   at similarity t share one of the n - ceil(t n) + 1 rarest of either. That is exact for all that is left, and no bucket has a cap.
+   done. Lines of one bucket that these stars leave in different components, passed or failed, are then compared with each other: in a small bucket pair by
+   pair, else by prefix filter: sets of n and m shingles at similarity t share one of the n - ceil(t n) + 1 rarest of either. So no pair of
+   a bucket that could join two components is left out, and no bucket has a cap.
 5. Distributed union-find; the first line of each component (least doc_id, then place in the text) stays.
 
 Defined results: a null text stays null; lines without words stay; equal rows (id and text) count as one document and get the
@@ -28,6 +29,8 @@ from .common import documents, forget, fresh, written
 from .graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, STARS = 8, 8, 4, 0.8, 24, 3
+#: Lines of a bucket that are compared pair by pair.
+FEW = 32
 #: Rows of eight bytes that may be sent to every executor (16 MB).
 MOST_SENT = 2_000_000
 
@@ -89,16 +92,29 @@ def crowd(df: DataFrame) -> DataFrame:
 
 
 def prefix_links(sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all pairs of ``sets`` (h, s) at the threshold or more. They share a shingle among the rarest of both; each such
-    meeting is verified inside the join, so only links leave it."""
-    own = sets.select("h", "s", F.size("s").alias("size"), F.explode("s").alias("t"))
+    """(u, v): all pairs of ``sets`` (h, s) at the threshold or more, but for those of one component where ``sets`` has such a column c.
+    They share a shingle among the rarest of both; the pairs that do, and whose places allow the threshold, are verified."""
+    sets = sets if "c" in sets.columns else sets.withColumn("c", F.col("h"))
+    own = sets.select("h", "c", F.size("s").alias("size"), F.explode("s").alias("t"))
     seen = own.groupBy("t").agg(F.count("*").alias("df"))
     at = F.row_number().over(Window.partitionBy("h").orderBy("df", "t"))
-    few = own.join(seen, "t").withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).where("df > 1").select("h", "t", "s", "size", "at")
-    both = "size(array_intersect(a.s, b.s))"
+    few = own.join(seen, "t").withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).where("df > 1").select("h", "c", "t", "size", "at")
     most = "(least(a.at, b.at) + least(a.size - a.at, b.size - b.at))"  # of what they can share, by the places of the one they do
-    near = F.expr(f"a.t = b.t and a.h > b.h and {most} >= share * (a.size + b.size) and {both} >= share * (a.size + b.size)".replace("share", repr(threshold / (1 + threshold) - 1e-12)))
-    return few.alias("a").join(few.alias("b"), near).select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct()
+    near = F.expr(f"a.t = b.t and a.h > b.h and a.c <> b.c and {most} >= {threshold / (1 + threshold) - 1e-12!r} * (a.size + b.size)")
+    pairs = few.alias("a").join(few.alias("b"), near).select(F.col("a.h").alias("h"), F.col("b.h").alias("rep")).distinct()
+    return verified(pairs, sets.select("h", "s"), threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
+
+
+def crossing(buckets: DataFrame, stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): all links between lines of one bucket (band, h) that ``stars`` (u, v) leave in different components. Buckets of
+    FEW lines or less are compared pair by pair, which is linear in the lines; larger ones by the prefix filter."""
+    own = buckets.select("band", "h").join(components(stars).withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("component", "h").alias("c"))
+    mixed = own.groupBy("band").agg(F.count("*").alias("lines"), F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top")
+    own = written(own.join(mixed.select("band", "lines"), "band"), "mixed")
+    few, many = own.where(F.col("lines") <= FEW), own.where(F.col("lines") > FEW).select("h", "c").distinct()
+    pairs = few.alias("a").join(few.alias("b"), F.expr("a.band = b.band and a.h > b.h and a.c <> b.c")).select(F.col("a.h").alias("h"), F.col("b.h").alias("rep")).distinct()
+    found = verified(pairs, sets, threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
+    return found.unionByName(prefix_links(many.join(sets, "h"), threshold)) if many.limit(1).count() else found
 
 
 def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -106,7 +122,7 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
     long_ = lines.where(F.length("line") >= min_chars)
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS))) for b in range(BANDS)))
     dealt = signatures(long_).select("h", "n", F.explode(bands).alias("band"))
-    left = written(crowd(dealt), "buckets")
+    buckets = left = written(crowd(dealt), "buckets")
     forget()
     sets = sent_or_joined(long_.select("line", F.xxhash64("line").alias("h")), left, "h").groupBy("h").agg(F.min("line").alias("line"))
     sets = written(sets.select("h", F.array_distinct(shingles(F.col("line"), F.xxhash64)).alias("s")), "sets")
@@ -118,12 +134,10 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
         left = written(crowd(failed), f"left{turn}")
         if not left.limit(1).count():
             break
-    else:
-        found.append(prefix_links(left.select("h").distinct().join(sets, "h"), threshold))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out.unionByName(crossing(buckets, out, sets, threshold))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
