@@ -2,8 +2,7 @@
 
 1. Lines. A text is split at \\n; a line is compared lower-cased and without outer white space. Lines shorter than
    ``min_chars`` are never compared: they say too little to be called copies.
-2. Shingles: from the start of each word, SHINGLE characters of it at most, and as many of the next word. Lines of long words (scripts
-   without spaces) are cut every eight characters first, so that every character of any script lies in one.
+2. Shingles: SHINGLE characters from every place of the line (units of UTF-16), so that every character of any script lies in one.
 3. Signatures: BANDS x ROWS minima of the shingles' hash under XOR with fixed constants (each a permutation of the hashes), as
    plain aggregates by line, so equal lines are one row with a count before any band is dealt.
    A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.85 with 0.998.
@@ -44,10 +43,23 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def shingles(line: Column, hashed: Callable[..., Column]) -> Column:
+def units(line: Column) -> Column:
+    """A line in units of two bytes, so that a shingle is cut out without walking to its place."""
+    return F.encode(line, "UTF-16BE")
+
+
+def places(u: Column) -> Column:
+    """Where the shingles of a line's units start: at every unit; a line shorter than a shingle is one."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(u) / 2 - SHINGLE).cast("int")))
+
+
+def shingle(u: Column, at: Column) -> Column:
+    return F.substring(u, at * 2 + 1, F.lit(2 * SHINGLE))
+
+
+def shingles(line: Column) -> Column:
     """The hashes of a line's shingles, with repeats."""
-    cut = bound(F.split(line, " "), lambda ws: F.when(F.length(line) > 16 * F.size(ws), F.split(F.regexp_replace(line, r"(\S{8})", "$1 "), " ")).otherwise(ws))
-    return bound(cut, lambda ws: F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: hashed(F.left(a, F.lit(SHINGLE)), F.left(b, F.lit(SHINGLE)))))
+    return bound(units(line), lambda u: F.transform(places(u), lambda at: F.xxhash64(shingle(u, at))))
 
 
 def constant(i: int) -> int:
@@ -60,7 +72,8 @@ def constant(i: int) -> int:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, n, m0, m1, ...) of each different line."""
-    each = lines.select(F.xxhash64("line").alias("h"), F.posexplode(shingles(F.col("line"), F.hash)).alias("at", "x")).select("h", (F.col("at") == 0).cast("int").alias("one"), "x")
+    own = lines.select(F.xxhash64("line").alias("h"), units(F.col("line")).alias("u"))
+    each = own.select("h", "u", F.explode(places(F.col("u"))).alias("at")).select("h", (F.col("at") == 0).cast("int").alias("one"), F.hash(shingle(F.col("u"), F.col("at"))).alias("x"))
     return each.groupBy("h").agg(F.sum("one").alias("n"), *(F.min(F.col("x").bitwiseXOR(F.lit(constant(i + 1)))).alias(f"m{i}") for i in range(BANDS * ROWS)))
 
 
@@ -78,10 +91,14 @@ def sent_or_joined(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (h, rep, ...) with ``same``: whether the two shingle sets reach the threshold."""
-    a, b = sets.select("h", F.col("s").alias("sa")), sets.select(F.col("h").alias("rep"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))  # longs: Spark's own hash set of primitives
-    return pairs.join(a, "h").join(b, "rep").withColumn("same", both >= threshold * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb")
+    """``pairs`` (h, rep, ...) with ``same``: whether the two shingle sets reach the threshold. ``sets``: (h, size) and the line,
+    from which the set is made where it is compared (the text is the smaller to send), or the set s."""
+    kind = "line" if "line" in sets.columns else "s"
+    own = (lambda c: shingles(F.col(c))) if kind == "line" else F.col
+    a, b = (sets.select(F.col("h").alias(key), F.col(kind).alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x, key in (("a", "h"), ("b", "rep")))
+    reached = bound(F.size(F.array_intersect(own("sa"), own("sb"))), lambda both: both >= threshold * (F.col("na") + F.col("nb") - both))
+    possible = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    return pairs.join(a, "h").join(b, "rep").withColumn("same", F.when(possible, reached).otherwise(False)).drop("sa", "sb", "na", "nb")
 
 
 def crowd(df: DataFrame) -> DataFrame:
@@ -92,17 +109,19 @@ def crowd(df: DataFrame) -> DataFrame:
 
 
 def prefix_links(sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all pairs of ``sets`` (h, s) at the threshold or more, but for those of one component where ``sets`` has such a column c.
+    """(u, v): all pairs of ``sets`` (h, and s or size and line) at the threshold or more, but for those of one component where ``sets`` has such a column c.
     They share a shingle among the rarest of both; the pairs that do, and whose places allow the threshold, are verified."""
     sets = sets if "c" in sets.columns else sets.withColumn("c", F.col("h"))
-    own = sets.select("h", "c", F.size("s").alias("size"), F.explode("s").alias("t"))
+    sets = sets if "size" in sets.columns else sets.withColumn("size", F.size("s"))
+    each = F.col("s") if "s" in sets.columns else F.array_distinct(shingles(F.col("line")))
+    own = sets.select("h", "c", "size", F.explode(each).alias("t"))
     seen = own.groupBy("t").agg(F.count("*").alias("df"))
     at = F.row_number().over(Window.partitionBy("h").orderBy("df", "t"))
     few = own.join(seen, "t").withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).where("df > 1").select("h", "c", "t", "size", "at")
     most = "(least(a.at, b.at) + least(a.size - a.at, b.size - b.at))"  # of what they can share, by the places of the one they do
     near = F.expr(f"a.t = b.t and a.h > b.h and a.c <> b.c and {most} >= {threshold / (1 + threshold) - 1e-12!r} * (a.size + b.size)")
     pairs = few.alias("a").join(few.alias("b"), near).select(F.col("a.h").alias("h"), F.col("b.h").alias("rep")).distinct()
-    return verified(pairs, sets.select("h", "s"), threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
+    return verified(pairs, sets, threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
 
 
 def crossing(buckets: DataFrame, stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -125,7 +144,7 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
     buckets = left = written(crowd(dealt), "buckets")
     forget()
     sets = sent_or_joined(long_.select("line", F.xxhash64("line").alias("h")), left, "h").groupBy("h").agg(F.min("line").alias("line"))
-    sets = written(sets.select("h", F.array_distinct(shingles(F.col("line"), F.xxhash64)).alias("s")), "sets")
+    sets = written(sets.select("h", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("size")), "sets")
     found = []
     for turn in range(STARS):
         stars = written(verified(left.where("h <> rep").select("h", "rep").distinct(), sets, threshold), f"stars{turn}")

@@ -34,3 +34,13 @@ def test_a_line_that_failed_is_compared_with_those_that_passed(spark, monkeypatc
     for few in (32, 1):  # the second sends the bucket through the prefix filter
         monkeypatch.setattr(line_dedup, "FEW", few, raising=False)
         assert n_removed(spark, texts) == [0, 1, 1, 1, 1, 0]
+
+
+def test_shingles_reach_every_character(spark):
+    rng = random.Random(2)
+    heads = prose(rng, 8, 8)
+    urls = [" ".join(h + t for h, t in zip(heads, prose(rng, 8), strict=True)) for _ in range(3)]  # differ past the eighth character only
+    chinese = [" ".join("一二三四五六七八" + "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(6)) for _ in range(4)) for _ in range(2)]
+    words = prose(rng, 12)
+    once = " ".join([*words[:5], "q" + words[5][1:], *words[6:]])  # one letter of a line of twelve words
+    assert n_removed(spark, [*urls, *chinese, " ".join(words), once]) == [0] * 6 + [1]
