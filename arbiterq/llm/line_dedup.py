@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 1. Lines. A text is split at \\n; a line is compared lower-cased and without outer white space. Lines shorter than
-   ``min_chars`` are never compared: they say too little to be called copies.
+   ``min_chars`` are copies only of equal lines: they say too little to be called near copies.
 2. Shingles: SHINGLE characters from every place of the line (units of UTF-16), so that every character of any script lies in one.
 3. Signatures: BANDS x ROWS minima of the shingles' hash under XOR with fixed constants (each a permutation of the hashes), as
    plain aggregates by line, so equal lines are one row with a count before any band is dealt.
@@ -165,7 +165,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     found = written(links(lines.select("line"), threshold, min_chars), "links")
     forget()
     named = components(found).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
-    at = written(lines.where(F.length("line") >= min_chars).select("key", "id", "pos", F.xxhash64("line").alias("h")), "places")
+    at = written(lines.where(F.length("line") > 0).select("key", "id", "pos", F.xxhash64("line").alias("h")), "places")
     per = at.groupBy("h").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.max(F.struct("id", "pos", "key")).alias("last"))
     per = per.join(named, "h", "left").withColumn("c", F.coalesce("c", "h"))
     groups = per.groupBy("c").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")

@@ -44,3 +44,8 @@ def test_shingles_reach_every_character(spark):
     words = prose(rng, 12)
     once = " ".join([*words[:5], "q" + words[5][1:], *words[6:]])  # one letter of a line of twelve words
     assert n_removed(spark, [*urls, *chinese, " ".join(words), once]) == [0] * 6 + [1]
+
+
+def test_short_lines_go_if_equal(spark):
+    texts = ["Share this article\n\nRead more", "share this article\n\nRead mora\nRead more\nRead more", "今天天气很好我们去公园", " 今天天气很好我们去公园\n\n"]
+    assert n_removed(spark, texts) == [0, 3, 0, 1]
