@@ -5,7 +5,7 @@
 2. Shingles: SHINGLE characters from every place of the line (units of UTF-16), so that every character of any script lies in one.
 3. Signatures: BANDS x ROWS minima of the shingles' hash under XOR with fixed constants (each a permutation of the hashes), as
    plain aggregates by line, so equal lines are one row with a count before any band is dealt.
-   A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^8 = 0.985, at 0.85 with 0.998.
+   A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.85 with 0.9995.
 4. In each band's bucket all members are verified against the most frequent one, by exact Jaccard of the shingle sets (as hashes); those that
    fail form the bucket's next round with a representative of their own, until no bucket has two left or ``STARS`` rounds are
    done. Lines of one bucket that these stars leave in different components, passed or failed, are then compared with each other: in a small bucket pair by
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, forget, fresh, written
 from .graph import components
 
-SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, STARS = 8, 8, 4, 0.8, 24, 3
+SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, STARS = 8, 8, 3, 0.8, 24, 3
 #: Lines of a bucket that are compared pair by pair.
 FEW = 32
 #: Rows of eight bytes that may be sent to every executor (16 MB).

@@ -46,6 +46,10 @@ def test_shingles_reach_every_character(spark):
     assert n_removed(spark, [*urls, *chinese, " ".join(words), once]) == [0] * 6 + [1]
 
 
+def test_bands_find_a_pair_at_the_threshold():
+    assert 1 - (1 - line_dedup.THRESHOLD**line_dedup.ROWS) ** line_dedup.BANDS >= 0.996
+
+
 def test_short_lines_go_if_equal(spark):
     texts = ["Share this article\n\nRead more", "share this article\n\nRead mora\nRead more\nRead more", "今天天气很好我们去公园", " 今天天气很好我们去公园\n\n"]
     assert n_removed(spark, texts) == [0, 3, 0, 1]
