@@ -66,7 +66,7 @@ def bad_line(line: str, words: list[str], rules: Rules, symbols: bool = True, ph
     n = len(words)
     if symbols and (sum(map(line.count, SYMBOLS)) >= rules.symbols_a_word * n or ("|" in line or ">" in line) and NAVIGATION.search(line)):
         return True
-    if phrases and any(p in line.lower() for p in phrases) or ("»" in line or "•" in line) and NAVIGATION.search(line):
+    if phrases and any(p in line.lower() for p in phrases) or any(c in line for c in "»›·•") and NAVIGATION.search(line):
         return True
     if n >= rules.long_line and (line.count("!") >= rules.bangs_a_word * n or sum(map(str.isupper, words)) > rules.upper_share * n):
         return True

@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from arbiterq.llm import line_dedup
+from arbiterq.llm import line_dedup, line_rules
 
 
 def prose(rng, n, size=6):
@@ -53,3 +54,16 @@ def test_bands_find_a_pair_at_the_threshold():
 def test_short_lines_go_if_equal(spark):
     texts = ["Share this article\n\nRead more", "share this article\n\nRead mora\nRead more\nRead more", "今天天气很好我们去公园", " 今天天气很好我们去公园\n\n"]
     assert n_removed(spark, texts) == [0, 3, 0, 1]
+
+
+def test_every_separator_of_navigation_is_searched(spark):
+    rng = random.Random(3)
+    own = [" ".join(prose(rng, 14)) + f".\nHome {c} Shop {c} Shoes {c} Boots" for c in "|»›·•>"] + ["About · Help · Terms · Contact", "One · two are words of a sentence."]
+    rows = docs(spark, own)
+    names = ("doc_id", "n_bad_lines", "words_left", "kept")
+    got = [tuple(r) for r in line_rules.judged(rows, "j").select("doc_id", *(f"j.{c}" for c in names[1:])).orderBy("doc_id").collect()]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(own)))
+        want = con.execute(f"SELECT {', '.join(names)} FROM ({line_rules.OP1_SQL}) ORDER BY doc_id").fetchall()
+    assert got == want and [r[1] for r in got] == [1] * 7 + [0]
