@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CURVES, DIRECTIONS, ORDER, BLOCK, SHARE, SAMPLE = 6, 4, 8, 1024, 0.12, 20_000
+#: More than the last bits of a score that depend on a vector's place in a product.
+MARGIN = 1e-12
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -95,23 +97,27 @@ def unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id; at -inf is no candidate."""
-    if len(scores) > 8 * k:
-        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    else:
-        at = np.arange(len(scores))
-    at = at[np.lexsort((ids[at], -scores[at]))][:k]
+def nearest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best and of all within MARGIN of the last of them; at -inf is no candidate."""
+    at = np.flatnonzero(scores >= np.partition(scores, -k)[-k] - MARGIN) if len(scores) > k else np.arange(len(scores))
     return at[np.isfinite(scores[at])]
 
 
 def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", *, curves: int = CURVES, directions: int = DIRECTIONS, order: int = ORDER, block: int = BLOCK, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which ``queries`` (a condition on ``id``) holds."""
     rows = written(usable(df, id_col, vec), "vectors")
-    n = rows.count()
-    if not n:
+    if not rows.limit(1).count():
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]  # bounded: serves the cells alone
+    # equal vectors are one point, which stands for the k + 1 smallest of their ids, each as often as it can be an answer
+    each = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    least = each.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
+    points = least.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("ids"))
+    points = written(points.select(F.monotonically_increasing_id().alias("g"), F.col("ids")[0]["id"].alias("id"), "ids", "v"), "points")
+    n = points.count()
+    wanted = written(rows.where(queries).select(F.col("id").alias("query_id"), "v").distinct().join(points.select("g", "v"), "v").select("query_id", F.col("g").alias("q")), "wanted")
+    # a query takes nothing from points that hold its id alone: its own, and others where its id repeats
+    keep = k + (wanted.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1)
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]  # bounded: serves the cells alone
     plan = Curves(unit(drawn.to_list()), curves, directions, order)
     blocks = max(1, math.ceil(n / block))
     reach = math.ceil(share * n)
@@ -120,25 +126,25 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str
         for p in parts:
             u = unit(p["v"].to_list())
             for c in range(curves):
-                yield pd.DataFrame({"curve": np.int32(c), "key": plan.keys(c, u), "id": p["id"], "v": p["v"]})
+                yield pd.DataFrame({"curve": np.int32(c), "key": plan.keys(c, u), "id": p["id"], "g": p["g"], "v": p["v"]})
 
-    keyed = rows.mapInPandas(key, "curve int, key long, id long, v array<double>")
+    keyed = points.select("g", "id", "v").mapInPandas(key, "curve int, key long, id long, g long, v array<double>")
     parts = max(1, min(curves * blocks, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = written(keyed.repartitionByRange(parts, "curve", "key", "id").withColumn("part", F.spark_partition_id()), "curves")
+    ranged = written(keyed.repartitionByRange(parts, "curve", "key", "id", "g").withColumn("part", F.spark_partition_id()), "curves")
     # the place on the curve: the place in the range plus the rows of the curve in the ranges before
     totals = ranged.groupBy("curve", "part").count()
     before = totals.select(F.col("curve").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "id"))
-    placed = ranged.withColumn("local", local).join(before, (F.col("curve") == F.col("c")) & (F.col("part") == F.col("p"))).select("curve", "id", "v", (F.col("before") + F.col("local") - 1).alias("place"))
+    local = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "id", "g"))
+    placed = ranged.withColumn("local", local).join(before, (F.col("curve") == F.col("c")) & (F.col("part") == F.col("p"))).select("curve", "g", "v", (F.col("before") + F.col("local") - 1).alias("place"))
     placed = written(placed.withColumn("block", F.floor(F.col("place") / block).cast("long")), "places")
-    asked = placed.where(queries)
+    asked = placed.join(wanted.select(F.col("q").alias("g")).distinct(), "g", "left_semi")
     low, high = F.greatest(F.lit(0), F.floor((F.col("place") - reach) / block)), F.least(F.lit(blocks - 1), F.floor((F.col("place") + reach) / block))
     asked = asked.withColumn("block", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("asks", F.lit(True))
-    both = placed.withColumn("asks", F.lit(False)).select("curve", "block", "id", "v", "asks").unionByName(asked.select("curve", "block", "id", "v", "asks"))
+    both = placed.withColumn("asks", F.lit(False)).select("curve", "block", "g", "v", "asks").unionByName(asked.select("curve", "block", "g", "v", "asks"))
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
         asks = part["asks"].to_numpy(bool)
-        ids, out = part["id"].to_numpy(np.int64), []
+        ids, out = part["g"].to_numpy(np.int64), []
         if asks.any() and not asks.all():
             rows_u, rows_id = unit(part["v"][~asks].to_list()), ids[~asks]
             q_u, q_id = unit(part["v"][asks].to_list()), ids[asks]
@@ -146,17 +152,21 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str
                 s = q_u[at : at + 512] @ rows_u.T
                 s[q_id[at : at + 512, None] == rows_id[None]] = -np.inf
                 for q, own in zip(q_id[at : at + 512].tolist(), s, strict=True):
-                    best = nearest(own, rows_id, k)
+                    best = nearest(own, keep)
                     out.append((np.full(len(best), q), rows_id[best], own[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+        return pd.DataFrame({"q": cols[0], "g": cols[1], "score": cols[2]})
 
-    found = both.groupBy("curve", "block").applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = both.groupBy("curve", "block").applyInPandas(rank, "q long, g long, score double")
     # one row a pair however many windows found it; the score is the same but for the last bits, so it is made again below
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("near"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("place") <= k + 3)
-    q, r = rows.select(F.col("id").alias("query_id"), F.col("v").alias("qv")).where(str(queries).replace("id", "query_id")), rows.select(F.col("id").alias("vec_id"), F.col("v").alias("rv"))
-    exact = best.join(q, "query_id").join(r, "vec_id").withColumn("score", cosine("qv", "rv"))
+    best = found.groupBy("q", "g").agg(F.max("score").alias("near")).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "g")))
+    last = best.where(F.col("place") == keep).select("q", F.col("near").alias("last"))
+    best = best.join(last, "q", "left").where((F.col("place") <= keep) | (F.col("near") >= F.col("last") - MARGIN)).select("q", "g")
+    best = best.unionByName(wanted.select("q", F.col("q").alias("g")).distinct())  # copies of the query
+    q, r = points.select(F.col("g").alias("q"), F.col("v").alias("qv")), points.select("g", "ids", F.col("v").alias("rv"))
+    exact = best.join(q, "q").join(r, "g").select("q", "g", "ids", cosine("qv", "rv").alias("score"))
+    exact = wanted.join(exact, "q").groupBy("query_id", "g").agg(F.max("score").alias("score"), F.first("ids").alias("ids")).select("query_id", "score", F.explode("ids").alias("i"))
+    exact = exact.where("i.id <> query_id").select("query_id", "score", F.col("i.id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.col("i.times"))))
     order_ = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order_)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -3,9 +3,10 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from arbiterq.llm import line_dedup, line_rules
+from arbiterq.llm import hilbert_ann, line_dedup, line_rules
 
 
 def prose(rng, n, size=6):
@@ -67,3 +68,12 @@ def test_every_separator_of_navigation_is_searched(spark):
         con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(own)))
         want = con.execute(f"SELECT {', '.join(names)} FROM ({line_rules.OP1_SQL}) ORDER BY doc_id").fetchall()
     assert got == want and [r[1] for r in got] == [1] * 7 + [0]
+
+
+def test_equal_vectors_give_their_smallest_ids(spark):
+    rng = np.random.default_rng(4)
+    x, hot = rng.normal(size=(600, 64)), rng.normal(size=64)
+    rows = [(i, (hot if i % 2 else x[i]).tolist()) for i in range(600)]
+    rows[0] = (0, (hot + 0.01 * x[0]).tolist())
+    out = hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id in (0, 599)", block=64).collect()
+    assert {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 599)} == {0: [1, 3, 5, 7, 9], 599: [1, 3, 5, 7, 9]}
