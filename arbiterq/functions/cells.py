@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alias_match, col, stripped
+from .text import bound, col, matches, stripped
 
 #: Fixed values.
 CELLS = ("C00", "C01", "C10", "C11")
@@ -56,11 +56,14 @@ def disagrees(alias: Column | str, judge: Column | str) -> Column:
     return flag(alias) & F.coalesce(col(judge) == F.lit(False), F.lit(False))
 
 
+def agreed(pk: Column, ck: Column) -> Column:
+    return F.when(pk & ck, "either").when(pk, "pk_only").when(ck, "ck_only").otherwise("abstain")
+
+
 def provenance(answer: Column | str, pk_answer: Column | str, ck_answer: Column | str) -> Column:
     """Which of the two answers an answer agrees with; blank answers agree with nothing."""
-    a = stripped(answer)
-    pk, ck = (alias_match(a, F.array(stripped(x))) for x in (pk_answer, ck_answer))
-    return F.when(pk & ck, "either").when(pk, "pk_only").when(ck, "ck_only").otherwise("abstain")
+    both = matches(stripped(answer), *(F.array(stripped(x)) for x in (pk_answer, ck_answer)))
+    return bound(both, lambda m: agreed(F.get(m, F.lit(0)), F.get(m, F.lit(1))))
 
 
 def is_done(error: Column | str) -> Column:

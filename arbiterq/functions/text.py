@@ -65,19 +65,32 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double")).otherwise(F.lit(0.0))
 
 
-def matches_normalised(answer: Column, aliases: Column) -> Column:
-    """The cascade on normalised text: equal, contained as words either way, or token sets alike where the alias has two tokens."""
+def matched(answer: Column, mine: Column, aliases: Column) -> Column:
+    """The cascade on normalised text: equal, contained as words either way, or token sets alike where the alias has two tokens.
+    mine: the answer's distinct tokens."""
+
+    def alike(theirs: Column) -> Column:
+        return bound(F.size(F.array_intersect(mine, theirs)), lambda both: both / (F.size(mine) + F.size(theirs) - both).cast("double") >= MATCH_LEVEL)
 
     def one(alias: Column) -> Column:
-        alike = F.contains(alias, F.lit(" ")) & (jaccard(F.split(answer, " "), F.split(alias, " ")) >= MATCH_LEVEL)
-        return (alias != "") & ((answer == alias) | word_contains(answer, alias) | word_contains(alias, answer) | alike)
+        near = F.when(F.contains(alias, F.lit(" ")), bound(F.array_distinct(F.split(alias, " ")), alike)).otherwise(F.lit(False))
+        return (alias != "") & ((answer == alias) | word_contains(answer, alias) | word_contains(alias, answer) | near)
 
     return F.coalesce((answer != "") & F.exists(aliases, one), F.lit(False))
 
 
+def matches(answer: Column | str, *groups: Column | str) -> Column:
+    """For each array of aliases whether the answer says one of them, as an array; the answer is normalised once, and so is each alias."""
+
+    def each(a: Column) -> Column:
+        return bound(F.array_distinct(F.split(a, " ")), lambda mine: F.transform(F.array(*(col(g) for g in groups)), lambda g: bound(F.transform(g, lambda x: normalise(x)), lambda ng: matched(a, mine, ng))))
+
+    return bound(normalise(answer), each)
+
+
 def alias_match(answer: Column | str, aliases: Column | str) -> Column:
     """Whether an answer says one of the aliases (an array). No answer or no alias is no match."""
-    return matches_normalised(normalise(answer), F.transform(col(aliases), lambda a: normalise(a)))
+    return F.get(matches(answer, aliases), F.lit(0))
 
 
 is_correct = alias_match
@@ -180,7 +193,7 @@ def truncate_context(question: Column | str, context: Column | str, most: int, m
 def shown(x: Column | str, kind: str = "double") -> Column:
     """For reports: a dash for null, three places for a float."""
     x = col(x)
-    return F.coalesce(F.format_number(x, 3) if kind in ("double", "float") else x.cast("string"), F.lit("—"))
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.3f", x.cast("double")) if kind in ("double", "float") else x.cast("string"))
 
 
 def now_iso() -> Column:

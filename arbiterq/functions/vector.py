@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import alias_match, col
@@ -60,3 +65,62 @@ def pooled(df: DataFrame, key: str, vec: str, how: str) -> DataFrame:
 def concatenated(df: DataFrame, key: str, k: str, vec: str) -> DataFrame:
     """(key, vec): each key's few vectors one after the other, by k."""
     return df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(k, doubles(vec).alias("v")))), lambda s: s["v"])).alias(vec))
+
+
+#: Numbers of query vectors that may be sent to every task (64 MB).
+MOST_SENT = 8_000_000
+
+
+def _best(q_id: np.ndarray, q: np.ndarray, part: pd.DataFrame, k: int, places: int) -> pd.DataFrame:
+    """The k best rows of ``part`` for each query, by rounded cosine and then by id."""
+    x = np.stack(part["v"]).astype(np.float64)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    score = np.round(q @ x.T, places)
+    ids, out = part["id"].to_numpy(np.int64), []
+    order = np.argsort(ids, kind="stable")
+    for n, own in zip(q_id.tolist(), score, strict=True):
+        own = np.where(ids == n, -np.inf, own)[order]
+        best = np.argsort(-own, kind="stable")[:k]
+        best = best[np.isfinite(own[best])]
+        out.append(pd.DataFrame({"query_id": n, "id": ids[order][best], "score": own[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(query_id, id, score): the k rows with the largest cosine to each query, ties to the smaller id, itself left out. rows: (id, v),
+    queries: (query_id, qv).
+
+    Every task keeps k rows a query of a batch, so that only those meet. Queries are sent to the rows if they are counted few; else rows and
+    queries meet in blocks of both, a task each.
+    """
+    schema = "query_id long, id long, score double"
+    width = (queries.select(F.size("qv").alias("n")).first() or [1])[0]
+    n = queries.count()
+    if n * width <= MOST_SENT:
+        own = queries.select("query_id", doubles("qv").alias("qv")).collect()  # MOST_SENT numbers at most
+        q_id, q = np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64).reshape(len(own), -1)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        sent = rows.sparkSession.sparkContext.broadcast((q_id, q))
+
+        def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if len(part):
+                    yield _best(*sent.value, part, k, places)
+
+        found = rows.select("id", "v").mapInPandas(meet, schema)
+    else:
+        q_blocks = math.ceil(n * width / MOST_SENT)
+        r_blocks = max(1, math.ceil(rows.count() * width / MOST_SENT))
+        deal = lambda df, name, own, other, m, o: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(m))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(o - 1).cast("long"))))
+        left = deal(queries.select("query_id", doubles("qv").alias("qv")), "query_id", "qb", "rb", q_blocks, r_blocks)
+        right = deal(rows.select("id", "v"), "id", "rb", "qb", r_blocks, q_blocks)
+
+        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            q = np.stack(a["qv"])
+            return _best(a["query_id"].to_numpy(np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), b, k, places)
+
+        found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(pair, schema)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("at", at).where(F.col("at") <= k).drop("at")

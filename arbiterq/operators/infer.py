@@ -1,40 +1,80 @@
-"""Model calls as DataFrame stages: distinct, anti-joined against what is done, batched, retried.
+"""Model calls as DataFrame stages: distinct, anti-joined against what is done, batched, retried, dealt to keys.
 
-A provider is any object with ``reply(model, prompts, max_tokens, temperature) -> list[str | None]``; it is made once a task.
-``Echo`` is a deterministic stand-in without a network. Providers run under ``mapInPandas``; all else is native columns.
+A provider is any object with ``reply(prompts, call) -> list of Reply, str or None``; it is made once a task and may be called by
+several threads. A prompt is a list of (role, content). Providers run under ``mapInPandas``; prompts, parsing and labels are native columns.
+``Echo`` and ``Digest`` are deterministic stand-ins without a network, which SQL can say as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import cell
-from ..functions.text import alias_match, first_line, last_line, parse_true_false, question_hash, text
+from ..functions.cells import cell, final_correct, needs_judge
+from ..functions.prompts import SHOTS, messages
+from ..functions.text import alias_match, col, first_line, gold_list, last_line, middle_truncate, now_iso, parse_judge, parse_true_false, question_hash, stripped, text
+
+Prompt = list[tuple[str, str]]
+
+
+@dataclass(frozen=True)
+class Call:
+    """What a provider is asked for; key: the account that the call goes by."""
+
+    model: str = "stub"
+    max_tokens: int = 64
+    temperature: float = 0.0
+    seed: int = 42
+    repetition: float = 1.0
+    key: str = ""
+
+
+@dataclass(frozen=True)
+class Reply:
+    text: str
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+    cost: float = 0.0
 
 
 class Provider(Protocol):
-    def reply(self, model: str, prompts: list[str], max_tokens: int, temperature: float) -> list[str | None]: ...
+    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]: ...
 
 
 class Echo:
-    """Replies with the prompt's last line that has a word, and its words in the order of their hash if the temperature isn't 0."""
+    """Replies with the prompt's last line that says something: not a bare label ("Answer:"), and without a label before it. At another
+    temperature than 0 its words come in the order of the md5 of seed and word."""
 
-    def reply(self, model: str, prompts: list[str], max_tokens: int, temperature: float) -> list[str | None]:
-        out = []
+    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]:
+        out: list[Reply | str | None] = []
         for p in prompts:
-            words = ([x for x in p.splitlines() if x.strip()] or [""])[-1].split()[:max_tokens]
-            out.append(" ".join(sorted(words, key=lambda w: hashlib.md5(f"{temperature}{w}".encode()).hexdigest()) if temperature else words))
+            lines = [s for s in p[-1][1].split("\n") if s.strip() and not re.fullmatch(r"\w+:\s*", s)]
+            words = re.sub(r"^\w+: ", "", (lines or [""])[-1]).split()[: call.max_tokens]
+            if call.temperature:
+                words.sort(key=lambda w: (hashlib.md5(f"{call.seed}:{w}".encode()).hexdigest(), w))
+            out.append(Reply(" ".join(words), sum(len(c.split()) for _, c in p), len(words)))
         return out
 
 
+@dataclass
+class Digest:
+    """Replies with one of some words, by the first digit of the md5 of the last message."""
+
+    words: tuple[str, ...] = ("YES", "NO")
+
+    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]:
+        return [self.words[int(hashlib.md5(p[-1][1].encode()).hexdigest()[0], 16) * len(self.words) // 16] for p in prompts]
+
+
 class Refused(Exception):
     """A provider's error; ``status`` decides whether to try again."""
 
@@ -45,20 +85,22 @@ class Refused(Exception):
 
 @dataclass(frozen=True)
 class Retry:
-    """Tries again on 429, any 5xx and network errors, waiting first, 2 * first, ... up to most; other 4xx end at once."""
+    """Tries again on 429, any 5xx and network errors, waiting first, 2 * first, ... up to most; other 4xx end at once, unless
+    every error is tried again."""
 
     times: int = 4
     first: float = 1.0
     most: float = 30.0
+    every: bool = False
 
-    def __call__(self, call: Callable[[], list[str | None]], sleep: Callable[[float], None] = time.sleep) -> tuple[list[str | None] | None, str | None]:
+    def __call__(self, call: Callable[[], list], sleep: Callable[[float], None] = time.sleep) -> tuple[list | None, str | None]:
         error = None
         for k in range(self.times + 1):
             try:
                 return call(), None
             except Refused as e:
                 error = f"ERROR: {e.status} {e}"
-                if e.status != 429 and e.status < 500:
+                if not self.every and e.status != 429 and e.status < 500:
                     break
             except (OSError, TimeoutError) as e:
                 error = f"ERROR: {e}"
@@ -67,50 +109,109 @@ class Retry:
         return None, error
 
 
-#: Trace number to temperature and seed.
+#: Of the judge: eight tries, waiting up to a minute.
+JUDGE_RETRY = Retry(times=7, first=1.0, most=60.0, every=True)
+
+
+@dataclass(frozen=True)
+class Policy:
+    """How calls are dealt: ``batch`` prompts each, round the keys, ``per_key`` at once by each; a model that is rate-limited for good is
+    replaced by its fallback, where it has one. A batch that is refused for a reason of its own is halved until the prompt at
+    fault stands alone."""
+
+    retry: Retry = Retry()
+    keys: tuple[str, ...] = ("",)
+    per_key: int = 1
+    batch: int = 32
+    fallback: Mapping[str, str] = field(default_factory=dict)
+
+    def limited(self, error: str | None) -> bool:
+        return bool(error) and bool(re.search(r"429|rate.limit|temporarily rate", error.lower()))
+
+    def ask(self, provider: Provider, prompts: list[Prompt], call: Call, sleep: Callable[[float], None] = time.sleep) -> list[tuple[Reply | None, str | None, str]]:
+        """(reply, error, model) of each prompt."""
+        got, error = self.retry(lambda: provider.reply(prompts, call), sleep)
+        if got is not None:
+            return [(r if isinstance(r, Reply) or r is None else Reply(r), None, call.model) for r in got]
+        if self.limited(error) and call.model in self.fallback:
+            return self.ask(provider, prompts, replace(call, model=self.fallback[call.model]), sleep)
+        if len(prompts) > 1 and re.match(r"ERROR: 4(?!29)", error or ""):
+            half = len(prompts) // 2
+            return self.ask(provider, prompts[:half], call, sleep) + self.ask(provider, prompts[half:], call, sleep)
+        return [(None, error, call.model)] * len(prompts)
+
+
+#: Trace number to temperature and seed, and the penalty on repetitions.
 TRACES = {1: (0.0, 42), 2: (0.7, 43), 3: (0.9, 44)}
+REPETITION = 1.05
+#: Fixed value: tokens of a prompt that a model takes.
+PROMPT_LIMIT = 4096
+ASKED = "reply string, error string, latency_sec double, prompt_tokens long, completion_tokens long, cost_usd double, model_used string, key_used string"
+
+
+def limited(x: Column, most: int = PROMPT_LIMIT) -> Column:
+    """A text in at most ``most`` white-space tokens: the first 512 and the last of the rest; shorter ones stay as they are."""
+    toks = F.filter(F.split(x, r"\s+"), lambda t: t != "")
+    return F.when(F.size(toks) > most, F.array_join(middle_truncate(toks, most), " ")).otherwise(x)
+
 
+def asked(prompt: Column | str, most: int = PROMPT_LIMIT) -> Column:
+    """A prompt (text, or messages of role and content) with every content in the limit."""
+    return F.transform(col(prompt), lambda m: F.struct(m["role"].alias("role"), limited(m["content"], most).alias("content")))
 
-def generated(df: DataFrame, prompt: str, make: Callable[[], Provider], model: str = "stub", max_tokens: int = 64, temperature: float = 0.0, batch: int = 32, retry: Retry = Retry()) -> DataFrame:
-    """``df`` with reply, error and latency_sec. A batch that fails for good has no reply and its error."""
+
+def generated(df: DataFrame, prompt: str, make: Callable[[], Provider], model: str = "stub", max_tokens: int = 64, temperature: float = 0.0, seed: int = 42, repetition: float = 1.0, policy: Policy = Policy()) -> DataFrame:
+    """``df`` with the columns of ASKED; prompt: a text, or an array of messages. A prompt that fails for good has no reply and its error."""
     fields = df.schema.fieldNames()
+    call = Call(model, max_tokens, temperature, seed, repetition)
+
+    def plain(p) -> Prompt:
+        return [("user", p or "")] if p is None or isinstance(p, str) else [(m["role"], m["content"] or "") for m in p]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
+        names = [c.split()[0] for c in ASKED.split(", ")]
+
+        def one(own: list[Prompt], key: str) -> list[tuple]:
+            began = time.time()
+            got = policy.ask(provider, own, replace(call, key=key))
+            took = (time.time() - began) / max(1, len(own))
+            return [(r.text if r else None, e, took, r.prompt_tokens if r else 0, r.completion_tokens if r else 0, r.cost if r else 0.0, m, key) for r, e, m in got]
+
+        pools = {k: ThreadPoolExecutor(policy.per_key) for k in policy.keys}  # so many calls at once by each key
+        turn = 0
         for part in parts:
-            replies: list[str | None] = []
-            errors: list[str | None] = []
-            took: list[float] = []
-            prompts = part[prompt].tolist()
-            for at in range(0, len(prompts), batch):
-                own, began = prompts[at : at + batch], time.time()
-                got, error = retry(lambda own=own: provider.reply(model, own, max_tokens, temperature))
-                replies += got if got is not None else [None] * len(own)
-                errors += [error] * len(own)
-                took += [(time.time() - began) / max(1, len(own))] * len(own)
-            yield part.assign(reply=replies, error=errors, latency_sec=took)[[*fields, "reply", "error", "latency_sec"]]
+            prompts, jobs = [plain(p) for p in part[prompt]], []
+            for at in range(0, len(prompts), policy.batch):
+                key = policy.keys[turn % len(policy.keys)]
+                jobs.append(pools[key].submit(one, prompts[at : at + policy.batch], key))
+                turn += 1
+            out = pd.DataFrame([r for j in jobs for r in j.result()], columns=names, index=part.index)
+            yield pd.concat([part[fields], out], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kinds}, reply string, error string, latency_sec double")
+    return df.mapInPandas(run, f"{kinds}, {ASKED}")
 
 
 def memoised(rows: DataFrame, question: str, cache: DataFrame, make: Callable[[], Provider], **how) -> tuple[DataFrame, DataFrame]:
     """(rows with pk_answer, new cache rows): each distinct question that the cache (question_hash, pk_answer) lacks is asked once."""
-    asked = rows.select(question_hash(question).alias("question_hash"), F.col(question).alias("question")).dropDuplicates(["question_hash"])
-    new = generated(asked.join(cache.select("question_hash"), "question_hash", "left_anti"), "question", make, **how)
-    fresh = new.select("question_hash", F.coalesce("reply", F.lit("")).alias("pk_answer"))
-    known = cache.select("question_hash", "pk_answer").unionByName(fresh)
-    return rows.withColumn("question_hash", question_hash(question)).join(known, "question_hash"), fresh
+    distinct = rows.select(question_hash(question).alias("question_hash"), F.col(question).alias("question")).dropDuplicates(["question_hash"])
+    fresh = distinct.join(cache.select("question_hash"), "question_hash", "left_anti").withColumn("prompt", asked(messages("pk", question="question")))
+    new = generated(fresh, "prompt", make, **how)
+    new = new.select("question_hash", "question", F.coalesce("reply", F.lit("")).alias("pk_answer"), F.col("completion_tokens").cast("int").alias("pk_token_count"), F.col("model_used").alias("model_key"), now_iso().alias("extracted_at"))
+    known = cache.select("question_hash", "pk_answer").unionByName(new.select("question_hash", "pk_answer"))
+    return rows.withColumn("question_hash", question_hash(question)).join(known, "question_hash"), new
 
 
 def labelled(rows: DataFrame, cache: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
-    """rows (qid, question, ck_text, ground_truth) with both answers, both alias labels and the cell; no context: no answer, wrong."""
+    """rows (qid, question, ck_text, ground_truth) with both answers, both alias labels and the cell; no context: no call, no answer, wrong."""
     pk, _ = memoised(rows, "question", cache, make, **how)
-    prompt = F.concat(text("ck_text"), F.lit("\n"), text("question"))
-    with_context = generated(pk.withColumn("prompt", prompt), "prompt", make, **how)
-    ck = F.when(text("ck_text") == "", "").otherwise(text("reply"))
-    out = with_context.withColumn("ck_answer", ck).withColumn("pk_correct", alias_match("pk_answer", "ground_truth")).withColumn("ck_correct", alias_match("ck_answer", "ground_truth"))
-    return out.withColumn("cell", cell("pk_correct", "ck_correct")).drop("prompt", "reply", "question_hash")
+    there = text("ck_text") != ""
+    said = generated(pk.where(there).withColumn("prompt", asked(messages("ck", context="ck_text", question="question"))), "prompt", make, **how)
+    with_context = said.withColumn("ck_answer", text("reply")).select(*pk.columns, "ck_answer")
+    out = with_context.unionByName(pk.where(~there).withColumn("ck_answer", F.lit("")))
+    out = out.withColumn("pk_correct", alias_match("pk_answer", "ground_truth")).withColumn("ck_correct", alias_match("ck_answer", "ground_truth"))
+    return out.withColumn("cell", cell("pk_correct", "ck_correct")).drop("question_hash")
 
 
 def routed(df: DataFrame, method: str) -> DataFrame:
@@ -119,10 +220,10 @@ def routed(df: DataFrame, method: str) -> DataFrame:
     none = F.lit(None).cast("string")
     pk, ck = text("pk_answer"), text("ck_answer")
     by = {
-        "closed_book": (pk, F.lit("PK")),
-        "dia": (ck, F.lit("CK")),
-        "internal_eval": (F.when(said, pk).otherwise(ck), F.when(said, "PK").otherwise("CK")),
-        "context_eval": (F.when(~said, pk).otherwise(ck), F.when(~said, "PK").otherwise("CK")),
+        "closed_book": (pk, F.lit("use_PK")),
+        "dia": (ck, F.lit("use_CK")),
+        "internal_eval": (F.when(said, pk).otherwise(ck), F.when(said, "use_PK").otherwise("use_CK")),
+        "context_eval": (F.when(~said, pk).otherwise(ck), F.when(~said, "use_PK").otherwise("use_CK")),
         "implicit_scr": (first_line("reply"), none),
         "explicit_scr": (last_line("reply"), none),
         "tacs_lr": (first_line("reply"), none),
@@ -131,16 +232,79 @@ def routed(df: DataFrame, method: str) -> DataFrame:
     return df.withColumn("final_answer", answer).withColumn("predicted_source", source)
 
 
+#: The methods' names, and for those that ask a model the prompt and the tokens of its reply.
 METHODS = ("closed_book", "dia", "internal_eval", "context_eval", "implicit_scr", "explicit_scr", "tacs_lr")
+ASKS = {"internal_eval": ("internal_eval", 8), "context_eval": ("context_eval", 8), "implicit_scr": ("implicit", 128), "explicit_scr": ("explicit", 512)}
+FILTER_TOKENS, FILTERED_TOKENS = 512, 96
+
 
+def method_prompt(name: str, context: str = "ck_text") -> Column:
+    base = name.partition("+")[0]
+    return asked(messages(name, shots=SHOTS.get(base, ()), question="question", context=context, pk_answer="pk_answer", ck_answer="ck_answer"))
 
-def filtered_then_answered(df: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
-    """Two calls: trust-filter the context, then answer from what is left; an empty filter keeps the context. The first error counts."""
-    first = generated(df.withColumn("prompt", text("ck_text")), "prompt", make, **how)
-    first = first.withColumn("filtered_doc", F.when(F.btrim(text("reply")) == "", text("ck_text")).otherwise(F.col("reply"))).withColumnsRenamed({"error": "error_1", "latency_sec": "latency_1"}).drop("reply", "prompt")
-    both = generated(first.withColumn("prompt", F.concat("filtered_doc", F.lit("\n"), text("question"))), "prompt", make, **how)
-    both = both.withColumn("error", F.coalesce("error_1", "error")).withColumn("latency_sec", F.col("latency_1") + F.col("latency_sec"))
-    return routed(both, "tacs_lr").drop("prompt", "error_1", "latency_1")
+
+def filtered_then_answered(df: DataFrame, make: Callable[[], Provider], option: str = "", **how) -> DataFrame:
+    """Two calls: trust-filter the context, then answer from what is left; an empty filter keeps the context. Cost and latency add up,
+    the first error counts."""
+    first = generated(df.withColumn("prompt", method_prompt("filter")), "prompt", make, max_tokens=FILTER_TOKENS, **how)
+    kept = F.when(stripped("reply") == "", text("ck_text")).otherwise(stripped("reply"))
+    first = first.select(*df.columns, stripped("reply").alias("filtered_doc"), kept.alias("kept_doc"), *(F.col(c).alias(f"first_{c}") for c in ("error", "latency_sec", "cost_usd")))
+    both = generated(first.withColumn("prompt", method_prompt(f"direct{option}", "kept_doc")), "prompt", make, max_tokens=FILTERED_TOKENS, **how)
+    both = both.withColumns({"error": F.coalesce("first_error", "error"), "latency_sec": F.col("first_latency_sec") + F.col("latency_sec"), "cost_usd": F.col("first_cost_usd") + F.col("cost_usd")})
+    return routed(both, "tacs_lr").drop("prompt", "kept_doc", "first_error", "first_latency_sec", "first_cost_usd")
+
+
+def answered(rows: DataFrame, method: str, make: Callable[[], Provider], option: str = "", **how) -> DataFrame:
+    """rows (qid, dataset, question, ck_text, pk_answer, ck_answer) to a baseline's answers. option "+abstain": the model may say that it doesn't know."""
+    none = F.lit(None).cast("string")
+    if method == "tacs_lr":
+        own = filtered_then_answered(rows, make, option, **how)
+    elif method in ASKS:
+        name, most = ASKS[method]
+        own = routed(generated(rows.withColumn("prompt", method_prompt(f"{name}{option}")), "prompt", make, max_tokens=most, **how), method)
+    else:
+        own = routed(rows.withColumns({"reply": none, "error": none, "latency_sec": F.lit(0.0), "cost_usd": F.lit(0.0)}), method)
+    judges, speaks = method in ("internal_eval", "context_eval"), method in ("implicit_scr", "explicit_scr")
+    return own.select(
+        F.lit(method).alias("method"), "qid", F.lit(how.get("model", "stub")).alias("backbone"), "dataset", "final_answer", "predicted_source", (F.col("reply") if judges else none).alias("judge_response"),
+        (parse_true_false("reply") if judges else F.lit(None).cast("boolean")).alias("judge_decision"), (F.col("reply") if speaks else none).alias("raw_response"), (F.col("filtered_doc") if method == "tacs_lr" else none).alias("filtered_doc"),
+        (F.col("reply") if method == "tacs_lr" else none).alias("raw_answer_response"), "cost_usd", "latency_sec", "error", none.alias("reparsed_at"),
+    )
+
+
+def all_answered(rows: DataFrame, make: Callable[[], Provider], methods: tuple[str, ...] = METHODS, **how) -> DataFrame:
+    out = answered(rows, methods[0], make, **how)
+    for m in methods[1:]:
+        out = out.unionByName(answered(rows, m, make, **how))
+    return out
+
+
+def judged(behaviour: DataFrame, gold: DataFrame, make: Callable[[], Provider], model: str = "judge", policy: Policy = Policy(retry=JUDGE_RETRY, batch=1)) -> DataFrame:
+    """Behaviour rows (qid, model_key, both answers, alias labels, judge columns) after a judge has seen what it hasn't yet.
+
+    gold: (qid, ground_truth); a row to be judged without one stops the query. Each of the two answers that says something is one call, the others are
+    wrong without a call. A call that fails leaves the judgement null, its error as the response, and the final label as it was; else the
+    label is alias and judge.
+    """
+    wanted = behaviour.where(needs_judge("pk_judge_response", "ck_answer", "ck_judge_response"))
+    rows = wanted.select("qid", "model_key", "pk_answer", "ck_answer").join(gold.select("qid", "ground_truth", F.lit(True).alias("there")), "qid", "left")
+    ok = F.assert_true(F.col("there").isNotNull(), F.concat(F.lit("no gold for "), F.col("qid").cast("string")))
+    axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}_answer").alias("candidate")) for a in ("pk", "ck"))))
+    each = rows.where(ok.isNull()).select("qid", "model_key", "ground_truth", axes.alias("x")).select("qid", "model_key", "x.axis", "x.candidate", gold_list("ground_truth").alias("gold"))
+    empty = stripped("candidate") == ""
+    said = generated(each.where(~empty).withColumn("prompt", messages("judge", gold="gold", candidate=stripped("candidate"))), "prompt", make, model=model, max_tokens=4, policy=policy)
+    verdict = parse_judge("reply", "candidate")
+    calls = said.select("qid", "model_key", "axis", F.when(F.col("error").isNull(), verdict["decision"]).alias("judge"), F.when(F.col("error").isNull(), F.upper(stripped("reply"))).otherwise(F.col("error")).alias("response"))
+    calls = calls.unionByName(each.where(empty).select("qid", "model_key", "axis", F.lit(False).alias("judge"), F.lit("empty_candidate").alias("response")))
+    by = calls.groupBy("qid", "model_key").agg(*(F.max(F.when(F.col("axis") == a, F.struct("judge", "response"))).alias(f"__{a}") for a in ("pk", "ck")))
+    both = behaviour.alias("b").join(by.alias("j"), (F.col("b.qid") == F.col("j.qid")) & F.col("b.model_key").eqNullSafe(F.col("j.model_key")), "left").select("b.*", "__pk", "__ck")
+    seen = F.col("__pk").isNotNull()
+    new = {"judge_model": F.when(seen, F.lit(model)).otherwise(F.col("judge_model")), "judge_extracted_at": F.when(seen, now_iso()).otherwise(F.col("judge_extracted_at"))}
+    for a in ("pk", "ck"):
+        j = F.col(f"__{a}.judge")
+        new |= {f"{a}_correct_judge": F.when(seen, j).otherwise(F.col(f"{a}_correct_judge")), f"{a}_judge_response": F.when(seen, F.col(f"__{a}.response")).otherwise(F.col(f"{a}_judge_response"))}
+        new |= {f"{a}_correct": F.when(j.isNotNull(), final_correct(f"{a}_correct_alias", j)).otherwise(F.col(f"{a}_correct")), f"{a}_correct_source": F.when(j.isNotNull(), "alias_and_judge").otherwise(F.col(f"{a}_correct_source"))}
+    return both.withColumns(new).select(*behaviour.columns)
 
 
 def reparsed(df: DataFrame) -> DataFrame:
@@ -151,14 +315,15 @@ def reparsed(df: DataFrame) -> DataFrame:
 
 
 def traced(rows: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
-    """(qid, side, k, temperature, seed, trace): K traces for each side of each row."""
-    spark = rows.sparkSession
-    sides = rows.select("qid", F.explode(F.map_from_arrays(F.array(F.lit("PK"), F.lit("CK")), F.array(text("question"), F.concat(text("ck_text"), F.lit("\n"), text("question"))))).alias("side", "prompt"))
+    """(qid, side, k, temperature, seed, trace, n_tok): K traces for each side of each row; the seed and the temperature reach the provider."""
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), asked(messages(f"trace_{s.lower()}", question="question", context="ck_text")).alias("prompt")) for s in ("PK", "CK"))))
+    own = rows.select("qid", sides.alias("x")).select("qid", "x.side", "x.prompt")
     out = None
     for k, (temperature, seed) in TRACES.items():
-        own = generated(sides, "prompt", make, temperature=temperature, **how).select("qid", "side", F.lit(k).alias("k"), F.lit(temperature).alias("temperature"), F.lit(seed).alias("seed"), F.col("reply").alias("trace"))
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else spark.createDataFrame([], "qid string, side string, k int, temperature double, seed int, trace string")
+        said = generated(own, "prompt", make, temperature=temperature, seed=seed, repetition=REPETITION, **how)
+        said = said.select("qid", "side", F.lit(k).alias("k"), F.lit(temperature).alias("temperature"), F.lit(seed).alias("seed"), F.col("reply").alias("trace"), F.col("completion_tokens").cast("int").alias("n_tok"))
+        out = said if out is None else out.unionByName(said)
+    return out
 
 
 #: Models that a run may name: key to layers and width.
@@ -178,23 +343,3 @@ def layer_index(key: str, share: float) -> int:
     if not 0 <= at <= n:
         raise ValueError(f"layer {at} is not in 0..{n}")
     return at
-
-
-def hidden_states(df: DataFrame, prompt: str, width: int = 64) -> DataFrame:
-    """``df`` with ``h``, a stand-in for a layer's vector: signed counts of the prompt's hashed words, unit length; a real model plugs in the same way."""
-    fields = df.schema.fieldNames()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for p in part[prompt].tolist():
-                v = [0.0] * width
-                for w in (p or "").split():
-                    d = hashlib.md5(w.encode()).digest()
-                    v[d[0] % width] += 1.0 if d[1] & 1 else -1.0
-                size = sum(x * x for x in v) ** 0.5 or 1.0
-                out.append([x / size for x in v])
-            yield part.assign(h=out)[[*fields, "h"]]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kinds}, h array<float>")

@@ -62,14 +62,52 @@ def both_sides(df: DataFrame, keys: list[str], side: str, value: str, sides: tup
     return out
 
 
+def evaluated(answers: DataFrame, rows: DataFrame, behaviour: DataFrame) -> DataFrame:
+    """Answers with their row and behaviour, by qid and, of behaviour, backbone: an answer without either is left out. rows: (qid, ground_truth,
+    ck_relation); behaviour: (qid, model_key, answers, labels)."""
+    by = behaviour.select("qid", F.col("model_key").alias("backbone"), "pk_answer", "ck_answer", "pk_correct_alias", "ck_correct_alias")
+    return answers.join(rows.select("qid", "ground_truth", "ck_relation"), "qid").join(by, ["qid", "backbone"])
+
+
+def evaluated_outer(answers: DataFrame, rows: DataFrame, behaviour: DataFrame) -> DataFrame:
+    """As ``evaluated``, but every answer stays: without a row its gold list is empty, without behaviour both labels are false."""
+    by = behaviour.select("qid", F.col("model_key").alias("backbone"), "pk_answer", "ck_answer", "pk_correct_alias", "ck_correct_alias")
+    both = answers.join(rows.select("qid", "ground_truth", "ck_relation"), "qid", "left").join(by, ["qid", "backbone"], "left")
+    nothing = F.array().cast("array<string>")
+    return both.withColumns({"ground_truth": F.coalesce("ground_truth", nothing), **{c: F.coalesce(c, F.lit(False)) for c in ("pk_correct_alias", "ck_correct_alias")}})
+
+
+def in_split(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows with the split that the manifest (dataset, qid, split) gives them; rows that it doesn't name are left out."""
+    return rows.join(manifest.select("dataset", "qid", "split"), ["dataset", "qid"])
+
+
+def trace_rows(traces: DataFrame, rows: DataFrame, behaviour: DataFrame, k: int) -> DataFrame:
+    """The k-th traces of both sides of a row as columns pk_trace and ck_trace, with question, context and both labels; a row that lacks a
+    side, its record or its behaviour is left out."""
+    own = both_sides(traces.where(F.col("k") == k), ["qid"], "side", "trace").withColumnsRenamed({"PK": "pk_trace", "CK": "ck_trace"})
+    return own.join(rows.select("qid", "dataset", "question", "ck_text"), "qid").join(behaviour.select("qid", "pk_correct_alias", "ck_correct_alias"), "qid")
+
+
+#: Aliases that may be sent to every executor.
+MOST_SENT = 100_000
+
+
 def contained(aliases: DataFrame, texts: DataFrame, alias: str, text: str, key: str) -> DataFrame:
     """Pairs where a text has the alias's whole words in a row; both columns normalised.
 
-    Blocked by the alias's rarest word, so that the join is on equality: each text deals its key (unique) with its distinct words, each alias one word; texts are read again for the pairs alone.
+    Blocked by a word of the alias, so that the join is on equality. A counted few aliases are sent to the texts, which are read once and never
+    leave their place, and meet on the alias's longest word. More of them meet on their rarest word: each text deals its key (unique) with its
+    distinct words, and is read again for the pairs alone.
     """
-    words = texts.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__word")).where("__word <> ''")
-    seen = words.groupBy("__word").agg(F.count("*").alias("__n"))
-    own = aliases.select("*", F.explode(F.array_distinct(F.split(alias, " "))).alias("__word")).where("__word <> ''")
-    rarest = own.join(seen, "__word").groupBy(*aliases.columns).agg(F.min_by("__word", F.struct("__n", "__word")).alias("__word"))
     hit: Column = F.contains(F.concat(F.lit(" "), F.col(text), F.lit(" ")), F.concat(F.lit(" "), F.col(alias), F.lit(" ")))
-    return words.join(rarest, "__word").drop("__word").join(texts, key).where(hit)
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    if aliases.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        longest = F.array_max(F.transform(words(alias), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+        few = aliases.where(F.col(alias) != "").withColumn("__word", longest)
+        return texts.withColumn("__word", F.explode(words(text))).join(F.broadcast(few), "__word").where(hit).drop("__word")
+    dealt = texts.select(key, F.explode(words(text)).alias("__word")).where("__word <> ''")
+    seen = dealt.groupBy("__word").agg(F.count("*").alias("__n"))
+    own = aliases.select("*", F.explode(words(alias)).alias("__word")).where("__word <> ''")
+    rarest = own.join(seen, "__word").groupBy(*aliases.columns).agg(F.min_by("__word", F.struct("__n", "__word")).alias("__word"))
+    return dealt.join(rarest, "__word").drop("__word").join(texts, key).where(hit)

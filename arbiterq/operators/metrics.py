@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import CELLS, cell, disagrees, flag, no_error, provenance
-from ..functions.text import alias_match, col, stripped
+from ..functions.cells import CELLS, agreed, cell, disagrees, flag, no_error
+from ..functions.text import alias_match, col, matches, stripped
+from .order import running_total
 
 #: Counters of a cell.
 COUNTERS = ("n", "correct", "either", "pk_only", "ck_only", "abstain", *(f"pred_{c}" for c in CELLS))
@@ -28,7 +29,9 @@ def count_if(c: Column) -> Column:
 def tallied(df: DataFrame) -> DataFrame:
     """Rows (oracle_cell, answer, ground_truth, pk_answer, ck_answer, predicted_cell) with their counters' flags; rows without a cell go."""
     known = df.where(F.col("oracle_cell").isin(*CELLS))
-    return known.withColumn("is_correct", alias_match(stripped("answer"), "ground_truth")).withColumn("source", provenance("answer", "pk_answer", "ck_answer"))
+    said = known.withColumn("__said", matches(stripped("answer"), "ground_truth", *(F.array(stripped(x)) for x in ("pk_answer", "ck_answer"))))
+    right, pk, ck = (F.get("__said", F.lit(i)) for i in range(3))
+    return said.withColumns({"is_correct": right, "source": agreed(pk, ck)}).drop("__said")
 
 
 def cube(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,12 +43,12 @@ def cube(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def full_cube(counted: DataFrame, *keys: str) -> DataFrame:
-    """All four cells of each key, with zeros where nothing was counted."""
-    spark = counted.sparkSession
-    cells = spark.createDataFrame([(c,) for c in CELLS], "oracle_cell string")
-    grid = counted.select(*keys).distinct().crossJoin(F.broadcast(cells)) if keys else cells  # four rows a key
-    out = grid.join(counted, [*keys, "oracle_cell"], "left")
-    return out.select(*keys, "oracle_cell", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTERS))
+    """All four cells of each key, with zeros where nothing was counted; one pass over ``counted``, whose cells are made columns and rows again."""
+    nothing = F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTERS))
+    own = F.struct(*(F.col(c).cast("long").alias(c) for c in COUNTERS))
+    by = counted.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("oracle_cell") == c, own)), nothing).alias(f"__{c}") for c in CELLS))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("oracle_cell"), F.col(f"__{c}").alias("x")) for c in CELLS)))
+    return by.select(*keys, each.alias("row")).select(*keys, "row.oracle_cell", "row.x.*")
 
 
 def merged(*cubes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -84,6 +87,13 @@ def metrics(counted: DataFrame, *keys: str, pooled: bool = False) -> DataFrame:
     return (counted.rollup(*keys) if pooled else counted.groupBy(*keys)).agg(*metric_columns())
 
 
+def report(rows: DataFrame, keys: tuple[str, ...] = ("method", "backbone"), dataset: str = "dataset", everything: str = "ALL_AGG") -> DataFrame:
+    """The metric block by keys and dataset, and by keys over all datasets, named ``everything``; rows as ``tallied`` takes them."""
+    counted = cube(tallied(rows), *keys, dataset)
+    pooled_ = metrics(counted, *keys).withColumn(dataset, F.lit(everything))
+    return metrics(counted, *keys, dataset).unionByName(pooled_)
+
+
 def baseline_evaluation(answers: DataFrame, *keys: str) -> DataFrame:
     """answers (error, final_answer, ground_truth, pk_alias, ck_alias, relation, source, cost, latency) by keys.
 
@@ -136,12 +146,12 @@ def judge_confusion(rows: DataFrame, *keys: str) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
     """Tie-aware area under the ROC curve by keys; null with one class alone.
 
-    Ranks come from counts by score: rows are summed by (keys, score) first, so the window sees distinct scores, not rows.
+    Ranks come from counts by score: rows are summed by (keys, score) first, and running totals are made in ranges of the score, so
+    that no task holds all scores of a key.
     """
     own = df.select(*keys, F.col(score).alias("__score"), F.col(label).cast("long").alias("__label"))
     by_score = own.groupBy(*keys, "__score").agg(F.sum("__label").alias("__p"), F.count("*").alias("__m"))
-    before = Window.partitionBy(*keys).orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("__rank", F.coalesce(F.sum("__m").over(before), F.lit(0)) + (F.col("__m") + 1) / F.lit(2.0))
+    ranked = running_total(by_score, keys, "__score", "__m", "__upto").withColumn("__rank", F.col("__upto") - (F.col("__m") - 1) / F.lit(2.0))
     p, m = F.sum("__p"), F.sum("__m")
     area = F.try_divide(F.sum(F.col("__p") * F.col("__rank")) - p * (p + 1) / F.lit(2.0), (p * (m - p)).cast("double"))
     return ranked.groupBy(*keys).agg(F.when((p > 0) & (m > p), area).alias("auroc"))
@@ -155,18 +165,39 @@ def head_metrics(df: DataFrame, score: str, label: str, *keys: str, level: float
 
 
 def latency_quantiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """p50 and p95 by index (place n // 2 and int(0.95 n) of the sorted values), mean and count.
+    """n, mean, p50 and p95 by keys; the quantiles by index (place n // 2 and int(0.95 n) of the sorted values), not interpolated.
 
-    Values are counted first; the two places are found among running counts of distinct values.
+    Values are counted first; the two places are found among running counts of distinct values, made in ranges.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    ranked = counted.withColumn("top", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy(*keys)))
+    ranked = running_total(counted, keys, value, "m", "top", "n")
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("top") > place, F.col(value)))
 
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
+    mean = F.sum(F.col(value) * F.col("m")) / F.max("n")
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), mean.alias("mean"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
+
+
+def call_summary(calls: DataFrame, *keys: str) -> DataFrame:
+    """calls (error, latency_sec, prompt_tokens, completion_tokens, cost_usd) by keys: calls, errors, tokens, cost, and the latency of those without an error.
+
+    By model it is the report of a run; by key number that of each key.
+    """
+    ok = no_error("error")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counts = calls.groupBy(*keys).agg(F.count("*").alias("calls"), count_if(~ok).alias("errors"), total("prompt_tokens"), total("completion_tokens"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
+    took = latency_quantiles(calls.where(ok), "latency_sec", *keys).drop("n")
+    if not keys:
+        return counts.join(took, how="left")  # one row each
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return counts.alias("l").join(took.alias("r"), same, "left").select(*(f"l.{c}" for c in counts.columns), "r.mean", "r.p50", "r.p95")
+
+
+def truncation(df: DataFrame, flag_: str, *keys: str) -> DataFrame:
+    """Rows, truncated rows and their share by keys; an empty table has share 0."""
+    n = F.count("*")
+    return df.groupBy(*keys).agg(n.alias("n"), count_if(F.col(flag_)).alias("n_truncated"), (count_if(F.col(flag_)) / F.greatest(n, F.lit(1))).alias("truncation_rate"))
 
 
 def standardised(df: DataFrame, vec: str, train: Column) -> DataFrame:

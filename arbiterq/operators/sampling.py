@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell
+from .order import placed, placed_by_draw
 
 SEED = "42"
 
@@ -21,16 +22,19 @@ def size_of(n: Column, share: float) -> Column:
     return F.bround(n * F.lit(float(share))).cast("long")
 
 
+def groups_of(df: DataFrame, dataset: str, group: str, key: str) -> DataFrame:
+    """(dataset, group, keys): the keys of each group, in order."""
+    return df.groupBy(F.col(dataset).alias("dataset"), F.col(group).alias("group")).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
 def grouped_split(df: DataFrame, dataset: str, group: str, val: float = 0.1, test: float = 0.1, seed: str = SEED) -> DataFrame:
     """(dataset, group, split): whole groups go to test first, then val, the rest to train, within each dataset.
 
-    Groups are numbered among themselves (a row a group), never among rows.
+    Groups are numbered among themselves (a row a group), never among rows, and in ranges of the draw, so that no task holds a dataset.
     """
     groups = df.select(F.col(dataset).alias("dataset"), F.col(group).alias("group")).distinct()
-    at = F.row_number().over(Window.partitionBy("dataset").orderBy(draw("group", seed), "group"))
-    n = F.count("*").over(Window.partitionBy("dataset"))
-    placed = groups.withColumn("at", at).withColumn("n_test", size_of(n, test)).withColumn("n_val", size_of(n, val))
-    return placed.select("dataset", "group", F.when(F.col("at") <= F.col("n_test"), "test").when(F.col("at") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train").alias("split"))
+    own = placed_by_draw(groups, ["dataset"], draw("group", seed), "group", "at", "n").withColumn("n_test", size_of(F.col("n"), test)).withColumn("n_val", size_of(F.col("n"), val))
+    return own.select("dataset", "group", F.when(F.col("at") <= F.col("n_test"), "test").when(F.col("at") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train").alias("split"))
 
 
 def split_stats(rows: DataFrame, split: DataFrame) -> DataFrame:
@@ -42,13 +46,12 @@ def split_stats(rows: DataFrame, split: DataFrame) -> DataFrame:
 def fallback_split(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """(dataset, qid, split): by manifest (qid, split), or by place among sorted ids, 80/10/10, for datasets that it doesn't have."""
     found = rows.join(manifest, "qid", "left")
-    known = found.groupBy("dataset").agg(F.count("split").alias("in_manifest"), F.count("*").alias("n"))
+    known = found.groupBy("dataset").agg(F.count("split").alias("in_manifest"))
     there = found.join(known, "dataset")
-    at = F.row_number().over(Window.partitionBy("dataset").orderBy("qid"))
-    absent = there.where("in_manifest = 0").withColumn("at", at)
+    absent = placed(there.where("in_manifest = 0").select("dataset", "qid"), ["dataset"], "qid", "at", "n")
     a, b = F.floor(F.col("n") * F.lit(0.8)), F.floor(F.col("n") * F.lit(0.8)) + F.floor(F.col("n") * F.lit(0.1))
-    placed = absent.select("dataset", "qid", F.when(F.col("at") <= a, "train").when(F.col("at") <= b, "val").otherwise("test").alias("split"))
-    return there.where("in_manifest > 0 and split is not null").select("dataset", "qid", "split").unionByName(placed)
+    by_place = absent.select("dataset", "qid", F.when(F.col("at") <= a, "train").when(F.col("at") <= b, "val").otherwise("test").alias("split"))
+    return there.where("in_manifest > 0 and split is not null").select("dataset", "qid", "split").unionByName(by_place)
 
 
 def top_k(df: DataFrame, by: str, k: int) -> DataFrame:
@@ -76,11 +79,14 @@ def balanced_sample(rows: DataFrame, key: str, pk: str, ck: str, n: int | None,
     """n labelled rows, max(1, n // 4) of each cell in the order C10, C01, C11, C00, topped up by draw; n null or too large: all rows."""
     if n is None or rows.limit(n + 1).count() <= n:
         return rows
-    labelled = rows.where(F.col(pk).isNotNull() & F.col(ck).isNotNull()).withColumn("__cell", cell(pk, ck))
+    share = max(1, n // 4)
+    labelled = rows.where(F.col(pk).isNotNull() & F.col(ck).isNotNull()).withColumn("__cell", cell(pk, ck)).withColumn("__draw", draw(key, seed))
     order = F.array_position(F.array(*map(F.lit, ("C10", "C01", "C11", "C00"))), F.col("__cell"))
-    at = F.row_number().over(Window.partitionBy("__cell").orderBy(draw(key, seed), key))
-    placed = labelled.withColumn("__at", at).withColumn("__rank", F.when(F.col("__at") <= max(1, n // 4), order).otherwise(9))
-    return placed.orderBy("__rank", draw(key, seed), key).limit(n).drop("__cell", "__at", "__rank")
+    # top k by draw, of each cell and of all: both keep a few rows a task before anything is dealt
+    at = F.row_number().over(Window.partitionBy("__cell").orderBy("__draw", key))
+    chosen = labelled.withColumn("__at", at).where(F.col("__at") <= share).withColumn("__rank", order).drop("__at")
+    more = labelled.orderBy("__draw", key).limit(n + 4 * share).join(F.broadcast(chosen.select(key)), key, "left_anti").withColumn("__rank", F.lit(9))  # 4 * share rows
+    return chosen.unionByName(more.select(chosen.columns)).orderBy("__rank", "__draw", key).limit(n).drop("__cell", "__draw", "__rank")
 
 
 def audit_sample(rows: DataFrame, key: str, most: int = 50, seed: str = SEED) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators import sampling as S
 from ..operators import validate
 from ..sources import records, sinks
 from . import twins as W
-from .bindings import qa, routed, table
+from .bindings import featured, qa, routed, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,12 +155,13 @@ def threshold_route(spark, sf):
 
 @query(f"SELECT doc_id, md5({W.norm('text')}) AS normalised, len({W.toks('text')}) AS n FROM documents")
 def normalise_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalise("text")).alias("normalised"), F.size(T.tokens("text")).cast("long").alias("n"))
+    own = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.tokens("text").alias("t"))
+    return own.select("doc_id", F.md5(F.array_join("t", " ")).alias("normalised"), F.size("t").cast("long").alias("n"))
 
 
 @query(f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {W.norm('text')} AS t FROM documents) d JOIN (SELECT item_id, {W.norm('text')} AS p FROM benchmark) b ON p <> '' AND contains(' ' || t || ' ', ' ' || p || ' ')")
 def word_contains_join(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.normalise("text").alias("t"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.normalise("text").alias("t"))
     items = table(spark, sf, "benchmark").select("item_id", T.normalise("text").alias("p"))
     return J.contained(items, docs, "p", "t", "doc_id").select("doc_id", "item_id")
 
@@ -190,7 +191,7 @@ RAW_LINES = W.LINES.replace("string_split(text,", f"string_split({RAW},")
 
 def _raw(spark, sf):
     said = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN '**Final Answer:** ' WHEN 1 THEN 'answer: ' WHEN 2 THEN ' \\n' ELSE '' END"), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", "source", said.alias("raw"))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", said.alias("raw"))
 
 
 @query(f"SELECT doc_id, md5(coalesce({W.clean('ls[1]')}, '')) AS line FROM (SELECT doc_id, {RAW_LINES} AS ls FROM documents)")
@@ -400,7 +401,8 @@ def first_per_key(spark, sf):
 def manifest_unpivot(spark, sf):
     docs, i = table(spark, sf, "documents"), F.col("doc_id")
     lists = [F.collect_list(F.when(c, i.cast("string"))).alias(s) for s, c in (("train", i % 10 > 1), ("val", i % 10 == 1), ("test", i % 10 == 0))]
-    return records.unpivoted(docs.groupBy(F.col("source").alias("dataset")).agg(F.struct(*lists).alias("lists")))
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(64))  # a manifest's lists may come in parts, so that no row holds all ids of a source
+    return records.unpivoted(docs.groupBy(F.col("source").alias("dataset"), some).agg(F.struct(*lists).alias("lists")).select("dataset", "lists"))
 
 
 @query("SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, 'old' FROM nation WHERE n_nationkey >= 10 AND n_nationkey < 20")
@@ -426,13 +428,10 @@ def row_range(spark, sf):
 
 @query("WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE e.vec_id <> q.vec_id) SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3")
 def cosine_topk(spark, sf):
-    """A stated query set against all rows, the queries sent to them; their number is a hundredth of the rows."""
-    from pyspark.sql import Window
-
+    """A stated query set, a hundredth of the rows, against all rows."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine("qv", "embedding"), 6).alias("score"))
-    return s.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("at <= 3").drop("at")
+    queries_ = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return V.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries_, 3).withColumnRenamed("id", "vec_id")
 
 
 def _pool_sql(how: str) -> str:
@@ -471,9 +470,9 @@ def head_metrics(spark, sf):
     return M.head_metrics(e, "p", "y", "label", level=0.0)
 
 
-@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, max(value) FILTER (place = n // 2) AS p50, max(value) FILTER (place = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95 FROM x GROUP BY 1")
+@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, max(value) FILTER (place = n // 2) AS p50, max(value) FILTER (place = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95, round(avg(value), 6) AS mean FROM x GROUP BY 1")
 def latency_quantiles(spark, sf):
-    return M.latency_quantiles(table(spark, sf, "events"), "value", "event_type")
+    return M.latency_quantiles(table(spark, sf, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
 @query("WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS place FROM embeddings), f AS (SELECT place, avg(v) AS m, stddev_pop(v) AS d FROM x WHERE vec_id % 10 < 8 GROUP BY 1) SELECT vec_id, list(round((v - m) / d, 6) ORDER BY place) AS embedding FROM x JOIN f USING (place) GROUP BY 1")
@@ -507,45 +506,16 @@ def reparse_stats(spark, sf):
 # ---- models: rows-only checks
 
 
-def _featured(spark, sf):
-    """Vectors with two heads' labels and a split by id."""
-    e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "qid")
-    f, i = F.col("embedding"), F.col("qid") % 10
-    return e.select("qid", "embedding", (F.get(f, F.lit(0)) + F.get(f, F.lit(1)) > 0).cast("int").alias("pk"), (F.get(f, F.lit(2)) > 0).cast("int").alias("ck"), F.when(i < 7, "train").when(i < 8, "val").otherwise("test").alias("split"))
-
-
 @query()
 def probe_lr(spark, sf):
-    data = _featured(spark, sf)
+    data = featured(spark, sf)
     model, _, _ = probe.fit_logistic(data, "embedding", "pk", "split")
     return probe.predict(model, data.where("split = 'test'"), "embedding").select("qid", "pk", "p")
 
 
 @query()
 def probe_mlp(spark, sf):
-    return probe.mlp_heads(_featured(spark, sf), "qid", "embedding", ("pk", "ck"), "split", hidden=(64, 16), epochs=30)
-
-
-@query()
-def infer_provider(spark, sf):
-    rows = qa(spark, sf).select(F.col("qid").cast("string").alias("qid"), F.col("pk_answer").alias("question"), F.col("ck_answer").alias("ck_text"), "ground_truth")
-    cache = spark.createDataFrame([], "question_hash string, pk_answer string")
-    return I.labelled(rows, cache, I.Echo).select("qid", "pk_answer", "ck_answer", "pk_correct", "ck_correct", "cell")
-
+    return probe.mlp_heads(featured(spark, sf), "qid", "embedding", ("pk", "ck"), "split", hidden=(64, 16), epochs=30)
 
-@query()
-def traces(spark, sf):
-    rows = qa(spark, sf).select(F.col("qid").cast("string").alias("qid"), F.col("pk_answer").alias("question"), F.col("ck_answer").alias("ck_text"))
-    return I.traced(rows, I.Echo)
 
-
-@query()
-def baselines(spark, sf):
-    rows = qa(spark, sf).select("qid", "dataset", "question", "pk_answer", "ck_answer", F.col("ck_answer").alias("ck_text"))
-    said = I.generated(rows.withColumn("prompt", T.text("ck_answer")), "prompt", I.Echo)
-    out = None
-    for m in I.METHODS[:-1]:
-        own = I.routed(said, m).select("qid", "dataset", F.lit(m).alias("method"), "final_answer", "predicted_source")
-        out = own if out is None else out.unionByName(own)
-    two = I.filtered_then_answered(rows, I.Echo).select("qid", "dataset", F.lit("tacs_lr").alias("method"), "final_answer", "predicted_source")
-    return out.unionByName(two)
+from . import stages as _stages  # noqa: E402, F401  the model stages, builders and reports, which register themselves

@@ -1,10 +1,9 @@
-"""Record sources: JSON Lines and JSON arrays with a given schema, manifests, caches, vectors. Schemas are never inferred."""
+"""Record sources: JSON Lines and JSON arrays with a given schema, staged datasets, manifests, caches, vectors. Schemas are never inferred."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,8 +43,37 @@ def json_records(spark: SparkSession, path: str, schema: str | StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
 
 
+def in_file_order(df: DataFrame, name: str = "ordinal", by_time: bool = False) -> DataFrame:
+    """A table read from files (not yet changed) with its rows' place from 0 by file name, block and line; by_time: older files first.
+
+    Spark deals blocks to tasks by size, so the order of partitions is not that of files. A block is read by one task in order: its rows
+    are counted, the blocks (a row each) are added up in their order, and no row moves.
+    """
+    meta = df.select("*", F.struct(*((F.col("_metadata.file_modification_time").alias("time"),) if by_time else ()), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("__block"))
+    own = meta.withColumn("__id", F.monotonically_increasing_id())
+    blocks = own.groupBy("__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(F.broadcast(blocks.select(F.col("__block").alias("__b"), "__first", before.alias("__before"))), F.col("__block") == F.col("__b")).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__block", "__b", "__first", "__before")
+
+
+def staged(spark: SparkSession, folder: str, splits: tuple[str, ...] = (), schema: str | StructType | None = None) -> DataFrame:
+    """A dataset staged as Parquet files named by split (test.parquet, dev-00000-of-00002.parquet): its rows with raw_split and raw_idx, their
+    place over all splits, in the order given or else that of the names."""
+    read = spark.read.schema(schema) if schema else spark.read
+    df = read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
+    own = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    own = own.withColumn("raw_split", F.regexp_extract(F.col("__path"), r"([A-Za-z]\w*?)(?:-\d+-of-\d+)?\.parquet$", 1))
+    if splits:
+        own = own.where(F.col("raw_split").isin(*splits))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, splits)), F.col("raw_split")), F.lit(0)) if splits else F.lit(0)
+    files = own.groupBy("__path", "raw_split").agg(F.count("*").alias("__n"))  # a row a file
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(rank, "raw_split", "__path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = files.select(F.col("__path").alias("__p"), before.alias("__before"))
+    return own.join(F.broadcast(offsets), F.col("__path") == F.col("__p")).withColumn("raw_idx", F.col("__before") + F.col("__row")).drop("__path", "__p", "__row", "__before")
+
+
 def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """``df`` with its rows' place from 0 in file order: counts by partition, then an offset each; no row leaves its partition."""
+    """``df`` with its rows' place from 0 in the order of its partitions: counts by partition, then an offset each; no row leaves its partition."""
     own = df.withColumn("__id", F.monotonically_increasing_id())
     part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     own = own.withColumn("__part", part).withColumn("__at", at)
@@ -55,13 +83,13 @@ def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
 
 
 def head(df: DataFrame, n: int) -> DataFrame:
-    """The first n records in file order."""
-    return numbered(df, "__ordinal").where(F.col("__ordinal") < n).drop("__ordinal")
+    """The first n records of a table read from files, in file order."""
+    return in_file_order(df, "__ordinal").where(F.col("__ordinal") < n).drop("__ordinal")
 
 
 def row_range(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Records [start, end) in file order; an open end is null."""
-    out = numbered(df, "__ordinal")
+    """Records [start, end) of a table read from files, in file order; an open end is null."""
+    out = in_file_order(df, "__ordinal")
     if start is not None:
         out = out.where(F.col("__ordinal") >= start)
     if end is not None:
@@ -90,8 +118,10 @@ def unpivoted(df: DataFrame) -> DataFrame:
 
 
 def answer_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache; of repeated keys the last line in file order counts."""
-    rows = numbered(jsonl(spark, path, CACHE, missing_ok=True))
+    """The cache; of repeated keys the last line counts, later files after earlier ones. A missing cache is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], CACHE)
+    rows = in_file_order(jsonl(spark, path, CACHE), by_time=True)
     rest = [c for c in rows.columns if c not in ("question_hash", "ordinal")]
     last = rows.groupBy("question_hash").agg(F.max_by(F.struct(*rest), "ordinal").alias("r"))
     return last.select("question_hash", *(f"r.{c}" for c in rest))
@@ -99,38 +129,59 @@ def answer_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def layer(spark: SparkSession, canonical: str, shards: str | None, at: int) -> DataFrame:
     """Vectors of one layer (files partitioned by ``layer``): the canonical table, then shards for the qids that it lacks."""
+    if not exists(spark, canonical):
+        raise FileNotFoundError(canonical)
+    return layer_of(spark.read.parquet(canonical), spark.read.parquet(shards) if shards and exists(spark, shards) else None, at)
 
-    def read(path: str, rank: int) -> DataFrame:
-        return spark.read.parquet(path).where(F.col("layer") == at).withColumn("rank", F.lit(rank))
 
-    try:
-        out = read(canonical, 0)
-        if shards and exists(spark, shards):
-            out = out.unionByName(read(shards, 1))
-    except AnalysisException as e:
-        raise FileNotFoundError(canonical) from e
+def layer_of(canonical: DataFrame, shards: DataFrame | None, at: int) -> DataFrame:
+    """One layer (from 1) of (qid, layer, ...): a row a qid, of the canonical table if that has it."""
+    out = canonical.where(F.col("layer") == at).withColumn("rank", F.lit(0))
+    if shards is not None:
+        out = out.unionByName(shards.where(F.col("layer") == at).withColumn("rank", F.lit(1)))
     rest = [c for c in out.columns if c not in ("qid", "rank")]
     return out.groupBy("qid").agg(F.min_by(F.struct(*rest), "rank").alias("r")).select("qid", *(f"r.{c}" for c in rest))
 
 
-def matrix(spark: SparkSession, npy: str, meta: str, schema: str) -> DataFrame:
-    """A one-off import of a dense matrix and its row-aligned records; their lengths must agree. The result is to be written as Parquet."""
+def matrix(spark: SparkSession, npy: str, meta: str, schema: str, name: str = "h") -> DataFrame:
+    """A one-off import of a dense matrix (.npy, rows by columns) and its row-aligned records; their lengths must agree. The result is to be
+    written as Parquet. The file's path is a URI that pyarrow's file systems reach from every executor; each task reads the rows it needs."""
     import numpy as np
+    from pyarrow import fs
+
+    uri = npy if "://" in npy else f"file://{npy}"
+
+    def opened():
+        files, path = fs.FileSystem.from_uri(uri)
+        return files.open_input_file(path)
 
-    rows = np.load(npy, mmap_mode="r")
-    records = numbered(jsonl(spark, meta, schema))
-    if (n := records.count()) != len(rows):
-        raise ValueError(f"{len(rows)} vectors and {n} records")
+    with opened() as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        began = f.tell()
+    if by_column or len(shape) != 2:
+        raise ValueError("a matrix in row order is needed")
+    records = in_file_order(jsonl(spark, meta, schema))
+    if (n := records.count()) != shape[0]:
+        raise ValueError(f"{shape[0]} vectors and {n} records")
 
     def attach(parts):
-        own = np.load(npy, mmap_mode="r")
-        for p in parts:
-            yield p.assign(h=[own[i].astype("float32").tolist() for i in p["ordinal"]])
+        width = shape[1] * kind.itemsize
+        with opened() as f:
+            for p in parts:
+                rows = (np.frombuffer(f.read_at(width, began + int(i) * width), kind) for i in p["ordinal"])
+                yield p.assign(**{name: [r.astype("float32").tolist() for r in rows]})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    return records.mapInPandas(attach, f"{kinds}, h array<float>").drop("ordinal")
+    return records.mapInPandas(attach, f"{kinds}, {name} array<float>").drop("ordinal")
 
 
 def templates(text: str) -> dict:
-    """Prompt templates from a JSON text: name to [system, user]."""
-    return {k: tuple(v) for k, v in json.loads(text).items()}
+    """Prompt templates: name to (system, user), from JSON, or from YAML where its library is installed."""
+    try:
+        own = json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        own = yaml.safe_load(text)
+    return {k: ("", v) if isinstance(v, str) else tuple(v) for k, v in own.items()}

@@ -22,8 +22,10 @@ def write_rows(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table that ``df`` may be reading: write beside it, then rename."""
+    """Replace a Parquet table that ``df`` may be reading: write beside it, then rename. Where an earlier swap was cut short between its two
+    renames, the table is put back first."""
     spark = df.sparkSession
+    restored(spark, path)
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     fs, old = _fs(spark, path)
@@ -34,6 +36,37 @@ def swap(df: DataFrame, path: str) -> None:
     fs.delete(keep, True)
 
 
+def restored(spark: SparkSession, path: str) -> bool:
+    """Puts the former table back where a swap was cut short; whether it had to."""
+    fs, at = _fs(spark, path)
+    former = [] if fs.exists(at) else [x.getPath() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or []]
+    return bool(former) and fs.rename(former[0], at)
+
+
+def published(df: DataFrame, path: str) -> str:
+    """Write a new version of a table and point to it: readers see the old version or the new, whatever fails. Gives the version's folder."""
+    spark = df.sparkSession
+    folder = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    jvm, (fs, at) = spark._jvm, _fs(spark, f"{path}/CURRENT")
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(mark, True)
+    out.write(folder.rsplit("/", 1)[1].encode())
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(fs.makeQualified(mark), fs.makeQualified(at), how)  # one step
+    return folder
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version that ``published`` points to."""
+    name = spark.read.text(f"{path}/CURRENT").first()["value"]
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def backed_up(df: DataFrame, path: str, dry_run: bool = False) -> int:
     """Rewrite a table, keeping its first version at path.bak; a dry run only counts."""
     n = df.count()
@@ -54,6 +87,11 @@ def append_answers(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("method", "backbone", "dataset").parquet(path)
 
 
+def append_cache(df: DataFrame, path: str) -> None:
+    """Adds JSON Lines to an answer cache; of repeated keys its reader takes the last."""
+    df.write.mode("append").json(path)
+
+
 def merge_index(old: DataFrame, new: DataFrame, key: str = "dataset") -> DataFrame:
     """New entries, and the old ones that weren't built again."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
@@ -72,9 +110,10 @@ def compacted(shards: DataFrame, expected: DataFrame, key: str = "qid", rank: st
     return out.where(ok.isNull()).drop("__there")
 
 
-def csv_report(df: DataFrame, path: str) -> None:
-    """A small report as CSV with a header; null is empty."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def csv_report(df: DataFrame, path: str, places: int = 4) -> None:
+    """A small report as CSV with a header; ratios are rounded, null is empty."""
+    shown = [F.bround(f.name, places).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+    df.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def json_report(df: DataFrame, keys: list[str]) -> dict:
