@@ -3,27 +3,32 @@
 Inserting one symbol a round into the transform of whole documents takes as many rounds as the longest document has bytes, and each
 round rereads all that the rounds before made. Three steps make it bounded without losing a match:
 
-1. Anchors. Of each ``length``-byte string, the leftmost least hash among its 32-byte windows is its anchor. Equal strings have
+1. Anchors. Of each ``passage``-byte string (250), the leftmost least hash among its 32-byte windows is its anchor. Equal strings have
    equal anchors at equal offsets, so only strings whose anchor recurs can recur. The strings of one anchor are consecutive
-   starts; the bytes they cover are a piece of at most 2 * length bytes. Equal pieces are one piece with a multiplicity.
+   starts; the bytes that they and their continuations to ``length`` bytes cover are a piece of bounded size. Equal pieces are one
+   piece with a multiplicity.
 2. Rounds. The pieces are aligned at their anchors and dealt by the anchor's hash. Column by column from the right, each piece
    inserts one symbol: the ranks of all pieces' suffixes (the collection's transform, by column) follow from the ranks of the round
-   before by one stable pass over the symbols, and the common prefixes of neighbours by the least of those they passed. The
-   columns lie in a file that is read once, in order. A suffix that shares ``length`` bytes with a neighbour recurs.
-3. The recurring starts go back to all places of their pieces; each document loses the union of what they cover.
+   before by one stable pass over the symbols, and the common prefixes of neighbours by the least of those they passed. A bucket's
+   columns are a file in the shared folder, written once and read once, in the order of the rounds; ranks and common prefixes of the
+   round, a few bytes a piece, stay in memory. A suffix that shares ``length`` bytes with a neighbour recurs; one that shares
+   ``passage`` bytes begins a repeated passage.
+3. The recurring starts go back to all places of their pieces; each document loses the union of what those of ``length`` cover.
+   Passages too short to be removed (50 words are some 300 bytes) are reported beside: ``n_passages`` and ``n_passage_bytes``.
 
 Pieces of an anchor that has more than ``MOST_PIECES`` different ones don't go to one task: their strings' digests are
 counted by a grouping instead, which is exact as well and spreads over all tasks.
 
-Defined results: a null text is empty; texts shorter than ``length`` lose nothing; equal rows (id and text) each count as an
-occurrence and lose the same bytes; matches never cross texts; rows without an id are treated like others.
+Defined results: a null text is empty; texts shorter than ``passage`` have no repeats and those shorter than ``length`` lose nothing; equal
+rows (id and text) each count as an occurrence and lose the same bytes; matches never cross texts; rows without an id are treated like
+others; an empty table gives no row; very long texts are cut into pieces like others; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, forget, short_batches, written
+from .common import documents, dropped, forget, scratch, short_batches, written
 
-LENGTH, WINDOW, BUCKET, MOST_PIECES = 400, 32, 20_000, 100_000
+LENGTH, PASSAGE, PASSAGE_WORDS, WINDOW, BUCKET, MOST_PIECES = 400, 250, 50, 32, 20_000, 100_000
 #: Ids that may be sent to every executor, 16 bytes each.
 MOST_SENT = 1_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -76,7 +81,7 @@ def least_of_windows(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(since[:n], upto[w - 1 : w - 1 + n])
 
 
-def pieces(b: bytes, hashes: Hashes, length: int = LENGTH, width: int = WINDOW) -> Iterator[tuple[int, int, int, int]]:
+def pieces(b: bytes, hashes: Hashes, length: int = PASSAGE, width: int = WINDOW) -> Iterator[tuple[int, int, int, int]]:
     """(first start, anchor, number of starts, anchor's hash): the starts of b's ``length``-byte strings, by anchor."""
     if len(b) < length:
         return
@@ -109,8 +114,8 @@ def own_rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("key"), t.alias("text"))
 
 
-def places(rows: DataFrame, length: int) -> DataFrame:
-    """A row for each piece of each text."""
+def places(rows: DataFrame, length: int, passage: int) -> DataFrame:
+    """A row for each piece of each text; c tells pieces of one anchor apart by all their bytes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -119,24 +124,23 @@ def places(rows: DataFrame, length: int) -> DataFrame:
             for i, key, t in zip(part["id"].tolist(), part["key"].tolist(), part["text"].tolist(), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
                 i = None if i is None or i != i else int(i)
-                out += [(i, key, s, p, n, signed(v), digest(b[s : s + n - 1 + length])) for s, p, n, v in pieces(b, hashes, length)]
+                out += [(i, key, s, p, n, signed(v), digest(b[s : s + n - 1 + length])) for s, p, n, v in pieces(b, hashes, passage)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACE.split(", ")]).astype({"id": "Int64"})
 
     return rows.mapInPandas(run, PLACE)
 
 
-def recurring(before: np.ndarray, group: np.ndarray, many: np.ndarray, n: np.ndarray, columns: np.ndarray, length: int) -> np.ndarray:
-    """For each piece (row) and each of its starts (column), whether the string there recurs in the collection.
+def recurring(before: np.ndarray, group: np.ndarray, many: np.ndarray, n: np.ndarray, total: np.ndarray, columns: Iterator[np.ndarray], least: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of the lengths ``least``: for each piece (row) and each of its starts (column), whether the string there recurs.
 
-    before: bytes of a piece before its anchor; group: an anchor's number, below 2^16; many: whether a piece
-    has a multiplicity; columns: [offset from the leftmost anchor, piece] bytes, 255 where a piece has none.
+    before: bytes of a piece before its anchor; group: an anchor's number, below 2^16; many: whether a piece has a
+    multiplicity; n, total: its starts and bytes; columns: from the last to the first, a byte of each piece, 255 where it has none.
     """
-    m, deep, left = len(before), int(before.max()), columns.shape[0]
+    m, deep = len(before), int(before.max())
     order = np.argsort(group, kind="stable")
     common = np.zeros(m + 1, np.int16)  # of order[i - 1] and order[i]; 0 at both ends
-    out = np.zeros((m, int(n.max())), bool)
-    for col in range(left - 1, -1, -1):
-        symbols = np.asarray(columns[col])
+    out = [np.zeros((m, int(n.max())), bool) for _ in least]
+    for col, symbols in columns:
         own = symbols[order]
         by_symbol = np.argsort(own, kind="stable")
         by_group = np.argsort(group[order[by_symbol]], kind="stable")
@@ -152,38 +156,58 @@ def recurring(before: np.ndarray, group: np.ndarray, many: np.ndarray, n: np.nda
         order, common = order[moved], fresh
         start = before[order] - deep + col  # the start within the piece, where it is one
         asked = (start >= 0) & (start < n[order])
-        hit = asked & ((common[:-1] >= length) | (common[1:] >= length) | many[order])
-        out[order[hit], start[hit]] = True
+        shared = np.where(many[order], total[order] - start, np.maximum(common[:-1], common[1:]))
+        for k, enough in enumerate(least):
+            hit = asked & (shared >= enough)
+            out[k][order[hit], start[hit]] = True
     return out
 
 
+class Columns:
+    """The columns of aligned pieces as a file in the shared folder: written from the last column to the first, and read in that order."""
+
+    def __init__(self, folder: str, body: list[bytes], before: np.ndarray) -> None:
+        from pyarrow import fs
+
+        self.files, base = fs.FileSystem.from_uri(folder)
+        self.path, self.rows, deep = f"{base}/{uuid.uuid4().hex}", len(body), int(before.max())
+        self.width = deep + max(len(b) - a for b, a in zip(body, before.tolist(), strict=True))
+        self.files.create_dir(base, recursive=True)
+        flat = np.full((len(body), self.width), 255, np.uint8)  # BUCKET pieces of bounded size
+        for k, b in enumerate(body):
+            flat[k, deep - before[k] : deep - before[k] + len(b)] = np.frombuffer(b, np.uint8)
+        with self.files.open_output_stream(self.path) as to:
+            for high in range(self.width, 0, -64):
+                to.write(np.ascontiguousarray(flat[:, max(0, high - 64) : high].T[::-1]).tobytes())
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        with self.files.open_input_stream(self.path, buffer_size=1 << 20) as own:
+            for col in range(self.width - 1, -1, -1):
+                yield col, np.frombuffer(own.read(self.rows), np.uint8)
+        self.files.delete_file(self.path)
+
+
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of true."""
     d = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
     return list(zip(np.flatnonzero(d == 1).tolist(), (np.flatnonzero(d == -1) - 1).tolist(), strict=True))
 
 
-def in_rounds(part: pd.DataFrame, length: int) -> list[tuple[int, int, int, int]]:
-    """(h, c, first, last) of each run of recurring starts among the pieces of a bucket."""
+def in_rounds(part: pd.DataFrame, least: tuple[int, ...], folder: str) -> list[tuple[int, int, int, int, int]]:
+    """(h, c, first, last, least) of each run of recurring starts among the pieces of a bucket."""
     body = part["body"].tolist()
     anchor = (part["anchor"] - part["start"]).to_numpy(np.int64)
     n, total = part["n"].to_numpy(np.int64), np.array([len(b) for b in body], np.int64)
     numbers = np.unique(part["h"].to_numpy(np.int64), return_inverse=True)[1]
     out = []
-    h, c, many = (part[x].tolist() for x in ("h", "c", "many"))
+    h, c, many = part["h"].tolist(), part["c"].tolist(), part["many"].to_numpy(bool)
     for first in range(0, int(numbers.max()) + 1, 60_000):
         rows = np.flatnonzero((numbers >= first) & (numbers < first + 60_000))
-        a, deep = anchor[rows], int(anchor[rows].max())
-        with tempfile.TemporaryFile() as file:
-            columns = np.memmap(file, np.uint8, "w+", shape=(deep + int((total[rows] - a).max()), len(rows)))
-            for block in range(0, len(rows), 1024):
-                flat = np.full((len(rows[block : block + 1024]), columns.shape[0]), 255, np.uint8)
-                for k, r in enumerate(rows[block : block + 1024].tolist()):
-                    flat[k, deep - anchor[r] : deep - anchor[r] + total[r]] = np.frombuffer(body[r], np.uint8)
-                columns[:, block : block + 1024] = flat.T
-            found = recurring(a, (numbers[rows] - first).astype(np.uint16), np.array(many)[rows], n[rows], columns, length)
-            del columns
-        out += [(h[r], c[r], x, y) for k, r in enumerate(rows.tolist()) for x, y in runs(found[k])]
+        columns = Columns(folder, [body[r] for r in rows.tolist()], anchor[rows])
+        found = recurring(anchor[rows], (numbers[rows] - first).astype(np.uint16), many[rows], n[rows], total[rows], columns, least)
+        for enough, hits in zip(least, found, strict=True):
+            for k in np.flatnonzero(hits.any(axis=1)).tolist():
+                out += [(h[rows[k]], c[rows[k]], x, y, enough) for x, y in runs(hits[k])]
     return out
 
 
@@ -207,11 +231,14 @@ def bodies(distinct: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return both.mapInPandas(cut, "h long, c long, many boolean, start int, anchor int, n int, body binary")
 
 
-def recurring_runs(df: DataFrame, id_col: str, text: str, length: int = LENGTH) -> DataFrame:
-    """(id, key, spans): byte spans [from, to) that recurring strings cover, of each text that has any; they may overlap."""
-    short_batches(df.sparkSession)
+def recurring_runs(df: DataFrame, id_col: str, text: str, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(id, key, spans): spans (from, to, least) that recurring strings of ``length`` and of ``passage`` bytes cover, of each text that has any;
+    least tells which, and they may overlap."""
+    spark = df.sparkSession
+    short_batches(spark)
+    least, folder = tuple(sorted({length, passage})), scratch(spark, "columns")
     rows = own_rows(df, id_col, text)
-    all_places = written(places(rows, length), "places")
+    all_places = written(places(rows, length, least[0]), "places")
     often = all_places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     few = often.limit(2 * MOST_SENT + 1).count() <= 2 * MOST_SENT
     maybe = written(all_places.join(F.broadcast(often) if few else often, "h", "left_semi"), "maybe")
@@ -226,33 +253,35 @@ def recurring_runs(df: DataFrame, id_col: str, text: str, length: int = LENGTH)
     calm = full.join(crowded, "h", "left_anti") if any_crowded else full
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(in_rounds(part.drop_duplicates(["h", "c"]), length), columns=["h", "c", "first", "last"])
+        return pd.DataFrame(in_rounds(part.drop_duplicates(["h", "c"]), least, folder), columns=["h", "c", "first", "last", "least"])
 
-    schema = "h long, c long, first int, last int"
+    schema = "h long, c long, first int, last int, least int"
     found = calm.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(link, schema)
     if any_crowded:
 
         def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for h, c, many, n, body in zip(*(part[x].tolist() for x in ("h", "c", "many", "n", "body")), strict=True):
-                    ds = [digest(body[s : s + length]) for s in range(n)]
-                    yield pd.DataFrame({"h": h, "c": c, "first": np.arange(n, dtype=np.int32), "w": 2 if many else 1, "d": ds})
+                    for enough in least:
+                        ds = [digest(body[s : s + enough]) for s in range(min(n, len(body) - enough + 1))]
+                        yield pd.DataFrame({"h": h, "c": c, "first": np.arange(len(ds), dtype=np.int32), "least": np.int32(enough), "w": 2 if many else 1, "d": np.array(ds, np.int64)})
 
-        strings = full.join(crowded, "h", "left_semi").dropDuplicates(["h", "c"]).mapInPandas(each, "h long, c long, first int, w long, d long")
+        strings = full.join(crowded, "h", "left_semi").dropDuplicates(["h", "c"]).mapInPandas(each, "h long, c long, first int, least int, w long, d long")
         strings = written(strings, "strings")
-        twice = strings.groupBy("h", "d").agg(F.sum("w").alias("w")).where("w > 1").select("h", "d")
-        found = found.unionByName(strings.join(twice, ["h", "d"], "left_semi").select("h", "c", "first", F.col("first").alias("last")))
+        twice = strings.groupBy("h", "least", "d").agg(F.sum("w").alias("w")).where("w > 1").select("h", "least", "d")
+        found = found.unionByName(strings.join(twice, ["h", "least", "d"], "left_semi").select("h", "c", "first", F.col("first").alias("last"), "least"))
     found = written(found, "found")
     forget(distinct)
+    dropped(spark, folder)
     spans = maybe.select("id", "key", "start", "h", "c").join(found, ["h", "c"])
-    span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + length).alias("to"))
+    span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + F.col("least")).alias("to"), "least")
     return spans.groupBy("id", "key").agg(F.collect_set(span).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of the union."""
     out: list[list[int]] = []
-    for a, b in sorted((s["from"], s["to"]) for s in spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -260,28 +289,33 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def deduped(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept): a row for each row of ``df``; kept: the bytes that are left."""
+def deduped(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, n_passages, n_passage_bytes): a row for each row of ``df``; kept: the bytes that are left;
+    passages: maximal runs of recurring ``passage``-byte strings that have at least so many words, and their bytes, removed or not."""
     rows = own_rows(df, id_col, text)
-    gone = recurring_runs(df, id_col, text, length).select(F.col("id").alias("gid"), F.col("key").alias("gkey"), "spans")
+    gone = recurring_runs(df, id_col, text, length, passage).select(F.col("id").alias("gid"), F.col("key").alias("gkey"), "spans")
     both = rows.join(gone, (F.col("key") == F.col("gkey")) & F.col("id").eqNullSafe(F.col("gid")), "left").select("id", "text", "spans")
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "n_passage_bytes"]
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for t, spans in zip(part["text"].tolist(), part["spans"].tolist(), strict=True):
                 b, kept, at, removed = t.encode("utf-8", "surrogatepass"), [], 0, 0
-                union = merged(spans) if spans is not None else []
+                every = [(s["from"], s["to"], s["least"]) for s in spans] if spans is not None else []
+                union = merged((x, y) for x, y, k in every if k == length)
                 for x, y in union:
                     kept.append(b[at:x])
                     removed += y - x
                     at = y
                 kept.append(b[at:])
-                out.append((len(b), removed, len(union), b"".join(kept)))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(id=part["id"].astype("Int64").to_numpy())[["id", "n_bytes", "n_removed", "n_spans", "kept"]]
+                said = [y - x for x, y in merged((x, y) for x, y, k in every if k == passage) if len(b[x:y].split()) >= words]
+                out.append((len(b), removed, len(union), b"".join(kept), len(said), sum(said)))
+            yield pd.DataFrame(out, columns=names[1:]).assign(id=part["id"].astype("Int64").to_numpy())[names]
 
-    return both.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_bytes long")
 
 
 def op3_column_bwt(spark, sf_dir: str) -> DataFrame:
-    return deduped(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = deduped(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")

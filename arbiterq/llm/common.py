@@ -47,6 +47,12 @@ def forget(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()  # Spark's cleaner deletes a shuffle when its handle is collected
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no table needs any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def short_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
