@@ -9,7 +9,9 @@ The window is a share of the rows on each side. Independent directions (as in th
 all rows has cosine 0.5 in 64 dimensions) give a curve little to go by, so the production share is wide; for clustered vectors a
 much smaller share does. ``recall`` measures it against all rows.
 
-Defined results: vectors that are null, all zero, or hold a null, NaN or infinity take no part, nor do vectors of another
+A task holds a block and at most about ``asking`` queries: work grows with queries times window, memory doesn't.
+
+Defined results: an empty table gives no row; only the two named columns are read; vectors that are null, all zero, or hold a null, NaN or infinity take no part, nor do vectors of another
 length than the most common one; rows without an id are no candidates; repeated ids are candidates each, but a query's own id never is.
 Ties go to the smaller id.
 """
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CURVES, DIRECTIONS, ORDER, BLOCK, SHARE, SAMPLE = 6, 4, 8, 1024, 0.12, 20_000
+#: Queries that meet a block in one task, about; where more look at it, it is dealt once for each so many.
+ASKING = 4096
 #: More than the last bits of a score that depend on a vector's place in a product.
 MARGIN = 1e-12
 
@@ -103,7 +107,7 @@ def nearest(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.isfinite(scores[at])]
 
 
-def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", *, curves: int = CURVES, directions: int = DIRECTIONS, order: int = ORDER, block: int = BLOCK, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", *, curves: int = CURVES, directions: int = DIRECTIONS, order: int = ORDER, block: int = BLOCK, share: float = SHARE, sample: int = SAMPLE, asking: int = ASKING) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which ``queries`` (a condition on ``id``) holds."""
     rows = written(usable(df, id_col, vec), "vectors")
     if not rows.limit(1).count():
@@ -140,7 +144,10 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str
     asked = placed.join(wanted.select(F.col("q").alias("g")).distinct(), "g", "left_semi")
     low, high = F.greatest(F.lit(0), F.floor((F.col("place") - reach) / block)), F.least(F.lit(blocks - 1), F.floor((F.col("place") + reach) / block))
     asked = asked.withColumn("block", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("asks", F.lit(True))
-    both = placed.withColumn("asks", F.lit(False)).select("curve", "block", "g", "v", "asks").unionByName(asked.select("curve", "block", "g", "v", "asks"))
+    turns = max(1, math.ceil(wanted.count() * min(1.0, (2 * reach + block) / n) / asking))
+    dealt = placed.withColumn("asks", F.lit(False)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    columns = ("curve", "block", "turn", "g", "v", "asks")
+    both = dealt.select(*columns).unionByName(asked.withColumn("turn", F.pmod(F.xxhash64("g"), F.lit(turns)).cast("int")).select(*columns))
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
         asks = part["asks"].to_numpy(bool)
@@ -157,7 +164,7 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec: str
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pd.DataFrame({"q": cols[0], "g": cols[1], "score": cols[2]})
 
-    found = both.groupBy("curve", "block").applyInPandas(rank, "q long, g long, score double")
+    found = both.groupBy("curve", "block", "turn").applyInPandas(rank, "q long, g long, score double")
     # one row a pair however many windows found it; the score is the same but for the last bits, so it is made again below
     best = found.groupBy("q", "g").agg(F.max("score").alias("near")).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "g")))
     last = best.where(F.col("place") == keep).select("q", F.col("near").alias("last"))
