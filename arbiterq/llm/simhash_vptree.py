@@ -4,17 +4,21 @@
 2. Equal fingerprints become one node with their least doc_id (partial aggregation, so a hot group costs a row a task).
 3. A vantage-point tree over a bounded sample of fingerprints gives the shards. A fingerprint at distance d of a vantage
    point whose radius is m goes inside if d <= m and outside if d >= m - (r - 1): by the triangle inequality two fingerprints
-   at r or fewer bits meet in at least one shard, whatever the sample was. The sample decides balance only.
+   at r or fewer bits meet in at least one shard, whatever the sample was. The sample decides balance only. Each level of the tree
+   repeats a fingerprint 1.3 times on average, so shards grow with the cube root of the table (16,384 fingerprints for a quarter of a
+   million, 0.5 million for 10^10), which keeps both the copies and a task's memory small; the depth has no cap.
 4. Each shard grows its own vantage-point tree down to small leaves and compares whole leaves exactly. A leaf gives a
    spanning forest of its links, never all pairs.
 5. Distributed union-find over the links.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a null doc_id gets a fingerprint and the
-component's least id (null if no member has an id); repeated rows stay and share their component; texts are read whole.
+component's least id (null if no member has an id); repeated rows stay and share their component; texts are read whole, however long;
+an empty table gives no row; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,11 @@ from pyspark.sql import functions as F
 from .common import documents, fresh, short_batches, written
 from .graph import components
 
-SHARD, LEAF, SAMPLE, MOST_DEPTH = 16_384, 512, 20_000, 12
+SHARD, LEAF, SAMPLE = 16_384, 512, 20_000
+#: Fingerprints that a shard holds SHARD of, and those that may come to the driver to lay out the shards (8 MB).
+SMALL, MOST_DRAWN = 1 << 18, 1_000_000
+#: Fingerprints that are dealt out at once.
+DEALT = 1 << 16
 
 
 def fingerprint(text: str | None, seed: int = 42, k: int = 3) -> int:
@@ -148,19 +156,35 @@ def shard_links(points: np.ndarray, reach: int, leaf: int = LEAF) -> list[tuple[
     return [(i, t) for i, t in enumerate(top) if i != t]
 
 
-def links(nodes: DataFrame, bits: int = 3, shard: int = SHARD, sample: int = SAMPLE, most_depth: int = MOST_DEPTH) -> DataFrame:
+def levels(n: int, shard: int) -> int:
+    """Depth of the tree of shards for n fingerprints."""
+    aim = shard * max(1.0, n / SMALL) ** (1 / 3)
+    return max(0, math.ceil(math.log2(max(1, n) / aim)))
+
+
+def links(nodes: DataFrame, bits: int = 3, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """(u, v): links that span every component of fingerprints (column fp, distinct) at ``bits`` or fewer bits."""
-    n = nodes.count()
-    depth = min(most_depth, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
+    depth = levels(nodes.count(), shard)
     tree = None
     if depth:
-        drawn = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"]  # bounded; serves balance alone
+        few = min(MOST_DRAWN, max(sample, 128 << depth))
+        drawn = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(few).toPandas()["fp"]  # bounded; serves balance alone
         tree = grow(drawn.to_numpy(np.int64).view(np.uint64), depth, bits, np.random.default_rng(5))
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for number, points in route(part["fp"].to_numpy(np.int64).view(np.uint64), tree, bits):
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pd.DataFrame]:
+            for number, points in route(np.concatenate(held).view(np.uint64), tree, bits):
                 yield pd.DataFrame({"shard": number, "fp": points.view(np.int64)})
+            held.clear()
+
+        for part in parts:
+            held.append(part["fp"].to_numpy(np.int64))
+            if sum(map(len, held)) >= DEALT:
+                yield from out()
+        if held:
+            yield from out()
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         fp = np.unique(part["fp"].to_numpy(np.int64))
@@ -170,30 +194,37 @@ def links(nodes: DataFrame, bits: int = 3, shard: int = SHARD, sample: int = SAM
     return nodes.select("fp").mapInPandas(deal, "shard long, fp long").groupBy("shard").applyInPandas(link, "u long, v long")
 
 
+def named(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, component) of every different fingerprint of ``prints``; component: a fingerprint of the component."""
+    nodes = written(prints.select("fp").distinct(), "nodes")
+    linked = components(links(nodes, bits))
+    return nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
     """(id, fp, component_id) for each row of ``df``."""
     prints = written(fingerprints(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "fp").select("id", "fp"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    linked = components(links(nodes, bits))
-    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    of = named(prints, bits).join(prints.groupBy("fp").agg(F.min("id").alias("least")), "fp")
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(least, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group, that with the least id; its columns are as they were.
-
-    Rows without an id are compared and, if another document of their group has an id, go; else they stay. Repeated rows of
-    one id are one document: the first fingerprint of it counts, and one row stays.
-    """
-    found = grouped(df, id_col, text, bits)
-    stay = found.where("id = component_id").select("id").distinct()
-    flag = fresh(df, "stay")
-    kept = df.join(stay.withColumnRenamed("id", flag), F.col(f"`{id_col}`") == F.col(flag), "left_semi")
-    repeated = df.groupBy(f"`{id_col}`").count().where(f"`{id_col}` is not null and count > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(f"`{id_col}`").isNull())) if df.where(F.col(f"`{id_col}`").isNull()).limit(1).count() else kept
+    """The rows of ``df`` that stay: one document of each group, with its columns as they were: that with the least id, rows without an
+    id after all others; of rows that share the id, the text with the least hash. Rows that agree in id and text are one document, of
+    which one row stays. Rows that share an id but are not alike are documents of their own."""
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
+    prints = written(fingerprints(own, "fp").groupBy("id", "key").agg(F.min("fp").alias("fp"), F.count("*").alias("times")), "fingerprints")
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    first = prints.groupBy("fp").agg(F.min(F.struct(at.alias("at"), "times")).alias("first"))  # before the join: a hot fingerprint is a row a task
+    stay = first.join(named(prints, bits), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    stay = written(stay.select("first.at.id", "first.at.key", "first.times"), "stay")
+    key, id_, hash_ = (fresh(df, stem) for stem in ("hash_of_text", "id_of_stay", "key_of_stay"))
+    marked = df.withColumn(key, F.xxhash64(F.col(f"`{text}`")))
+    kept = marked.join(stay.select(F.col("id").alias(id_), F.col("key").alias(hash_)), (F.col(key) == F.col(hash_)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_)), "left_semi")
+    if stay.where("times > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, key])
+    return kept.drop(key)
 
 
 def op10_simhash_vptree(spark, sf_dir: str) -> DataFrame:
