@@ -1,24 +1,31 @@
 """Toxicity: a logistic classifier over words whose scores may not change when identity terms are swapped.
 
-A text is the set of its lower-cased words without punctuation at their ends. Loss:
-log-loss of the labelled texts, plus ``pairing`` times the squared score difference between a labelled sentence that has an
-identity term and the same sentence with another term of the same language group in its place (counterfactual logit
-pairing), plus L2. Terms alone thus cannot carry weight, while insults beside them do. Labelled sentences: those of the fitted texts,
-and for each term the neutral carriers below, labelled 0, so that a term unseen in the corpus is held down as well.
+A text is the set of its lower-cased words without punctuation at their ends. The loss has four parts:
+
+* log-loss of the labelled texts, and of each with all its identity terms swapped, which keeps its label;
+* log-loss of the neutral carriers below with each term, labelled 0: a term alone is no insult, however often the corpus has it
+  beside insults. They move the words' weights, not the bias, which stays that of the labelled texts;
+* ``pairing`` times the mean squared score difference between a labelled sentence (or a carrier) that has an identity term and the same
+  sentence with the next term of the group in its place (counterfactual logit pairing). Only the slots that differ enter a difference,
+  so sentences are counted by what they swap, and every one of them counts: there is no cap;
+* L2.
 
 A text's words, and stems and endings of five bytes, count only if label 1 is clearly more frequent among the fitted texts that
 have them (chi-square), so the noise of rare words has no weight. The fit takes at most
-``most_rows`` labelled rows in a hash order of their ids.
+``most_rows`` labelled rows in a hash order of their ids: that bounds what comes to the driver, hashed slots and counts, never texts.
 
 Defined results: null and empty texts have the score of no words; labels that disagree about one id count by their least; with labels
-of one class alone every text gets the (smoothed) share of 1.
+of one class alone, or none, every text gets the (smoothed) share of 1; an empty table gives no row; repeated rows are scored each, and
+in the fit each copy of a labelled row counts; very long texts are read whole; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +41,20 @@ SIZE = 1 << BITS
 MOST_ROWS = 6000
 MARKS = b".,;:!?\"'()[]{}<>*#&%$|~`-_/\\"
 
-#: Neutral group names, by language.
+#: Neutral group names; a tuple a language.
 GROUPS = (
     ("women", "men", "girls", "boys", "gay", "lesbian", "straight", "transgender", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "black", "white", "asian", "african", "american", "european", "mexican", "immigrant", "refugee", "disabled", "blind", "deaf", "elderly", "young"),
     ("femmes", "hommes", "filles", "garçons", "gai", "lesbienne", "musulman", "chrétien", "juif", "noir", "blanc", "asiatique", "africain", "immigré", "réfugié", "handicapé", "aveugle", "sourd", "âgé", "jeune"),
     ("mujeres", "hombres", "niñas", "niños", "gay", "lesbiana", "musulmán", "cristiano", "judío", "negro", "blanco", "asiático", "africano", "inmigrante", "refugiado", "discapacitado", "ciego", "sordo", "anciano", "joven"),
     ("frauen", "männer", "mädchen", "jungen", "schwul", "lesbisch", "muslim", "christ", "jude", "schwarz", "weiß", "asiatisch", "afrikaner", "einwanderer", "flüchtling", "behindert", "blind", "taub", "alt", "jung"),
 )
-CARRIERS = ("i am {}", "my neighbour is {}", "{} people live in the city", "she met a {} friend", "je suis {}", "soy {}", "ich bin {}")
+#: Neutral sentences for the terms of each tuple of GROUPS.
+CARRIERS = (
+    ("i am {}", "my neighbour is {}", "{} people live in the city", "she met a {} friend"),
+    ("je suis {}", "mon voisin est {}", "les {} vivent dans la ville", "elle a une amie {}"),
+    ("soy {}", "mi vecino es {}", "las personas {} viven en la ciudad", "ella tiene un amigo {}"),
+    ("ich bin {}", "mein nachbar ist {}", "viele menschen hier sind {}", "sie traf einen {} freund"),
+)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,23 +83,31 @@ class Model:
         return full
 
 
-def swaps(sentences: list[tuple[list[bytes], int]], most: int = 4000) -> list[tuple[list[bytes], list[bytes], int]]:
-    """(sentence, the same with the next term of the group, label) for each identity term; the carriers are labelled 0."""
-    groups = [[t.encode() for t in g] for g in GROUPS]
-    group_of = {t: g for g in groups for t in g}
-    out = []
-    for own, y in sentences:
+def others() -> dict[bytes, bytes]:
+    """Each identity term's stand-in: the next of its tuple, round."""
+    return {t.encode(): g[(k + 1) % len(g)].encode() for g in GROUPS for k, t in enumerate(g)}
+
+
+def difference(a: list[bytes], b: list[bytes]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The slots that only one of two sentences has."""
+    x, y = set(slots(a).tolist()), set(slots(b).tolist())
+    return tuple(sorted(x - y)), tuple(sorted(y - x))
+
+
+def swaps(sentences: Iterable[list[bytes]]) -> Counter:
+    """How often the swap of one identity term changes which slots, over all sentences and terms."""
+    stand_in, out = others(), Counter()
+    for own in sentences:
         for i, w in enumerate(own):
-            if (g := group_of.get(w)) and len(out) < most:
-                other = g[(g.index(w) + 1) % len(g)]
-                out.append((own, [*own[:i], other, *own[i + 1 :]], y))
-    for g in groups:
-        for k, t in enumerate(g):
-            for c in CARRIERS:
-                out.append((words(c.format(t.decode())), words(c.format(g[(k + 1) % len(g)].decode())), 0))
+            if other := stand_in.get(w):
+                out[difference(own, [*own[:i], other, *own[i + 1 :]])] += 1
     return out
 
 
+def carriers() -> list[list[bytes]]:
+    return [words(c.format(t)) for own, g in zip(CARRIERS, GROUPS, strict=True) for t in g for c in own]
+
+
 def telling(texts: list[np.ndarray], y: np.ndarray, least_chi: float) -> set[int]:
     """Slots whose texts have label 1 more often than chance allows (chi-square with Yates' correction, one-sided)."""
     if not len(y) or y.min() == y.max():
@@ -101,11 +122,11 @@ def telling(texts: list[np.ndarray], y: np.ndarray, least_chi: float) -> set[int
     return set(np.flatnonzero((chi >= least_chi) & (det > 0)).tolist())
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], pairing: float = 1.0, least_chi: float = 20.0, epochs: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 3) -> Model:
+def fit(texts: list[np.ndarray], y: np.ndarray, pairs: Counter, neutral: list[np.ndarray], pairing: float = 1.0, holding: float = 1.0, least_chi: float = 20.0, epochs: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 3) -> Model:
+    """AdaGrad on the loss above. Each step takes a batch of texts, as many carriers, and all swaps, weighted by their counts."""
     share = (y.sum() + 1) / (len(y) + 2)
     kept = telling(texts, y, least_chi)
-    terms = {s for a, b in pairs for s in (*a.tolist(), *b.tolist())}
-    at = np.array(sorted(kept | terms), np.int64)
+    at = np.array(sorted(kept | {s for a, b in pairs for s in (*a, *b)}), np.int64)
     model = Model(float(np.log(share / (1 - share))), at, np.zeros(len(at)))
     if len(y) < 4 or y.min() == y.max() or not len(at):
         return model
@@ -115,25 +136,31 @@ def fit(texts: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
         i[i == len(at)] = 0
         return i[at[i] == s]
 
-    rows, swapped = [own(t) for t in texts], [(own(a), own(b)) for a, b in pairs]
+    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    rows, still = [own(t) for t in texts], [own(t) for t in neutral]
+    sides = [(own(np.array(a, np.int64)), own(np.array(b, np.int64))) for a, b in pairs]
+    slot, pair = flat([np.concatenate(x) for x in sides]) if sides else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sign = np.concatenate([np.repeat((1.0, -1.0), (len(a), len(b))) for a, b in sides]) if sides else np.zeros(0)
+    times = np.array(list(pairs.values()), float)
+    times /= max(1.0, times.sum())
     rng, g, g0 = np.random.default_rng(seed), np.full(len(at), 1e-6), 1e-6
     weight = np.where(y == 1, min(4.0, 0.5 / share), 1.0)
     w, bias, batch = model.w, model.bias, 64
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        pair_order = rng.permutation(len(swapped))
-        for b, k in enumerate(range(0, len(order), batch)):
+        for k in range(0, len(order), batch):
             chosen = order[k : k + batch]
-            flat = np.concatenate([rows[i] for i in chosen])
-            doc = np.repeat(np.arange(len(chosen)), [len(rows[i]) for i in chosen])
-            z = bias + np.bincount(doc, w[flat], len(chosen))
-            error = weight[chosen] * (sigmoid(z) - y[chosen]) / len(chosen)
-            d = np.bincount(flat, error[doc], len(at)) + decay * w
-            for i in pair_order[(b * 16) % max(1, len(swapped)) :][:16]:
-                a, c = swapped[i]
-                gap = w[a].sum() - w[c].sum()
-                np.add.at(d, a, 2 * pairing * gap / 16)
-                np.add.at(d, c, -2 * pairing * gap / 16)
+            i, doc = flat([rows[j] for j in chosen])
+            error = weight[chosen] * (sigmoid(bias + np.bincount(doc, w[i], len(chosen))) - y[chosen]) / len(chosen)
+            d = np.bincount(i, error[doc], len(at)) + decay * w
+            if still:
+                drawn = rng.integers(0, len(still), batch)
+                i, doc = flat([still[j] for j in drawn])
+                d += holding * np.bincount(i, (sigmoid(bias + np.bincount(doc, w[i], batch)) / batch)[doc], len(at))
+            gap = np.bincount(pair, sign * w[slot], len(times)) * times
+            d += 2 * pairing * np.bincount(slot, sign * gap[pair], len(at))
             g += d * d
             w -= rate * d / np.sqrt(g)
             g0 += error.sum() ** 2
@@ -144,21 +171,29 @@ def fit(texts: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
 
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     short_batches(docs.sparkSession)
-    terms = {t.encode() for g in GROUPS for t in g}
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stand_in = others()
         for p in parts:
-            sentences = []
-            for t in p["text"]:
-                found = [words(s) for s in re.split(r"(?<=[.!?])\s+|\n", t or "")] if terms & set(words(t)) else []
-                sentences.append(b"\n".join(b" ".join(s) for s in found if terms & set(s)))
-            yield pd.DataFrame({"id": p["id"], "y": p["y"].astype("int64"), "at": [np.sort(slots(words(t))).astype("<i4").tobytes() for t in p["text"]], "said": sentences})
-
-    got = training_rows(docs, labels, "toxic", most_rows).mapInPandas(pack, "id long, y long, at binary, said binary").toPandas().sort_values(["id", "at"], kind="stable")
-    sentences = [(s.split(b" "), int(y)) for said, y in zip(got["said"], got["y"], strict=True) for s in said.split(b"\n") if s]
-    swapped = swaps(sentences)
-    texts = [np.frombuffer(a, "<i4").astype(np.int64) for a in got["at"]]
-    return fit(texts, got["y"].to_numpy(np.float64), [(slots(a), slots(b)) for a, b, _ in swapped])
+            out = []
+            for i, y, t in zip(p["id"].tolist(), p["y"].tolist(), p["text"].tolist(), strict=True):
+                own, there, changed = words(t), b"", Counter()
+                if not stand_in.keys().isdisjoint(own):
+                    there = np.sort(slots([stand_in.get(w, w) for w in own])).astype("<i4").tobytes()
+                    changed = swaps(words(s) for s in re.split(r"(?<=[.!?])\s+|\n", t))
+                out.append((i, int(y), np.sort(slots(own)).astype("<i4").tobytes(), there, pickle.dumps(sorted(changed.items()))))
+            yield pd.DataFrame(out, columns=["id", "y", "at", "swapped", "pairs"])
+
+    got = training_rows(docs, labels, "toxic", most_rows).mapInPandas(pack, "id long, y long, at binary, swapped binary, pairs binary").toPandas().sort_values(["id", "at"], kind="stable")
+    twice = got[got["swapped"].str.len() > 0]
+    texts = [np.frombuffer(a, "<i4").astype(np.int64) for a in (*got["at"], *twice["swapped"])]
+    y = np.concatenate((got["y"], twice["y"])).astype(np.float64)
+    neutral = carriers()
+    pairs = swaps(neutral)
+    for p in got["pairs"]:
+        for k, n in pickle.loads(p):
+            pairs[k] += n
+    return fit(texts, y, pairs, [slots(c) for c in neutral])
 
 
 def scored(df: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
