@@ -518,4 +518,6 @@ def probe_mlp(spark, sf):
     return probe.mlp_heads(featured(spark, sf), "qid", "embedding", ("pk", "ck"), "split", hidden=(64, 16), epochs=30)
 
 
-from . import stages as _stages  # noqa: E402, F401  the model stages, builders and reports, which register themselves
+# these register themselves
+from . import round_trips as _round_trips  # noqa: E402, F401  sinks, sources and streams
+from . import stages as _stages  # noqa: E402, F401  model stages, builders and reports

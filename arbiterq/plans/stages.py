@@ -330,3 +330,18 @@ def pooled_traces(spark, sf):
     own = I.traced(rows, I.Echo).join(rows, "qid")
     out = states.pooled_traces(own, states.Hashed)
     return out.select("qid", "side", "k", F.size("h_trace").alias("layers"), F.size(F.get("h_judge", F.lit(0))).alias("width"), F.round("p_a", 6).alias("p_a"), F.round("p_b", 6).alias("p_b"))
+
+
+@query()
+def config_sweep(spark, sf):
+    """Heads on a prior vector and a conditional one: the first of three, their mean, their maximum; the joint metrics of each."""
+    e = table(spark, sf, "embeddings")
+    three = e.withColumn("qid", F.floor(F.col("vec_id") / 3)).withColumn("k", F.col("vec_id") % 3)
+    whole = J.aligned(three, "qid", "k", 3)
+    first = whole.where("k = 0").select("qid", F.col("embedding").alias("k1"), "label")
+    mean, most = (V.pooled(whole, "qid", "embedding", how).withColumnRenamed("embedding", name) for how, name in (("avg", "mean3"), ("max", "max3")))
+    f, i = F.col("k1"), F.col("qid") % 10
+    own = first.join(mean, "qid").join(most, "qid").withColumns({"prior": F.slice("k1", 1, 8), "pk": (F.get(f, F.lit(0)) > 0).cast("int"), "ck": (F.get(f, F.lit(2)) > 0).cast("int"), "split": F.when(i < 7, "train").when(i < 8, "val").otherwise("test")})
+    scored, _ = probe.fit_grid(own, "qid", "split", [probe.Config(n, h, ("prior", v), "logreg") for n, v in (("K1", "k1"), ("mean3", "mean3"), ("max3", "max3")) for h in ("pk", "ck")])
+    rows = own.select("qid", F.expr("concat('C', pk, ck)").alias("oracle_cell"), F.array(F.lit("right")).alias("ground_truth"), F.when(F.col("pk") == 1, "right").otherwise("wrong").alias("pk_answer"), F.when(F.col("ck") == 1, "right").otherwise("other").alias("ck_answer"))
+    return probe.joint_grid(scored, rows, "qid")

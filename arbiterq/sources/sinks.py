@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: under ``spark.checkpoint.dir``; where that is unset, a temporary one, on one machine only."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
+        there = "file://" + tempfile.mkdtemp(prefix="arbiterq-")
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_rows(df: DataFrame, path: str, columns: list[str]) -> None:
     """JSON Lines in the given key order, nulls included, over whatever was there."""
     df.select(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
