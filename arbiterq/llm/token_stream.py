@@ -8,40 +8,61 @@ copy from a memory map. Beside it, ``NNNNN.docs.arrow`` has a row a document: do
 Files go to a folder that driver and executors share, through pyarrow's file systems, first under a name of the attempt and
 then by a rename: a task that runs twice leaves one whole file.
 
+A shard is a range of (doc_id, slice): a slice is one of SLICES classes of the text's hash, so that an id which a large part of all
+rows shares, null included, still spreads over shards and tasks. Shards hold about ``shard_bytes`` of text each, more only where the
+corpus would need over MOST_SHARDS of them; their bounds are the one thing that goes to the driver and to every task (16 MB at most).
+Shards go to tasks by number, so tasks are as even as shards.
+
 Defined results: null and empty texts are the end id alone; documents without an id come first; repeated rows are written
-each, in an order that depends on their texts alone; texts are encoded whole.
+each, in an order that depends on their texts alone; an empty table gives no file and no row; very long texts are encoded whole (a
+document may be larger than a shard's aim, but never leaves its shard); only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, short_batches, written
+from .common import documents, forget, scratch, short_batches, written
 
 LENGTH, BATCH, END, SHARD_BYTES, MOST_CACHED = 2048, 64, 2, 24 << 20, 1_000_000
+MOST_SHARDS, MOST_TASKS, SLICES = 1_000_000, 50_000, 4096
 
 
 #: Words whose lower case and composition no library disputes: Latin letters, then ASCII marks (no apostrophe, which may begin a contraction).
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
+#: The steps before a tokenizer's merges for which the chunk rule of ``Encoder`` holds, as its file writes them.
+CHUNK_RULE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
     """Ids of whole texts as bytes of the narrowest unsigned type that holds the vocabulary; equal to ``encode(text).ids``.
 
-    The tokenizer drops white space and never merges across it, nor between letters and marks. So a text's ids are those of its
-    chunks between ASCII white space, and a simple chunk's are those of its lower-cased word and of its marks. Both levels are
-    remembered as long as a worker process lives; each forgets all when it is full.
+    A tokenizer with the steps of CHUNK_RULE drops white space and never merges across it, nor between letters and marks. So a text's
+    ids are those of its chunks between ASCII white space, and a simple chunk's are those of its lower-cased word and of its marks. Both
+    levels are remembered as long as a worker process lives; each forgets all when it is full. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,36 +70,71 @@ class Encoder:
 
         self.own, self.seen, self.parts = Tokenizer.from_file(path), {}, {}
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
+        file = json.loads(self.own.to_str())
+        blank = any(set(t["content"]) & set(" \t\n\x0b\x0c\r") for t in file.get("added_tokens") or ())
+        suffix = file["model"].get("end_of_word_suffix")
+        self.by_chunks = not blank and bool(suffix) and all(file.get(k) == v for k, v in CHUNK_RULE.items())
+        self.ends = np.zeros(self.own.get_vocab_size(), bool)  # tokens that end a word
+        for token, i in self.own.get_vocab().items() if self.by_chunks else ():
+            self.ends[i] = token.endswith(suffix)
+
+    def whole(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 32):
+            for e in self.own.encode_batch_fast([t or "" for t in texts[at : at + 32]], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.seen) > MOST_CACHED:
-            self.seen.clear()
         if len(self.parts) > MOST_CACHED:
             self.parts.clear()
-        parts, cut, whole = self.parts, [], SIMPLE.fullmatch
+        parts, cut, simple, others, whole = self.parts, [], set(), set(), SIMPLE.fullmatch
         for c in chunks:
             t = c.decode()
             if m := whole(t):
                 w, marks = m.groups()
-                cut.append((c, w.lower(), marks))
+                w = w.lower()
+                cut.append((c, w, marks))
+                simple.add(w)
+                if marks:
+                    simple.add(marks)
             else:
                 cut.append((c, t, ""))
-        new = list({p for _, w, marks in cut for p in (w, marks) if p not in parts})
-        code = "H" if self.kind.itemsize == 2 else "I"
+                others.add(t)
+        self.words([p for p in simple if p not in parts])
+        self.each([p for p in others if p not in parts])
+        parts[""] = b""
+        seen = self.seen
+        for c, w, marks in cut:
+            seen[c] = parts[w] + parts[marks] if marks else parts[w]
+
+    def each(self, new: list[str]) -> None:
         for at in range(0, len(new), 4096):
             for p, e in zip(new[at : at + 4096], self.own.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                parts[p] = array(code, e.ids).tobytes()
-        for c, w, marks in cut:
-            self.seen[c] = parts[w] + parts[marks]
+                self.parts[p] = np.array(e.ids, self.kind).tobytes()
+
+    def words(self, new: list[str]) -> None:
+        """Parts of one word each, many in one text: a word ends with the first token that ends one."""
+        for at in range(0, len(new), 4096):
+            own = new[at : at + 4096]
+            ids = np.array(self.own.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(ends) != len(own):
+                self.each(own)
+                continue
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(own, ends.tolist(), strict=True):
+                self.parts[p] = raw[start:end]
+                start = end
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text. The new chunks of some texts are learnt at once."""
+        if not self.by_chunks:
+            yield from self.whole(texts)
+            return
         for at in range(0, len(texts), 32):
-            cut, new = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 32]], set()
-            known = self.seen if len(self.seen) <= MOST_CACHED else {}
-            for chunks in cut:
-                new.update(c for c in chunks if c not in known)
-            if new:
+            cut = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 32]]
+            if len(self.seen) > MOST_CACHED:
+                self.seen.clear()
+            if new := set().union(*cut).difference(self.seen):
                 self.learn(new)
             own = self.seen.__getitem__
             for chunks in cut:
@@ -147,36 +203,50 @@ class ShardWriter:
         self.to.close()
 
 
-def bounds(df: DataFrame, id_col: str, text: str, shard_bytes: int) -> np.ndarray:
-    """The least id of each shard but the first: ranges of ids of about equal text.
+def placing(id_: Column, text: Column) -> tuple[Column, Column]:
+    """(id, slice): the order of the documents before that of the texts themselves; a null id comes before all others."""
+    return F.coalesce(id_, F.lit(-(1 << 63))).alias("id"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(SLICES)).alias("slice")
 
-    They come from a pass over ids and lengths, and are one number for ``shard_bytes`` of text (at 100 TB some 4 million).
-    """
-    own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)) + 1).alias("b"))
-    sizes = own.where("id is not null").groupBy("id").agg(F.sum("b").alias("b"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(sizes.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "sizes")
-    totals = ranged.groupBy("part").agg(F.sum("b").alias("t"))
+
+def bounds(own: DataFrame, shard_bytes: int) -> np.ndarray:
+    """[id, slice] rows: the first place of each shard but the first, from a pass over ids, hashes and lengths; MOST_SHARDS rows at most."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    sizes = own.select(*placing(F.col("id"), F.col("text")), size.alias("b")).groupBy("id", "slice").agg(F.sum("b").alias("b"))
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(sizes.repartitionByRange(parts, "id", "slice").withColumn("part", F.spark_partition_id()), "sizes")
+    totals = ranged.groupBy("part").agg(F.sum("b").alias("t"))  # a row a partition
     before = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    aim = max(shard_bytes, math.ceil((totals.agg(F.sum("t")).first()[0] or 0) / MOST_SHARDS))
+    within = Window.partitionBy("part").orderBy("id", "slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.withColumn("own", F.coalesce(F.sum("b").over(within), F.lit(0))).join(before, F.col("part") == F.col("p"))
-    least = starts.groupBy(F.floor((F.col("own") + F.col("before")) / shard_bytes).alias("shard")).agg(F.min("id").alias("id"))
-    return np.sort(least.toPandas()["id"].to_numpy(np.int64))[1:]
+    least = starts.groupBy(F.floor((F.col("own") + F.col("before")) / aim).alias("shard")).agg(F.min(F.struct("id", "slice")).alias("at"))
+    got = least.select("at.*").toPandas().sort_values(["id", "slice"]).to_numpy(np.int64).reshape(-1, 2)[1:]
+    forget(ranged)
+    return got
+
+
+def shard_of(first: np.ndarray, ids: np.ndarray, slices: np.ndarray) -> np.ndarray:
+    """The number of the shard of each (id, slice)."""
+    low, out = np.searchsorted(first[:, 0], ids, side="left"), np.searchsorted(first[:, 0], ids, side="right")
+    for i in np.flatnonzero(low < out).tolist():  # an id at which shards begin
+        out[i] = low[i] + np.searchsorted(first[low[i] : out[i], 1], slices[i], side="right")
+    return out
 
 
 def write_stream(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", *, length: int = LENGTH, batch: int = BATCH, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards and gives their manifest: (shard, start, n_docs, n_ids); start: ids of all shards before."""
     short_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(bounds(df, id_col, text, shard_bytes))
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    sent = df.sparkSession.sparkContext.broadcast(bounds(own, shard_bytes))
     shards = len(sent.value) + 1
 
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(sent.value, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right"))
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, slices: pd.Series) -> pd.Series:
+        return pd.Series(shard_of(sent.value, ids.to_numpy(np.int64), slices.to_numpy(np.int64)).astype(np.int32))
 
-    placed = own.withColumn("shard", F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(F.coalesce("id", F.lit(0)))))
-    placed = placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    at, part = placing(F.col("id"), F.col("text"))
+    placed = own.withColumn("slice", part).withColumn("shard", place(at, F.col("slice")))
+    placed = placed.repartitionById(min(shards, MOST_TASKS), F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "slice", F.col("text").asc_nulls_first()).select("shard", "id", "text")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -208,6 +278,7 @@ def write_stream(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
             yield pd.DataFrame({"shard": [shard], "n_docs": [len(docs)], "n_ids": [at]})
 
     done = written(placed.mapInPandas(write, "shard long, n_docs long, n_ids long"), "manifest")
+    # a row a shard, MOST_SHARDS at most
     start = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return done.withColumn("start", start).select("shard", "start", "n_docs", "n_ids")
 
@@ -256,7 +327,8 @@ def read_stream(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(shard.ids(a, k).astype("<u4").tobytes()) for a, k in zip(start, n, strict=True)]
                 yield pd.DataFrame({"doc_id": ids, "start": np.array(start, np.int64) + base, "n_tokens": np.array(n, np.int64), "ids_crc32": np.array(crc, np.int64)})
 
-    return manifest.repartition(F.col("shard")).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.repartitionById(tasks, F.col("shard").cast("int")).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_stream(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
