@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed training bins.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all that its predecessor kept; ``run`` writes each result as Parquet
-into the shared folder and hands the reread table on. All but the last return the columns of documents as they came.
+into the shared folder, hands the reread table on, and deletes it once the next one is written. All but the last return the columns of
+documents as they came. Null texts and ids, repeated rows and empty tables are taken as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiterq.llm import best_fit, fair_mix, line_dedup, line_rules, simhash_vptree
-from arbiterq.llm.common import documents, fresh, n_words, written
+from arbiterq.llm.common import documents, forget, fresh, n_words, written
 
 
 def with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
@@ -26,10 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_text(out, docs.columns, F.col(f"{name}.clean_text"))
 
 
+#: Share of its words that a document must keep when lines that copy earlier ones go.
+LEAST_LEFT = 0.25
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that copy an earlier one go; a document of which nothing is left goes."""
+    """Lines that copy an earlier one go. A document that loses more than three quarters of its words goes whole: it is a near copy,
+    and what is left of it would no longer be found as one."""
     name = fresh(docs, "lines")
-    out = line_dedup.deduped(docs, name).where(F.col(f"{name}.text").rlike(r"[^\x20\x09-\x0D]"))
+    left = n_words(F.col(f"{name}.text"))
+    out = line_dedup.deduped(docs, name).where((left > 0) & (left >= F.lit(LEAST_LEFT) * n_words(F.col("text"))))
     return with_text(out, docs.columns, F.col(f"{name}.text"))
 
 
@@ -54,12 +61,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("simhash_near_dedup", near_dedup), ("fair_mix", mix), ("best_fit_packing", packing)]
 
-#: Fuzzy components and best-fit bins are beyond SQL; tests compare the stages with brute force.
+#: Fuzzy components and best-fit bins are beyond SQL; tests/llm/test_pipeline.py compares the rows of every stage with plain Python's.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, last = written(stage(spark, docs, sf_dir), f"stage-{name}"), before
+        if last is not None:
+            forget(last)
+        before = docs
     return docs
