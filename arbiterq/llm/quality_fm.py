@@ -7,8 +7,12 @@ Features of a text: hashed words (square root of the count, scaled to unit lengt
 statistics, and metadata of the record (buckets of its size in words, lines and characters). Labels, lang, source and doc_id are no features.
 The fit takes at most ``most_rows`` labelled rows in a hash order of their ids, and only their features come to the driver.
 
+Metadata are sizes that follow from the text itself: the record's other columns (lang, source, doc_id) are ruled out as inputs.
+
 Defined results: a null text scores as an empty one; empty texts have all-zero words and a size bucket of their own; labels that
-disagree about one id count by their least; with no label, or labels of one class alone, the score is the (smoothed) share of 1.
+disagree about one id count by their least; with no label, or labels of one class alone, the score is the (smoothed) share of 1; an
+empty table gives no row; repeated rows are scored each, and in the fit each copy of a labelled row counts; very long texts are read
+whole; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
