@@ -15,7 +15,7 @@ from ..operators import probe, states
 from ..operators import sampling as S
 from ..sources import records
 from . import twins as W
-from .bindings import featured, qa, routed, table
+from .bindings import featured, qa, table
 from .catalogue import query
 
 # ---- providers in SQL
