@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one where it is unset, on one machine only."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
         there = "file://" + tempfile.mkdtemp(prefix="arbiterq-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -31,20 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back (survives lost executors)."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    vars(out)["folder_of_own"] = path
+    return out
 
 
-def forget(*tables: DataFrame) -> None:
+def forget(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete tables that ``written`` made, once nothing will read them, and the shuffle files that nothing refers to any more."""
     for df in tables:
-        spark = df.sparkSession
-        for file in df.select(F.input_file_name().alias("f")).limit(1).collect():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file["f"]).getParent()
-            if folder.toString().startswith(shared_dir(spark).replace("file:///", "file:/")) or shared_dir(spark) in folder.toString():
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    if spark := SparkSession.getActiveSession():
-        spark.sparkContext._jvm.System.gc()  # Spark's cleaner deletes a shuffle when its handle is collected
+        dropped(df.sparkSession, vars(df)["folder_of_own"])
+    if shuffles:
+        gc.collect()
+        if spark := SparkSession.getActiveSession():
+            spark.sparkContext._jvm.System.gc()  # Spark's cleaner deletes a shuffle when its handle is collected
 
 
 def dropped(spark: SparkSession, folder: str) -> None:
@@ -58,6 +60,18 @@ def short_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slim() -> None:
+    """Called by a Python worker at the end of its task: gives back the memory that it holds for the next one, as idle workers stay alive."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

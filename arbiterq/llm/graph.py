@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(before, large, shuffles=False)
         before, state = state, _state(now)
         if before == state:
             break

@@ -1,7 +1,8 @@
 """Quality rules, line first: judge each line, take the failing ones out, then judge what is left of the document.
 
 ``judged(df)`` adds one struct column. Defined results: a null or blank text has no words and fails; white space is the
-six ASCII characters; repeated rows are judged alike; very long texts are read whole. Other columns pass through untouched.
+six ASCII characters; repeated rows are judged alike; very long texts are read whole; an empty table gives no row. Other columns pass
+through untouched, whatever their names. Boilerplate phrases are English, French, Spanish and German.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, short_batches
+from .common import SPACES, documents, short_batches, slim
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_bad_lines long, words_left long, kept boolean, clean_text string"
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "uses cookies", "accept cookies",
     "enable javascript", "click here", "subscribe to our", "sign up for", "log in to", "share on facebook", "share on twitter", "lorem ipsum", "copyright ©",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies", "partager sur facebook", "cliquez ici", "mentions légales",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies", "compartir en facebook", "haga clic aquí",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "auf facebook teilen", "hier klicken", "allgemeine geschäftsbedingungen",
 )
 NAVIGATION = re.compile(r"(?:\S+\s*[|»›·•]\s*){3,}|(?:\S+\s+>\s+){2,}")
 ENDS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
@@ -109,6 +113,7 @@ def judged(df: DataFrame, name: str, text: str = "text", rules: Rules = Rules(),
         for texts in parts:
             rows = [judge(t, rules) for t in texts]
             yield pd.DataFrame(rows if clean else [(*r[:-1], None) for r in rows], columns=names)
+        slim()
 
     return df.withColumn(name, run(F.col(f"`{text}`").cast("string")))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, short_batches, written
+from .common import documents, fresh, short_batches, slim, written
 from .graph import components
 
 SHARD, LEAF, SAMPLE = 16_384, 512, 20_000
@@ -63,6 +63,7 @@ def fingerprints(df: DataFrame, name: str, text: str = "text") -> DataFrame:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        slim()
 
     return df.withColumn(name, run(F.col(f"`{text}`").cast("string")))
 
