@@ -2,19 +2,28 @@
 
 1. Lines. A text is split at \\n; a line is compared lower-cased and without outer white space. Lines shorter than
    ``min_chars`` are copies only of equal lines: they say too little to be called near copies.
-2. Shingles: SHINGLE characters from every place of the line (units of UTF-16), so that every character of any script lies in one.
-3. Signatures: BANDS x ROWS minima of the shingles' hash under XOR with fixed constants (each a permutation of the hashes), as
-   plain aggregates by line, so equal lines are one row with a count before any band is dealt.
-   A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.85 with 0.9995.
-4. In each band's bucket all members are verified against the most frequent one, by exact Jaccard of the shingle sets (as hashes); those that
-   fail form the bucket's next round with a representative of their own, until no bucket has two left or ``STARS`` rounds are
-   done. Lines of one bucket that these stars leave in different components, passed or failed, are then compared with each other: in a small bucket pair by
-   pair, else by prefix filter: sets of n and m shingles at similarity t share one of the n - ceil(t n) + 1 rarest of either. So no pair of
-   a bucket that could join two components is left out, and no bucket has a cap.
+2. Similarity is the Jaccard similarity of the sets of all SHINGLE-character strings of two lines (units of UTF-16; sets of 64-bit
+   hashes), so that every character of any script counts. It is computed whole and exactly for every pair of step 4.
+3. Signatures find the pairs: BANDS x ROWS minima of the hashes of some shingles under XOR with fixed constants (each a permutation of the
+   hashes), as plain aggregates by line, so equal lines are one row with a count. Short lines, and those without spaces, give all their
+   shingles; longer ones those that start where a word starts: a sample by content, which an edit hits in the same proportion as all.
+   Lines near a limit are dealt on both sides of it, so that two alike lines never miss each other there.
+   A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.85 with 0.9995; the tests measure it.
+4. In each band's bucket the most frequent line is a centre; of the lines whose sketches (two bits of each minimum) leave no hope
+   that they are alike it, the most frequent is the next, and so on for CENTRES. Each line is verified with its centre. Then come the
+   pairs that this leaves open, those of which one line at least is not alike a centre: in buckets of up to FEW lines one by one, where
+   sketches leave hope. In larger ones they are found by
+   their differences from the centre: a line x that is not alike a line r can be alike a line y only if they differ from
+   r in some same shingle; were the symmetric differences D(x) and D(y) with r disjoint, x and y would have J(x, y) <= J(x, r).
+   Indeed they share (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 or more of them at similarity 0.8, so a prefix filter that asks for
+   SHARED of them finds every such pair. What x has and r lacks comes first in it, being rare: it costs little where a thousand variants of
+   one line differ each in its own way, or where lines of their own hold one common passage. Of these pairs each line's likeliest, by sketch, are verified first;
+   then all those that still join two components. No bucket has a cap.
 5. Distributed union-find; the first line of each component (least doc_id, then place in the text) stays.
 
 Defined results: a null text stays null; lines without words stay; equal rows (id and text) count as one document and get the
-same result; rows without an id come before others. Other columns pass through untouched.
+same result; rows without an id come before others; very long texts and lines are read whole; an empty table gives no row. Other columns
+pass through untouched, whatever their names. Lines are told apart by 64-bit hashes: of 10^11 different lines some 300 pairs pass as equal.
 """
 
 from __future__ import annotations
@@ -27,11 +36,19 @@ from pyspark.sql import functions as F
 from .common import documents, forget, fresh, written
 from .graph import components
 
-SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, STARS = 8, 8, 3, 0.8, 24, 3
-#: Lines of a bucket that are compared pair by pair.
-FEW = 32
-#: Rows of eight bytes that may be sent to every executor (16 MB).
-MOST_SENT = 2_000_000
+SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 8, 8, 3, 0.8, 24
+#: Characters up to which a line gives all its shingles, and from which those at the starts of words.
+SHORT, LONG = 96, 72
+#: Characters a word from which a line is also taken as one without spaces, and from which as that alone.
+WIDE, WIDEST = 10, 14
+#: Lines of a bucket that are compared pair by pair where its centres leave them apart, and the centres of a bucket.
+FEW, CENTRES = 32, 3
+#: Differences from a centre that two lines share at least before they are verified, or fewer if fewer prove the threshold possible.
+SHARED = 6
+#: Minima whose two bits may differ in a pair that is verified: at similarity 0.8 more do once in 20,000 times.
+MOST_ODD = 11
+#: Rows of some forty bytes that may be sent to every executor (20 MB).
+MOST_SENT = 500_000
 
 
 def plain(line: Column) -> Column:
@@ -48,9 +65,9 @@ def units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def places(u: Column) -> Column:
-    """Where the shingles of a line's units start: at every unit; a line shorter than a shingle is one."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(u) / 2 - SHINGLE).cast("int")))
+def last_place(u: Column) -> Column:
+    """Where the last shingle of a line's units starts; a line shorter than a shingle is one."""
+    return F.greatest(F.lit(0), (F.length(u) / 2 - SHINGLE).cast("int"))
 
 
 def shingle(u: Column, at: Column) -> Column:
@@ -58,8 +75,8 @@ def shingle(u: Column, at: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of a line's shingles, with repeats."""
-    return bound(units(line), lambda u: F.transform(places(u), lambda at: F.xxhash64(shingle(u, at))))
+    """The set of the hashes of a line's shingles."""
+    return F.array_distinct(bound(units(line), lambda u: F.transform(F.sequence(F.lit(0), last_place(u)), lambda at: F.xxhash64(shingle(u, at)))))
 
 
 def constant(i: int) -> int:
@@ -70,115 +87,191 @@ def constant(i: int) -> int:
     return x - 2**32 if x >> 31 else x
 
 
+def samples(lines: DataFrame) -> DataFrame:
+    """(h, kind, one, x): the hashes of the shingles that a line (h, line) gives; kind 0: all, 1: at the starts of words; one: 1 for the first."""
+    size, n = F.length("line"), F.size("words")
+    own = lines.select("h", "line", F.split("line", " ").alias("words"))
+    kinds = (F.when((size <= SHORT) | (size > WIDE * n), 0), F.when((size >= LONG) & (size < WIDEST * n), 1))
+    dealt = own.select("h", "line", "words", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    everything, at = F.col("kind") == 0, F.col("at")
+    dealt = dealt.select("h", "kind", "words", F.when(everything, units(F.col("line"))).alias("u"))
+    each = dealt.select("h", "kind", "words", "u", F.explode(F.sequence(F.lit(0), F.when(everything, last_place(F.col("u"))).otherwise(n - 1))).alias("at"))
+    start = F.left(F.concat(F.get("words", at), F.lit(" "), F.coalesce(F.get("words", at + 1), F.lit(""))), F.lit(SHINGLE))
+    return each.select("h", "kind", (at == 0).cast("int").alias("one"), F.when(everything, F.hash(shingle(F.col("u"), at))).otherwise(F.hash(start)).alias("x"))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, n, m0, m1, ...) of each different line."""
-    own = lines.select(F.xxhash64("line").alias("h"), units(F.col("line")).alias("u"))
-    each = own.select("h", "u", F.explode(places(F.col("u"))).alias("at")).select("h", (F.col("at") == 0).cast("int").alias("one"), F.hash(shingle(F.col("u"), F.col("at"))).alias("x"))
-    return each.groupBy("h").agg(F.sum("one").alias("n"), *(F.min(F.col("x").bitwiseXOR(F.lit(constant(i + 1)))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    """(h, kind, n, m0, m1, ...) of each different line; n: how often it occurs."""
+    return samples(lines).groupBy("h", "kind").agg(F.sum("one").alias("n"), *(F.min(F.col("x").bitwiseXOR(F.lit(constant(i + 1)))).alias(f"m{i}") for i in range(BANDS * ROWS)))
 
 
-def exploded(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(key, id, pos, line) of every line; key tells texts apart that share an id."""
-    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.split(F.col(f"`{text}`"), "\n").alias("ls")).where("ls is not null")
-    return own.select("key", "id", F.posexplode("ls").alias("pos", "line")).withColumn("line", plain(F.col("line")))
-
-
-def sent_or_joined(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """Left semi join; ``few`` is broadcast only if its size allows."""
-    few = few.select(on).distinct()
-    small = few.limit(MOST_SENT + 1).count() <= MOST_SENT
-    return df.join(F.broadcast(few) if small else few, on, "left_semi")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (h, rep, ...) with ``same``: whether the two shingle sets reach the threshold. ``sets``: (h, size) and the line,
-    from which the set is made where it is compared (the text is the smaller to send), or the set s."""
-    kind = "line" if "line" in sets.columns else "s"
-    own = (lambda c: shingles(F.col(c))) if kind == "line" else F.col
-    a, b = (sets.select(F.col("h").alias(key), F.col(kind).alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x, key in (("a", "h"), ("b", "rep")))
-    reached = bound(F.size(F.array_intersect(own("sa"), own("sb"))), lambda both: both >= threshold * (F.col("na") + F.col("nb") - both))
-    possible = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    return pairs.join(a, "h").join(b, "rep").withColumn("same", F.when(possible, reached).otherwise(False)).drop("sa", "sb", "na", "nb")
-
-
-def crowd(df: DataFrame) -> DataFrame:
-    """``df`` (band, h, n, ...) where a band has two lines or more, with its most frequent line as ``rep``."""
-    bucket = Window.partitionBy("band")
-    seen = df.withColumn("rep", F.max(F.struct("n", "h")).over(bucket)["h"]).withColumn("low", F.min("h").over(bucket)).withColumn("top", F.max("h").over(bucket))
-    return seen.where("low <> top").drop("low", "top")
-
-
-def prefix_links(sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all pairs of ``sets`` (h, and s or size and line) at the threshold or more, but for those of one component where ``sets`` has such a column c.
-    They share a shingle among the rarest of both; the pairs that do, and whose places allow the threshold, are verified."""
-    sets = sets if "c" in sets.columns else sets.withColumn("c", F.col("h"))
-    sets = sets if "size" in sets.columns else sets.withColumn("size", F.size("s"))
-    each = F.col("s") if "s" in sets.columns else F.array_distinct(shingles(F.col("line")))
-    own = sets.select("h", "c", "size", F.explode(each).alias("t"))
-    seen = own.groupBy("t").agg(F.count("*").alias("df"))
-    at = F.row_number().over(Window.partitionBy("h").orderBy("df", "t"))
-    few = own.join(seen, "t").withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).where("df > 1").select("h", "c", "t", "size", "at")
-    most = "(least(a.at, b.at) + least(a.size - a.at, b.size - b.at))"  # of what they can share, by the places of the one they do
-    near = F.expr(f"a.t = b.t and a.h > b.h and a.c <> b.c and {most} >= {threshold / (1 + threshold) - 1e-12!r} * (a.size + b.size)")
-    pairs = few.alias("a").join(few.alias("b"), near).select(F.col("a.h").alias("h"), F.col("b.h").alias("rep")).distinct()
-    return verified(pairs, sets, threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
-
-
-def crossing(buckets: DataFrame, stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all links between lines of one bucket (band, h) that ``stars`` (u, v) leave in different components. Buckets of
-    FEW lines or less are compared pair by pair, which is linear in the lines; larger ones by the prefix filter."""
-    own = buckets.select("band", "h").join(components(stars).withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("component", "h").alias("c"))
-    mixed = own.groupBy("band").agg(F.count("*").alias("lines"), F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top")
-    own = written(own.join(mixed.select("band", "lines"), "band"), "mixed")
-    few, many = own.where(F.col("lines") <= FEW), own.where(F.col("lines") > FEW).select("h", "c").distinct()
-    pairs = few.alias("a").join(few.alias("b"), F.expr("a.band = b.band and a.h > b.h and a.c <> b.c")).select(F.col("a.h").alias("h"), F.col("b.h").alias("rep")).distinct()
-    found = verified(pairs, sets, threshold).where("same").select(F.col("h").alias("u"), F.col("rep").alias("v"))
-    return found.unionByName(prefix_links(many.join(sets, "h"), threshold)) if many.limit(1).count() else found
+def sketch() -> Column:
+    """The two lowest bits of each minimum."""
+    out = F.lit(0).cast("long")
+    for i in range(BANDS * ROWS):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(3)).cast("long"), 2 * i))
+    return out
+
+
+def odd(a: Column, b: Column) -> Column:
+    """How many pairs of bits differ in two sketches."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def buckets(lines: DataFrame) -> DataFrame:
+    """(band, h, sketch, members, level, rep, odd_rep) of the lines that share a band; rep: the centre of the level, the first whose sketch leaves hope."""
+    bands = F.array(*(F.xxhash64("kind", F.lit(b), *(f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS))) for b in range(BANDS)))
+    dealt = signatures(lines).select("h", "n", sketch().alias("sketch"), F.explode(bands).alias("band"))
+    seen = dealt.withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1").withColumn("level", F.lit(0))
+    for level in range(CENTRES):  # no line leaves its band's task
+        seen = seen.withColumn("top", F.max(F.struct("n", "h", "sketch")).over(Window.partitionBy("band", "level"))).withColumn("odd_rep", odd(F.col("sketch"), F.col("top.sketch")))
+        if level < CENTRES - 1:
+            seen = seen.withColumn("level", F.col("level") + ((F.col("level") == level) & (F.col("odd_rep") > MOST_ODD)).cast("int"))
+    return seen.select("band", "h", "sketch", "members", "level", F.col("top.h").alias("rep"), "odd_rep")
+
+
+def joined_few(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Inner join with a table that has each key once; it is broadcast only if its size allows."""
+    return df.join(F.broadcast(few) if few.limit(MOST_SENT + 1).count() <= MOST_SENT else few, on)
+
+
+def with_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs`` (h, rep, ...) with the sets a and b of their shingles. ``lines``: (h, line), one row each. Sets are eight times the size
+    of lines, so lines meet their pairs, and sets are made there."""
+    la, lb = (lines.select(F.col("h").alias(key), F.col("line").alias(x)) for x, key in (("la", "h"), ("lb", "rep")))
+    both = pairs.join(la, "h").join(lb, "rep")
+    return both.withColumns({"a": shingles(F.col("la")), "b": shingles(F.col("lb"))}).drop("la", "lb")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (h, rep) of distinct lines with ``far``, the Jaccard distance of their shingle sets, and ``same``: whether their similarity
+    reaches the threshold."""
+    shared = with_sets(pairs, lines).select("h", "rep", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    either = F.col("sum") - F.col("both")
+    return shared.select("h", "rep", (1 - F.col("both") / either).alias("far"), (F.col("both") >= F.lit(threshold) * either).alias("same"))
+
+
+def hope(x: str = "x", y: str = "y") -> Column:
+    return odd(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= MOST_ODD
+
+
+def pair_of(x: str = "x", y: str = "y") -> tuple[Column, Column, Column]:
+    """(h, rep, far) of two rows, the greater line first."""
+    a, b = F.col(f"{x}.h"), F.col(f"{y}.h")
+    return F.greatest(a, b).alias("h"), F.least(a, b).alias("rep"), odd(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")).alias("far")
+
+
+def open_pairs(pairs: DataFrame, links_: DataFrame) -> DataFrame:
+    """The pairs (h, rep, far) whose lines are in different components of the links (h, rep)."""
+    of = written(components(links_.select(F.col("h").alias("u"), F.col("rep").alias("v"))), "of")
+    for key, c in (("h", "ch"), ("rep", "cr")):
+        pairs = pairs.join(of.select(F.col("node").alias(key), F.col("component").alias(c)), key, "left")
+    return pairs.where(F.coalesce("ch", "h") != F.coalesce("cr", "rep")).select("h", "rep", "far")
+
+
+def crossing(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(h, rep, far): pairs of lines that may be alike, and how far apart their sketches are, though at least one of them is not alike their common centre. stars: (h, rep, sketch, own,
+    same); lines that aren't the centre's own, but of a later level, are not alike it, and are not paired among themselves here.
+
+    A pair at the threshold t shares k or more of the shingles in which they differ from the centre r: with q = (1 - t) / (1 + t),
+    2k >= |D(x)| + |D(y)| - q (|x| + |y|). As |D(x)| >= |D(y)| - q (|x| + |y|) and |x| <= |y| / t, seen from any y
+    k >= |D(y)| - q (1 + 1 / t) |y|, and if |D(y)| <= |D(x)| even k >= |D(y)| - q (1 + 1 / t) |y| / 2. For x alike r and y not,
+    |D(y)| > q (|y| + |r|), so 2k > |D(x)| + q (|r| - |x|); for both not, k > q |r|. In any order of the shingles, the first
+    |D| - k + l of either hold l common ones, for any l up to k.
+    """
+    q = (1 - threshold) / (1 + threshold)
+    whole = stars.join(stars.where("not same").select("rep").distinct(), "rep", "left_semi")
+    keys = ("h", "rep", "sketch", "own", "same")
+    differ = F.concat(F.array_sort(F.array_except("a", "b")), F.array_sort(F.array_except("b", "a")))
+    each = with_sets(whole, lines).select(*keys, F.size("a").alias("nx"), F.size("b").alias("nr"), differ.alias("d")).withColumn("nd", F.size("d"))
+
+    def at_least(*k: Column) -> Column:
+        return F.greatest(F.lit(1), *(F.ceil(x - 1e-9) for x in k)).cast("int")
+
+    slack, other = F.lit(q * (1 + 1 / threshold)) * F.col("nx"), F.lit(q) * F.col("nr")
+    any_, alike = F.col("nd") - slack, (F.col("nd") + F.lit(q) * (F.col("nr") - F.col("nx"))) / 2
+    each = each.withColumns({"k": F.when(F.col("same"), at_least(alike)).otherwise(at_least(any_)), "large": at_least(any_, other), "small": at_least(F.col("nd") - slack / 2, other)})
+    first = {k: F.col("nd") - F.col(k) + F.least(F.col(k), F.lit(SHARED)) for k in ("k", "large", "small")}
+    counts = ("nd", "k", "large", "small")
+    dealt = each.select(*keys, *counts, F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), *first.values()))).alias("at", "t"))
+    dealt = written(dealt.select(*keys, *counts, "t", *((F.col("at") < n).alias(f"in_{k}") for k, n in first.items())), "differences")
+    met, shared = F.expr("x.rep = y.rep and x.t = y.t") & hope(), F.count("*") >= F.max("need")
+
+    def pairs(x: DataFrame, y: DataFrame, kx: str, ky: str, and_: str = "true") -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), met & F.expr(and_)).select(*pair_of(), F.col("x.rep").alias("centre"), F.least(F.lit(SHARED), f"x.{kx}", f"y.{ky}").alias("need"))
+        return both.groupBy("h", "rep", "centre").agg(F.max("far").alias("far"), shared.alias("enough")).where("enough").select("h", "rep", "far")
+
+    one = pairs(dealt.where("not same and in_k"), dealt.where("same and in_k"), "k", "k")
+    two = pairs(dealt.where("not same and in_small"), dealt.where("not same and in_large"), "small", "large", "(x.own or y.own) and (x.nd < y.nd or x.nd = y.nd and x.h < y.h)")
+    return one.unionByName(two).distinct()
 
 
 def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(u, v): verified links that span the components of ``lines`` (line)."""
+    """(u, v): verified links that span the components of ``lines`` (h, line)."""
     long_ = lines.where(F.length("line") >= min_chars)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS))) for b in range(BANDS)))
-    dealt = signatures(long_).select("h", "n", F.explode(bands).alias("band"))
-    buckets = left = written(crowd(dealt), "buckets")
+    own = written(buckets(long_), "buckets")
+    forget()
+    pairs = written(own.where((F.col("h") != F.col("rep")) & (F.col("odd_rep") <= MOST_ODD)).select("h", "rep").distinct(), "pairs")
+    needed = pairs.select("h").unionByName(pairs.select(F.col("rep").alias("h"))).unionByName(own.where("members > 2").select("h")).distinct()
+    texts = written(joined_few(long_.select("h", "line"), needed, "h").groupBy("h", "line").agg(F.lit(1)).select("h", "line"), "texts")
     forget()
-    sets = sent_or_joined(long_.select("line", F.xxhash64("line").alias("h")), left, "h").groupBy("h").agg(F.min("line").alias("line"))
-    sets = written(sets.select("h", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("size")), "sets")
-    found = []
-    for turn in range(STARS):
-        stars = written(verified(left.where("h <> rep").select("h", "rep").distinct(), sets, threshold), f"stars{turn}")
-        found.append(stars.where("same").select(F.col("h").alias("u"), F.col("rep").alias("v")))
-        failed = left.where("h <> rep").join(stars.where("not same").select("h", "rep"), ["h", "rep"], "left_semi").select("h", "n", "band")
-        left = written(crowd(failed), f"left{turn}")
-        if not left.limit(1).count():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.unionByName(crossing(buckets, out, sets, threshold))
+    found = written(verified(pairs, texts, threshold), "verified")
+    forget()
+    out = found.where("same")
+    same = F.coalesce(F.col("same"), F.col("h") == F.col("rep"))
+    apart = written(own.where("members > 2").join(found, ["h", "rep"], "left").withColumn("same", same).drop("odd_rep"), "apart")
+    if apart.where("not same or level > 0").limit(1).count():
+        small = apart.where(F.col("members") <= FEW)
+        # distances obey the triangle inequality: from one centre, two alike lines are about equally far
+        apart_enough = f"coalesce(x.rep = y.rep and abs(x.far - y.far) > {1 - threshold + 1e-9!r}, false)"
+        near = F.expr(f"x.band = y.band and x.h > y.h and not (x.rep = y.rep and x.same and y.same) and not {apart_enough}") & hope()
+        more = small.alias("x").join(small.alias("y"), near).select(*pair_of())
+        large = apart.where(F.col("members") > FEW)
+        if large.limit(1).count():
+            centres = large.select(F.col("band").alias("b"), F.col("level").alias("l"), "rep").distinct()
+            later = large.drop("rep").join(centres, F.expr("band = b and level > l")).select("h", "rep", "sketch", F.lit(False).alias("own"), F.lit(False).alias("same"))
+            stars = large.where("h <> rep").select("h", "rep", "sketch", F.lit(True).alias("own"), "same").unionByName(later)
+            stars = stars.groupBy("h", "rep").agg(F.max(F.struct("own", "same", "sketch")).alias("s")).select("h", "rep", "s.*")
+            more = more.unionByName(crossing(stars, texts, threshold))
+        known = found.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep"))
+        more = written(more.distinct().join(known, ["h", "rep"], "left_anti"), "crossing")
+        forget()
+        likely = more.groupBy("h").agg(F.min(F.struct("far", "rep")).alias("b")).select("h", "b.rep").unionByName(more.groupBy("rep").agg(F.min(F.struct("far", "h")).alias("b")).select("b.h", "rep")).distinct()
+        likely = written(verified(written(likely, "likely"), texts, threshold), "verified")
+        out = out.unionByName(likely.where("same"))
+        rest = written(open_pairs(more.join(likely.select("h", "rep"), ["h", "rep"], "left_anti"), out), "open")
+        out = out.unionByName(verified(rest.select("h", "rep"), texts, threshold).where("same"))
+    return out.select(F.col("h").alias("u"), F.col("rep").alias("v"))
+
+
+def exploded(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(key, id, pos, h, line) of every line that has words; key tells texts apart that share an id."""
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.split(F.col(f"`{text}`"), "\n").alias("ls")).where("ls is not null")
+    return own.select("key", "id", F.posexplode("ls").alias("pos", "line")).withColumn("line", plain(F.col("line"))).where("line <> ''").withColumn("h", F.xxhash64("line"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, id, gone): the places of the lines that go, for each document that has such lines."""
-    lines = exploded(df, id_col, text)
-    found = written(links(lines.select("line"), threshold, min_chars), "links")
-    forget()
-    named = components(found).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
-    at = written(lines.where(F.length("line") > 0).select("key", "id", "pos", F.xxhash64("line").alias("h")), "places")
-    per = at.groupBy("h").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.max(F.struct("id", "pos", "key")).alias("last"))
-    per = per.join(named, "h", "left").withColumn("c", F.coalesce("c", "h"))
-    groups = per.groupBy("c").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
-    several = written(per.join(groups.select("c", F.col("first").alias("stays")), "c").select("h", "stays"), "several")
+    lines = written(exploded(df, id_col, text), "lines")
+    named = components(written(links(lines, threshold, min_chars), "links")).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
     forget()
-    gone = at.join(several, "h").where(~F.struct("id", "pos", "key").eqNullSafe(F.col("stays")))
-    return gone.groupBy("key", "id").agg(F.collect_set("pos").alias("gone"))
+    at = lines.select("key", "id", "pos", "h")
+    often = at.groupBy("h").agg(F.count("*").alias("times")).join(named, "h", "left").where("times > 1 or c is not null")
+    often = written(often.select("h", F.coalesce("c", "h").alias("c")), "often")
+    again = written(joined_few(at, often, "h"), "again")
+    stays = again.groupBy("c").agg(F.min(F.struct("id", "pos", "key")).alias("stays"))
+    gone = joined_few(again, written(stays, "stays"), "c").where(~F.struct("id", "pos", "key").eqNullSafe(F.col("stays")))
+    out = written(gone.groupBy("key", "id").agg(F.collect_set("pos").alias("gone")), "gone")
+    forget(lines, often, again)
+    return out
 
 
 def deduped(df: DataFrame, name: str, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``df`` with a struct ``name``: text (what is left), n_lines, n_removed."""
     key, other, id_, gone = (fresh(df, stem) for stem in ("hash_of_text", "key_of_gone", "id_of_gone", "gone"))
     out = removed(df, id_col, text, threshold, min_chars).select(F.col("key").alias(other), F.col("id").alias(id_), F.col("gone").alias(gone))
+    out = F.broadcast(out) if (out.select(F.sum(F.size(gone) + 10)).first()[0] or 0) <= 4 * MOST_SENT else out  # numbers of four or eight bytes
     joined = df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))).join(out, (F.col(key) == F.col(other)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_)), "left")
     ls = F.split(F.col(f"`{text}`"), "\n")
     left = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(ls, lambda _, i: ~F.array_contains(gone, i)), "\n"))

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 from arbiterq.llm import hilbert_ann, line_dedup, line_rules
 
 
+def groups(pairs, nodes):
+    top = {n: n for n in nodes}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
 def prose(rng, n, size=6):
     return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(n)]
 
@@ -23,7 +37,7 @@ def n_removed(spark, texts):
 
 def one_bucket(lines):
     """Signatures that put all lines into one bucket of each band."""
-    return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"), *(F.lit(0).alias(f"m{i}") for i in range(line_dedup.BANDS * line_dedup.ROWS)))
+    return lines.groupBy("h").agg(F.lit(0).alias("kind"), F.count("*").alias("n"), *(F.lit(0).alias(f"m{i}") for i in range(line_dedup.BANDS * line_dedup.ROWS)))
 
 
 def test_a_line_that_failed_is_compared_with_those_that_passed(spark, monkeypatch):
@@ -33,11 +47,72 @@ def test_a_line_that_failed_is_compared_with_those_that_passed(spark, monkeypatc
     near = ["newone", "newtwo", *rep[2:]]
     far = [*near[:-2], "newsix", "newten"]  # like near, not like rep
     texts = [" ".join(ws) for ws in (rep, rep, rep, near, far, prose(rng, 40))]
-    for few in (32, 1):  # the second sends the bucket through the prefix filter
-        monkeypatch.setattr(line_dedup, "FEW", few, raising=False)
+    for few in (32, 1):  # the second sends the bucket through the differences
+        monkeypatch.setattr(line_dedup, "FEW", few)
         assert n_removed(spark, texts) == [0, 1, 1, 1, 1, 0]
 
 
+def shingle_set(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def alike(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, ws, times, new):
+    """Words replaced, left out or put in."""
+    ws = list(ws)
+    for _ in range(times):
+        at = rng.randrange(len(ws))
+        kind = rng.randrange(3)
+        ws[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice(new)]
+    return ws
+
+
+def test_differences_find_every_link_of_a_bucket(spark, monkeypatch):
+    """All pairs of one bucket by brute force; words are put in from a few, so that many lines share an edit."""
+    monkeypatch.setattr(line_dedup, "signatures", one_bucket)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    rng = random.Random(8)
+    base, new = prose(rng, 30), prose(rng, 6)
+    lines = sorted({" ".join(edited(rng, base, rng.randrange(7), new)) for _ in range(150)} | {" ".join(prose(rng, 30)) for _ in range(5)})
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line"))
+    name = {r["h"]: r["line"] for r in df.collect()}
+    got = [(name[r["u"]], name[r["v"]]) for r in line_dedup.links(df).collect()]
+    want = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if alike(a, b)]
+    assert all(alike(a, b) for a, b in got) and len(want) > 100 and groups(got, lines) == groups(want, lines)
+
+
+def test_bands_find_what_is_alike(spark):
+    """Recall over planted pairs of all lengths at 0.8 to 0.9, and no unlike line goes."""
+    rng = random.Random(9)
+    pairs = []
+    while len(pairs) < 600:
+        ws = prose(rng, rng.randrange(5, 90), rng.randrange(3, 9))
+        other = edited(rng, ws, rng.randrange(1, 1 + len(ws) // 8 + 1), prose(rng, 3))
+        a, b = " ".join(ws), " ".join(other)
+        x, y = shingle_set(a), shingle_set(b)
+        if min(len(a), len(b)) >= 24 and 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            pairs.append((a, b))
+    got = n_removed(spark, [t for p in pairs for t in p])
+    assert sum(got[::2]) == 0 and sum(got[1::2]) >= 0.985 * len(pairs)
+
+
+def test_a_chain_goes_whole(spark):
+    """150 groups of a line (five copies), one alike it, and one alike that alone."""
+    rng, texts = random.Random(10), []
+    for _ in range(150):
+        r = prose(rng, 30)
+        a = ["newone", "newtwo", *r[2:]]
+        b = [*a[:-2], "newsix", "newten"]
+        assert alike(" ".join(r), " ".join(a)) and alike(" ".join(a), " ".join(b)) and not alike(" ".join(r), " ".join(b))
+        texts += [" ".join(x) for x in (r, r, r, r, r, a, b)]
+    got = n_removed(spark, texts)
+    assert sum(got[0::7]) == 0 and sum(got[5::7]) >= 149 and sum(got[6::7]) >= 149
+
+
 def test_shingles_reach_every_character(spark):
     rng = random.Random(2)
     heads = prose(rng, 8, 8)
