@@ -16,9 +16,10 @@ WHERE = {
     "op7_best_fit": "best_fit",
     "op8_hilbert_ann": "hilbert_ann",
     "op10_simhash_vptree": "simhash_vptree",
+    "op12_interval_sweep": "interval_sweep",
 }
 #: those whose rows SQL can express, as the module's constant OPn_SQL
-SQL = ("op1_quality_rules", "op5_fair_mix")
+SQL = ("op1_quality_rules", "op5_fair_mix", "op12_interval_sweep")
 
 
 def queries() -> dict:
