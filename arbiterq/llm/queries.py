@@ -17,9 +17,10 @@ WHERE = {
     "op8_hilbert_ann": "hilbert_ann",
     "op10_simhash_vptree": "simhash_vptree",
     "op12_interval_sweep": "interval_sweep",
+    "op13_radix_audit": "radix_audit",
 }
 #: those whose rows SQL can express, as the module's constant OPn_SQL
-SQL = ("op1_quality_rules", "op5_fair_mix", "op12_interval_sweep")
+SQL = ("op1_quality_rules", "op5_fair_mix", "op12_interval_sweep", "op13_radix_audit")
 
 
 def queries() -> dict:
