@@ -16,6 +16,7 @@ WHERE = {
     "op7_best_fit": "best_fit",
     "op8_hilbert_ann": "hilbert_ann",
     "op10_simhash_vptree": "simhash_vptree",
+    "op11_improbable_digest": "improbable_digest",
     "op12_interval_sweep": "interval_sweep",
     "op13_radix_audit": "radix_audit",
 }
