@@ -1,152 +1,30 @@
-"""Model calls as DataFrame stages: distinct, anti-joined against what is done, batched, retried, dealt to keys.
+"""Model stages: what is asked, of which rows, and what becomes of the replies.
 
-A provider is any object with ``reply(prompts, call) -> list of Reply, str or None``; it is made once a task and may be called by
-several threads. A prompt is a list of (role, content). Providers run under ``mapInPandas``; prompts, parsing and labels are native columns.
-``Echo`` and ``Digest`` are deterministic stand-ins without a network, which SQL can say as well.
+Prompts, parsing and labels are native columns; the calls themselves are in ``calls``. Stages whose replies are used more than once,
+or paid for, go through a ledger: they call when they are built, each distinct call once, and read the replies back. It is a
+scratch folder, unless one that outlives the run is given.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import time
-from collections.abc import Callable, Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
-from typing import Protocol
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell, final_correct, needs_judge
 from ..functions.prompts import SHOTS, messages
 from ..functions.text import alias_match, col, first_line, gold_list, last_line, middle_truncate, now_iso, parse_judge, parse_true_false, question_hash, stripped, text
+from ..sources.sinks import scratch
+from .calls import ASKED, JUDGE_RETRY, Call, Digest, Echo, Http, Ledger, Policy, Prompt, Provider, Refused, Reply, Retry, generated
 
-Prompt = list[tuple[str, str]]
-
-
-@dataclass(frozen=True)
-class Call:
-    """What a provider is asked for; key: the account that the call goes by."""
-
-    model: str = "stub"
-    max_tokens: int = 64
-    temperature: float = 0.0
-    seed: int = 42
-    repetition: float = 1.0
-    key: str = ""
-
-
-@dataclass(frozen=True)
-class Reply:
-    text: str
-    prompt_tokens: int = 0
-    completion_tokens: int = 0
-    cost: float = 0.0
-
-
-class Provider(Protocol):
-    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]: ...
-
-
-class Echo:
-    """Replies with the prompt's last line that says something: not a bare label ("Answer:"), and without a label before it. At another
-    temperature than 0 its words come in the order of the md5 of seed and word."""
-
-    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]:
-        out: list[Reply | str | None] = []
-        for p in prompts:
-            lines = [s for s in p[-1][1].split("\n") if s.strip() and not re.fullmatch(r"\w+:\s*", s)]
-            words = re.sub(r"^\w+: ", "", (lines or [""])[-1]).split()[: call.max_tokens]
-            if call.temperature:
-                words.sort(key=lambda w: (hashlib.md5(f"{call.seed}:{w}".encode()).hexdigest(), w))
-            out.append(Reply(" ".join(words), sum(len(c.split()) for _, c in p), len(words)))
-        return out
-
-
-@dataclass
-class Digest:
-    """Replies with one of some words, by the first digit of the md5 of the last message."""
-
-    words: tuple[str, ...] = ("YES", "NO")
-
-    def reply(self, prompts: list[Prompt], call: Call) -> list[Reply | str | None]:
-        return [self.words[int(hashlib.md5(p[-1][1].encode()).hexdigest()[0], 16) * len(self.words) // 16] for p in prompts]
-
-
-class Refused(Exception):
-    """A provider's error; ``status`` decides whether to try again."""
-
-    def __init__(self, status: int, text: str = "") -> None:
-        super().__init__(text or str(status))
-        self.status = status
-
-
-@dataclass(frozen=True)
-class Retry:
-    """Tries again on 429, any 5xx and network errors, waiting first, 2 * first, ... up to most; other 4xx end at once, unless
-    every error is tried again."""
-
-    times: int = 4
-    first: float = 1.0
-    most: float = 30.0
-    every: bool = False
-
-    def __call__(self, call: Callable[[], list], sleep: Callable[[float], None] = time.sleep) -> tuple[list | None, str | None]:
-        error = None
-        for k in range(self.times + 1):
-            try:
-                return call(), None
-            except Refused as e:
-                error = f"ERROR: {e.status} {e}"
-                if not self.every and e.status != 429 and e.status < 500:
-                    break
-            except (OSError, TimeoutError) as e:
-                error = f"ERROR: {e}"
-            if k < self.times:
-                sleep(min(self.most, self.first * 2**k))
-        return None, error
-
-
-#: Of the judge: eight tries, waiting up to a minute.
-JUDGE_RETRY = Retry(times=7, first=1.0, most=60.0, every=True)
-
-
-@dataclass(frozen=True)
-class Policy:
-    """How calls are dealt: ``batch`` prompts each, round the keys, ``per_key`` at once by each; a model that is rate-limited for good is
-    replaced by its fallback, where it has one. A batch that is refused for a reason of its own is halved until the prompt at
-    fault stands alone."""
-
-    retry: Retry = Retry()
-    keys: tuple[str, ...] = ("",)
-    per_key: int = 1
-    batch: int = 32
-    fallback: Mapping[str, str] = field(default_factory=dict)
-
-    def limited(self, error: str | None) -> bool:
-        return bool(error) and bool(re.search(r"429|rate.limit|temporarily rate", error.lower()))
-
-    def ask(self, provider: Provider, prompts: list[Prompt], call: Call, sleep: Callable[[float], None] = time.sleep) -> list[tuple[Reply | None, str | None, str]]:
-        """(reply, error, model) of each prompt."""
-        got, error = self.retry(lambda: provider.reply(prompts, call), sleep)
-        if got is not None:
-            return [(r if isinstance(r, Reply) or r is None else Reply(r), None, call.model) for r in got]
-        if self.limited(error) and call.model in self.fallback:
-            return self.ask(provider, prompts, replace(call, model=self.fallback[call.model]), sleep)
-        if len(prompts) > 1 and re.match(r"ERROR: 4(?!29)", error or ""):
-            half = len(prompts) // 2
-            return self.ask(provider, prompts[:half], call, sleep) + self.ask(provider, prompts[half:], call, sleep)
-        return [(None, error, call.model)] * len(prompts)
-
+__all__ = ["ASKED", "JUDGE_RETRY", "Call", "Digest", "Echo", "Http", "Ledger", "Policy", "Prompt", "Provider", "Refused", "Reply", "Retry", "generated"]
 
 #: Trace number to temperature and seed, and the penalty on repetitions.
 TRACES = {1: (0.0, 42), 2: (0.7, 43), 3: (0.9, 44)}
 REPETITION = 1.05
 #: Fixed value: tokens of a prompt that a model takes.
 PROMPT_LIMIT = 4096
-ASKED = "reply string, error string, latency_sec double, prompt_tokens long, completion_tokens long, cost_usd double, model_used string, key_used string"
 
 
 def limited(x: Column, most: int = PROMPT_LIMIT) -> Column:
@@ -160,62 +38,37 @@ def asked(prompt: Column | str, most: int = PROMPT_LIMIT) -> Column:
     return F.transform(col(prompt), lambda m: F.struct(m["role"].alias("role"), limited(m["content"], most).alias("content")))
 
 
-def generated(df: DataFrame, prompt: str, make: Callable[[], Provider], model: str = "stub", max_tokens: int = 64, temperature: float = 0.0, seed: int = 42, repetition: float = 1.0, policy: Policy = Policy()) -> DataFrame:
-    """``df`` with the columns of ASKED; prompt: a text, or an array of messages. A prompt that fails for good has no reply and its error."""
-    fields = df.schema.fieldNames()
-    call = Call(model, max_tokens, temperature, seed, repetition)
-
-    def plain(p) -> Prompt:
-        return [("user", p or "")] if p is None or isinstance(p, str) else [(m["role"], m["content"] or "") for m in p]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
-        names = [c.split()[0] for c in ASKED.split(", ")]
-
-        def one(own: list[Prompt], key: str) -> list[tuple]:
-            began = time.time()
-            got = policy.ask(provider, own, replace(call, key=key))
-            took = (time.time() - began) / max(1, len(own))
-            return [(r.text if r else None, e, took, r.prompt_tokens if r else 0, r.completion_tokens if r else 0, r.cost if r else 0.0, m, key) for r, e, m in got]
-
-        pools = {k: ThreadPoolExecutor(policy.per_key) for k in policy.keys}  # so many calls at once by each key
-        turn = 0
-        for part in parts:
-            prompts, jobs = [plain(p) for p in part[prompt]], []
-            for at in range(0, len(prompts), policy.batch):
-                key = policy.keys[turn % len(policy.keys)]
-                jobs.append(pools[key].submit(one, prompts[at : at + policy.batch], key))
-                turn += 1
-            out = pd.DataFrame([r for j in jobs for r in j.result()], columns=names, index=part.index)
-            yield pd.concat([part[fields], out], axis=1)
+def kept(df: DataFrame, ledger: Ledger | None) -> Ledger:
+    return ledger or Ledger(scratch(df.sparkSession, "ledger"))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kinds}, {ASKED}")
 
-
-def memoised(rows: DataFrame, question: str, cache: DataFrame, make: Callable[[], Provider], **how) -> tuple[DataFrame, DataFrame]:
-    """(rows with pk_answer, new cache rows): each distinct question that the cache (question_hash, pk_answer) lacks is asked once."""
+def memoised(rows: DataFrame, question: str, cache: DataFrame, make: Callable[[], Provider], ledger: Ledger | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(rows with pk_answer, new cache rows): each distinct question that the cache (question_hash, pk_answer) lacks is asked once, before
+    this returns; both tables read the same replies."""
     distinct = rows.select(question_hash(question).alias("question_hash"), F.col(question).alias("question")).dropDuplicates(["question_hash"])
     fresh = distinct.join(cache.select("question_hash"), "question_hash", "left_anti").withColumn("prompt", asked(messages("pk", question="question")))
-    new = generated(fresh, "prompt", make, **how)
+    new = kept(rows, ledger).asked(fresh, "prompt", make, **how)
     new = new.select("question_hash", "question", F.coalesce("reply", F.lit("")).alias("pk_answer"), F.col("completion_tokens").cast("int").alias("pk_token_count"), F.col("model_used").alias("model_key"), now_iso().alias("extracted_at"))
     known = cache.select("question_hash", "pk_answer").unionByName(new.select("question_hash", "pk_answer"))
     return rows.withColumn("question_hash", question_hash(question)).join(known, "question_hash"), new
 
 
-def labelled(rows: DataFrame, cache: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
-    """rows (qid, question, ck_text, ground_truth) with both answers, both alias labels and the cell; no context: no call, no answer, wrong."""
-    pk, _ = memoised(rows, "question", cache, make, **how)
-    there = text("ck_text") != ""
-    said = generated(pk.where(there).withColumn("prompt", asked(messages("ck", context="ck_text", question="question"))), "prompt", make, **how)
-    with_context = said.withColumn("ck_answer", text("reply")).select(*pk.columns, "ck_answer")
-    out = with_context.unionByName(pk.where(~there).withColumn("ck_answer", F.lit("")))
+def labelled(rows: DataFrame, cache: DataFrame, make: Callable[[], Provider], ledger: Ledger | None = None, **how) -> DataFrame:
+    """rows (qid, question, ck_text, ground_truth) with both answers, both alias labels and the cell; no context: no call, no answer, wrong.
+
+    Each distinct question, and each distinct question with its context, is one call."""
+    own = kept(rows, ledger)
+    pk, _ = memoised(rows, "question", cache, make, own, **how)
+    prompt = F.when(text("ck_text") != "", asked(messages("ck", context="ck_text", question="question")))
+    with_context = rows.select("question", "ck_text").distinct().withColumn("prompt", prompt).where("prompt is not null")
+    said = own.asked(with_context, "prompt", make, **how).select(F.col("question").alias("__q"), F.col("ck_text").alias("__c"), "reply")
+    out = pk.join(said, F.col("question").eqNullSafe(F.col("__q")) & F.col("ck_text").eqNullSafe(F.col("__c")), "left").withColumn("ck_answer", text("reply")).select(*pk.columns, "ck_answer")
     out = out.withColumn("pk_correct", alias_match("pk_answer", "ground_truth")).withColumn("ck_correct", alias_match("ck_answer", "ground_truth"))
     return out.withColumn("cell", cell("pk_correct", "ck_correct")).drop("question_hash")
 
 
-def routed(df: DataFrame, method: str) -> DataFrame:
-    """df (pk_answer, ck_answer, reply) with final_answer and predicted_source, by method."""
+def routes(method: str) -> tuple[Column, Column]:
+    """The final answer and the predicted source of a row (pk_answer, ck_answer, reply), by method."""
     said = parse_true_false("reply")
     none = F.lit(None).cast("string")
     pk, ck = text("pk_answer"), text("ck_answer")
@@ -228,8 +81,7 @@ def routed(df: DataFrame, method: str) -> DataFrame:
         "explicit_scr": (last_line("reply"), none),
         "tacs_lr": (first_line("reply"), none),
     }
-    answer, source = by[method]
-    return df.withColumn("final_answer", answer).withColumn("predicted_source", source)
+    return by[method]
 
 
 #: The methods' names, and for those that ask a model the prompt and the tokens of its reply.
@@ -243,40 +95,55 @@ def method_prompt(name: str, context: str = "ck_text") -> Column:
     return asked(messages(name, shots=SHOTS.get(base, ()), question="question", context=context, pk_answer="pk_answer", ck_answer="ck_answer"))
 
 
-def filtered_then_answered(df: DataFrame, make: Callable[[], Provider], option: str = "", **how) -> DataFrame:
-    """Two calls: trust-filter the context, then answer from what is left; an empty filter keeps the context. Cost and latency add up,
-    the first error counts."""
-    first = generated(df.withColumn("prompt", method_prompt("filter")), "prompt", make, max_tokens=FILTER_TOKENS, **how)
-    kept = F.when(stripped("reply") == "", text("ck_text")).otherwise(stripped("reply"))
-    first = first.select(*df.columns, stripped("reply").alias("filtered_doc"), kept.alias("kept_doc"), *(F.col(c).alias(f"first_{c}") for c in ("error", "latency_sec", "cost_usd")))
-    both = generated(first.withColumn("prompt", method_prompt(f"direct{option}", "kept_doc")), "prompt", make, max_tokens=FILTERED_TOKENS, **how)
-    both = both.withColumns({"error": F.coalesce("first_error", "error"), "latency_sec": F.col("first_latency_sec") + F.col("latency_sec"), "cost_usd": F.col("first_cost_usd") + F.col("cost_usd")})
-    return routed(both, "tacs_lr").drop("prompt", "kept_doc", "first_error", "first_latency_sec", "first_cost_usd")
-
-
 def answered(rows: DataFrame, method: str, make: Callable[[], Provider], option: str = "", **how) -> DataFrame:
-    """rows (qid, dataset, question, ck_text, pk_answer, ck_answer) to a baseline's answers. option "+abstain": the model may say that it doesn't know."""
-    none = F.lit(None).cast("string")
-    if method == "tacs_lr":
-        own = filtered_then_answered(rows, make, option, **how)
-    elif method in ASKS:
-        name, most = ASKS[method]
-        own = routed(generated(rows.withColumn("prompt", method_prompt(f"{name}{option}")), "prompt", make, max_tokens=most, **how), method)
-    else:
-        own = routed(rows.withColumns({"reply": none, "error": none, "latency_sec": F.lit(0.0), "cost_usd": F.lit(0.0)}), method)
-    judges, speaks = method in ("internal_eval", "context_eval"), method in ("implicit_scr", "explicit_scr")
-    return own.select(
-        F.lit(method).alias("method"), "qid", F.lit(how.get("model", "stub")).alias("backbone"), "dataset", "final_answer", "predicted_source", (F.col("reply") if judges else none).alias("judge_response"),
-        (parse_true_false("reply") if judges else F.lit(None).cast("boolean")).alias("judge_decision"), (F.col("reply") if speaks else none).alias("raw_response"), (F.col("filtered_doc") if method == "tacs_lr" else none).alias("filtered_doc"),
-        (F.col("reply") if method == "tacs_lr" else none).alias("raw_answer_response"), "cost_usd", "latency_sec", "error", none.alias("reparsed_at"),
-    )
+    """One baseline's answers, as ``all_answered``."""
+    return all_answered(rows, make, (method,), option, **how)
 
 
-def all_answered(rows: DataFrame, make: Callable[[], Provider], methods: tuple[str, ...] = METHODS, **how) -> DataFrame:
-    out = answered(rows, methods[0], make, **how)
-    for m in methods[1:]:
-        out = out.unionByName(answered(rows, m, make, **how))
-    return out
+def all_answered(rows: DataFrame, make: Callable[[], Provider], methods: tuple[str, ...] = METHODS, option: str = "", ledger: Ledger | None = None, **how) -> DataFrame:
+    """rows (qid, dataset, question, ck_text, pk_answer, ck_answer) to the answers of each of ``methods``. option "+abstain": the model may say that it doesn't know.
+
+    One reading of the rows, exploded by method, and one stage of calls for all methods that ask; tacs_lr then asks again: the first call
+    filters the context, the second answers from what is left, an empty filter keeps the context, cost and latency add up, and the first
+    error counts. Rows with equal prompts share a call.
+    """
+    own, none = kept(rows, ledger), F.lit(None).cast("string")
+
+    def by_method(choose: Callable[[str], Column], of: tuple[str, ...] = methods) -> Column:
+        at = F.when(F.col("method") == of[0], choose(of[0]))
+        for m in of[1:]:
+            at = at.when(F.col("method") == m, choose(m))
+        return at
+
+    asking = tuple(m for m in methods if m in ASKS or m == "tacs_lr")
+    each = rows.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    silent = F.col("method").isin("closed_book", "dia")
+    replies = {"reply": none, "error": none, "latency_sec": F.lit(0.0), "cost_usd": F.lit(0.0)}
+    columns = [*rows.columns, "method", *replies]
+    out = None
+    if asking:
+        prompts = by_method(lambda m: method_prompt(f"{ASKS[m][0]}{option}" if m in ASKS else "filter"), asking)
+        most = by_method(lambda m: F.lit(ASKS[m][1] if m in ASKS else FILTER_TOKENS), asking)
+        out = own.asked(each.where(~silent).withColumn("prompt", prompts), "prompt", make, max_tokens=most, **how)
+        filtered = F.when(F.col("method") == "tacs_lr", stripped("reply"))
+        said = out.where("method <> 'tacs_lr'").select(*columns, none.alias("filtered_doc"))
+        if "tacs_lr" in methods:
+            first = out.where("method = 'tacs_lr'").select(*rows.columns, "method", filtered.alias("filtered_doc"), *(F.col(c).alias(f"first_{c}") for c in ("error", "latency_sec", "cost_usd")))
+            first = first.withColumn("kept_doc", F.when(F.col("filtered_doc") == "", text("ck_text")).otherwise(F.coalesce("filtered_doc", text("ck_text"))))
+            both = own.asked(first.withColumn("prompt", method_prompt(f"direct{option}", "kept_doc")), "prompt", make, max_tokens=FILTERED_TOKENS, **how)
+            sums = {"error": F.coalesce("first_error", "error"), "latency_sec": F.col("first_latency_sec") + F.col("latency_sec"), "cost_usd": F.col("first_cost_usd") + F.col("cost_usd")}
+            said = said.unionByName(both.withColumns(sums).select(*columns, "filtered_doc"))
+        out = said
+    if set(methods) & {"closed_book", "dia"}:
+        quiet = each.where(silent).withColumns(replies).select(*columns, none.alias("filtered_doc"))
+        out = quiet if out is None else out.unionByName(quiet)
+
+    judges, speaks = F.col("method").isin("internal_eval", "context_eval"), F.col("method").isin("implicit_scr", "explicit_scr")
+    return out.select(
+        "method", "qid", F.lit(how.get("model", "stub")).alias("backbone"), "dataset", by_method(lambda m: routes(m)[0]).alias("final_answer"), by_method(lambda m: routes(m)[1]).alias("predicted_source"),
+        F.when(judges, F.col("reply")).alias("judge_response"), F.when(judges, parse_true_false("reply")).alias("judge_decision"), F.when(speaks, F.col("reply")).alias("raw_response"), "filtered_doc",
+        F.when(F.col("method") == "tacs_lr", F.col("reply")).alias("raw_answer_response"), "cost_usd", "latency_sec", "error", none.alias("reparsed_at"),
+    )
 
 
 def judged(behaviour: DataFrame, gold: DataFrame, make: Callable[[], Provider], model: str = "judge", policy: Policy = Policy(retry=JUDGE_RETRY, batch=1)) -> DataFrame:
@@ -318,12 +185,10 @@ def traced(rows: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
     """(qid, side, k, temperature, seed, trace, n_tok): K traces for each side of each row; the seed and the temperature reach the provider."""
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), asked(messages(f"trace_{s.lower()}", question="question", context="ck_text")).alias("prompt")) for s in ("PK", "CK"))))
     own = rows.select("qid", sides.alias("x")).select("qid", "x.side", "x.prompt")
-    out = None
-    for k, (temperature, seed) in TRACES.items():
-        said = generated(own, "prompt", make, temperature=temperature, seed=seed, repetition=REPETITION, **how)
-        said = said.select("qid", "side", F.lit(k).alias("k"), F.lit(temperature).alias("temperature"), F.lit(seed).alias("seed"), F.col("reply").alias("trace"), F.col("completion_tokens").cast("int").alias("n_tok"))
-        out = said if out is None else out.unionByName(said)
-    return out
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("temperature"), F.lit(seed).alias("seed")) for k, (t, seed) in TRACES.items())))
+    own = own.select("qid", "side", "prompt", each.alias("t")).select("qid", "side", "prompt", "t.*")
+    said = generated(own, "prompt", make, temperature=F.col("temperature"), seed=F.col("seed"), repetition=REPETITION, **how)
+    return said.select("qid", "side", "k", "temperature", "seed", F.col("reply").alias("trace"), F.col("completion_tokens").cast("int").alias("n_tok"))
 
 
 #: Models that a run may name: key to layers and width.

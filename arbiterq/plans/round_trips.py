@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -94,3 +95,23 @@ def stream_appended(spark, sf):
     table(spark, sf, "lineitem").select(dataset.alias("dataset"), "l_quantity").repartition(3).write.json(f"{folder}/in")
     resume.appended(resume.records(spark, f"{folder}/in", "dataset STRING, l_quantity DOUBLE"), f"{folder}/out", f"{folder}/check", ("dataset",)).awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("dataset").agg(F.count_if(F.col("l_quantity") > 25).alias("n_large"), F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+hole AS (SELECT user_id, min(i) AS i FROM n WHERE (i * 7 + user_id) % 23 = 22 GROUP BY 1)
+SELECT n.user_id, n.i, n.event_id FROM n LEFT JOIN hole USING (user_id) WHERE hole.i IS NULL OR n.i < hole.i""")
+def stream_in_order(spark, sf):
+    """Events of a user that come in any order, some never: committed are those before the first hole, in batches and over a restart."""
+    folder, before = sinks.scratch(spark, "ordered"), spark.conf.get(resume.STORE[0], None)
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    own = table(spark, sf, "events").select("user_id", number.cast("long").alias("i"), "event_id").where("(i * 7 + user_id) % 23 <> 22")
+    own = own.repartition(4, F.md5(F.col("event_id").cast("string")))
+    spark.conf.set(*resume.STORE)
+    try:
+        for part in (0, 1):
+            own.where(F.crc32(F.col("event_id").cast("string").cast("binary")) % 2 == part).write.mode("append").json(f"{folder}/in")
+            stream = resume.ordered(resume.records(spark, f"{folder}/in", "user_id BIGINT, i BIGINT, event_id BIGINT", files=2), "user_id", "i")
+            resume.saved(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
+    finally:
+        spark.conf.set(resume.STORE[0], before) if before else spark.conf.unset(resume.STORE[0])
+    return spark.read.parquet(f"{folder}/out").select("user_id", "i", "event_id")

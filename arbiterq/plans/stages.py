@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import probe, states
 from ..operators import sampling as S
 from ..sources import records
+from ..sources.sinks import scratch
 from . import twins as W
 from .bindings import featured, qa, table
 from .catalogue import query
@@ -62,6 +63,17 @@ def infer_provider(spark, sf):
     return out.select("qid", F.md5("pk_answer").alias("pk_answer"), F.md5("ck_answer").alias("ck_answer"), "pk_correct", "ck_correct", "cell")
 
 
+@query(f"WITH {_ROWS}, q AS (SELECT DISTINCT question FROM rows), k AS (SELECT * FROM (VALUES (42), (43)) AS v(seed)) SELECT seed::INT AS seed, count(*) AS n, sum(len({_echo(_limited('question'), 8)}))::BIGINT AS completion_tokens FROM q, k GROUP BY 1")
+def call_ledger(spark, sf):
+    """Two seeds asked of every row through one ledger, twice: it has an entry a different question and seed."""
+    ledger, each = I.Ledger(scratch(spark, "ledger")), F.explode(F.array(F.lit(42), F.lit(43)))
+    own = _rows(spark, sf).select(I.limited(T.text("question")).alias("prompt"), each.alias("seed"))
+    for _ in range(2):
+        got = ledger.asked(own, "prompt", I.Echo, model=F.concat(F.lit("stub-"), F.col("seed").cast("string")), seed=F.col("seed"), max_tokens=8)
+    seeds = ledger.entries(spark).groupBy(F.substring("model_used", 6, 2).cast("int").alias("seed")).agg(F.count("*").alias("n"), F.sum("completion_tokens").alias("completion_tokens"))
+    return seeds.join(got.select("seed").distinct(), "seed")
+
+
 _SORTED = "list_transform(list_sort(list_transform({w}, lambda s: md5('{seed}:' || s) || s)), lambda s: s[33:])"
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.cells import cell
 
@@ -45,3 +47,92 @@ def running_cells(stream: DataFrame, pk: str, ck: str, name: str, checkpoint: st
 def windowed(stream: DataFrame, event_time: str, width: str, late: str, *keys: str) -> DataFrame:
     """Counts by tumbling window of the event time; rows later than ``late`` are left out."""
     return stream.withWatermark(event_time, late).groupBy(F.window(event_time, width), *keys).agg(F.count("*").alias("n"))
+
+
+#: What arbitrary state needs; ``ordered`` says so if another store is set.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+ORDERED = "ordinal long, value string, state string"
+
+
+class Prefix(StatefulProcessor):
+    """Commits the rows of a key by ordinal: what arrives early is kept until everything before it is there.
+
+    State of a key: the next ordinal, and the early rows by ordinal. Ordinals below the next one were committed and are left out, of
+    repeated ones the first counts. When a hole has stayed for ``patience_ms`` of processing time, a row with the state "hole" names
+    the ordinal that is missing, once; nothing is skipped."""
+
+    def __init__(self, key: str, key_type: str, first: int, patience_ms: int | None):
+        self.key, self.key_type, self.start, self.patience_ms = key, key_type, first, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "at long")
+        self.early = handle.getMapState("early", "ordinal long", "value string")
+        self.waits = handle.getValueState("waits", "due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [p[["ordinal", "value"]] for p in rows]
+        new = pd.concat(parts).drop_duplicates("ordinal").sort_values("ordinal", kind="stable")
+        at = before = self.next.get()[0] if self.next.exists() else self.start
+        done: list[tuple] = []
+        for ordinal, value in zip(new["ordinal"].tolist(), new["value"].tolist(), strict=True):
+            while ordinal > at and self.early.containsKey((at,)):
+                at = self.commit(at, self.early.getValue((at,))[0], done)
+            if ordinal == at:
+                kept = self.early.getValue((at,))[0] if self.early.containsKey((at,)) else value
+                at = self.commit(at, kept, done)
+            elif ordinal > at and not self.early.containsKey((ordinal,)):
+                self.early.updateValue((ordinal,), (value,))
+        while self.early.containsKey((at,)):
+            at = self.commit(at, self.early.getValue((at,))[0], done)
+        if at != before or not self.next.exists():
+            self.next.update((at,))
+        if self.patience_ms is not None:
+            self.watch(at != before, timerValues)
+        if done:
+            yield self.rows(key, done)
+
+    def commit(self, at: int, value: str, done: list[tuple]) -> int:
+        if self.early.containsKey((at,)):
+            self.early.removeKey((at,))
+        done.append((at, value, "committed"))
+        return at + 1
+
+    def watch(self, moved: bool, timerValues) -> None:
+        """A timer while early rows wait, begun anew when the prefix has grown; 0: the hole was named."""
+        waiting = next(iter(self.early.keys()), None) is not None
+        if self.waits.exists() and (moved or not waiting):
+            if due := self.waits.get()[0]:
+                self.handle.deleteTimer(due)
+            self.waits.clear()
+        if waiting and not self.waits.exists():
+            due = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+            self.handle.registerTimer(due)
+            self.waits.update((due,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waits.update((0,))
+        yield self.rows(key, [(self.next.get()[0], None, "hole")])
+
+    def rows(self, key: tuple, done: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(done, columns=["ordinal", "value", "state"])
+        out.insert(0, self.key, key[0])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def ordered(stream: DataFrame, key: str, ordinal: str, first: int = 0, patience_ms: int | None = None) -> DataFrame:
+    """(key, ordinal, the other columns, state) of a stream whose rows come in any order: of each key the contiguous run of ordinals from ``first`` on,
+    each row once, as soon as all before it have come. The rows of one key are one task's state, on disk (RocksDB)."""
+    spark = stream.sparkSession
+    if spark.conf.get(STORE[0], None) != STORE[1]:
+        raise RuntimeError(f"set {STORE[0]} to {STORE[1]} before a stream is ordered")
+    rest = [c for c in stream.columns if c not in (key, ordinal)]
+    kind = stream.schema[key].dataType.simpleString()
+    own = stream.select(F.col(key), F.col(ordinal).cast("long").alias("ordinal"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("value"))
+    timed = "ProcessingTime" if patience_ms is not None else "None"
+    out = own.where(F.col("ordinal").isNotNull()).groupBy(key).transformWithStateInPandas(Prefix(key, kind, first, patience_ms), f"`{key}` {kind}, {ORDERED}", "Append", timed)
+    back = F.from_json("value", StructType([stream.schema[c] for c in rest])).alias("v")
+    return out.select(key, F.col("ordinal").alias(ordinal), back, "state").select(key, ordinal, *(F.col("v")[c].alias(c) for c in rest), "state")
