@@ -1,7 +1,7 @@
 """Source divergence audit with mergeable radix tries: how far the words of one source are from those of another, and which words do it.
 
 1. Each task counts the words of its documents in byte tries, one a language, whose leaves have the number of documents and a counter for
-   each source. Equal words of a few thousand documents are summed first, so that each is walked down once. A trie of MOST_LEAVES leaves
+   each source. Equal words of a few thousand documents are summed first, and a trie is walked down once a new word. A trie of MOST_LEAVES leaves
    is written out and begun anew: memory is bounded, and a word may come out of a task more than once.
 2. A trie is written in the order of its bytes. The rows of all tries are dealt by ranges of (language, word): a range holds all there is
    below its prefixes, and the sorted rows are merged leaf by leaf. Words in fewer than ``least_docs`` documents are dropped here. What
@@ -19,6 +19,7 @@ as a document each; long texts are read whole, in pieces cut between words; an e
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,35 +34,51 @@ from .common import documents, forget, slim, written
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bytes of a text that are cut into words at once.
-PIECE = 1 << 20
-#: Different (source, word) combinations that are summed before they go into a trie, and leaves that a task's tries have at most.
-NURSERY, MOST_LEAVES = 150_000, 250_000
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of a text that are cut into words at once, and of texts whose words are summed before they go into the tries.
+PIECE, CHUNK = 1 << 20, 1 << 23
+#: Leaves of a task's tries, and parts of their counters, beyond which they are written out; cells of a table of counters.
+MOST_LEAVES, MOST_PARTS, DENSE = 400_000, 20_000, 1 << 24
 #: Words of a shard, and cells of a matrix that are worked on at once.
 SHARD, CELLS = 8192, 1 << 21
 SCALE = 1_000_000_000
 
 
 class Node:
-    __slots__ = ("label", "below", "docs", "counts")
+    __slots__ = ("label", "below", "leaf")
 
     def __init__(self, label: bytes):
-        self.label, self.below, self.docs, self.counts = label, {}, 0, None
+        self.label, self.leaf = label, -1
+        self.below: dict[int, Node] | None = None
 
 
 class Trie:
-    """A radix trie of byte strings; a leaf (any node with counts) has the number of documents and a counter by source."""
+    """A radix trie of byte strings; a leaf is a node with a number. Its counters are rows of columns: how many documents, and a number for each
+    source, are added up by leaf when the trie is written. ``at`` leads to the leaves that are there, so that the trie is walked down once a word."""
 
     def __init__(self) -> None:
-        self.root, self.leaves = Node(b""), 0
-
-    def leaf(self, term: bytes) -> Node:
+        self.root = Node(b"")
+        self.at: dict[bytes, int] = {}
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+
+    def leaves(self, terms: list[bytes]) -> np.ndarray:
+        """The numbers of the terms' leaves, made where they are lacking."""
+        there = self.at.get
+        out = [there(t, -1) for t in terms]
+        for i, leaf in enumerate(out):
+            if leaf < 0:
+                out[i] = self.insert(terms[i])
+        return np.array(out, np.int64)
+
+    def insert(self, term: bytes) -> int:
         node, i, n = self.root, 0, len(term)
         while i < n:
+            if node.below is None:
+                node.below = {}
             child = node.below.get(term[i])
             if child is None:
-                child = node.below[term[i]] = Node(term[i:])
-                node = child
+                node.below[term[i]] = node = Node(term[i:])
                 break
             label = child.label
             if not term.startswith(label, i):  # split the edge where the two part
@@ -69,24 +86,57 @@ class Trie:
                 while i + k < n and k < len(label) and term[i + k] == label[k]:
                     k += 1
                 upper = Node(label[:k])
-                child.label, upper.below[label[k]] = label[k:], child
+                child.label, upper.below = label[k:], {label[k]: child}
                 node.below[term[i]] = child = upper
                 label = child.label
             node, i = child, i + len(label)
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
-        return node
+        if node.leaf < 0:
+            node.leaf = self.at[term] = len(self.at)
+        return node.leaf
 
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
+    def walk(self) -> Iterator[tuple[bytes, int]]:
         """Leaves in the order of their bytes."""
         stack = [(b"", self.root)]
         while stack:
             prefix, node = stack.pop()
             term = prefix + node.label
-            if node.counts is not None:
-                yield term, node
-            stack.extend((term, node.below[b]) for b in sorted(node.below, reverse=True))
+            if node.leaf >= 0:
+                yield term, node.leaf
+            if node.below:
+                stack.extend((term, node.below[b]) for b in sorted(node.below, reverse=True))
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """ROW of all leaves in the order of their bytes."""
+        terms, leaves = [], []
+        for term, leaf in self.walk():
+            terms.append(term)
+            leaves.append(leaf)
+        place = np.empty(len(leaves), np.int64)
+        place[leaves] = np.arange(len(leaves))
+
+        def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            out = np.zeros(len(place), np.int64)
+            for leaf, n in parts:
+                np.add.at(out, place[leaf], n)
+            return out
+
+        docs, names = total(self.docs), sorted(self.counts)
+        sums = np.stack([total(self.counts[x]) for x in names], 1) if len(place) * len(names) <= DENSE else None
+        for lo in range(0, len(terms), 20_000):
+            hi = min(len(terms), lo + 20_000)
+            if sums is not None:
+                own = sums[lo:hi]
+            else:  # many sources: a window of leaves at a time
+                own = np.zeros((hi - lo, len(names)), np.int64)
+                for k, x in enumerate(names):
+                    for leaf, n in self.counts[x]:
+                        at = place[leaf]
+                        here = (at >= lo) & (at < hi)
+                        np.add.at(own[:, k], at[here] - lo, n[here])
+            row, col = np.nonzero(own)
+            ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(names, pa.string()).take(pa.array(col)), pa.array(own[row, col]))]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, hi - lo), pa.array(terms[lo:hi], pa.binary()), pa.array(docs[lo:hi]), *lists], schema=ROW)
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -104,53 +154,64 @@ ROW = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries of (lang, source, text: bytes), as rows of ROW in the order of their bytes."""
+    """Tries of (lang, source, text), as rows of ROW in the order of their bytes."""
     tries: dict[str, Trie] = defaultdict(Trie)
-    docs, counts, entries = defaultdict(Counter), defaultdict(Counter), 0
-
-    def settle() -> None:
-        for lang, own in docs.items():
-            trie = tries[lang]
-            for term, n in own.items():
-                trie.leaf(term).docs += n
-        for (lang, source), own in counts.items():
-            trie = tries[lang]
-            for term, n in own.items():
-                at = trie.leaf(term).counts
-                at[source] = at.get(source, 0) + n
-        docs.clear()
-        counts.clear()
+
+    def long_one(lang: str, source: str, text: bytes) -> None:
+        own: Counter[bytes] = Counter()
+        for words in terms(text):
+            own.update(words)
+        leaves = tries[lang].leaves(list(own))
+        tries[lang].docs.append((leaves, np.ones(len(leaves), np.int64)))
+        tries[lang].counts[source].append((leaves, np.array(list(own.values()), np.int64)))
+
+    def short_ones(langs: list[str], sources: list[str], texts: pa.Array) -> None:
+        """Words of all texts as numbers; equal ones are told apart by sorting, so that Python sees each word of a language once."""
+        lists = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=BETWEEN)
+        coded = lists.flatten().dictionary_encode()
+        words, code, row = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+        if b"" in words:  # before the first and after the last
+            there = code != words.index(b"")
+            code, row = code[there], row[there]
+        names, groups = ({x: i for i, x in enumerate(dict.fromkeys(of))} for of in (langs, zip(langs, sources, strict=True)))
+        lang_of, group_of = np.array([names[x] for x in langs], np.int64), np.array([groups[g] for g in zip(langs, sources, strict=True)], np.int64)
+        width = len(words)
+        once = np.unique(row * width + code)  # a text's different words
+        cell, n = np.unique(lang_of[once // width] * width + once % width, return_counts=True)
+        ends = np.searchsorted(cell, np.arange(len(names) + 1) * width)
+        leaf_of = {}
+        for lang, lo, hi in zip(names, ends, ends[1:], strict=False):
+            own = cell[lo:hi] % width
+            leaf_of[lang] = own, (leaves := tries[lang].leaves([words[k] for k in own.tolist()]))
+            tries[lang].docs.append((leaves, n[lo:hi]))
+        cell, n = np.unique(group_of[row] * width + code, return_counts=True)
+        ends = np.searchsorted(cell, np.arange(len(groups) + 1) * width)
+        for (lang, source), lo, hi in zip(groups, ends, ends[1:], strict=False):
+            own, leaves = leaf_of[lang]
+            tries[lang].counts[source].append((leaves[np.searchsorted(own, cell[lo:hi] % width)], n[lo:hi]))
 
     def rows() -> Iterator[pa.RecordBatch]:
         for lang, trie in sorted(tries.items()):
-            out: tuple[list, ...] = ([], [], [], [])
-            for term, leaf in trie.walk():
-                for column, x in zip(out, (term, leaf.docs, list(leaf.counts), list(leaf.counts.values())), strict=True):
-                    column.append(x)
-                if len(out[0]) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out[0]), pa.string()), *map(pa.array, out, ROW.types[1:])], schema=ROW)
-                    for column in out:
-                        column.clear()
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out[0]), pa.string()), *map(pa.array, out, ROW.types[1:])], schema=ROW)
+            yield from trie.rows(lang)
         tries.clear()
 
-    for batch in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own, here = counts[lang, source], set()
-            before = len(own)
-            for words in terms(text):
-                own.update(words)
-                here.update(words)
-            docs[lang].update(here)
-            entries += len(own) - before
-            if entries > NURSERY:
-                settle()
-                entries = 0
-                if sum(t.leaves for t in tries.values()) > MOST_LEAVES:
+    gc.disable()  # millions of nodes without cycles
+    try:
+        for batch in batches:
+            size, langs, sources = pc.binary_length(batch.column(2)).to_numpy(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in np.flatnonzero(size > PIECE).tolist():
+                long_one(langs[i], sources[i], batch.column(2)[i].as_py().encode())
+                if sum(len(t.at) for t in tries.values()) > MOST_LEAVES:
+                    yield from rows()
+            short = np.flatnonzero(size <= PIECE)
+            part = np.cumsum(size[short]) // CHUNK
+            for rows_ in np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else []:
+                short_ones([langs[i] for i in rows_], [sources[i] for i in rows_], batch.column(2).take(pa.array(rows_)))
+                if sum(len(t.at) for t in tries.values()) > MOST_LEAVES or sum(len(x) for t in tries.values() for x in t.counts.values()) > MOST_PARTS:
                     yield from rows()
-    settle()
-    yield from rows()
+        yield from rows()
+    finally:
+        gc.enable()
     slim()
 
 
@@ -280,7 +341,7 @@ def judged(kept: pa.Table, totals: pa.Table, most: int) -> pa.Table:
 def divergence(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = 3, most_terms: int = 200, shard: int = SHARD) -> DataFrame:
     """(lang, source, part, item, value, rank): part 'pair' ranks all other sources of the language, part 'term' at most ``most_terms`` words."""
     empty = F.lit("")
-    own = df.select(F.coalesce(F.col(f"`{lang}`"), empty).alias("lang"), F.coalesce(F.col(f"`{source}`"), empty).alias("source"), F.coalesce(F.col(f"`{text}`"), empty).cast("binary").alias("text"))
+    own = df.select(F.coalesce(F.col(f"`{lang}`"), empty).alias("lang"), F.coalesce(F.col(f"`{source}`"), empty).alias("source"), F.coalesce(F.col(f"`{text}`"), empty).alias("text"))
     leaves = written(own.mapInArrow(counted, "lang string, term binary, docs long, sources array<string>, counts array<long>"), "leaves")
     ranged = leaves.repartitionByRange("lang", "term").withColumn("range", F.spark_partition_id().cast("long")).sortWithinPartitions("lang", "term")
     kept = written(ranged.mapInArrow(lambda batches: merged(batches, least_docs, shard), "lang string, shard long, term binary, sources array<string>, counts array<long>"), "kept")

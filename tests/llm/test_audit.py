@@ -51,8 +51,8 @@ ODD = [(None, None, None), ("en", "empty", ""), ("zz", "alone", "one two one"),
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_plain_arithmetic(spark, small, monkeypatch):
     rows = some(300) + ODD * 3
-    if small:  # tries are written out every few documents, words of a shard and of a matrix are few
-        for name, value in (("NURSERY", 20), ("MOST_LEAVES", 30), ("CELLS", 64), ("PIECE", 7)):
+    if small:  # long texts are many, tries are written out every few documents, words of a shard and of a matrix are few
+        for name, value in (("CHUNK", 300), ("MOST_LEAVES", 30), ("DENSE", 100), ("CELLS", 64), ("PIECE", 70)):
             monkeypatch.setattr(A, name, value)
     df = spark.createDataFrame([(*r, 1) for r in rows], "lang string, source string, text string, term int").repartition(5)
     got = A.divergence(df, most_terms=7 if small else 200, shard=5 if small else A.SHARD).collect()
@@ -66,11 +66,19 @@ def test_empty_table(spark):
 def test_tries_hold_what_went_in(monkeypatch):
     rng = random.Random(3)
     words = [bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
-    trie = A.Trie()
-    for w in words:
-        trie.leaf(w).docs += 1
-    assert [(t, n.docs) for t, n in trie.walk()] == sorted(Counter(words).items())
-    assert trie.leaves == len(set(words))
+    trie, n = A.Trie(), Counter(words)
+    for part in (words[:1000], words[1000:]):
+        own = Counter(part)
+        leaves = trie.leaves(list(own))
+        trie.docs.append((leaves, np.array(list(own.values()))))
+        trie.counts["s" if len(part) == 1000 else "r"].append((leaves, np.array(list(own.values()))))
+    assert [t for t, _ in trie.walk()] == sorted(n) and set(trie.at) == set(words)
+    for dense in (A.DENSE, 0):
+        monkeypatch.setattr(A, "DENSE", dense)
+        rows = [r for b in trie.rows("x") for r in b.to_pylist()]
+        assert [(r["term"], r["docs"], sum(r["counts"])) for r in rows] == [(t, n[t], n[t]) for t in sorted(n)]
+        first = Counter(words[:1000])
+        assert all(dict(zip(r["sources"], r["counts"], strict=True)).get("s", 0) == first[r["term"]] for r in rows)
     monkeypatch.setattr(A, "PIECE", 5)
     text = "One twoé, THREE-four 5five".encode()
     assert [w for piece in A.terms(text) for w in piece] == A.TERM.findall(text.translate(A.LOWER))
