@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +58,28 @@ def span_mean(states: Column | str, start: Column | str, end: Column | str) -> C
     return F.transform(F.sequence(F.lit(0), width - 1), lambda i: total(F.transform(span, lambda v: F.get(v, i).cast("double"))) / F.size(span))
 
 
+def full(vec: Column | str) -> Column:
+    """Whether a vector is there and has no null component."""
+    return F.coalesce((F.size(col(vec)) > 0) & ~F.exists(col(vec), lambda x: x.isNull()), F.lit(False))
+
+
 def pooled(df: DataFrame, key: str, vec: str, how: str) -> DataFrame:
-    """(key, vec): element-wise ``how`` ('avg' or 'max') over each key's vectors; partial sums meet, never the vectors."""
-    by = df.select(key, F.posexplode(doubles(vec)).alias("at", "x")).groupBy(key, "at").agg(getattr(F, how)("x").alias("x"))
-    return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(vec))
+    """(key, vec): element-wise ``how`` ('avg' or 'max') over each key's vectors, of one length. Each task sums up a key's vectors in one
+    partial vector, and only those are shuffled. Vectors that are null or have a null component take no part; a key without others has null."""
+    one = {"avg": Summarizer.mean, "max": Summarizer.max}[how]
+    own = df.select(key, F.when(full(vec), array_to_vector(doubles(vec))).alias("v"))
+    by = own.where("v is not null").groupBy(key).agg(vector_to_array(one(F.col("v"))).alias(vec))
+    lacking = own.groupBy(key).agg(F.count("v").alias("n")).where("n = 0").select(key, F.lit(None).cast("array<double>").alias(vec))
+    return by.unionByName(lacking)
+
+
+def moments(df: DataFrame, vec: str) -> DataFrame:
+    """One row (n, mean, dev): element-wise mean and population deviation of the vectors of ``df``; no row without any."""
+    own = df.where(full(vec)).select(F.lit(1).alias("one"), array_to_vector(doubles(vec)).alias("v"))
+    s = own.groupBy("one").agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s"))
+    n = F.col("s.count")
+    spread = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return s.select(n.alias("n"), vector_to_array("s.mean").alias("mean"), spread.alias("dev"))
 
 
 def concatenated(df: DataFrame, key: str, k: str, vec: str) -> DataFrame:

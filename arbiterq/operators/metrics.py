@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import CELLS, agreed, cell, disagrees, flag, no_error
 from ..functions.text import alias_match, col, matches, stripped
+from ..functions.vector import moments
 from .order import running_total
 
 #: Counters of a cell.
@@ -201,8 +202,9 @@ def truncation(df: DataFrame, flag_: str, *keys: str) -> DataFrame:
 
 
 def standardised(df: DataFrame, vec: str, train: Column) -> DataFrame:
-    """``df`` with its vector column scaled by mean and population deviation of the rows where ``train`` holds; a constant stays 0."""
-    by = df.where(train).select(F.posexplode(vec).alias("at", "x")).groupBy("at").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("dev"))
-    row = by.agg(F.array_sort(F.collect_list(F.struct("at", "mean", "dev"))).alias("fit"))  # one row a dimension
-    scaled = F.transform(F.col(vec), lambda x, i: F.coalesce(F.try_divide(x.cast("double") - F.get(F.col("fit"), i)["mean"], F.get(F.col("fit"), i)["dev"]), F.lit(0.0)))
-    return df.crossJoin(F.broadcast(row)).withColumn(vec, scaled).drop("fit")
+    """``df`` with its vector column scaled by mean and population deviation of the rows where ``train`` holds; a constant is 0. Without
+    rows to fit on, every component is 0. The fit is one row."""
+    one = df.sparkSession.range(1).select(F.lit(1).alias("one"))
+    row = one.join(moments(df.where(train), vec), F.lit(True), "left").select(F.col("mean").alias("__mean"), F.col("dev").alias("__dev"))
+    scaled = F.transform(F.col(vec), lambda x, i: F.coalesce(F.try_divide(x.cast("double") - F.get("__mean", i), F.get("__dev", i)), F.lit(0.0)))
+    return df.crossJoin(F.broadcast(row)).withColumn(vec, scaled).drop("__mean", "__dev")

@@ -37,6 +37,9 @@ class Hashed:
 
     def __init__(self, layers: int = 4, width: int = 16, vocabulary: int = 1024) -> None:
         self.layers, self.width, self.vocabulary = layers, width, vocabulary
+        drawn = [[np.frombuffer(hashlib.shake_128(f"{layer}:{n}".encode()).digest(2 * width), "<i2") for n in range(vocabulary)] for layer in range(layers)]
+        x = np.array(drawn, np.float32)
+        self.states = x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-9)
 
     def tokens(self, text: str) -> list[int]:
         return [int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % self.vocabulary for t in text.split()]
@@ -45,8 +48,7 @@ class Hashed:
         states, logits = [], []
         for t in texts:
             own = self.tokens(t)[:MOST_TOKENS]
-            x = np.array([[np.frombuffer(hashlib.shake_128(f"{layer}:{n}".encode()).digest(2 * self.width), "<i2") for n in own] for layer in range(self.layers)], np.float32).reshape(self.layers, len(own), self.width)
-            states.append(x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-9))
+            states.append(self.states[:, own])
             logits.append(np.bincount(own, minlength=self.vocabulary).astype(np.float32))
         return states, logits
 

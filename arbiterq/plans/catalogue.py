@@ -15,6 +15,7 @@ from ..operators import build as B
 from ..operators import infer as I
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import order as O
 from ..operators import probe
 from ..operators import sampling as S
 from ..operators import validate
@@ -447,6 +448,17 @@ def vector_mean(spark, sf):
     return _rounded(V.pooled(table(spark, sf, "embeddings"), "label", "embedding", "avg"), "embedding")
 
 
+@query("""WITH p AS (SELECT user_id, event_id, value, row_number() OVER w AS place, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS former FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, value IS NOT NULL AND (former IS NULL OR value > former) AS improved FROM p),
+s AS (SELECT *, place - coalesce(max(CASE WHEN improved THEN place END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS since FROM i)
+SELECT user_id, event_id, place, greatest(former, value) AS best, improved, since,
+ coalesce(max((since >= 4)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM s""")
+def best_so_far(spark, sf):
+    """Events of a user as the trials of a search: the best so far, improvements, and where it would have stopped."""
+    out = O.best_so_far(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 4)
+    return out.select("user_id", "event_id", "place", "best", "improved", "since", "stopped")
+
+
 @query(_pool_sql("max"))
 def vector_max(spark, sf):
     return _rounded(V.pooled(table(spark, sf, "embeddings"), "label", "embedding", "max"), "embedding")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -335,13 +337,36 @@ def probe_grid(spark, sf):
     return probe.joint_grid(scored, rows, "qid")
 
 
-@query()
+def _ids(*words: str) -> str:
+    """The numbers that the encoder ``Hashed`` gives to words, as a set in SQL; told by the same rule, from the digits of their md5."""
+    return "(" + ", ".join(str(i) for i in sorted({int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little") % 1024 for w in words})) + ")"
+
+
+_DIGIT = "(strpos('0123456789abcdef', md5(t)[{}]) - 1)"
+_ID = f"(16 * {_DIGIT.format(1)} + {_DIGIT.format(2)} + 256 * ({_DIGIT.format(4)} % 4))"
+_A, _B = (tuple(w.strip() for w in states.CHOICES[c]) for c in "AB")
+
+
+def _mass(words: tuple[str, ...]) -> str:
+    return f"round((coalesce(sum(exp(c - m)) FILTER (id IN {_ids(*words)}), 0) + ({len(set(words))} - count(*) FILTER (id IN {_ids(*words)})) * exp(-any_value(m))) / (sum(exp(c - m)) + (1024 - count(*)) * exp(-any_value(m))), 6)"
+
+
+@query(f"""WITH {_ROWS}, p AS (SELECT qid, question, 'PK' AS side, {_echo(_limited('question'))} AS w, len({_WORDS.format("'Think step by step from memory, then answer.' || chr(10) || question")}) AS n_before FROM rows
+UNION ALL SELECT qid, question, 'CK', {_echo(_limited('ck_text || chr(10) || question'))}, len({_WORDS.format("'Think step by step with the passage, then answer.' || chr(10) || ck_text || chr(10) || question")}) FROM rows),
+k AS (SELECT * FROM (VALUES (1), (2), (3)) AS v(k)),
+t AS (SELECT qid, side, k, n_before, question, CASE k WHEN 1 THEN w WHEN 2 THEN {_SORTED.format(w='w', seed=43)} ELSE {_SORTED.format(w='w', seed=44)} END AS w FROM p, k),
+j AS (SELECT qid, side, k, len(w) > 0 AND n_before < 4096 AS there, list_concat({_WORDS.format('question')}, w, string_split('Does this reasoning lead to the right answer? A: yes. B: no. Choice:', ' '))[1:4096] AS ts FROM t),
+c AS (SELECT qid, side, k, {_ID} AS id, count(*) AS c FROM (SELECT qid, side, k, unnest(ts) AS t FROM j WHERE there) GROUP BY 1, 2, 3, 4),
+m AS (SELECT *, max(c) OVER (PARTITION BY qid, side, k) AS m FROM c),
+s AS (SELECT qid, side, k, {_mass(_A)} AS p_a, {_mass(_B)} AS p_b FROM m GROUP BY 1, 2, 3)
+SELECT j.qid, j.side, j.k::INT AS k, CASE WHEN there THEN 4 END AS layers, CASE WHEN there THEN 16 END AS width, p_a, p_b FROM j LEFT JOIN s USING (qid, side, k)""")
 def pooled_traces(spark, sf):
-    """The traces of a row by a deterministic encoder: sizes and probabilities."""
-    rows = _rows(spark, sf).where("qid % 10 = 0").select("qid", F.substring("question", 1, 200).alias("question"), F.substring("ck_text", 1, 200).alias("ck_text"))
-    own = I.traced(rows, I.Echo).join(rows, "qid")
+    """The traces of all rows by a deterministic encoder: sizes, and the probabilities of the two choices after each trace."""
+    rows = _rows(spark, sf)
+    own = I.traced(rows, I.Echo).join(rows.select("qid", T.text("question").alias("question"), T.text("ck_text").alias("ck_text")), "qid")
     out = states.pooled_traces(own, states.Hashed)
-    return out.select("qid", "side", "k", F.size("h_trace").alias("layers"), F.size(F.get("h_judge", F.lit(0))).alias("width"), F.round("p_a", 6).alias("p_a"), F.round("p_b", 6).alias("p_b"))
+    sizes = F.when(F.col("h_trace").isNotNull(), F.size("h_trace")), F.when(F.col("h_judge").isNotNull(), F.size(F.get("h_judge", F.lit(0))))
+    return out.select("qid", "side", "k", sizes[0].alias("layers"), sizes[1].alias("width"), F.round("p_a", 6).alias("p_a"), F.round("p_b", 6).alias("p_b"))
 
 
 @query()

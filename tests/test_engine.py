@@ -398,3 +398,31 @@ def test_validation_stops(spark):
     with pytest.raises(Exception, match="breaks"):
         validate.validated(bad).collect()
     assert validate.dataset_summary(bad).select(F.col("has_both")).first()[0] is False
+
+
+def test_vectors_are_summed_in_parts(spark):
+    rows = [("a", [1.0, -2.0]), ("a", [3.0, 5.0]), ("a", None), ("a", [None, 9.0]), ("b", [4.0, 4.0]), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v array<float>").repartition(3)
+    got = lambda how: {r["k"]: r["v"] for r in vector.pooled(df, "k", "v", how).collect()}
+    assert got("avg") == {"a": [2.0, 1.5], "b": [4.0, 4.0], "c": None} and got("max") == {"a": [3.0, 5.0], "b": [4.0, 4.0], "c": None}
+    plan = vector.pooled(df, "k", "v", "avg")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ObjectHashAggregate" in plan
+    scaled = metrics.standardised(df, "v", F.col("k") == "a").where("k = 'b'").first()["v"]
+    assert np.allclose(scaled, [(4 - 2) / 1, (4 - 1.5) / 3.5])
+    assert metrics.standardised(df, "v", F.col("k") == "c").where("k = 'b'").first()["v"] == [0.0, 0.0]
+
+
+def test_best_so_far(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i % 2}", i, None if i % 17 == 0 else float("nan") if i % 19 == 0 else float(x)) for i, x in enumerate(np.round(rng.normal(size=300), 1))]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    for ranges in (1, 16):
+        got = {r["i"]: r for r in order.best_so_far(df, ["k"], "i", "x", 5, ranges).collect()}
+        for k in ("k0", "k1"):
+            best, last, stopped = None, 0, False
+            for place, (_, i, x) in enumerate([r for r in rows if r[0] == k], 1):
+                improved = x is not None and x == x and (best is None or x > best)
+                best, last = (x, place) if improved else (best, last)
+                r = got[i]
+                assert (r["place"], r["best"], r["improved"], r["since"], r["stopped"]) == (place, best, improved, place - last, stopped)
+                stopped = stopped or place - last >= 5
