@@ -27,7 +27,8 @@ BOILERPLATE = (
     "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies", "compartir en facebook", "haga clic aquí",
     "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "auf facebook teilen", "hier klicken", "allgemeine geschäftsbedingungen",
 )
-NAVIGATION = re.compile(r"(?:\S+\s*[|»›·•]\s*){3,}|(?:\S+\s+>\s+){2,}")
+#: What a line is cut into to find navigation: a separator, white space, or other characters.
+BARS = re.compile(r"[|»›·•]|\s+|[^\s|»›·•]+")
 ENDS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
 
 
@@ -62,15 +63,38 @@ def repeat_words(words: list[bytes], k: int = 5) -> int:
     return covered
 
 
+def navigation(line: str) -> bool:
+    r"""Whether the line has ``(?:\S+\s*[|»›·•]\s*){3,}`` or ``(?:\S+\s+>\s+){2,}``, in time that grows with its length alone.
+
+    An item is some characters, then a separator, with white space around it or not. Kept is how many items in a row can have ended at the
+    latest just here (done), how many came before an item whose characters are being read (open), and before one that awaits its separator
+    behind white space (waits); a separator may end an item or be one of its characters."""
+    done, open_, waits = -1, -1, -1
+    for piece in BARS.findall(line):
+        if piece.isspace():
+            waits, open_ = max(open_, waits), -1
+        elif piece in "|»›·•":
+            done, open_, waits = max(open_, waits) + 1 if max(open_, waits) >= 0 else -1, max(open_, done, 0), -1
+            if done >= 3:
+                return True
+        else:
+            done, open_, waits = -1, max(open_, done, 0), -1
+    if ">" not in line:
+        return False
+    parts = line.split()
+    last = len(parts) - (0 if line[-1:].isspace() else 1)  # the last one has no white space behind it
+    return any(parts[i] == ">" and parts[i - 2] == ">" for i in range(3, last))
+
+
 def bad_line(line: str, words: list[str], rules: Rules, symbols: bool = True, phrases: tuple[str, ...] = BOILERPLATE) -> bool:
     """The rules for punctuation, navigation and boilerplate on one line that has words.
 
     symbols and phrases: what the whole document has of SYMBOLS and BOILERPLATE, so that no line is searched for the rest.
     """
     n = len(words)
-    if symbols and (sum(map(line.count, SYMBOLS)) >= rules.symbols_a_word * n or ("|" in line or ">" in line) and NAVIGATION.search(line)):
+    if symbols and (sum(map(line.count, SYMBOLS)) >= rules.symbols_a_word * n or ("|" in line or ">" in line) and navigation(line)):
         return True
-    if phrases and any(p in line.lower() for p in phrases) or any(c in line for c in "»›·•") and NAVIGATION.search(line):
+    if phrases and any(p in line.lower() for p in phrases) or any(c in line for c in "»›·•") and navigation(line):
         return True
     if n >= rules.long_line and (line.count("!") >= rules.bangs_a_word * n or sum(map(str.isupper, words)) > rules.upper_share * n):
         return True

@@ -11,7 +11,7 @@ Metadata are sizes that follow from the text itself: the record's other columns
 
 Defined results: a null text scores as an empty one; empty texts have all-zero words and a size bucket of their own; labels that
 disagree about one id count by their least; with no label, or labels of one class alone, the score is the (smoothed) share of 1; an
-empty table gives no row; repeated rows are scored each, and in the fit each copy of a labelled row counts; very long texts are read
+empty table gives no row; repeated rows are scored each, and in the fit a labelled row counts as often as it has copies; very long texts are read
 whole; other columns, whatever their names, pass through.
 """
 
@@ -77,15 +77,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int = 8, epochs: int = 12, rate: float = 0.08, decay: float = 1e-4, batch: int = 32, seed: int = 3) -> Model:
-    """AdaGrad on the logistic loss, in a fixed order of batches."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, copies: np.ndarray | None = None, k: int = 8, epochs: int = 12, rate: float = 0.08, decay: float = 1e-4, batch: int = 32, seed: int = 3) -> Model:
+    """AdaGrad on the logistic loss, in a fixed order of batches. A row of several copies counts as often."""
     rng = np.random.default_rng(seed)
-    share = (y.sum() + 1) / (len(y) + 2)
+    copies = np.ones(len(y)) if copies is None else copies
+    share = ((y * copies).sum() + 1) / (copies.sum() + 2)
     model = Model(float(np.log(share / (1 - share))), np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, k)))
     if len(y) < 4 or y.min() == y.max():
         model.v[:] = 0
         return model
-    weight = np.where(y == 1, 1.0, min(4.0, max(1.0, share / (1 - share))))  # label 0 is the rare one: errors there count as much in sum
+    weight = np.where(y == 1, 1.0, min(4.0, max(1.0, share / (1 - share)))) * copies  # label 0 is the rare one: errors there count as much in sum
     g0, gw, gv = 1e-8, np.full(SIZE, 1e-8), np.full((SIZE, k), 1e-8)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -112,10 +113,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int = 8, ep
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, y): at most ``most_rows`` labelled rows, none held out; the ids are chosen before any text is read."""
+    """(id, text, y, copies): at most ``most_rows`` different labelled rows, none held out, in a hash order of their ids; equal rows are one
+    with their number. The ids are chosen before any text is read, and texts by their hashes, so the bound holds for an id of any number of rows."""
     y = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"))
     chosen = y.join(docs.select(F.col(f"`{id_col}`").alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")  # most_rows bounds it
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))
+    kept = own.groupBy("id", "h").agg(F.count("*").alias("copies")).orderBy(F.xxhash64("id"), "id", "h").limit(most_rows)
+    one = own.join(F.broadcast(kept), ["id", "h"]).groupBy("id", "h", "y", "copies").agg(F.first("text").alias("text"))  # most_rows bounds what is sent
+    return one.select("id", "text", "y", "copies")
 
 
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -124,12 +129,12 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             f = [features(t) for t in p["text"]]
-            yield pd.DataFrame({"id": p["id"], "y": p["y"].astype("int64"), "at": [a.astype("<i4").tobytes() for a, _ in f], "x": [x.astype("<f4").tobytes() for _, x in f]})
+            yield pd.DataFrame({"id": p["id"], "y": p["y"].astype("int64"), "at": [a.astype("<i4").tobytes() for a, _ in f], "x": [x.astype("<f4").tobytes() for _, x in f], "copies": p["copies"]})
 
-    got = training_rows(docs, labels, "quality", most_rows).mapInPandas(pack, "id long, y long, at binary, x binary").toPandas()
+    got = training_rows(docs, labels, "quality", most_rows).mapInPandas(pack, "id long, y long, at binary, x binary, copies long").toPandas()
     got = got.sort_values(["id", "at"], kind="stable")  # the fit doesn't depend on the order of partitions
     rows = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(np.float64)) for a, x in zip(got["at"], got["x"], strict=True)]
-    return fit(rows, got["y"].to_numpy(np.float64))
+    return fit(rows, got["y"].to_numpy(np.float64), got["copies"].to_numpy(np.float64))
 
 
 def scored(df: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:

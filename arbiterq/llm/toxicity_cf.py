@@ -12,11 +12,11 @@ A text is the set of its lower-cased words without punctuation at their ends. Th
 
 A text's words, and stems and endings of five bytes, count only if label 1 is clearly more frequent among the fitted texts that
 have them (chi-square), so the noise of rare words has no weight. The fit takes at most
-``most_rows`` labelled rows in a hash order of their ids: that bounds what comes to the driver, hashed slots and counts, never texts.
+``most_rows`` different labelled rows in a hash order of their ids: that bounds what comes to the driver, hashed slots and counts, never texts.
 
 Defined results: null and empty texts have the score of no words; labels that disagree about one id count by their least; with labels
 of one class alone, or none, every text gets the (smoothed) share of 1; an empty table gives no row; repeated rows are scored each, and
-in the fit each copy of a labelled row counts; very long texts are read whole; other columns, whatever their names, pass through.
+in the fit a labelled row counts as often as it has copies; very long texts are read whole; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -63,8 +63,14 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in out if w]
 
 
+def slots_of(word: bytes) -> set[int]:
+    """A word's hashed slot, and those of the five-byte stem and ending of a longer one, which inflected forms share."""
+    parts = (word, word[:5] + b"-", b"-" + word[-5:]) if len(word) > 5 else (word,)
+    return {zlib.crc32(p) & (SIZE - 1) for p in parts}
+
+
 def slots(own: list[bytes]) -> np.ndarray:
-    """Distinct hashed words, and the five-byte stems and endings of longer ones, which inflected forms share."""
+    """Distinct slots of all words."""
     kinds = set(own)
     stems = {w[:5] + b"-" for w in kinds if len(w) > 5} | {b"-" + w[-5:] for w in kinds if len(w) > 5}
     single = {zlib.crc32(w) & (SIZE - 1) for w in kinds | stems}
@@ -88,19 +94,21 @@ def others() -> dict[bytes, bytes]:
     return {t.encode(): g[(k + 1) % len(g)].encode() for g in GROUPS for k, t in enumerate(g)}
 
 
-def difference(a: list[bytes], b: list[bytes]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """The slots that only one of two sentences has."""
-    x, y = set(slots(a).tolist()), set(slots(b).tolist())
-    return tuple(sorted(x - y)), tuple(sorted(y - x))
-
-
 def swaps(sentences: Iterable[list[bytes]]) -> Counter:
-    """How often the swap of one identity term changes which slots, over all sentences and terms."""
+    """How often the swap of one identity term changes which slots, over all sentences and terms: (those that go, those that come).
+
+    Only the slots of the two words can change, by how many of the sentence's different words have them; so a sentence takes time in proportion to its length."""
     stand_in, out = others(), Counter()
     for own in sentences:
-        for i, w in enumerate(own):
-            if other := stand_in.get(w):
-                out[difference(own, [*own[:i], other, *own[i + 1 :]])] += 1
+        if stand_in.keys().isdisjoint(own):
+            continue
+        times, have = Counter(own), Counter()
+        for w in times:
+            have.update(slots_of(w))
+        for w in times.keys() & stand_in.keys():
+            old, new = slots_of(w), slots_of(stand_in[w])
+            gone = () if times[w] > 1 else tuple(sorted(s for s in old - new if have[s] == 1))
+            out[gone, tuple(sorted(s for s in new if s not in have))] += times[w]
     return out
 
 
@@ -122,9 +130,27 @@ def telling(texts: list[np.ndarray], y: np.ndarray, least_chi: float) -> set[int
     return set(np.flatnonzero((chi >= least_chi) & (det > 0)).tolist())
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, pairs: Counter, neutral: list[np.ndarray], pairing: float = 1.0, holding: float = 1.0, least_chi: float = 20.0, epochs: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 3) -> Model:
-    """AdaGrad on the loss above. Each step takes a batch of texts, as many carriers, and all swaps, weighted by their counts."""
-    share = (y.sum() + 1) / (len(y) + 2)
+Flat = tuple[np.ndarray, np.ndarray]  # places in the weights, and the row that has them
+
+
+def gradient(w: np.ndarray, bias: float, texts: Flat, y: np.ndarray, weight: np.ndarray, neutral: Flat, n_neutral: int, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], times: np.ndarray, pairing: float, holding: float, decay: float) -> tuple[np.ndarray, float]:
+    """Of the loss by the weights, and by the bias (which the labelled texts alone move). swapped: places, pairs and signs of the slots that go (1) and come (-1)."""
+    i, doc = texts
+    error = weight * (sigmoid(bias + np.bincount(doc, w[i], len(y))) - y) / len(y)
+    d = np.bincount(i, error[doc], len(w)) + decay * w
+    if n_neutral:
+        i, doc = neutral
+        d += holding * np.bincount(i, (sigmoid(bias + np.bincount(doc, w[i], n_neutral)) / n_neutral)[doc], len(w))
+    slot, pair, sign = swapped
+    gap = np.bincount(pair, sign * w[slot], len(times)) * times
+    return d + 2 * pairing * np.bincount(slot, sign * gap[pair], len(w)), float(error.sum())
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, pairs: Counter, neutral: list[np.ndarray], copies: np.ndarray | None = None, pairing: float = 1.0, holding: float = 1.0, least_chi: float = 20.0, epochs: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 3) -> Model:
+    """AdaGrad on the loss above. Each step takes a batch of texts, as many carriers, and all swaps, weighted by their counts. A text of several
+    copies counts as often."""
+    copies = np.ones(len(y)) if copies is None else copies
+    share = ((y * copies).sum() + 1) / (copies.sum() + 2)
     kept = telling(texts, y, least_chi)
     at = np.array(sorted(kept | {s for a, b in pairs for s in (*a, *b)}), np.int64)
     model = Model(float(np.log(share / (1 - share))), at, np.zeros(len(at)))
@@ -136,7 +162,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, pairs: Counter, neutral: list[np
         i[i == len(at)] = 0
         return i[at[i] == s]
 
-    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(rows: list[np.ndarray]) -> Flat:
         return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
     rows, still = [own(t) for t in texts], [own(t) for t in neutral]
@@ -146,25 +172,18 @@ def fit(texts: list[np.ndarray], y: np.ndarray, pairs: Counter, neutral: list[np
     times = np.array(list(pairs.values()), float)
     times /= max(1.0, times.sum())
     rng, g, g0 = np.random.default_rng(seed), np.full(len(at), 1e-6), 1e-6
-    weight = np.where(y == 1, min(4.0, 0.5 / share), 1.0)
+    weight = np.where(y == 1, min(4.0, 0.5 / share), 1.0) * copies
     w, bias, batch = model.w, model.bias, 64
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             chosen = order[k : k + batch]
-            i, doc = flat([rows[j] for j in chosen])
-            error = weight[chosen] * (sigmoid(bias + np.bincount(doc, w[i], len(chosen))) - y[chosen]) / len(chosen)
-            d = np.bincount(i, error[doc], len(at)) + decay * w
-            if still:
-                drawn = rng.integers(0, len(still), batch)
-                i, doc = flat([still[j] for j in drawn])
-                d += holding * np.bincount(i, (sigmoid(bias + np.bincount(doc, w[i], batch)) / batch)[doc], len(at))
-            gap = np.bincount(pair, sign * w[slot], len(times)) * times
-            d += 2 * pairing * np.bincount(slot, sign * gap[pair], len(at))
+            drawn = flat([still[j] for j in rng.integers(0, len(still), batch)]) if still else (slot[:0], slot[:0])
+            d, d0 = gradient(w, bias, flat([rows[j] for j in chosen]), y[chosen], weight[chosen], drawn, batch if still else 0, (slot, pair, sign), times, pairing, holding, decay)
             g += d * d
             w -= rate * d / np.sqrt(g)
-            g0 += error.sum() ** 2
-            bias -= rate * error.sum() / np.sqrt(g0)
+            g0 += d0**2
+            bias -= rate * d0 / np.sqrt(g0)
     model.bias = float(bias)
     return model
 
@@ -176,15 +195,15 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
         stand_in = others()
         for p in parts:
             out = []
-            for i, y, t in zip(p["id"].tolist(), p["y"].tolist(), p["text"].tolist(), strict=True):
+            for i, y, t, n in zip(p["id"].tolist(), p["y"].tolist(), p["text"].tolist(), p["copies"].tolist(), strict=True):
                 own, there, changed = words(t), b"", Counter()
                 if not stand_in.keys().isdisjoint(own):
                     there = np.sort(slots([stand_in.get(w, w) for w in own])).astype("<i4").tobytes()
                     changed = swaps(words(s) for s in re.split(r"(?<=[.!?])\s+|\n", t))
-                out.append((i, int(y), np.sort(slots(own)).astype("<i4").tobytes(), there, pickle.dumps(sorted(changed.items()))))
-            yield pd.DataFrame(out, columns=["id", "y", "at", "swapped", "pairs"])
+                out.append((i, int(y), np.sort(slots(own)).astype("<i4").tobytes(), there, pickle.dumps(sorted((k, v * n) for k, v in changed.items())), n))
+            yield pd.DataFrame(out, columns=["id", "y", "at", "swapped", "pairs", "copies"])
 
-    got = training_rows(docs, labels, "toxic", most_rows).mapInPandas(pack, "id long, y long, at binary, swapped binary, pairs binary").toPandas().sort_values(["id", "at"], kind="stable")
+    got = training_rows(docs, labels, "toxic", most_rows).mapInPandas(pack, "id long, y long, at binary, swapped binary, pairs binary, copies long").toPandas().sort_values(["id", "at"], kind="stable")
     twice = got[got["swapped"].str.len() > 0]
     texts = [np.frombuffer(a, "<i4").astype(np.int64) for a in (*got["at"], *twice["swapped"])]
     y = np.concatenate((got["y"], twice["y"])).astype(np.float64)
@@ -193,7 +212,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
     for p in got["pairs"]:
         for k, n in pickle.loads(p):
             pairs[k] += n
-    return fit(texts, y, pairs, [slots(c) for c in neutral])
+    return fit(texts, y, pairs, [slots(c) for c in neutral], np.concatenate((got["copies"], twice["copies"])).astype(np.float64))
 
 
 def scored(df: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
