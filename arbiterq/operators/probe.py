@@ -85,24 +85,57 @@ def area(p: np.ndarray, y: np.ndarray) -> float:
     return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
 
 
+@dataclass
+class Training:
+    """A net's weights and the moments of Adam, after ``t`` steps."""
+
+    net: Mlp
+    params: list[np.ndarray]
+    m: list[np.ndarray]
+    v: list[np.ndarray]
+    t: int = 0
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in (*self.params, *self.m, *self.v)])
+
+    def load(self, flat: np.ndarray, t: int) -> None:
+        at = 0
+        for a in (*self.params, *self.m, *self.v):
+            a[...] = flat[at : at + a.size].reshape(a.shape)
+            at += a.size
+        self.t = t
+
+
+def start_of(net: Mlp) -> Training:
+    params = [*net.w, *net.b]
+    return Training(net, params, [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params])
+
+
+def epoch_of(state: Training, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, dropout: float, decay: float) -> None:
+    """One pass over the rows in batches, in an order and with a dropout drawn from ``rng``."""
+    state.net.rng = rng
+    for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // BATCH))):
+        state.t += 1
+        t = state.t
+        for k, g in enumerate(state.net.gradients(x[at], y[at], dropout)):
+            m, v, p = state.m[k], state.v[k], state.params[k]
+            m[...], v[...] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            p -= RATE * ((m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + decay * p)
+
+
 def fit_mlp(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: tuple[int, ...] = HIDDEN, epochs: int = EPOCHS, patience: int = PATIENCE, seed: int = 0, dropout: float = DROPOUT, decay: float = DECAY, score=None) -> tuple[Mlp, float]:
     """Trains until the validation score (AUROC if not given) has not risen for ``patience`` epochs; gives the best epoch's weights."""
     net = Mlp(x.shape[1], hidden, seed)
-    params = [*net.w, *net.b]
-    m, v = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
-    best, kept, since, t = -1.0, [a.copy() for a in params], 0, 0
-    for _ in range(epochs):
-        for at in np.array_split(net.rng.permutation(len(x)), max(1, -(-len(x) // BATCH))):
-            t += 1
-            for k, g in enumerate(net.gradients(x[at], y[at], dropout)):
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                params[k] -= RATE * ((m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * params[k])
+    state = start_of(net)
+    best, kept, since = -1.0, [a.copy() for a in state.params], 0
+    for k in range(epochs):
+        epoch_of(state, x, y, np.random.default_rng([seed, k, 0]), dropout, decay)
         now = (score or area)(net.forward(xv)[0], yv)
-        best, kept, since = (now, [a.copy() for a in params], 0) if now > best else (best, kept, since + 1)
+        best, kept, since = (now, [a.copy() for a in state.params], 0) if now > best else (best, kept, since + 1)
         if since >= patience:
             break
-    for a, k in zip(params, kept, strict=True):
-        a[...] = k
+    for a, own in zip(state.params, kept, strict=True):
+        a[...] = own
     return net, best
 
 

@@ -16,7 +16,7 @@ from ..operators import infer as I
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import order as O
-from ..operators import probe
+from ..operators import parallel, probe
 from ..operators import sampling as S
 from ..operators import validate
 from ..sources import records, sinks
@@ -518,6 +518,27 @@ def reparse_stats(spark, sf):
 # ---- models: rows-only checks
 
 
+def _descent(steps: int, rate: float, hold: float, width: int) -> str:
+    """Full-batch steps of logistic regression on the first components of each vector, a common table a step."""
+    x = [f"embedding[{i + 1}]::DOUBLE" for i in range(width)]
+    out = f"WITH d AS (SELECT {', '.join(f'{e} AS x{i}' for i, e in enumerate(x))}, (embedding[1] + embedding[2] > 0)::INT::DOUBLE AS y FROM embeddings), w0 AS (SELECT {', '.join(f'0::DOUBLE AS w{i}' for i in range(width + 1))})"
+    for k in range(steps):
+        z = " + ".join([*(f"x{i} * w{i}" for i in range(width)), f"w{width}"])
+        ups = [f"any_value(w{i}) - {rate} * (sum((p - y) * x{i}) + {hold if i < width else 0} * any_value(w{i})) / count(*) AS w{i}" for i in range(width)]
+        ups.append(f"any_value(w{width}) - {rate} * sum(p - y) / count(*) AS w{width}")
+        out += f", w{k + 1} AS (SELECT {', '.join(ups)} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM d, w{k}))"
+    return out + f" SELECT {', '.join(f'round(w{i}, 6) AS w{i}' for i in range(width + 1))} FROM w{steps}"
+
+
+@query(_descent(5, 2.0, 0.5, 4))
+def logistic_steps(spark, sf):
+    """Weights of a head after five full-batch steps over all rows, summed up task by task."""
+    f = F.col("embedding")
+    own = table(spark, sf, "embeddings").select(F.slice(f, 1, 4).alias("v"), (F.get(f, F.lit(0)) + F.get(f, F.lit(1)) > 0).cast("int").alias("y"))
+    model = parallel.fit_logistic(own, "v", "y", c=2.0, steps=5, rate=2.0)
+    return spark.createDataFrame([[round(float(w), 6) for w in model.w]], ", ".join(f"w{i} double" for i in range(5)))
+
+
 @query()
 def probe_lr(spark, sf):
     data = featured(spark, sf)

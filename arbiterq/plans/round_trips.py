@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..operators import metrics as M
-from ..sources import records, sinks
+from ..sources import records, sinks, versions
 from ..streaming import resume
 from . import twins as W
 from .bindings import qa, routed, table
@@ -115,3 +117,38 @@ def stream_in_order(spark, sf):
     finally:
         spark.conf.set(resume.STORE[0], before) if before else spark.conf.unset(resume.STORE[0])
     return spark.read.parquet(f"{folder}/out").select("user_id", "i", "event_id")
+
+
+@query(f"WITH {W.QA}, b AS (SELECT CASE WHEN qid % 3 = 0 THEN NOT pk_alias ELSE pk_alias END AS pk, CASE WHEN qid % 5 = 0 THEN false ELSE ck_alias END AS ck FROM qa WHERE pk_alias IS NOT NULL) SELECT {W.cell('pk', 'ck')} AS cell, count(*) AS n FROM b GROUP BY 1")
+def stream_corrected(spark, sf):
+    """Counts of the cells over a stream of labels and later corrections, which come in any order: a label that a correction turns is taken back."""
+    folder, before = sinks.scratch(spark, "corrected"), spark.conf.get(resume.STORE[0], None)
+    labels = qa(spark, sf).where("pk_alias is not null").select("qid", "pk_alias", "ck_alias")
+    pk = F.when(F.col("qid") % 3 == 0, ~F.col("pk_alias")).otherwise(F.col("pk_alias"))
+    ck = F.when(F.col("qid") % 5 == 0, F.lit(False)).otherwise(F.col("ck_alias"))
+    first, then = labels.withColumn("at", F.lit(1)), labels.where("qid % 3 = 0 or qid % 5 = 0").withColumns({"pk_alias": pk, "ck_alias": ck, "at": F.lit(2)})
+    both = first.unionByName(then).repartition(4, F.crc32(F.concat_ws(":", "qid", "at").cast("binary")))
+    spark.conf.set(*resume.STORE)
+    try:
+        both.write.json(f"{folder}/in")
+        stream = resume.records(spark, f"{folder}/in", "qid BIGINT, pk_alias BOOLEAN, ck_alias BOOLEAN, at BIGINT", files=2)
+        deltas = resume.corrected(stream, "qid", "at", C.cell("pk_alias", "ck_alias"))
+        resume.saved(deltas, f"{folder}/out", f"{folder}/check").awaitTermination()
+    finally:
+        spark.conf.set(resume.STORE[0], before) if before else spark.conf.unset(resume.STORE[0])
+    return spark.read.parquet(f"{folder}/out").groupBy("cell").agg(F.sum("delta").alias("n")).where("n <> 0")
+
+
+@query("SELECT o_orderpriority AS dataset, sum(CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 1 END)::BIGINT AS n FROM orders GROUP BY 1")
+def two_writers(spark, sf):
+    """Two writers add their half of the orders to one table at once, each to a count that it has read; versions keep both."""
+    at = versions.Versioned(sinks.scratch(spark, "counts"))
+    orders = table(spark, sf, "orders")
+
+    def add(which: int) -> None:
+        own = orders.where(F.col("o_orderkey") % 2 == which).groupBy(F.col("o_orderpriority").alias("dataset")).agg((F.count("*") * (1 if which else 10)).alias("n"))
+        at.update(spark, lambda now: (own if now is None else now.unionByName(own)).groupBy("dataset").agg(F.sum("n").alias("n")))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(add, (0, 1)))
+    return at.read(spark)

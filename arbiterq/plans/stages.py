@@ -13,7 +13,7 @@ from ..operators import build as B
 from ..operators import infer as I
 from ..operators import joins as J
 from ..operators import metrics as M
-from ..operators import probe, states
+from ..operators import embed, probe, states
 from ..operators import sampling as S
 from ..sources import records
 from ..sources.sinks import scratch
@@ -325,6 +325,23 @@ def union_of_datasets(spark, sf):
     return B.pooled(n, table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("more")))
 
 
+def _counts(x: str) -> str:
+    """The vector that ``Slots`` gives to a text."""
+    return f"list_transform(string_split('0123456789abcdef', ''), lambda d: len(list_filter({_WORDS.format(f'lower({x})')}, lambda w: md5(w)[1] = d)))"
+
+
+@query(f"""WITH {W.QA}, t AS (SELECT qid, pk_answer AS a, ground_truth AS g, {W.norm('pk_answer')} AS na, list_transform(ground_truth, lambda x: {W.norm('x')}) AS ng FROM qa),
+m AS (SELECT *, {W.match('na', 'ng')} AS said FROM t),
+p AS (SELECT qid, a, unnest(list_filter(g, lambda x: trim(x) <> '')) AS b FROM m WHERE NOT said AND trim(coalesce(a, '')) <> ''),
+v AS (SELECT qid, {_counts('a')} AS va, {_counts('b')} AS vb FROM p),
+c AS (SELECT qid, max(round(list_sum(list_transform(range(1, 17), lambda i: va[i] * vb[i])) / (sqrt(list_sum(list_transform(va, lambda x: x * x))) * sqrt(list_sum(list_transform(vb, lambda x: x * x)))), 9)) AS best FROM v GROUP BY 1)
+SELECT m.qid, said OR coalesce(best >= 0.65, false) AS match FROM m LEFT JOIN c USING (qid)""")
+def semantic_texts(spark, sf):
+    """The match by meaning from the texts themselves: those without a match as texts are encoded once and kept."""
+    rows, store = qa(spark, sf).select("qid", "pk_answer", "ground_truth"), embed.Store(scratch(spark, "vectors"))
+    return embed.semantic_match(rows, "qid", "pk_answer", "ground_truth", embed.Slots, store).select("qid", "match")
+
+
 # ---- models: rows-only checks
 
 

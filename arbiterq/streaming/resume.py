@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -136,3 +136,41 @@ def ordered(stream: DataFrame, key: str, ordinal: str, first: int = 0, patience_
     out = own.where(F.col("ordinal").isNotNull()).groupBy(key).transformWithStateInPandas(Prefix(key, kind, first, patience_ms), f"`{key}` {kind}, {ORDERED}", "Append", timed)
     back = F.from_json("value", StructType([stream.schema[c] for c in rest])).alias("v")
     return out.select(key, F.col("ordinal").alias(ordinal), back, "state").select(key, ordinal, *(F.col("v")[c].alias(c) for c in rest), "state")
+
+
+DELTAS = "cell string, delta long"
+
+
+class Corrections(StatefulProcessor):
+    """Of each key the value with the greatest ``at`` counts; when a later one comes, the former is taken back."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, cell string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([p[["at", "cell"]] for p in rows]).sort_values(["at", "cell"], kind="stable").iloc[-1]
+        at, cell_ = int(new["at"]), new["cell"]
+        before = self.last.get() if self.last.exists() else None
+        if before is not None and (before[0], before[1]) >= (at, cell_):
+            return
+        self.last.update((at, cell_))
+        if before is None or before[1] != cell_:
+            out = ([] if before is None else [(before[1], -1)]) + [(cell_, 1)]
+            yield pd.DataFrame(out, columns=["cell", "delta"]).assign(**{self.key: key[0]})[[self.key, "cell", "delta"]]
+
+    def close(self) -> None:
+        pass
+
+
+def corrected(stream: DataFrame, key: str, at: str, value: Column) -> DataFrame:
+    """(key, cell, delta): 1 for a key's value by the latest ``at`` so far, and -1 for the one that it replaces, so that sums of delta by cell are the counts of
+    the batch at any time, whatever the order of arrival. Of equal times the greater value counts. The state is a row a key, on disk (RocksDB)."""
+    spark = stream.sparkSession
+    if spark.conf.get(STORE[0], None) != STORE[1]:
+        raise RuntimeError(f"set {STORE[0]} to {STORE[1]} before a stream is corrected")
+    own = stream.select(F.col(key), F.col(at).cast("long").alias("at"), value.alias("cell")).where("at is not null and cell is not null")
+    kind = stream.schema[key].dataType.simpleString()
+    return own.groupBy(key).transformWithStateInPandas(Corrections(key), f"`{key}` {kind}, {DELTAS}", "Append", "None")
