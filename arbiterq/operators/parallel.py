@@ -19,9 +19,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import doubles, full, moments
+from ..functions.vector import concat_features, doubles, full, moments
 from .metrics import auroc
-from .probe import BATCH, DECAY, DROPOUT, EPOCHS, HIDDEN, PATIENCE, Mlp, epoch_of, start_of
+from .probe import DECAY, DROPOUT, EPOCHS, HIDDEN, PATIENCE, PENALTIES, PENALTY, SHAPES, STOPPING, SWEEP_EPOCHS, SWEEP_PATIENCE, Config, Mlp, epoch_of, start_of
 
 #: Numbers that a task holds as a matrix (256 MB).
 CELLS = 32_000_000
@@ -193,3 +193,60 @@ def scores(rows: DataFrame, model: Logistic | Net, name: str = "p") -> DataFrame
 def validated(rows: DataFrame, model: Net) -> float:
     row = auroc(scores(rows, model), "p", "y").first()
     return float(row["auroc"] or 0.0) if row else 0.0
+
+
+def fit_grid(df: DataFrame, key: str, split: str, configs: list[Config], seed: int = 42) -> tuple[DataFrame, list[tuple]]:
+    """``probe.fit_grid`` over all rows, without a limit: ((config, head, probe, key, p) of the rows whose split is neither train nor val,
+    [(config, head, probe, setting, validation AUROC, trace)]).
+
+    Configurations are fitted one after the other, each with the whole cluster. The sweep of MLPs stops by the AUROC of a tenth of the
+    training rows, chosen by the digest of their keys. A head with one class in training, or no validation row, isn't fitted."""
+    fits, parts = [], []
+    for c in configs:
+        own = df.where(F.col(c.head).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(split).alias("split"), concat_features(*c.vectors).alias("v"), F.col(c.head).cast("double").alias("y"))
+        train, val = own.where("split = 'train'"), own.where("split = 'val'")
+        seen = train.agg(F.min("y").alias("least"), F.max("y").alias("most")).first()
+        if seen["least"] is None or seen["least"] == seen["most"] or not val.limit(1).count():
+            continue
+        checked, trace, best = rows_of(val, "v", "y"), [], None
+        for setting, model in _settings(c.probe, train, val, seed):
+            got = validated(checked, model)
+            trace.append((setting, got))
+            if best is None or got > best[2]:
+                best = (model, setting, got)
+        fits.append((c.name, c.head, c.probe, best[1], best[2], trace))
+        wanted = df.where(f"coalesce(`{split}`, '') not in ('train', 'val')").select(F.col(key).cast("string").alias("key"), concat_features(*c.vectors).alias("v"))
+        parts.append(keyed(wanted.where(full("v")), best[0]).select(F.lit(c.name).alias("config"), F.lit(c.head).alias("head"), F.lit(c.probe).alias("probe"), "key", "p"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "config string, head string, probe string, key string, p double"), fits
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, fits
+
+
+def _settings(kind: str, train: DataFrame, val: DataFrame, seed: int) -> Iterator[tuple[str, Logistic | Net]]:
+    if kind == "logreg":
+        yield from ((f"C={c}", fit_logistic(train, "v", "y", c, scaled=True)) for c in PENALTIES)
+    elif kind == "mlp":
+        tenth = F.crc32(F.col("key").cast("binary")) % round(1 / STOPPING) == 0
+        n = max(1, train.count())
+        for h in SHAPES:
+            yield f"layers={h}", fit_mlp(train.where(~tenth), train.where(tenth), "v", "y", h, SWEEP_EPOCHS, SWEEP_PATIENCE, seed, 0.0, PENALTY / n)
+    elif kind == "dropout":
+        yield f"layers={HIDDEN}", fit_mlp(train, val, "v", "y", HIDDEN, seed=seed)
+    else:
+        raise KeyError(f"no probe {kind!r}")
+
+
+def keyed(rows: DataFrame, model: Logistic | Net) -> DataFrame:
+    """(key, p) of rows (key, v)."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.predict(x))], ["key", "p"])
+
+    return rows.select("key", "v").mapInArrow(run, "key string, p double")

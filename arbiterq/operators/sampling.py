@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell
+from ..sources.records import sent
 from .order import placed, placed_by_draw
 
 SEED = "42"
@@ -85,7 +86,7 @@ def balanced_sample(rows: DataFrame, key: str, pk: str, ck: str, n: int | None,
     # top k by draw, of each cell and of all: both keep a few rows a task before anything is dealt
     at = F.row_number().over(Window.partitionBy("__cell").orderBy("__draw", key))
     chosen = labelled.withColumn("__at", at).where(F.col("__at") <= share).withColumn("__rank", order).drop("__at")
-    more = labelled.orderBy("__draw", key).limit(n + 4 * share).join(F.broadcast(chosen.select(key)), key, "left_anti").withColumn("__rank", F.lit(9))  # 4 * share rows
+    more = labelled.orderBy("__draw", key).limit(n + 4 * share).join(sent(chosen.select(key)), key, "left_anti").withColumn("__rank", F.lit(9))  # 4 * share rows
     return chosen.unionByName(more.select(chosen.columns)).orderBy("__rank", "__draw", key).limit(n).drop("__cell", "__draw", "__rank")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..operators import metrics as M
-from ..sources import records, sinks, versions
+from ..sources import npy, records, sinks, versions
 from ..streaming import resume
 from . import twins as W
 from .bindings import qa, routed, table
@@ -152,3 +152,22 @@ def two_writers(spark, sf):
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(add, (0, 1)))
     return at.read(spark)
+
+
+@query("WITH n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, embedding FROM embeddings) SELECT ordinal, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS h FROM n WHERE ordinal >= 37 AND ordinal < 290")
+def matrix_range(spark, sf):
+    """Vectors written as matrix files by many tasks, committed at once, and a range of their rows read back: only the files and runs that hold it."""
+    folder = sinks.scratch(spark, "matrix")
+    spark.dataSource.register(npy.Npy)
+    own = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("h")).repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id")
+    own.select("h").write.format("npy").mode("append").option("path", folder).option("cells", 4096).save()
+    got = spark.read.format("npy").option("path", folder).option("start", 37).option("end", 290).option("cells", 2048).load()
+    return got.select("ordinal", F.transform("h", lambda x: F.round(x.cast("double"), 6)).alias("h"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 700")
+def head_of_files(spark, sf):
+    """The first records of many files, in file order; files behind them are not read."""
+    folder = sinks.scratch(spark, "head")
+    table(spark, sf, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(9, "o_orderkey").sortWithinPartitions("o_orderkey").write.json(folder)
+    return records.head(records.jsonl(spark, folder, "o_orderkey BIGINT, o_totalprice DOUBLE"), 700)

@@ -43,6 +43,15 @@ def json_records(spark: SparkSession, path: str, schema: str | StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
 
 
+#: Rows of a path and some numbers that may be sent to every task (some 20 MB).
+MOST_SENT = 100_000
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """A side of a join that is broadcast if a count allows it."""
+    return F.broadcast(few) if few.limit(MOST_SENT + 1).count() <= MOST_SENT else few
+
+
 def in_file_order(df: DataFrame, name: str = "ordinal", by_time: bool = False) -> DataFrame:
     """A table read from files (not yet changed) with its rows' place from 0 by file name, block and line; by_time: older files first.
 
@@ -53,7 +62,7 @@ def in_file_order(df: DataFrame, name: str = "ordinal", by_time: bool = False) -
     own = meta.withColumn("__id", F.monotonically_increasing_id())
     blocks = own.groupBy("__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.join(F.broadcast(blocks.select(F.col("__block").alias("__b"), "__first", before.alias("__before"))), F.col("__block") == F.col("__b")).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__block", "__b", "__first", "__before")
+    return own.join(sent(blocks.select(F.col("__block").alias("__b"), "__first", before.alias("__before"))), F.col("__block") == F.col("__b")).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__block", "__b", "__first", "__before")
 
 
 def staged(spark: SparkSession, folder: str, splits: tuple[str, ...] = (), schema: str | StructType | None = None) -> DataFrame:
@@ -69,7 +78,7 @@ def staged(spark: SparkSession, folder: str, splits: tuple[str, ...] = (), schem
     files = own.groupBy("__path", "raw_split").agg(F.count("*").alias("__n"))  # a row a file
     before = F.coalesce(F.sum("__n").over(Window.orderBy(rank, "raw_split", "__path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = files.select(F.col("__path").alias("__p"), before.alias("__before"))
-    return own.join(F.broadcast(offsets), F.col("__path") == F.col("__p")).withColumn("raw_idx", F.col("__before") + F.col("__row")).drop("__path", "__p", "__row", "__before")
+    return own.join(sent(offsets), F.col("__path") == F.col("__p")).withColumn("raw_idx", F.col("__before") + F.col("__row")).drop("__path", "__p", "__row", "__before")
 
 
 def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
@@ -79,12 +88,19 @@ def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     own = own.withColumn("__part", part).withColumn("__at", at)
     sizes = own.groupBy("__part").agg(F.max("__at").alias("__last"))
     before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum(F.col("__last") + 1).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return own.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__at")).drop("__id", "__part", "__at", "__p", "__before")  # a row a partition
+    return own.join(sent(before), F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__at")).drop("__id", "__part", "__at", "__p", "__before")  # a row a partition
 
 
 def head(df: DataFrame, n: int) -> DataFrame:
-    """The first n records of a table read from files, in file order."""
-    return in_file_order(df, "__ordinal").where(F.col("__ordinal") < n).drop("__ordinal")
+    """The first n records of a table read from files, in file order. Files are counted by name, twice as many at a time, until they hold n rows; the
+    others are not read."""
+    files = sorted(p.replace("file:///", "file:/", 1) if p.startswith("file:///") else p for p in df.inputFiles())  # names only, as the metadata has them
+    path, at, have, step = F.col("_metadata.file_path"), 0, 0, 1
+    while at < len(files) and have < n:
+        have += df.where(path.isin(files[at : at + step])).count()
+        at, step = at + step, step * 2
+    own = df.where(path.isin(files[:at])) if at < len(files) else df
+    return in_file_order(own, "__ordinal").where(F.col("__ordinal") < n).drop("__ordinal")
 
 
 def row_range(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -169,8 +185,10 @@ def matrix(spark: SparkSession, npy: str, meta: str, schema: str, name: str = "h
         width = shape[1] * kind.itemsize
         with opened() as f:
             for p in parts:
-                rows = (np.frombuffer(f.read_at(width, began + int(i) * width), kind) for i in p["ordinal"])
-                yield p.assign(**{name: [r.astype("float32").tolist() for r in rows]})
+                at = p["ordinal"].to_numpy()
+                runs = np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else []  # neighbours are one read
+                x = [np.frombuffer(f.read_at(len(r) * width, began + int(r[0]) * width), kind).reshape(len(r), -1) for r in runs]
+                yield p.assign(**{name: [v.tolist() for r in x for v in r.astype("float32")]})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
     return records.mapInPandas(attach, f"{kinds}, {name} array<float>").drop("ordinal")

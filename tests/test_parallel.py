@@ -47,3 +47,15 @@ def test_an_mlp_over_many_tasks_learns(spark, data):
     x, y, df = data
     many = parallel.fit_mlp(df.where("split = 'train'"), df.where("split = 'val'"), "v", "y", hidden=(64,), epochs=8, patience=8, tasks=3)
     assert many.trace[-1] > many.trace[0] and parallel.validated(parallel.rows_of(df.where("split = 'val'"), "v", "y"), many) == max(many.trace)
+
+
+def test_a_grid_over_all_rows(spark, data):
+    x, y, df = data
+    own = df.where("i >= 0").withColumnRenamed("v", "a").selectExpr("i", "a", "array(double(y)) as b", "y", "case when i % 10 = 9 then 'test' else split end as split", "1 as one")
+    configs = [probe.Config("ab", "y", ("a", "b"), "logreg"), probe.Config("one", "one", ("a",), "logreg")]
+    (got, fits), (want, same) = parallel.fit_grid(own, "i", "split", configs), probe.fit_grid(own, "i", "split", configs)
+    assert [f[:4] for f in fits] == [f[:4] for f in same] and abs(fits[0][4] - same[0][4]) < 1e-9 and len(fits) == 1
+    got, want = ({r["key"]: r["p"] for r in d.collect()} for d in (got, want))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    with pytest.raises(KeyError):
+        parallel.fit_grid(own, "i", "split", [probe.Config("x", "y", ("a",), "other")])
