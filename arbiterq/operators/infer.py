@@ -195,6 +195,13 @@ def traced(rows: DataFrame, make: Callable[[], Provider], **how) -> DataFrame:
 MODELS: dict[str, dict] = {"stub-small": {"layers": 16, "width": 64}, "stub-large": {"layers": 32, "width": 128}}
 
 
+def register_model(key: str, layers: int, width: int, **more: object) -> None:
+    """Makes a model known by its key: the number of its layers, the width of its states, and whatever else a provider needs to know."""
+    if layers < 1 or width < 1:
+        raise ValueError(f"{key}: layers and width are positive")
+    MODELS[key] = {"layers": layers, "width": width} | more
+
+
 def model_spec(key: str) -> dict:
     if key not in MODELS:
         raise KeyError(f"no model {key!r}; there are {sorted(MODELS)}")
@@ -202,9 +209,7 @@ def model_spec(key: str) -> dict:
 
 
 def layer_index(key: str, share: float) -> int:
-    """round(share * layers), halves to even, in 0..layers."""
-    n = model_spec(key)["layers"]
-    at = round(share * n)
-    if not 0 <= at <= n:
-        raise ValueError(f"layer {at} is not in 0..{n}")
-    return at
+    """round(share * layers), halves to even; share from 0, the embeddings, to 1, the last layer."""
+    if not 0 <= share <= 1:
+        raise ValueError(f"share {share} is not in 0..1")
+    return round(share * model_spec(key)["layers"])

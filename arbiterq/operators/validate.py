@@ -53,3 +53,11 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows by dataset and relation, and whether both core relations are there."""
     counts = {r: F.count_if(F.coalesce(F.col("ck_relation") == r, F.lit(False))) for r in RELATIONS}
     return df.groupBy("dataset").agg(F.count("*").alias("n_rows"), *(x.alias(f"n_{r}") for r, x in counts.items()), ((counts["supportive"] > 0) & (counts["conflicting"] > 0)).alias("has_both"))
+
+
+def checked_summary(df: DataFrame, name: str | None = None) -> DataFrame:
+    """``dataset_summary``; a dataset without both core relations, or of another name than ``name`` where that is given, stops the query."""
+    own = dataset_summary(df)
+    both = F.assert_true(F.col("has_both"), F.concat(F.lit("no rows of both relations in "), F.coalesce("dataset", F.lit("null"))))
+    named = F.assert_true(F.col("dataset").eqNullSafe(F.lit(name)), F.concat(F.lit("another dataset: "), F.coalesce("dataset", F.lit("null")))) if name is not None else F.lit(None)
+    return own.where(both.isNull() & named.isNull())

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import build as B
@@ -325,6 +326,19 @@ def union_of_datasets(spark, sf):
     return B.pooled(n, table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("more")))
 
 
+@query(f"""WITH {W.QA}, t AS (SELECT qid, pk_answer, ck_answer, {W.norm('pk_answer')} AS np, {W.norm('ck_answer')} AS nc, list_transform(ground_truth, lambda x: {W.norm('x')}) AS ng FROM qa),
+m AS (SELECT *, {W.match('np', 'ng')} AS pk, {W.match('nc', 'ng')} AS ck FROM t),
+s AS (SELECT *, {W.cell('pk', 'ck')} AS cell, unnest(['sup', 'conf']) AS side FROM m)
+SELECT qid, pk, ck, cell, CASE cell WHEN 'C11' THEN 'either' WHEN 'C10' THEN 'use_PK' WHEN 'C01' THEN 'use_CK' ELSE 'abstain' END AS target, lpad(qid::VARCHAR, 6, '0') || '-' || side AS row_id FROM s
+WHERE trim(coalesce(CASE side WHEN 'sup' THEN pk_answer ELSE ck_answer END, '')) <> ''""")
+def sql_surface(spark, sf):
+    """The matcher, cells, targets and row builder through spark.sql alone."""
+    sql.register(spark)
+    qa(spark, sf).createOrReplaceTempView("aq_rows")
+    return spark.sql("""WITH m AS (SELECT qid, pk_answer, ck_answer, aq_match(pk_answer, ground_truth) AS pk, aq_match(ck_answer, ground_truth) AS ck FROM aq_rows)
+        SELECT m.qid, pk, ck, aq_cell(pk, ck) AS cell, aq_target(aq_cell(pk, ck)) AS target, s.qid AS row_id FROM m, LATERAL aq_sides(m.qid, pk_answer, ck_answer) s""")
+
+
 def _counts(x: str) -> str:
     """The vector that ``Slots`` gives to a text."""
     return f"list_transform(string_split('0123456789abcdef', ''), lambda d: len(list_filter({_WORDS.format(f'lower({x})')}, lambda w: md5(w)[1] = d)))"

@@ -426,3 +426,17 @@ def test_best_so_far(spark):
                 r = got[i]
                 assert (r["place"], r["best"], r["improved"], r["since"], r["stopped"]) == (place, best, improved, place - last, stopped)
                 stopped = stopped or place - last >= 5
+
+
+def test_datasets_and_models_are_checked(spark):
+    df = spark.createDataFrame([("d", "supportive"), ("d", "conflicting"), ("e", "supportive")], "dataset string, ck_relation string")
+    assert validate.checked_summary(df.where("dataset = 'd'"), "d").count() == 1
+    with pytest.raises(Exception, match="no rows of both relations in e"):
+        validate.checked_summary(df).collect()
+    with pytest.raises(Exception, match="another dataset: d"):
+        validate.checked_summary(df.where("dataset = 'd'"), "x").collect()
+    infer.register_model("own", 28, 3072, repo="somewhere")
+    assert infer.model_spec("own")["width"] == 3072 and infer.layer_index("own", 0.5) == 14 and infer.layer_index("own", 0.875) == 24
+    for bad in (lambda: infer.layer_index("own", -0.001), lambda: infer.register_model("none", 0, 1)):
+        with pytest.raises(ValueError):
+            bad()
