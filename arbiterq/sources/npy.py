@@ -161,6 +161,7 @@ class Writer(DataSourceArrowWriter):
                 at += 1
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Deletes the run's hidden files. A task that is still stopping may leave one behind; readers never see it."""
         files, top = store(self.path)
         if files.get_file_info(top).type == fs.FileType.Directory:  # a task that failed has no message, but its files have the run's name
             for f in files.get_file_info(fs.FileSelector(top)):

@@ -46,7 +46,11 @@ def test_writes_are_all_or_nothing(spark, tmp_path):
     bad = df.withColumn("h", F.when(F.get("h", F.lit(0)) == 33, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("h")))
     with pytest.raises(Exception, match="vectors of one length"):
         bad.repartition(4).write.format("npy").mode("append").option("path", path).option("cells", 4).save()
-    assert not glob.glob(f"{path}/_*") and spark.read.format("npy").option("path", path).load().count() == 40
+    assert spark.read.format("npy").option("path", path).load().count() == 40
+    writer = npy.Writer({"path": path}, False)
+    open(f"{path}/_{writer.run}-x.npy", "w").close()
+    writer.abort([None])
+    assert not glob.glob(f"{path}/_{writer.run}*") and len(glob.glob(f"{path}/part-*.npy")) >= 4
     df.limit(3).write.format("npy").mode("overwrite").option("path", path).save()
     assert spark.read.format("npy").option("path", path).load().count() == 3
 
