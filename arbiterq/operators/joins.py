@@ -77,6 +77,26 @@ def evaluated_outer(answers: DataFrame, rows: DataFrame, behaviour: DataFrame) -
     return both.withColumns({"ground_truth": F.coalesce("ground_truth", nothing), **{c: F.coalesce(c, F.lit(False)) for c in ("pk_correct_alias", "ck_correct_alias")}})
 
 
+#: A key with more than this part of all rows is sent to every executor: there are fewer such keys than this.
+HOT = 4096
+
+
+def hot_joined(rows: DataFrame, of: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join, nulls equal, of many rows with a table that has each key once, where one key may hold a large part of the rows.
+
+    Keys with more than a 4,096th of all rows are fewer than 4,096, whatever the table: they are broadcast, and their rows stay where they are.
+    All other rows are shuffled by key.
+    """
+
+    def meet(x: DataFrame, y: DataFrame, how: str, small: bool = False) -> DataFrame:
+        named = y.withColumnsRenamed({c: f"__of_{c}" for c in on})
+        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on]
+        return x.join(F.broadcast(named) if small else named, same, how).drop(*(f"__of_{c}" for c in on))
+
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT > rows.count()).select(*on)
+    return meet(rows, meet(of, hot, "left_semi", True), "inner", True).unionByName(meet(meet(rows, hot, "left_anti", True), of, "inner"))
+
+
 def in_split(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows with the split that the manifest (dataset, qid, split) gives them; rows that it doesn't name are left out."""
     return rows.join(manifest.select("dataset", "qid", "split"), ["dataset", "qid"])

@@ -14,7 +14,7 @@ from ..operators import build as B
 from ..operators import infer as I
 from ..operators import joins as J
 from ..operators import metrics as M
-from ..operators import embed, probe, states
+from ..operators import embed, job, probe, states
 from ..operators import sampling as S
 from ..sources import records
 from ..sources.sinks import scratch
@@ -120,6 +120,31 @@ def baselines(spark, sf):
     return out.select("qid", "dataset", "method", F.md5("final_answer").alias("final_answer"), "predicted_source", "judge_response", "judge_decision")
 
 
+_EVALUATED = ("closed_book", "dia", "internal_eval", "context_eval")
+_SAID_BY = {
+    "closed_book": "pk",
+    "dia": "ck",
+    "internal_eval": _choice(_R["internal_eval"], "pk", "ck"),
+    "context_eval": _choice(_R["context_eval"], "ck", "pk"),
+}
+_JOB = f"""{_LABELLED},
+l AS (SELECT * REPLACE (pk_answer AS pk, ck_answer AS ck), {W.cell('pk_correct', 'ck_correct')} AS oracle_cell FROM c),
+g AS (SELECT DISTINCT dataset, question FROM l),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || question), question) AS place, count(*) OVER (PARTITION BY dataset) AS n FROM g),
+s AS (SELECT dataset AS d, question AS q, CASE WHEN place <= round_even(n * 0.1::DOUBLE, 0) THEN 'test' WHEN place <= round_even(n * 0.1::DOUBLE, 0) * 2 THEN 'val' ELSE 'train' END AS split FROM g2),
+m AS ({' UNION ALL '.join(f"SELECT *, '{m}' AS method, {x} AS answer FROM l" for m, x in _SAID_BY.items())}),
+n AS (SELECT m.*, split, {W.norm('answer')} AS na, [{W.norm('pk')}] AS lp, [{W.norm('ck')}] AS lc FROM m JOIN s ON question = q AND dataset IS NOT DISTINCT FROM d),
+t AS (SELECT *, {W.match('na', 'ng')} AS is_correct, {W.match('na', 'lp')} AS eq_pk, {W.match('na', 'lc')} AS eq_ck, NULL::VARCHAR AS predicted_cell FROM n),
+e AS (SELECT *, CASE WHEN eq_pk AND eq_ck THEN 'either' WHEN eq_pk THEN 'pk_only' WHEN eq_ck THEN 'ck_only' ELSE 'abstain' END AS prov FROM t)"""
+
+
+@query(f"{_JOB} SELECT method, CASE WHEN grouping(split) = 1 THEN 'ALL_AGG' ELSE split END AS split, {W.METRICS} FROM e GROUP BY GROUPING SETS ((method, split), (method))")
+def evaluation_job(spark, sf):
+    """From rows to the report in kept steps: labels and their gate, split, four methods' answers, metrics by method and split."""
+    rows = _rows(spark, sf).select("qid", "dataset", T.text("question").alias("question"), F.when(F.col("qid") % 9 > 0, T.text("ck_text")).otherwise("").alias("ck_text"), "ground_truth")
+    return job.evaluation(rows, scratch(spark, "job"), I.Echo, _coin, methods=_EVALUATED, config={"rows": sf}).run(spark)["report"]
+
+
 _JUDGE = "'Right answers, any of which will do: ' || gold || chr(10) || 'Given answer: ' || trim({c}, " + W.WS + ") || chr(10) || 'Does the given answer say one of the right ones? Reply YES or NO.'"
 _JUDGED = f"""WITH {W.QA}, b AS (SELECT qid, coalesce(pk_answer, '') AS pk, CASE WHEN qid % 5 = 0 THEN '' ELSE coalesce(ck_answer, '') END AS ck, pk_alias, ck_alias, qid % 7 = 0 AS seen, array_to_string(list_filter(ground_truth, lambda g: g <> ''), ' | ') AS gold FROM qa WHERE pk_alias IS NOT NULL),
 c AS (SELECT *, CASE WHEN trim(pk, {W.WS}) = '' THEN 'empty_candidate' ELSE {_digest(_JUDGE.format(c='pk'), 'YES', 'NO')} END AS pr, CASE WHEN trim(ck, {W.WS}) = '' THEN 'empty_candidate' ELSE {_digest(_JUDGE.format(c='ck'), 'YES', 'NO')} END AS cr FROM b)"""
