@@ -10,8 +10,8 @@ round rereads all that the rounds before made. Three steps make it bounded witho
 2. Rounds. The pieces are aligned at their anchors and dealt by the anchor's hash. Column by column from the right, each piece
    inserts one symbol: the ranks of all pieces' suffixes (the collection's transform, by column) follow from the ranks of the round
    before by one stable pass over the symbols, and the common prefixes of neighbours by the least of those they passed. A bucket's
-   columns are a file in the shared folder, written once and read once, in the order of the rounds; ranks and common prefixes of the
-   round, a few bytes a piece, stay in memory. A suffix that shares ``length`` bytes with a neighbour recurs; one that shares
+   columns are a file in the shared folder, written once and read once, in the order of the rounds, by the same task; ranks and common
+   prefixes of the round, a few bytes a piece, stay in memory. A bucket is bounded, so it is an in-memory construction: no transform is written. A suffix that shares ``length`` bytes with a neighbour recurs; one that shares
    ``passage`` bytes begins a repeated passage.
 3. The recurring starts go back to all places of their pieces; each document loses the union of what those of ``length`` cover.
    Passages too short to be removed (50 words are some 300 bytes) are reported beside: ``n_passages`` and ``n_passage_bytes``.
@@ -20,7 +20,7 @@ Pieces of an anchor that has more than ``MOST_PIECES`` different ones don't go t
 counted by a grouping instead, which is exact as well and spreads over all tasks.
 
 Defined results: a null text is empty; texts shorter than ``passage`` have no repeats and those shorter than ``length`` lose nothing; equal
-rows (id and text) each count as an occurrence and lose the same bytes; matches never cross texts; rows without an id are treated like
+rows (id and text) each count as an occurrence, at the cost of a piece each before pieces are made distinct, and lose the same bytes; matches never cross texts; rows without an id are treated like
 others; an empty table gives no row; very long texts are cut into pieces like others; other columns, whatever their names, aren't read.
 """
 

@@ -8,7 +8,9 @@ is the same as sharing the excess of capped targets again until no target is abo
 Prefix sums are two-level: per range of the order, then over the ranges' totals. No source is gathered in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last; documents of size 0 are taken 0 words;
-repeated rows count as documents of their own; an empty table gives no row.
+repeated rows count as documents of their own; rows without an id are documents too, in an order by size and number; very long texts are
+counted whole, and one longer than what is left of the budget is not taken; an empty table gives no row; the table's own columns
+whose names clash with the four that are read, in another case included, are left out by the caller, as ``op5_fair_mix`` does.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@
    point whose radius is m goes inside if d <= m and outside if d >= m - (r - 1): by the triangle inequality two fingerprints
    at r or fewer bits meet in at least one shard, whatever the sample was. The sample decides balance only. Each level of the tree
    repeats a fingerprint 1.3 times on average, so shards grow with the cube root of the table (16,384 fingerprints for a quarter of a
-   million, 0.5 million for 10^10), which keeps both the copies and a task's memory small; the depth has no cap.
+   million, 0.5 million for 10^10), which keeps both the copies and a task's memory small. The depth is laid out from at most MOST_DRAWN
+   sampled fingerprints, and a branch that fewer than 64 of them reach isn't divided: it ends near 22 levels, which is enough for some 10^13 fingerprints.
 4. Each shard grows its own vantage-point tree down to small leaves and compares whole leaves exactly. A leaf gives a
    spanning forest of its links, never all pairs.
 5. Distributed union-find over the links.

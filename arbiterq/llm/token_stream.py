@@ -3,7 +3,7 @@
 A shard file holds the ids of a range of documents, in ascending doc_id order, cut into sequences of equal length: column
 ``ids`` is fixed_size_list[length] of uint16, or of uint32 where the vocabulary needs it, column ``mask`` is fixed_size_list<bool>[length]
 (false only in the padding at the end of the shard). Every batch has the same number of rows but the last, so a sequence is found by arithmetic and read without a
-copy from a memory map. Beside it, ``NNNNN.docs.arrow`` has a row a document: doc_id, start in the shard, number of ids.
+copy from a memory map where the files are local (or mounted); from any other store a sequence's batch is read into memory. Beside it, ``NNNNN.docs.arrow`` has a row a document: doc_id, start in the shard, number of ids.
 
 Files go to a folder that driver and executors share, through pyarrow's file systems, first under a name of the attempt and
 then by a rename: a task that runs twice leaves one whole file.
