@@ -19,6 +19,13 @@ def doubles(v: Column | str) -> Column:
     return F.transform(col(v), lambda x: x.cast("double"))
 
 
+def rounded(x: Column | str, places: int = 6) -> Column:
+    """Half away from zero, in double precision. A negative number that is rounded to zero keeps its sign (-0.0), as SQL engines with IEEE
+    doubles have it; ``F.round`` goes through decimals, which have no such zero."""
+    x, unit = col(x).cast("double"), F.lit(10.0**places)
+    return F.signum(x) * (F.round(F.abs(x) * unit) / unit)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 

@@ -440,7 +440,7 @@ def _pool_sql(how: str) -> str:
 
 
 def _rounded(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn(vec, F.transform(vec, lambda x: F.round(x, 6)))
+    return df.withColumn(vec, F.transform(vec, lambda x: V.rounded(x)))
 
 
 @query(_pool_sql("avg"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import vector as V
 from ..operators import metrics as M
 from ..sources import npy, records, sinks, versions
 from ..streaming import resume
@@ -162,7 +163,7 @@ def matrix_range(spark, sf):
     own = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("h")).repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id")
     own.select("h").write.format("npy").mode("append").option("path", folder).option("cells", 4096).save()
     got = spark.read.format("npy").option("path", folder).option("start", 37).option("end", 290).option("cells", 2048).load()
-    return got.select("ordinal", F.transform("h", lambda x: F.round(x.cast("double"), 6)).alias("h"))
+    return got.select("ordinal", F.transform("h", lambda x: V.rounded(x)).alias("h"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 700")

@@ -279,7 +279,7 @@ def semantic_match(spark, sf):
 def span_and_concat(spark, sf):
     e = table(spark, sf, "embeddings")
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
-    return e.select("vec_id", F.transform(V.span_mean(tokens, F.lit(2), F.lit(5)), lambda x: F.round(x, 6)).alias("pooled"), V.concat_features(F.slice("embedding", 1, 2), F.slice("embedding", 9, 2)).alias("put"))
+    return e.select("vec_id", F.transform(V.span_mean(tokens, F.lit(2), F.lit(5)), lambda x: V.rounded(x)).alias("pooled"), V.concat_features(F.slice("embedding", 1, 2), F.slice("embedding", 9, 2)).alias("put"))
 
 
 # ---- builders

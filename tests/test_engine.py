@@ -440,3 +440,13 @@ def test_datasets_and_models_are_checked(spark):
     for bad in (lambda: infer.layer_index("own", -0.001), lambda: infer.register_model("none", 0, 1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    """As DuckDB's round does: half away from zero, and -0.0 for what is negative."""
+    import duckdb
+
+    values = [-1e-7, 1e-7, -4.9999999e-7, -5e-7, 0.0078125, -0.0078125, -0.0, 0.0, 1.0000005, -2.5e-6, 0.1234565, float("inf"), float("-inf"), float("nan"), None, 123456.7890125]
+    got = [r["v"] for r in spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", vector.rounded("x").alias("v")).orderBy("i").collect()]
+    con = duckdb.connect()
+    assert [str(x) for x in got] == [str(con.execute("select round(?::double, 6)", [x]).fetchone()[0]) for x in values]
