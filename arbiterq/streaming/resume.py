@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -51,13 +51,16 @@ def windowed(stream: DataFrame, event_time: str, width: str, late: str, *keys: s
 
 #: What arbitrary state needs; ``ordered`` says so if another store is set.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Ordinals of a key whose early rows are one entry of the state.
+BLOCK = 64
 ORDERED = "ordinal long, value string, state string"
 
 
 class Prefix(StatefulProcessor):
     """Commits the rows of a key by ordinal: what arrives early is kept until everything before it is there.
 
-    State of a key: the next ordinal, and the early rows by ordinal. Ordinals below the next one were committed and are left out, of
+    State of a key: the next ordinal, and the early rows in blocks of BLOCK ordinals, each a JSON object, so that a call to the state store
+    moves a block and not a row. Ordinals below the next one were committed and are left out, of
     repeated ones the first counts. When a hole has stayed for ``patience_ms`` of processing time, a row with the state "hole" names
     the ordinal that is missing, once; nothing is skipped."""
 
@@ -67,36 +70,45 @@ class Prefix(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "at long")
-        self.early = handle.getMapState("early", "ordinal long", "value string")
+        self.early = handle.getMapState("early", "block long", "rows string")
         self.waits = handle.getValueState("waits", "due long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [p[["ordinal", "value"]] for p in rows]
-        new = pd.concat(parts).drop_duplicates("ordinal").sort_values("ordinal", kind="stable")
-        at = before = self.next.get()[0] if self.next.exists() else self.start
-        done: list[tuple] = []
-        for ordinal, value in zip(new["ordinal"].tolist(), new["value"].tolist(), strict=True):
-            while ordinal > at and self.early.containsKey((at,)):
-                at = self.commit(at, self.early.getValue((at,))[0], done)
-            if ordinal == at:
-                kept = self.early.getValue((at,))[0] if self.early.containsKey((at,)) else value
-                at = self.commit(at, kept, done)
-            elif ordinal > at and not self.early.containsKey((ordinal,)):
-                self.early.updateValue((ordinal,), (value,))
-        while self.early.containsKey((at,)):
-            at = self.commit(at, self.early.getValue((at,))[0], done)
-        if at != before or not self.next.exists():
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.next.get()
+        at = before = self.start if kept is None else kept[0]
+        new: dict[int, dict[int, str]] = {}
+        for r in rows:
+            if r.ordinal >= at:
+                new.setdefault(r.ordinal // BLOCK, {}).setdefault(r.ordinal, r.value)
+        waiting, done = self.early.exists(), []
+
+        def block(b: int) -> dict[int, str]:
+            """The rows of a block: those that came earlier count before the new ones."""
+            there = self.early.getValue((b,)) if waiting else None
+            return new.pop(b, {}) | ({int(i): v for i, v in json.loads(there[0]).items()} if there else {})
+
+        def put(b: int, held: dict[int, str]) -> None:
+            if held:
+                self.early.updateValue((b,), (json.dumps(held),))
+            elif waiting:
+                self.early.removeKey((b,))
+
+        while held := block(b := at // BLOCK):
+            moved = at
+            while at in held:
+                done.append((at, held.pop(at), "committed"))
+                at += 1
+            if at != moved or held:
+                put(b, held)
+            if at // BLOCK == b:
+                break
+        for b in list(new):
+            put(b, block(b))
+        if at != before or kept is None:
             self.next.update((at,))
         if self.patience_ms is not None:
             self.watch(at != before, timerValues)
-        if done:
-            yield self.rows(key, done)
-
-    def commit(self, at: int, value: str, done: list[tuple]) -> int:
-        if self.early.containsKey((at,)):
-            self.early.removeKey((at,))
-        done.append((at, value, "committed"))
-        return at + 1
+        yield from self.rows(key, done)
 
     def watch(self, moved: bool, timerValues) -> None:
         """A timer while early rows wait, begun anew when the prefix has grown; 0: the hole was named."""
@@ -110,14 +122,12 @@ class Prefix(StatefulProcessor):
             self.handle.registerTimer(due)
             self.waits.update((due,))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.waits.update((0,))
-        yield self.rows(key, [(self.next.get()[0], None, "hole")])
+        yield from self.rows(key, [(self.next.get()[0], None, "hole")])
 
-    def rows(self, key: tuple, done: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(done, columns=["ordinal", "value", "state"])
-        out.insert(0, self.key, key[0])
-        return out
+    def rows(self, key: tuple, done: list[tuple]) -> Iterator[Row]:
+        return (Row(**{self.key: key[0], "ordinal": i, "value": v, "state": s}) for i, v, s in done)
 
     def close(self) -> None:
         pass
@@ -133,7 +143,7 @@ def ordered(stream: DataFrame, key: str, ordinal: str, first: int = 0, patience_
     kind = stream.schema[key].dataType.simpleString()
     own = stream.select(F.col(key), F.col(ordinal).cast("long").alias("ordinal"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("value"))
     timed = "ProcessingTime" if patience_ms is not None else "None"
-    out = own.where(F.col("ordinal").isNotNull()).groupBy(key).transformWithStateInPandas(Prefix(key, kind, first, patience_ms), f"`{key}` {kind}, {ORDERED}", "Append", timed)
+    out = own.where(F.col("ordinal").isNotNull()).groupBy(key).transformWithState(Prefix(key, kind, first, patience_ms), f"`{key}` {kind}, {ORDERED}", "Append", timed)
     back = F.from_json("value", StructType([stream.schema[c] for c in rest])).alias("v")
     return out.select(key, F.col("ordinal").alias(ordinal), back, "state").select(key, ordinal, *(F.col("v")[c].alias(c) for c in rest), "state")
 
@@ -150,16 +160,15 @@ class Corrections(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long, cell string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([p[["at", "cell"]] for p in rows]).sort_values(["at", "cell"], kind="stable").iloc[-1]
-        at, cell_ = int(new["at"]), new["cell"]
-        before = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        at, cell_ = max((r.at, r.cell) for r in rows)
+        before = self.last.get()
         if before is not None and (before[0], before[1]) >= (at, cell_):
             return
         self.last.update((at, cell_))
         if before is None or before[1] != cell_:
-            out = ([] if before is None else [(before[1], -1)]) + [(cell_, 1)]
-            yield pd.DataFrame(out, columns=["cell", "delta"]).assign(**{self.key: key[0]})[[self.key, "cell", "delta"]]
+            for c, delta in ([] if before is None else [(before[1], -1)]) + [(cell_, 1)]:
+                yield Row(**{self.key: key[0], "cell": c, "delta": delta})
 
     def close(self) -> None:
         pass
@@ -173,4 +182,4 @@ def corrected(stream: DataFrame, key: str, at: str, value: Column) -> DataFrame:
         raise RuntimeError(f"set {STORE[0]} to {STORE[1]} before a stream is corrected")
     own = stream.select(F.col(key), F.col(at).cast("long").alias("at"), value.alias("cell")).where("at is not null and cell is not null")
     kind = stream.schema[key].dataType.simpleString()
-    return own.groupBy(key).transformWithStateInPandas(Corrections(key), f"`{key}` {kind}, {DELTAS}", "Append", "None")
+    return own.groupBy(key).transformWithState(Corrections(key), f"`{key}` {kind}, {DELTAS}", "Append", "None")

@@ -64,3 +64,58 @@ def test_another_store_is_refused(spark, tmp_path):
     spark.createDataFrame([("a", 0)], "k string, i long").write.json(f"{tmp_path}/in")
     with pytest.raises(RuntimeError, match="RocksDB"):
         resume.ordered(resume.records(spark, f"{tmp_path}/in", "k string, i long"), "k", "i")
+
+
+class Kept:
+    """A state in memory that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.of = calls, {}
+
+    def get(self):
+        self.calls.append("get")
+        return self.of.get(())
+
+    def update(self, v):
+        self.calls.append("update")
+        self.of[()] = v
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.of)
+
+    def getValue(self, k):
+        self.calls.append("getValue")
+        return self.of.get(k)
+
+    def updateValue(self, k, v):
+        self.calls.append("updateValue")
+        self.of[k] = v
+
+    def removeKey(self, k):
+        self.calls.append("removeKey")
+        self.of.pop(k, None)
+
+
+def test_state_is_moved_in_blocks():
+    """A thousand rows of a key that wait for one take calls by the block, not by the row, and come out in order and once."""
+    calls = []
+    p = resume.Prefix("k", "string", 0, None)
+    p.next, p.early = Kept(calls), Kept(calls)
+    of = lambda *rows: [resume.Row(ordinal=i, value=v) for i, v in rows]
+    assert not list(p.handleInputRows(("a",), iter(of(*((i, f"v{i}") for i in range(1000, 0, -1)))), None))
+    assert len(calls) < 40
+    assert not list(p.handleInputRows(("a",), iter(of((7, "again"), (1003, "later"))), None))
+    calls.clear()
+    got = [(r.k, r.ordinal, r.value, r.state) for r in p.handleInputRows(("a",), iter(of((0, "v0"), (0, "again"), (1002, None))), None)]
+    assert got == [("a", i, f"v{i}", "committed") for i in range(1001)] and len(calls) < 60
+    assert [r.ordinal for r in p.handleInputRows(("a",), iter(of((1001, "x"), (5, "old"))), None)] == [1001, 1002, 1003] and not p.early.of
+
+
+def test_a_correction_takes_two_calls():
+    calls = []
+    p = resume.Corrections("k")
+    p.last = Kept(calls)
+    of = lambda *rows: [tuple(r) for r in p.handleInputRows((1,), iter([resume.Row(at=a, cell=c) for a, c in rows]), None)]
+    assert of((1, "C00"), (2, "C01"), (2, "C00")) == [(1, "C01", 1)] and calls == ["get", "update"]
+    assert of((1, "C11")) == of((2, "C01")) == [] and of((3, "C10")) == [(1, "C01", -1), (1, "C10", 1)]
