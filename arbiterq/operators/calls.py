@@ -266,25 +266,32 @@ class Lanes:
         return out
 
 
+#: Rows that are handed to the lanes at a time, at least a batch for each, and how often that may wait beside those in work.
+SLICE, AHEAD = 1024, 2
+
+
 def lingering(source: Iterator[pd.DataFrame], rows: int, seconds: float) -> Iterator[pd.DataFrame]:
     """Parts of ``source`` gathered until they have so many rows or the first has waited so long; order is kept.
 
-    A thread reads the source, so that a part that waits is not held up by one that is yet to come."""
-    inbox: queue.Queue = queue.Queue(maxsize=8)
+    A thread reads the source, so that a part that waits is not held up by one that is yet to come. It hands over ``rows`` or SLICE rows at
+    a time, whichever is more, and AHEAD such slices at most: what is held doesn't follow from how large the parts or their number are."""
+    inbox: queue.Queue = queue.Queue(maxsize=AHEAD)
+    size = max(rows, SLICE)
     end, stopped = object(), threading.Event()
 
     def read() -> None:
         last: object = end
         try:
-            for part in source:
-                while not stopped.is_set():
-                    try:
-                        inbox.put(part, timeout=0.1)
-                        break
-                    except queue.Full:
-                        continue
-                if stopped.is_set():
-                    return
+            for whole in source:
+                for part in (whole.iloc[i : i + size] for i in range(0, len(whole), size)):
+                    while not stopped.is_set():
+                        try:
+                            inbox.put(part, timeout=0.1)
+                            break
+                        except queue.Full:
+                            continue
+                    if stopped.is_set():
+                        return
         except BaseException as e:  # goes on in the reader
             last = e
         while not stopped.is_set():
@@ -371,8 +378,10 @@ class Ledger:
 
     A call's key is the md5 of its prompt, model, tokens, temperature, seed and repetition. ``asked`` finds the keys that no entry
     without an error has, asks them, each once, and reads everything back, so that all who use the result see the same replies and no action
-    calls again. A task commits each batch as a small Parquet file, written under another name and renamed; when it is tried again it takes
-    what its earlier attempt committed, and a later run what any run committed. So a failure costs the batches in flight. Should two attempts
+    calls again. A task commits its replies as Parquet files, written under another name and renamed, a file at most each FLUSH seconds or
+    FULL replies: batches that take longer are a file each, quick ones share one. When it is tried again it takes what its earlier attempt
+    committed, and a later run what any run committed. So a failure costs the batches in flight, and a killed worker the replies of the last
+    FLUSH seconds too. Should two attempts
     of a task run at once (speculation), a key may be asked twice; readers take the first entry without an error, by file name, for all.
     """
 
@@ -425,8 +434,58 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else f"file://{os.path.abspath(path)}")
 
 
+#: Seconds and replies after which a task's replies are committed.
+FLUSH, FULL = 1.0, 8192
+
+
+class Segments:
+    """Replies of one task on their way to files of a folder; what was added is committed within FLUSH seconds, and at the end, also after an error."""
+
+    def __init__(self, files: fs.FileSystem, folder: str) -> None:
+        self.files, self.folder, self.held, self.due = files, folder, [], time.monotonic() + FLUSH
+        self.lock, self.stopped, self.failed = threading.Lock(), threading.Event(), None
+        self.timer = threading.Thread(target=self.watch, daemon=True)
+
+    def __enter__(self) -> Segments:
+        self.timer.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.stopped.set()
+        self.timer.join()
+        with self.lock:
+            self.commit()
+        if self.failed:
+            raise self.failed
+
+    def add(self, rows: list[tuple]) -> None:
+        with self.lock:
+            if self.failed:
+                raise self.failed
+            self.held += rows
+            if len(self.held) >= FULL or time.monotonic() >= self.due:
+                self.commit()
+
+    def watch(self) -> None:
+        while not self.stopped.wait(FLUSH):
+            with self.lock:
+                try:
+                    if time.monotonic() >= self.due:
+                        self.commit()
+                except Exception as e:  # goes on in the task
+                    self.failed = e
+                    return
+
+    def commit(self) -> None:
+        rows, self.held, self.due = self.held, [], time.monotonic() + FLUSH
+        if rows:
+            name = f"{uuid.uuid4().hex}.parquet"
+            pq.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT), f"{self.folder}/_{name}", filesystem=self.files)
+            self.files.move(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+
+
 def committed(parts: Iterator[pd.DataFrame], folder: str, run: str, make: Callable[[], Provider], policy: Policy) -> Iterator[pd.DataFrame]:
-    """Ask what (call_key, prompt, __call) say, committing each batch; (n): how many rows each part had."""
+    """Ask what (call_key, prompt, __call) say, committing the replies as they come; (n): how many rows each part had."""
     task = TaskContext.get().partitionId()
     files, top = store(folder)
     own = f"{top}/run={run}/task={task:06d}"
@@ -435,16 +494,13 @@ def committed(parts: Iterator[pd.DataFrame], folder: str, run: str, make: Callab
     for f in files.get_file_info(fs.FileSelector(own)):  # of an earlier attempt at this task
         if f.base_name.endswith(".parquet") and not f.base_name.startswith("_"):
             seen.update(pq.read_table(f.path, filesystem=files, columns=["call_key"])["call_key"].to_pylist())
-    with Lanes(policy, make(), task if policy.job_wide else None) as lanes:
+    with Segments(files, own) as segments, Lanes(policy, make(), task if policy.job_wide else None) as lanes:  # lanes end first
         for part in lingering(parts, policy.batch * max(1, policy.lanes()), policy.linger):
             rest = part[~part["call_key"].isin(seen)] if seen else part
             keys = rest["call_key"].tolist()
 
             def commit(rows: list[int], got: list[tuple], keys: list[str] = keys) -> None:
-                columns = zip(*((keys[i], *r) for i, r in zip(rows, got, strict=True)), strict=True)
-                name = f"{uuid.uuid4().hex}.parquet"
-                pq.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SEGMENT.types, strict=True)], schema=_SEGMENT), f"{own}/_{name}", filesystem=files)
-                files.move(f"{own}/_{name}", f"{own}/{name}")
+                segments.add([(keys[i], *r) for i, r in zip(rows, got, strict=True)])
 
             lanes.replies([plain(p) for p in rest["prompt"]], [Call(*(c[k] for k in PARAMETERS)) for c in rest["__call"]], commit)
             yield pd.DataFrame({"n": [len(rest)]})

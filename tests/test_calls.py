@@ -222,3 +222,38 @@ def test_chat_server(spark, monkeypatch):
     got = calls.generated(spark.createDataFrame([("hello",)], "p string"), "p", lambda: provider).first()
     assert got["reply"] == "HELLO" and got["prompt_tokens"] == 5
     server.shutdown()
+
+
+def test_quick_batches_share_a_file_and_slow_ones_do_not_wait(tmp_path, monkeypatch):
+    monkeypatch.setattr(calls.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda self: 0})()))
+    call = {"model": "stub", "max_tokens": 64, "temperature": 0.0, "seed": 42, "repetition": 1.0}
+    part = pd.DataFrame({"call_key": [str(i) for i in range(3200)], "prompt": [f"p {i}" for i in range(3200)], "__call": [call] * 3200})
+    files = lambda name: glob.glob(f"{tmp_path}/{name}/**/[!_]*.parquet", recursive=True)
+    assert sum(n["n"].sum() for n in calls.committed(iter([part]), f"{tmp_path}/quick", "run", calls.Echo, calls.Policy())) == 3200
+    assert len(files("quick")) < 20 and sum(len(pd.read_parquet(f)) for f in files("quick")) == 3200  # a hundred batches
+
+    class Slow(calls.Echo):
+        def reply(self, prompts, call):
+            if "p 4" in prompts[0][-1][1]:
+                time.sleep(2.5)
+                assert files("slow")  # what came before is there, though nothing came since
+            return super().reply(prompts, call)
+
+    assert sum(n["n"].sum() for n in calls.committed(iter([part[:5]]), f"{tmp_path}/slow", "run", Slow, calls.Policy(batch=1))) == 5
+    assert sum(len(pd.read_parquet(f)) for f in files("slow")) == 5
+
+
+def test_few_rows_are_held_ahead():
+    """A reader that is slow holds a few slices, however large the parts are and however many come."""
+    made = []
+
+    def parts():
+        for i in range(20):
+            made.append(i)
+            yield pd.DataFrame({"i": range(i * 10_000, (i + 1) * 10_000)})
+
+    got = calls.lingering(parts(), 32, 0.05)
+    first = next(got)
+    time.sleep(0.3)
+    assert len(first) <= 1024 and len(made) == 1
+    assert [*first["i"], *(x for p in got for x in p["i"])] == list(range(200_000)) and len(made) == 20
