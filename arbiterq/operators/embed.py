@@ -10,6 +10,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -29,15 +30,16 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(100_000)
+def slot(word: str) -> int:
+    return hashlib.md5(word.encode()).digest()[0] >> 4
+
+
 class Slots:
     """How often each first digit of the md5 of a text's lower-cased words occurs: sixteen numbers."""
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 16))
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                out[i, int(hashlib.md5(w.encode()).hexdigest()[0], 16)] += 1
-        return out
+        return np.array([np.bincount([*map(slot, t.lower().split())], minlength=16) for t in texts], float).reshape(len(texts), 16)
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,7 @@ def semantic_match(df: DataFrame, key: str, answer: str, aliases: str, make: Cal
     Only texts of rows without a match as texts are encoded. ``key`` tells rows apart. Null or blank answers, and rows without aliases, don't match."""
     own = df.withColumn("__said", alias_match(answer, aliases))
     unsure = own.where(~F.col("__said") & (F.trim(text(answer)) != "")).select(F.col(key).alias("__key"), F.col(answer).alias("a"), F.explode(F.array_distinct(F.filter(col(aliases), lambda x: F.trim(x) != ""))).alias("b"))
-    texts = unsure.select(F.col("a").alias("text")).unionByName(unsure.select(F.col("b").alias("text")))
+    texts = unsure.select(F.explode(F.array("a", "b")).alias("text"))
     v = store.of(texts, make)
     va, vb = (v.select(F.col("text_hash").alias(f"h{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
     pairs = unsure.select("__key", F.md5("a").alias("ha"), F.md5("b").alias("hb")).join(va, "ha").join(vb, "hb")

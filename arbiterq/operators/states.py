@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -24,6 +25,10 @@ CHOICES = {c: (f" {c}", c, f" ({c}", f"({c}", f"{c})", f" {c})", f"**{c}", f" **
 MOST_TOKENS = 4096
 
 
+#: Words whose numbers a stand-in keeps.
+WORDS = 100_000
+
+
 class Encoder(Protocol):
     layers: int
 
@@ -41,8 +46,13 @@ class Hashed:
         x = np.array(drawn, np.float32)
         self.states = x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-9)
 
+        self.numbers = lru_cache(WORDS)(self.number)
+
+    def number(self, word: str) -> int:
+        return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "little") % self.vocabulary
+
     def tokens(self, text: str) -> list[int]:
-        return [int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % self.vocabulary for t in text.split()]
+        return [*map(self.numbers, text.split())]
 
     def forward(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         states, logits = [], []

@@ -50,6 +50,13 @@ def _rows(spark, sf) -> DataFrame:
     return qa(spark, sf).select("qid", "dataset", F.col("pk_answer").alias("question"), F.col("ck_answer").alias("ck_text"), "pk_answer", "ck_answer", "ground_truth")
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """A narrow table that several stages read, written once: texts are cut into lines once, not for each reading."""
+    at = scratch(df.sparkSession, "rows")
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 _ROWS = f"{W.QA}, rows AS (SELECT qid, dataset, coalesce(pk_answer, '') AS question, coalesce(ck_answer, '') AS ck_text, coalesce(pk_answer, '') AS pk, coalesce(ck_answer, '') AS ck, ground_truth FROM qa)"
 
 
@@ -62,7 +69,7 @@ c AS (SELECT *, {W.match('np', 'ng')} AS pk_correct, {W.match('nc', 'ng')} AS ck
 @query(_LABELLED + f" SELECT qid, md5(pk_answer) AS pk_answer, md5(ck_answer) AS ck_answer, pk_correct, ck_correct, {W.cell('pk_correct', 'ck_correct')} AS cell FROM c")
 def infer_provider(spark, sf):
     rows = _rows(spark, sf).select("qid", "question", F.when(F.col("qid") % 9 > 0, F.col("ck_text")).otherwise("").alias("ck_text"), "ground_truth")
-    out = I.labelled(rows, spark.createDataFrame([], "question_hash string, pk_answer string"), I.Echo)
+    out = I.labelled(_once(rows), spark.createDataFrame([], "question_hash string, pk_answer string"), I.Echo)
     return out.select("qid", F.md5("pk_answer").alias("pk_answer"), F.md5("ck_answer").alias("ck_answer"), "pk_correct", "ck_correct", "cell")
 
 
@@ -116,7 +123,7 @@ UNION ALL SELECT qid, dataset, 'implicit_scr', r_implicit_scr, NULL, NULL, NULL
 
 @query(_BASELINES + " SELECT qid, dataset, method, md5(final_answer) AS final_answer, predicted_source, judge_response, judge_decision FROM u")
 def baselines(spark, sf):
-    out = I.all_answered(_rows(spark, sf).drop("ground_truth"), _coin)
+    out = I.all_answered(_once(_rows(spark, sf).drop("ground_truth")), _coin)
     return out.select("qid", "dataset", "method", F.md5("final_answer").alias("final_answer"), "predicted_source", "judge_response", "judge_decision")
 
 
@@ -142,7 +149,7 @@ e AS (SELECT *, CASE WHEN eq_pk AND eq_ck THEN 'either' WHEN eq_pk THEN 'pk_only
 def evaluation_job(spark, sf):
     """From rows to the report in kept steps: labels and their gate, split, four methods' answers, metrics by method and split."""
     rows = _rows(spark, sf).select("qid", "dataset", T.text("question").alias("question"), F.when(F.col("qid") % 9 > 0, T.text("ck_text")).otherwise("").alias("ck_text"), "ground_truth")
-    return job.evaluation(rows, scratch(spark, "job"), I.Echo, _coin, methods=_EVALUATED, config={"rows": sf}).run(spark)["report"]
+    return job.evaluation(_once(rows), scratch(spark, "job"), I.Echo, _coin, methods=_EVALUATED, config={"rows": sf}).run(spark)["report"]
 
 
 _JUDGE = "'Right answers, any of which will do: ' || gold || chr(10) || 'Given answer: ' || trim({c}, " + W.WS + ") || chr(10) || 'Does the given answer say one of the right ones? Reply YES or NO.'"
@@ -377,7 +384,7 @@ c AS (SELECT qid, max(round(list_sum(list_transform(range(1, 17), lambda i: va[i
 SELECT m.qid, said OR coalesce(best >= 0.65, false) AS match FROM m LEFT JOIN c USING (qid)""")
 def semantic_texts(spark, sf):
     """The match by meaning from the texts themselves: those without a match as texts are encoded once and kept."""
-    rows, store = qa(spark, sf).select("qid", "pk_answer", "ground_truth"), embed.Store(scratch(spark, "vectors"))
+    rows, store = _once(qa(spark, sf).select("qid", "pk_answer", "ground_truth")), embed.Store(scratch(spark, "vectors"))
     return embed.semantic_match(rows, "qid", "pk_answer", "ground_truth", embed.Slots, store).select("qid", "match")
 
 
@@ -418,7 +425,7 @@ s AS (SELECT qid, side, k, {_mass(_A)} AS p_a, {_mass(_B)} AS p_b FROM m GROUP B
 SELECT j.qid, j.side, j.k::INT AS k, CASE WHEN there THEN 4 END AS layers, CASE WHEN there THEN 16 END AS width, p_a, p_b FROM j LEFT JOIN s USING (qid, side, k)""")
 def pooled_traces(spark, sf):
     """The traces of all rows by a deterministic encoder: sizes, and the probabilities of the two choices after each trace."""
-    rows = _rows(spark, sf)
+    rows = _once(_rows(spark, sf).select("qid", "question", "ck_text"))
     own = I.traced(rows, I.Echo).join(rows.select("qid", T.text("question").alias("question"), T.text("ck_text").alias("ck_text")), "qid")
     out = states.pooled_traces(own, states.Hashed)
     sizes = F.when(F.col("h_trace").isNotNull(), F.size("h_trace")), F.when(F.col("h_judge").isNotNull(), F.size(F.get("h_judge", F.lit(0))))

@@ -450,3 +450,22 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     got = [r["v"] for r in spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", vector.rounded("x").alias("v")).orderBy("i").collect()]
     con = duckdb.connect()
     assert [str(x) for x in got] == [str(con.execute("select round(?::double, 6)", [x]).fetchone()[0]) for x in values]
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    """The stand-ins keep what they know of a word, so texts of known words cost no digests."""
+    import hashlib
+    import types
+
+    from arbiterq.operators import embed
+
+    seen = []
+    own = types.SimpleNamespace(md5=lambda b: seen.append(b) or hashlib.md5(b), shake_128=hashlib.shake_128)
+    monkeypatch.setattr(states, "hashlib", own)
+    monkeypatch.setattr(embed, "hashlib", own)
+    words = [f"of-{i % 7}-{os.getpid()}" for i in range(700)]
+    encoder = states.Hashed(1, 2, 1024)
+    want = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little") % 1024 for w in words]
+    assert encoder.tokens(" ".join(words)) == want and len(seen) == 7
+    v = embed.Slots().embed([" ".join(words), ""])
+    assert len(seen) == 14 and v.sum() == 700 and v.shape == (2, 16) and all(v[0, int(hashlib.md5(w.encode()).hexdigest()[0], 16)] for w in words)
