@@ -15,9 +15,11 @@
    sketches leave hope. In larger ones they are found by
    their differences from the centre: a line x that is not alike a line r can be alike a line y only if they differ from
    r in some same shingle; were the symmetric differences D(x) and D(y) with r disjoint, x and y would have J(x, y) <= J(x, r).
-   Indeed they share (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 or more of them at similarity 0.8, so a prefix filter that asks for
-   SHARED of them finds every such pair. What x has and r lacks comes first in it, being rare: it costs little where a thousand variants of
-   one line differ each in its own way, or where lines of their own hold one common passage. Of these pairs each line's likeliest, by sketch, are verified first;
+   Indeed they share (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 or more of them at similarity 0.8, so a prefix filter finds every such
+   pair; where they first meet in its order, what either has left of its differences must still make up that number, which leaves few
+   pairs besides the alike ones. What x has and r lacks comes first, rare ones before others. Before that, each line is verified with the
+   one that differs least of those that share a difference, and no pairs are made within the components that this leaves: a thousand lines
+   alike one another are some thousand pairs. Of the pairs each line's likeliest, by sketch, are verified first;
    then all those that still join two components. No bucket has a cap.
 5. Distributed union-find; the first line of each component (least doc_id, then place in the text) stays.
 
@@ -43,8 +45,6 @@ SHORT, LONG = 96, 72
 WIDE, WIDEST = 10, 14
 #: Lines of a bucket that are compared pair by pair where its centres leave them apart, and the centres of a bucket.
 FEW, CENTRES = 32, 3
-#: Differences from a centre that two lines share at least before they are verified, or fewer if fewer prove the threshold possible.
-SHARED = 6
 #: Minima whose two bits may differ in a pair that is verified: at similarity 0.8 more do once in 20,000 times.
 MOST_ODD = 11
 #: Rows of some forty bytes that may be sent to every executor (20 MB).
@@ -162,48 +162,74 @@ def pair_of(x: str = "x", y: str = "y") -> tuple[Column, Column, Column]:
     return F.greatest(a, b).alias("h"), F.least(a, b).alias("rep"), odd(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")).alias("far")
 
 
-def open_pairs(pairs: DataFrame, links_: DataFrame) -> DataFrame:
-    """The pairs (h, rep, far) whose lines are in different components of the links (h, rep)."""
+def named(rows: DataFrame, links_: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``c_<key>`` of each key: the component of that line under the links (h, rep), or the line itself."""
     of = written(components(links_.select(F.col("h").alias("u"), F.col("rep").alias("v"))), "of")
-    for key, c in (("h", "ch"), ("rep", "cr")):
-        pairs = pairs.join(of.select(F.col("node").alias(key), F.col("component").alias(c)), key, "left")
-    return pairs.where(F.coalesce("ch", "h") != F.coalesce("cr", "rep")).select("h", "rep", "far")
+    for key in keys:
+        rows = rows.join(of.select(F.col("node").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
+    return rows
 
 
-def crossing(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(h, rep, far): pairs of lines that may be alike, and how far apart their sketches are, though at least one of them is not alike their common centre. stars: (h, rep, sketch, own,
-    same); lines that aren't the centre's own, but of a later level, are not alike it, and are not paired among themselves here.
+def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(h, rep, sketch, own, same, t, ...): the shingles t in which lines differ from a centre of which at least one line of its bucket
+    is not alike, as far as a prefix filter needs them and two lines have them. stars: (h, rep, sketch, own, same); lines that aren't the
+    centre's own, but of a later level, are not alike it, and are not paired among themselves here.
 
     A pair at the threshold t shares k or more of the shingles in which they differ from the centre r: with q = (1 - t) / (1 + t),
     2k >= |D(x)| + |D(y)| - q (|x| + |y|). As |D(x)| >= |D(y)| - q (|x| + |y|) and |x| <= |y| / t, seen from any y
     k >= |D(y)| - q (1 + 1 / t) |y|, and if |D(y)| <= |D(x)| even k >= |D(y)| - q (1 + 1 / t) |y| / 2. For x alike r and y not,
     |D(y)| > q (|y| + |r|), so 2k > |D(x)| + q (|r| - |x|); for both not, k > q |r|. In any order of the shingles, the first
-    |D| - k + l of either hold l common ones, for any l up to k.
+    |D| - k + 1 of either hold a common one. The order: what x has and r lacks, then what r has and x lacks, rare ones first.
+
+    ``room`` and ``more`` bound what two lines share if t is the first that they share: least(room) + least(more), where room is what a
+    line has from t on in its part of the order, and more is all of the second part for a t of the first. A t of the second part is in
+    a prefix only behind all of the first, so a pair that shares one of the first meets there. ``w``: |D(x)| - q |x|.
     """
     q = (1 - threshold) / (1 + threshold)
     whole = stars.join(stars.where("not same").select("rep").distinct(), "rep", "left_semi")
     keys = ("h", "rep", "sketch", "own", "same")
-    differ = F.concat(F.array_sort(F.array_except("a", "b")), F.array_sort(F.array_except("b", "a")))
-    each = with_sets(whole, lines).select(*keys, F.size("a").alias("nx"), F.size("b").alias("nr"), differ.alias("d")).withColumn("nd", F.size("d"))
+    each = with_sets(whole, lines).select(*keys, F.size("a").alias("nx"), F.size("b").alias("nr"), F.array_except("a", "b").alias("new"), F.array_except("b", "a").alias("lost"))
+    each = each.withColumns({"n_new": F.size("new"), "n_lost": F.size("lost"), "nd": F.size("new") + F.size("lost")})
 
     def at_least(*k: Column) -> Column:
         return F.greatest(F.lit(1), *(F.ceil(x - 1e-9) for x in k)).cast("int")
 
     slack, other = F.lit(q * (1 + 1 / threshold)) * F.col("nx"), F.lit(q) * F.col("nr")
     any_, alike = F.col("nd") - slack, (F.col("nd") + F.lit(q) * (F.col("nr") - F.col("nx"))) / 2
-    each = each.withColumns({"k": F.when(F.col("same"), at_least(alike)).otherwise(at_least(any_)), "large": at_least(any_, other), "small": at_least(F.col("nd") - slack / 2, other)})
-    first = {k: F.col("nd") - F.col(k) + F.least(F.col(k), F.lit(SHARED)) for k in ("k", "large", "small")}
-    counts = ("nd", "k", "large", "small")
-    dealt = each.select(*keys, *counts, F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), *first.values()))).alias("at", "t"))
-    dealt = written(dealt.select(*keys, *counts, "t", *((F.col("at") < n).alias(f"in_{k}") for k, n in first.items())), "differences")
-    met, shared = F.expr("x.rep = y.rep and x.t = y.t") & hope(), F.count("*") >= F.max("need")
-
-    def pairs(x: DataFrame, y: DataFrame, kx: str, ky: str, and_: str = "true") -> DataFrame:
-        both = x.alias("x").join(y.alias("y"), met & F.expr(and_)).select(*pair_of(), F.col("x.rep").alias("centre"), F.least(F.lit(SHARED), f"x.{kx}", f"y.{ky}").alias("need"))
-        return both.groupBy("h", "rep", "centre").agg(F.max("far").alias("far"), shared.alias("enough")).where("enough").select("h", "rep", "far")
-
-    one = pairs(dealt.where("not same and in_k"), dealt.where("same and in_k"), "k", "k")
-    two = pairs(dealt.where("not same and in_small"), dealt.where("not same and in_large"), "small", "large", "(x.own or y.own) and (x.nd < y.nd or x.nd = y.nd and x.h < y.h)")
+    need = {"k": F.when(F.col("same"), at_least(alike)).otherwise(at_least(any_)), "large": at_least(any_, other), "small": at_least(F.col("nd") - slack / 2, other)}
+    each = each.withColumns(need).withColumn("w", F.col("nd") - F.lit(q) * F.col("nx"))
+    dealt = each.select(*keys, "nd", "n_new", "n_lost", "w", *need, F.posexplode(F.concat("new", "lost")).alias("i", "t")).withColumn("is_new", F.col("i") < F.col("n_new")).drop("i")
+    dealt = dealt.withColumn("often", F.count("*").over(Window.partitionBy("rep", "t")))
+    dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("rep", "h", "is_new").orderBy("often", "t")) - 1)
+    place = F.col("at") + F.when(F.col("is_new"), 0).otherwise(F.col("n_new"))
+    within = {f"in_{k}": place <= F.col("nd") - F.col(k) for k in need}
+    room, more = F.when(F.col("is_new"), F.col("n_new")).otherwise(F.col("n_lost")) - F.col("at"), F.when(F.col("is_new"), F.col("n_lost")).otherwise(0)
+    kept = dealt.where("often > 1").select(*keys, "t", "nd", "w", room.alias("room"), more.alias("more"), *(v.alias(k) for k, v in within.items()))
+    return written(kept.where("in_k or in_large or in_small"), "differences")
+
+
+#: Whether two lines may be alike that share a difference, if it is their first.
+MAY = "2 * (least(x.room, y.room) + least(x.more, y.more)) + 1e-6 >= x.w + y.w"
+
+
+def nearest(dealt: DataFrame) -> DataFrame:
+    """(h, rep): of the lines that share a difference, each with the one that differs least, where they may be alike: links that spare
+    ``crossing`` the pairs of one component. As many rows as lines have differences at most."""
+    x = dealt.withColumn("y", F.min(F.struct("nd", "h", "sketch", "same", "own", "w", "room", "more")).over(Window.partitionBy("rep", "t")))
+    x = x.select("y", F.struct(*(c for c in x.columns if c != "y")).alias("x"))
+    return x.where(F.expr(f"x.h <> y.h and not (x.same and y.same) and (x.own or y.own) and {MAY}") & hope()).select(*pair_of()).select("h", "rep").distinct()
+
+
+def crossing(dealt: DataFrame) -> DataFrame:
+    """(h, rep, far): pairs of lines in different components (c_h) that may be alike, and how far apart their sketches are, though at
+    least one of them is not alike their common centre. dealt: ``differences``."""
+    met = F.expr(f"x.rep = y.rep and x.t = y.t and x.c_h <> y.c_h and {MAY}") & hope()
+
+    def pairs(x: DataFrame, y: DataFrame, and_: str = "true") -> DataFrame:
+        return x.alias("x").join(y.alias("y"), met & F.expr(and_)).select(*pair_of())
+
+    one = pairs(dealt.where("not same and in_k"), dealt.where("same and in_k"))
+    two = pairs(dealt.where("not same and in_small"), dealt.where("not same and in_large"), "(x.own or y.own) and (x.nd < y.nd or x.nd = y.nd and x.h < y.h)")
     return one.unionByName(two).distinct()
 
 
@@ -227,21 +253,27 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
         apart_enough = f"coalesce(x.rep = y.rep and abs(x.far - y.far) > {1 - threshold + 1e-9!r}, false)"
         near = F.expr(f"x.band = y.band and x.h > y.h and not (x.rep = y.rep and x.same and y.same) and not {apart_enough}") & hope()
         more = small.alias("x").join(small.alias("y"), near).select(*pair_of())
+        known = found.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep"))
         large = apart.where(F.col("members") > FEW)
         if large.limit(1).count():
             centres = large.select(F.col("band").alias("b"), F.col("level").alias("l"), "rep").distinct()
             later = large.drop("rep").join(centres, F.expr("band = b and level > l")).select("h", "rep", "sketch", F.lit(False).alias("own"), F.lit(False).alias("same"))
             stars = large.where("h <> rep").select("h", "rep", "sketch", F.lit(True).alias("own"), "same").unionByName(later)
             stars = stars.groupBy("h", "rep").agg(F.max(F.struct("own", "same", "sketch")).alias("s")).select("h", "rep", "s.*")
-            more = more.unionByName(crossing(stars, texts, threshold))
-        known = found.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep"))
+            dealt = differences(stars, texts, threshold)
+            forget()
+            close = written(verified(written(nearest(dealt).join(known, ["h", "rep"], "left_anti"), "nearest"), texts, threshold), "verified")
+            forget()
+            out = out.unionByName(close.where("same"))
+            known = known.unionByName(close.select("h", "rep"))
+            more = more.unionByName(crossing(named(dealt, out, "h")))
         more = written(more.distinct().join(known, ["h", "rep"], "left_anti"), "crossing")
         forget()
         likely = more.groupBy("h").agg(F.min(F.struct("far", "rep")).alias("b")).select("h", "b.rep").unionByName(more.groupBy("rep").agg(F.min(F.struct("far", "h")).alias("b")).select("b.h", "rep")).distinct()
         likely = written(verified(written(likely, "likely"), texts, threshold), "verified")
         out = out.unionByName(likely.where("same"))
-        rest = written(open_pairs(more.join(likely.select("h", "rep"), ["h", "rep"], "left_anti"), out), "open")
-        out = out.unionByName(verified(rest.select("h", "rep"), texts, threshold).where("same"))
+        rest = written(named(more.join(likely.select("h", "rep"), ["h", "rep"], "left_anti"), out, "h", "rep").where("c_h <> c_rep").select("h", "rep"), "open")
+        out = out.unionByName(verified(rest, texts, threshold).where("same"))
     return out.select(F.col("h").alias("u"), F.col("rep").alias("v"))
 
 

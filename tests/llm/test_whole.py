@@ -85,6 +85,30 @@ def test_differences_find_every_link_of_a_bucket(spark, monkeypatch):
     assert all(alike(a, b) for a, b in got) and len(want) > 100 and groups(got, lines) == groups(want, lines)
 
 
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    """Lines of their own that hold one passage, and lines that are all alike one another: hardly a pair is left to be made."""
+    monkeypatch.setattr(line_dedup, "signatures", one_bucket)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    made, write = {}, line_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    rng = random.Random(11)
+    passage, other, new = prose(rng, 20), prose(rng, 20), prose(rng, 40)
+    own = [" ".join(prose(rng, 16) + passage) for _ in range(60)]
+    alike_ = [" ".join([*other[:i], new[i], *other[i + 1 :], *passage]) for i in range(20)]
+    lines = own + alike_
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line"))
+    name = {r["h"]: r["line"] for r in df.collect()}
+    got = groups([(name[r["u"]], name[r["v"]]) for r in line_dedup.links(df).collect()], lines)
+    assert [got[x] for x in own] == own and {got[x] for x in alike_} == {min(alike_)}
+    assert made.get("crossing", 0) <= len(lines) and made.get("nearest", 0) <= 4 * len(lines)
+
+
 def test_bands_find_what_is_alike(spark):
     """Recall over planted pairs of all lengths at 0.8 to 0.9, and no unlike line goes."""
     rng = random.Random(9)
