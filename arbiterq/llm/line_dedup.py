@@ -31,11 +31,13 @@ pass through untouched, whatever their names. Lines are told apart by 64-bit has
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, fresh, written
+from .common import SPACES, documents, forget, fresh, written
 from .graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 8, 8, 3, 0.8, 24
@@ -47,12 +49,16 @@ WIDE, WIDEST = 10, 14
 FEW, CENTRES = 32, 3
 #: Minima whose two bits may differ in a pair that is verified: at similarity 0.8 more do once in 20,000 times.
 MOST_ODD = 11
+#: Shingles of a line that one row holds while minima are taken.
+AT_ONCE = 4
 #: Rows of some forty bytes that may be sent to every executor (20 MB).
 MOST_SENT = 500_000
 
 
-def plain(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
+def trimmed(line: Column) -> Column:
+    """A line without outer white space; btrim, which maps every character of a line, sees only those that have some."""
+    ends = reduce(or_, (f(line, F.lit(c)) for c in SPACES for f in (F.startswith, F.endswith)))
+    return F.when(ends, F.btrim(line, F.lit(SPACES))).otherwise(line)
 
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -75,8 +81,12 @@ def shingle(u: Column, at: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The set of the hashes of a line's shingles."""
-    return F.array_distinct(bound(units(line), lambda u: F.transform(F.sequence(F.lit(0), last_place(u)), lambda at: F.xxhash64(shingle(u, at)))))
+    """The hashes of a line's shingles, repeats included. The sequence has the bytes where they start, so that a lambda only cuts and hashes."""
+
+    def hashes(u: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), last_place(u) * 2 + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(u, at, F.lit(2 * SHINGLE))))
+
+    return bound(units(line), hashes)
 
 
 def constant(i: int) -> int:
@@ -88,21 +98,29 @@ def constant(i: int) -> int:
 
 
 def samples(lines: DataFrame) -> DataFrame:
-    """(h, kind, one, x): the hashes of the shingles that a line (h, line) gives; kind 0: all, 1: at the starts of words; one: 1 for the first."""
+    """(h, kind, one, x0, x1, ...): the hashes of the shingles that a line (h, line) gives, AT_ONCE a row, where the last one fills up;
+    kind 0: all, 1: at the starts of words; one: 1 for the first row. Without lambdas, and without the filters that an inner explode
+    implies, all of it is compiled code that makes each array once."""
     size, n = F.length("line"), F.size("words")
     own = lines.select("h", "line", F.split("line", " ").alias("words"))
-    kinds = (F.when((size <= SHORT) | (size > WIDE * n), 0), F.when((size >= LONG) & (size < WIDEST * n), 1))
-    dealt = own.select("h", "line", "words", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    every, starts = (size <= SHORT) | (size > WIDE * n), (size >= LONG) & (size < WIDEST * n)
+    kinds = F.when(every & starts, F.array(F.lit(0), F.lit(1))).when(every, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
     everything, at = F.col("kind") == 0, F.col("at")
-    dealt = dealt.select("h", "kind", "words", F.when(everything, units(F.col("line"))).alias("u"))
-    each = dealt.select("h", "kind", "words", "u", F.explode(F.sequence(F.lit(0), F.when(everything, last_place(F.col("u"))).otherwise(n - 1))).alias("at"))
-    start = F.left(F.concat(F.get("words", at), F.lit(" "), F.coalesce(F.get("words", at + 1), F.lit(""))), F.lit(SHINGLE))
-    return each.select("h", "kind", (at == 0).cast("int").alias("one"), F.when(everything, F.hash(shingle(F.col("u"), at))).otherwise(F.hash(start)).alias("x"))
+    dealt = own.select("h", "line", "words", F.explode_outer(kinds).alias("kind")).select("h", "kind", "words", F.when(everything, units(F.col("line"))).alias("u"))
+    dealt = dealt.withColumn("last", F.when(everything, last_place(F.col("u"))).otherwise(n - 1))
+    each = dealt.select("h", "kind", "words", "u", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(AT_ONCE))).alias("at"))
+
+    def x(at: Column) -> Column:
+        start = F.left(F.concat(F.get("words", at), F.lit(" "), F.coalesce(F.get("words", at + 1), F.lit(""))), F.lit(SHINGLE))
+        return F.when(everything, F.hash(shingle(F.col("u"), at))).otherwise(F.hash(start))
+
+    return each.select("h", "kind", (at == 0).cast("int").alias("one"), *(x(F.least(at + j, F.col("last"))).alias(f"x{j}") for j in range(AT_ONCE)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, kind, n, m0, m1, ...) of each different line; n: how often it occurs."""
-    return samples(lines).groupBy("h", "kind").agg(F.sum("one").alias("n"), *(F.min(F.col("x").bitwiseXOR(F.lit(constant(i + 1)))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    least = (F.least(*(F.col(f"x{j}").bitwiseXOR(F.lit(constant(i + 1))) for j in range(AT_ONCE))) for i in range(BANDS * ROWS))
+    return samples(lines).groupBy("h", "kind").agg(F.sum("one").alias("n"), *(F.min(x).alias(f"m{i}") for i, x in enumerate(least)))
 
 
 def sketch() -> Column:
@@ -122,7 +140,7 @@ def odd(a: Column, b: Column) -> Column:
 def buckets(lines: DataFrame) -> DataFrame:
     """(band, h, sketch, members, level, rep, odd_rep) of the lines that share a band; rep: the centre of the level, the first whose sketch leaves hope."""
     bands = F.array(*(F.xxhash64("kind", F.lit(b), *(f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS))) for b in range(BANDS)))
-    dealt = signatures(lines).select("h", "n", sketch().alias("sketch"), F.explode(bands).alias("band"))
+    dealt = signatures(lines).select("h", "n", sketch().alias("sketch"), F.explode_outer(bands).alias("band"))
     seen = dealt.withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1").withColumn("level", F.lit(0))
     for level in range(CENTRES):  # no line leaves its band's task
         seen = seen.withColumn("top", F.max(F.struct("n", "h", "sketch")).over(Window.partitionBy("band", "level"))).withColumn("odd_rep", odd(F.col("sketch"), F.col("top.sketch")))
@@ -137,7 +155,7 @@ def joined_few(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``pairs`` (h, rep, ...) with the sets a and b of their shingles. ``lines``: (h, line), one row each. Sets are eight times the size
+    """``pairs`` (h, rep, ...) with the shingles a and b of both. ``lines``: (h, line), one row each. Sets are eight times the size
     of lines, so lines meet their pairs, and sets are made there."""
     la, lb = (lines.select(F.col("h").alias(key), F.col("line").alias(x)) for x, key in (("la", "h"), ("lb", "rep")))
     both = pairs.join(la, "h").join(lb, "rep")
@@ -147,9 +165,8 @@ def with_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """``pairs`` (h, rep) of distinct lines with ``far``, the Jaccard distance of their shingle sets, and ``same``: whether their similarity
     reaches the threshold."""
-    shared = with_sets(pairs, lines).select("h", "rep", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    either = F.col("sum") - F.col("both")
-    return shared.select("h", "rep", (1 - F.col("both") / either).alias("far"), (F.col("both") >= F.lit(threshold) * either).alias("same"))
+    shared = with_sets(pairs, lines).select("h", "rep", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
+    return shared.select("h", "rep", (1 - F.col("both") / F.col("either")).alias("far"), (F.col("both") >= F.lit(threshold) * F.col("either")).alias("same"))
 
 
 def hope(x: str = "x", y: str = "y") -> Column:
@@ -188,7 +205,7 @@ def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFra
     q = (1 - threshold) / (1 + threshold)
     whole = stars.join(stars.where("not same").select("rep").distinct(), "rep", "left_semi")
     keys = ("h", "rep", "sketch", "own", "same")
-    each = with_sets(whole, lines).select(*keys, F.size("a").alias("nx"), F.size("b").alias("nr"), F.array_except("a", "b").alias("new"), F.array_except("b", "a").alias("lost"))
+    each = with_sets(whole, lines).select(*keys, F.size(F.array_distinct("a")).alias("nx"), F.size(F.array_distinct("b")).alias("nr"), F.array_except("a", "b").alias("new"), F.array_except("b", "a").alias("lost"))
     each = each.withColumns({"n_new": F.size("new"), "n_lost": F.size("lost"), "nd": F.size("new") + F.size("lost")})
 
     def at_least(*k: Column) -> Column:
@@ -198,7 +215,7 @@ def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFra
     any_, alike = F.col("nd") - slack, (F.col("nd") + F.lit(q) * (F.col("nr") - F.col("nx"))) / 2
     need = {"k": F.when(F.col("same"), at_least(alike)).otherwise(at_least(any_)), "large": at_least(any_, other), "small": at_least(F.col("nd") - slack / 2, other)}
     each = each.withColumns(need).withColumn("w", F.col("nd") - F.lit(q) * F.col("nx"))
-    dealt = each.select(*keys, "nd", "n_new", "n_lost", "w", *need, F.posexplode(F.concat("new", "lost")).alias("i", "t")).withColumn("is_new", F.col("i") < F.col("n_new")).drop("i")
+    dealt = each.select(*keys, "nd", "n_new", "n_lost", "w", *need, F.posexplode_outer(F.concat("new", "lost")).alias("i", "t")).where("t is not null").withColumn("is_new", F.col("i") < F.col("n_new")).drop("i")
     dealt = dealt.withColumn("often", F.count("*").over(Window.partitionBy("rep", "t")))
     dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("rep", "h", "is_new").orderBy("often", "t")) - 1)
     place = F.col("at") + F.when(F.col("is_new"), 0).otherwise(F.col("n_new"))
@@ -279,8 +296,9 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
 
 def exploded(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(key, id, pos, h, line) of every line that has words; key tells texts apart that share an id."""
-    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.split(F.col(f"`{text}`"), "\n").alias("ls")).where("ls is not null")
-    return own.select("key", "id", F.posexplode("ls").alias("pos", "line")).withColumn("line", plain(F.col("line"))).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.split(F.col(f"`{text}`"), "\n").alias("ls"))
+    lines = own.select("key", "id", F.posexplode_outer("ls").alias("pos", "line")).withColumn("line", trimmed(F.col("line"))).where("line <> ''")
+    return lines.withColumn("line", F.lower("line")).withColumn("h", F.xxhash64("line"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

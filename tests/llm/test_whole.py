@@ -109,6 +109,40 @@ def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
     assert made.get("crossing", 0) <= len(lines) and made.get("nearest", 0) <= 4 * len(lines)
 
 
+def test_signatures_are_compiled_code(spark):
+    """Minima are those of all samples, and no explode is interpreted or preceded by a filter that makes its array too."""
+    rng = random.Random(12)
+    lines = [" ".join(prose(rng, n, size)) for n, size in ((4, 6), (12, 6), (30, 4), (9, 30), (33, 2))] + ["今天天气很好我们去公园" * 4 + str(i) for i in range(4)]
+    rows = []
+    for i, line in enumerate(lines):
+        ws, u = line.split(" "), line.encode("utf-16-be")
+        if len(line) <= 96 or len(line) > 10 * len(ws):
+            rows += [(i, 0, bytearray(u[k : k + 16])) for k in range(0, max(1, len(u) - 14), 2)]
+        if len(line) >= 72 and len(line) < 14 * len(ws):
+            rows += [(i, 1, bytearray(f"{a} {b}"[:8].encode())) for a, b in zip(ws, [*ws[1:], ""], strict=True)]
+    m = [f"m{i}" for i in range(line_dedup.BANDS * line_dedup.ROWS)]
+    want = spark.createDataFrame(rows, "h long, kind int, x binary").groupBy("h", "kind").agg(*(F.min(F.hash("x").bitwiseXOR(F.lit(line_dedup.constant(i + 1)))).alias(c) for i, c in enumerate(m)))
+    df = spark.createDataFrame(list(enumerate(lines)) * 2, "h long, line string")
+    got = line_dedup.signatures(df)
+    assert sorted(map(tuple, got.select("h", "kind", *m).collect())) == sorted(map(tuple, want.collect())) and {r["n"] for r in got.collect()} == {2}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = line_dedup.signatures(df)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    explodes = [x for x in plan if "Generate explode" in x]
+    assert len(explodes) == 2 and all("*(" in x for x in explodes) and not any("Filter" in x and ("split(" in x or "sequence(" in x) for x in plan)
+
+
+def test_repeated_shingles_count_once(spark):
+    a, b = "abcdefgh " * 6 + "end of one", "abcdefgh " * 3 + "end of one"
+    lines = spark.createDataFrame([(1, a), (2, b)], "h long, line string")
+    got = line_dedup.verified(spark.createDataFrame([(2, 1)], "h long, rep long"), lines, 0.8).first()
+    x, y = shingle_set(a), shingle_set(b)
+    assert got["far"] == 1 - len(x & y) / len(x | y) and got["same"] == alike(a, b)
+
+
 def test_bands_find_what_is_alike(spark):
     """Recall over planted pairs of all lengths at 0.8 to 0.9, and no unlike line goes."""
     rng = random.Random(9)
