@@ -49,8 +49,8 @@ WIDE, WIDEST = 10, 14
 FEW, CENTRES = 32, 3
 #: Minima whose two bits may differ in a pair that is verified: at similarity 0.8 more do once in 20,000 times.
 MOST_ODD = 11
-#: Shingles of a line that one row holds while minima are taken.
-AT_ONCE = 4
+#: Shingles of a line that one row holds while minima are taken: at 12, methods outgrow what the JVM compiles, and take five times as long.
+AT_ONCE = 8
 #: Rows of some forty bytes that may be sent to every executor (20 MB).
 MOST_SENT = 500_000
 
@@ -112,7 +112,7 @@ def samples(lines: DataFrame) -> DataFrame:
 
     def x(at: Column) -> Column:
         start = F.left(F.concat(F.get("words", at), F.lit(" "), F.coalesce(F.get("words", at + 1), F.lit(""))), F.lit(SHINGLE))
-        return F.when(everything, F.hash(shingle(F.col("u"), at))).otherwise(F.hash(start))
+        return F.hash(F.when(everything, shingle(F.col("u"), at)).otherwise(start.cast("binary")))
 
     return each.select("h", "kind", (at == 0).cast("int").alias("one"), *(x(F.least(at + j, F.col("last"))).alias(f"x{j}") for j in range(AT_ONCE)))
 
@@ -156,10 +156,9 @@ def joined_few(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
 
 def with_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """``pairs`` (h, rep, ...) with the shingles a and b of both. ``lines``: (h, line), one row each. Sets are eight times the size
-    of lines, so lines meet their pairs, and sets are made there."""
-    la, lb = (lines.select(F.col("h").alias(key), F.col("line").alias(x)) for x, key in (("la", "h"), ("lb", "rep")))
-    both = pairs.join(la, "h").join(lb, "rep")
-    return both.withColumns({"a": shingles(F.col("la")), "b": shingles(F.col("lb"))}).drop("la", "lb")
+    of lines, so lines meet their pairs, and sets are made there. Both joins read one shuffle of the lines, as neither renames a column before it."""
+    both = pairs.alias("p").join(lines.alias("x"), F.expr("p.h = x.h")).join(lines.alias("y"), F.expr("p.rep = y.h"))
+    return both.select("p.*", shingles(F.col("x.line")).alias("a"), shingles(F.col("y.line")).alias("b"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -205,8 +204,9 @@ def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFra
     q = (1 - threshold) / (1 + threshold)
     whole = stars.join(stars.where("not same").select("rep").distinct(), "rep", "left_semi")
     keys = ("h", "rep", "sketch", "own", "same")
-    each = with_sets(whole, lines).select(*keys, F.size(F.array_distinct("a")).alias("nx"), F.size(F.array_distinct("b")).alias("nr"), F.array_except("a", "b").alias("new"), F.array_except("b", "a").alias("lost"))
+    each = with_sets(whole, lines).select(*keys, F.size(F.array_distinct("a")).alias("nx"), F.array_except("a", "b").alias("new"), F.array_except("b", "a").alias("lost"))
     each = each.withColumns({"n_new": F.size("new"), "n_lost": F.size("lost"), "nd": F.size("new") + F.size("lost")})
+    each = each.withColumn("nr", F.col("nx") - F.col("n_new") + F.col("n_lost"))
 
     def at_least(*k: Column) -> Column:
         return F.greatest(F.lit(1), *(F.ceil(x - 1e-9) for x in k)).cast("int")
@@ -283,7 +283,7 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
             forget()
             out = out.unionByName(close.where("same"))
             known = known.unionByName(close.select("h", "rep"))
-            more = more.unionByName(crossing(named(dealt, out, "h")))
+            more = more.unionByName(crossing(written(named(dealt, out, "h"), "named")))
         more = written(more.distinct().join(known, ["h", "rep"], "left_anti"), "crossing")
         forget()
         likely = more.groupBy("h").agg(F.min(F.struct("far", "rep")).alias("b")).select("h", "b.rep").unionByName(more.groupBy("rep").agg(F.min(F.struct("far", "h")).alias("b")).select("b.h", "rep")).distinct()
@@ -297,23 +297,25 @@ def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_C
 def exploded(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(key, id, pos, h, line) of every line that has words; key tells texts apart that share an id."""
     own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.split(F.col(f"`{text}`"), "\n").alias("ls"))
-    lines = own.select("key", "id", F.posexplode_outer("ls").alias("pos", "line")).withColumn("line", trimmed(F.col("line"))).where("line <> ''")
-    return lines.withColumn("line", F.lower("line")).withColumn("h", F.xxhash64("line"))
+    lines = own.select("key", "id", F.posexplode_outer("ls").alias("pos", "line"))
+    # no filter is pushed below an explode of one, so that none trims and lower-cases each line once more
+    lines = lines.select("key", "id", "pos", F.explode_outer(F.array(F.lower(trimmed(F.col("line"))))).alias("line")).where("line <> ''")
+    return lines.withColumn("h", F.xxhash64("line"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, id, gone): the places of the lines that go, for each document that has such lines."""
-    lines = written(exploded(df, id_col, text), "lines")
-    named = components(written(links(lines, threshold, min_chars), "links")).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
+    lines = exploded(df, id_col, text)  # made thrice: their texts would take as much disk as the input
+    at = written(lines.select("key", "id", "pos", "h"), "lines")
+    named = components(written(links(lines.select("h", "line"), threshold, min_chars), "links")).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
     forget()
-    at = lines.select("key", "id", "pos", "h")
     often = at.groupBy("h").agg(F.count("*").alias("times")).join(named, "h", "left").where("times > 1 or c is not null")
     often = written(often.select("h", F.coalesce("c", "h").alias("c")), "often")
     again = written(joined_few(at, often, "h"), "again")
     stays = again.groupBy("c").agg(F.min(F.struct("id", "pos", "key")).alias("stays"))
     gone = joined_few(again, written(stays, "stays"), "c").where(~F.struct("id", "pos", "key").eqNullSafe(F.col("stays")))
     out = written(gone.groupBy("key", "id").agg(F.collect_set("pos").alias("gone")), "gone")
-    forget(lines, often, again)
+    forget(at, often, again)
     return out
 
 
@@ -324,8 +326,9 @@ def deduped(df: DataFrame, name: str, id_col: str = "doc_id", text: str = "text"
     out = F.broadcast(out) if (out.select(F.sum(F.size(gone) + 10)).first()[0] or 0) <= 4 * MOST_SENT else out  # numbers of four or eight bytes
     joined = df.withColumn(key, F.xxhash64(F.col(f"`{text}`"))).join(out, (F.col(key) == F.col(other)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_)), "left")
     ls = F.split(F.col(f"`{text}`"), "\n")
+    breaks = F.octet_length(F.col(f"`{text}`")) - F.octet_length(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit("")))  # without splitting what stays whole
     left = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(ls, lambda _, i: ~F.array_contains(gone, i)), "\n"))
-    return joined.withColumn(name, F.struct(left.alias("text"), F.coalesce(F.size(ls), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))).drop(key, other, id_, gone)
+    return joined.withColumn(name, F.struct(left.alias("text"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))).drop(key, other, id_, gone)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -210,3 +210,19 @@ def test_equal_vectors_give_their_smallest_ids(spark):
     rows[0] = (0, (hot + 0.01 * x[0]).tolist())
     out = hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id in (0, 599)", block=64).collect()
     assert {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 599)} == {0: [1, 3, 5, 7, 9], 599: [1, 3, 5, 7, 9]}
+
+
+def test_no_table_keeps_the_texts_of_all_lines(spark, monkeypatch):
+    """Places and hashes only; the texts of lines are kept where a pair may be made of them."""
+    kept, write = {}, line_dedup.written
+
+    def noted(df, name):
+        kept.setdefault(name, set()).update(df.columns)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    rng = random.Random(13)
+    line = " ".join(prose(rng, 12))
+    out = line_dedup.deduped(docs(spark, [line, f"{line}\n\n{line} \n", "", None, "\n"]), "d").collect()
+    assert sorted((r["doc_id"], r["d"]["n_lines"], r["d"]["n_removed"]) for r in out) == [(0, 1, 0), (1, 4, 2), (2, 1, 0), (3, 0, 0), (4, 2, 0)]
+    assert kept["lines"] == {"key", "id", "pos", "h"} and [name for name, columns in kept.items() if "line" in columns] == ["texts"]
