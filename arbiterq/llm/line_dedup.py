@@ -149,9 +149,9 @@ def buckets(lines: DataFrame) -> DataFrame:
     return seen.select("band", "h", "sketch", "members", "level", F.col("top.h").alias("rep"), "odd_rep")
 
 
-def joined_few(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """Inner join with a table that has each key once; it is broadcast only if its size allows."""
-    return df.join(F.broadcast(few) if few.limit(MOST_SENT + 1).count() <= MOST_SENT else few, on)
+def joined_few(df: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a table that has each key once; it is broadcast only if its size allows."""
+    return df.join(F.broadcast(few) if few.limit(MOST_SENT + 1).count() <= MOST_SENT else few, on, how)
 
 
 def with_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -195,7 +195,8 @@ def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFra
     2k >= |D(x)| + |D(y)| - q (|x| + |y|). As |D(x)| >= |D(y)| - q (|x| + |y|) and |x| <= |y| / t, seen from any y
     k >= |D(y)| - q (1 + 1 / t) |y|, and if |D(y)| <= |D(x)| even k >= |D(y)| - q (1 + 1 / t) |y| / 2. For x alike r and y not,
     |D(y)| > q (|y| + |r|), so 2k > |D(x)| + q (|r| - |x|); for both not, k > q |r|. In any order of the shingles, the first
-    |D| - k + 1 of either hold a common one. The order: what x has and r lacks, then what r has and x lacks, rare ones first.
+    |D| - k + 1 of either hold a common one. The order: what x has and r lacks, then what r has and x lacks, rare ones first. Where the first
+    part alone is more than that, the second is not dealt out: no pair can meet there, and rareness counts what is dealt out.
 
     ``room`` and ``more`` bound what two lines share if t is the first that they share: least(room) + least(more), where room is what a
     line has from t on in its part of the order, and more is all of the second part for a t of the first. A t of the second part is in
@@ -215,7 +216,8 @@ def differences(stars: DataFrame, lines: DataFrame, threshold: float) -> DataFra
     any_, alike = F.col("nd") - slack, (F.col("nd") + F.lit(q) * (F.col("nr") - F.col("nx"))) / 2
     need = {"k": F.when(F.col("same"), at_least(alike)).otherwise(at_least(any_)), "large": at_least(any_, other), "small": at_least(F.col("nd") - slack / 2, other)}
     each = each.withColumns(need).withColumn("w", F.col("nd") - F.lit(q) * F.col("nx"))
-    dealt = each.select(*keys, "nd", "n_new", "n_lost", "w", *need, F.posexplode_outer(F.concat("new", "lost")).alias("i", "t")).where("t is not null").withColumn("is_new", F.col("i") < F.col("n_new")).drop("i")
+    far_on = F.col("n_new") > F.col("nd") - F.least(*need)  # no prefix of this line reaches the second part
+    dealt = each.select(*keys, "nd", "n_new", "n_lost", "w", *need, F.posexplode_outer(F.when(far_on, F.col("new")).otherwise(F.concat("new", "lost"))).alias("i", "t")).where("t is not null").withColumn("is_new", F.col("i") < F.col("n_new")).drop("i")
     dealt = dealt.withColumn("often", F.count("*").over(Window.partitionBy("rep", "t")))
     dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("rep", "h", "is_new").orderBy("often", "t")) - 1)
     place = F.col("at") + F.when(F.col("is_new"), 0).otherwise(F.col("n_new"))
@@ -250,14 +252,26 @@ def crossing(dealt: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
-def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(u, v): verified links that span the components of ``lines`` (h, line)."""
-    long_ = lines.where(F.length("line") >= min_chars)
-    own = written(buckets(long_), "buckets")
+def met(lines: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``buckets`` of ``lines`` (h, line); the pairs (h, rep) of lines with their centres; the lines (h) whose texts pairs may need."""
+    own = written(buckets(lines.where(F.length("line") >= min_chars)), "buckets")
     forget()
     pairs = written(own.where((F.col("h") != F.col("rep")) & (F.col("odd_rep") <= MOST_ODD)).select("h", "rep").distinct(), "pairs")
-    needed = pairs.select("h").unionByName(pairs.select(F.col("rep").alias("h"))).unionByName(own.where("members > 2").select("h")).distinct()
-    texts = written(joined_few(long_.select("h", "line"), needed, "h").groupBy("h", "line").agg(F.lit(1)).select("h", "line"), "texts")
+    return own, pairs, pairs.select("h").unionByName(pairs.select(F.col("rep").alias("h"))).unionByName(own.where("members > 2").select("h")).distinct()
+
+
+def links(lines: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(u, v): verified links that span the components of ``lines`` (h, line)."""
+    own, pairs, needed = met(lines, min_chars)
+    return spanning(own, pairs, each_once(joined_few(lines, needed, "h")), threshold)
+
+
+def each_once(lines: DataFrame) -> DataFrame:
+    return written(lines.groupBy("h", "line").agg(F.lit(1)).select("h", "line"), "texts")
+
+
+def spanning(own: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links (u, v) of lines that ``met``. texts: (h, line), one row each."""
     forget()
     found = written(verified(pairs, texts, threshold), "verified")
     forget()
@@ -305,9 +319,13 @@ def exploded(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, id, gone): the places of the lines that go, for each document that has such lines."""
-    lines = exploded(df, id_col, text)  # made thrice: their texts would take as much disk as the input
-    at = written(lines.select("key", "id", "pos", "h"), "lines")
-    named = components(written(links(lines.select("h", "line"), threshold, min_chars), "links")).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
+    lines = exploded(df, id_col, text)  # made twice: the texts of all would take as much disk as the input
+    own, pairs, needed = met(lines.select("h", "line"), min_chars)
+    wide = joined_few(lines, needed.withColumn("met", F.lit(True)), "h", "left")
+    wide = written(wide.select("key", "id", "pos", "h", F.when(F.col("met"), F.col("line")).alias("line")), "texts")
+    at, texts = written(wide.drop("line"), "lines"), each_once(wide.where("line is not null").select("h", "line"))
+    forget(wide)
+    named = components(written(spanning(own, pairs, texts, threshold), "links")).withColumnRenamed("node", "h").withColumnRenamed("component", "c")
     forget()
     often = at.groupBy("h").agg(F.count("*").alias("times")).join(named, "h", "left").where("times > 1 or c is not null")
     often = written(often.select("h", F.coalesce("c", "h").alias("c")), "often")

@@ -226,3 +226,28 @@ def test_no_table_keeps_the_texts_of_all_lines(spark, monkeypatch):
     out = line_dedup.deduped(docs(spark, [line, f"{line}\n\n{line} \n", "", None, "\n"]), "d").collect()
     assert sorted((r["doc_id"], r["d"]["n_lines"], r["d"]["n_removed"]) for r in out) == [(0, 1, 0), (1, 4, 2), (2, 1, 0), (3, 0, 0), (4, 2, 0)]
     assert kept["lines"] == {"key", "id", "pos", "h"} and [name for name, columns in kept.items() if "line" in columns] == ["texts"]
+
+
+def test_lines_are_made_twice(spark, monkeypatch):
+    """Once for the buckets, and once for the places of all lines together with the texts that pairs may need."""
+    made, write = [], line_dedup.written
+
+    def noted(df, name):
+        if "posexplode(ls#" in df._jdf.queryExecution().optimizedPlan().toString():
+            made.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    rng = random.Random(14)
+    line = " ".join(prose(rng, 30))
+    assert n_removed(spark, [line, f"{line}\nshort\n{line[:-3]}", "short"]) == [0, 2, 1]
+    assert made == ["buckets", "texts"]
+
+
+def test_differences_that_no_prefix_reaches_are_not_dealt(spark):
+    rng = random.Random(15)
+    r = prose(rng, 30)
+    x, y = [*r[:6], *prose(rng, 40)], [*r[:20], *r[22:]]  # x lacks all that y lacks, and has so much of its own that it meets others there
+    lines = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate((r, x, y))], "h long, line string")
+    stars = spark.createDataFrame([(1, 0, 0, True, False), (2, 0, 0, True, True)], "h long, rep long, sketch long, own boolean, same boolean")
+    assert line_dedup.differences(stars, lines, 0.8).count() == 0
